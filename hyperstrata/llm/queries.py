@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import table
+from hyperstrata.llm.common import new_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,6 +14,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), max_distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.token_files import read_token_files, write_token_files
+
+    folder = new_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hyperstrata.llm.packing import pack, token_pieces
 
