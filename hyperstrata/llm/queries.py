@@ -29,6 +29,31 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.decontamination import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        "score",
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hyperstrata.llm.packing import pack, token_pieces
 
