@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import new_folder, table
+from hyperstrata.llm.common import doc_crc, new_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,6 +14,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(doc_crc(F.col("doc_id")), F.lit(3)) == 1
+    found = predict(docs, fit(docs, learn_from=~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.line_dedup import drop_recurring_lines
+
+    found = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hyperstrata.llm.simhash import near_duplicates
 
