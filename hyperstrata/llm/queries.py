@@ -45,6 +45,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.warc import read_warc, write_warc
+
+    folder = new_folder(spark, "warc")
+    index = write_warc(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return read_warc(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hyperstrata.llm.decontamination import contaminated
 
