@@ -60,6 +60,14 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "longest")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.lm_scoring import score
+
+    held_out = F.pmod(doc_crc(F.col("doc_id")), F.lit(7)) == 2
+    found = score(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), learn_from=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hyperstrata.llm.licenses import scan
 
