@@ -98,3 +98,17 @@ def batches_of(rows, schema, most_bytes: int = 8_000_000, most_rows: int = 5_000
             held, taken = [], 0
     if held:
         yield batch()
+
+
+def keep_rows(df: DataFrame, text_col: str, make_test) -> DataFrame:
+    """The rows whose text passes a test; ``make_test()`` builds it once in each task."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        test = make_test()
+        for batch in batches:
+            yield batch.filter(pa.array([bool(test(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import LOWER_ASCII
+from hyperstrata.llm.common import LOWER_ASCII, keep_rows
 
 MIN_MATCH, THRESHOLD, BLOCK_CHARS = 5, 0.6, 16_000_000
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -87,68 +87,91 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
     return tiles
 
 
-def _compare(docs: DataFrame, items: list[tuple[object, str]], id_col: str, text_col: str, item_kind: str, min_match: int, threshold: float) -> DataFrame:
-    kind = dict(docs.dtypes)[id_col]
-    numbers: dict[bytes, int] = {}
-    coded = []
-    for key, text in items:
-        ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words(text)], "u4")
-        if len(ids):
-            coded.append((key, ids))
-    by_length: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for n, (_, ids) in enumerate(coded):
-        k = min(min_match, len(ids))
-        for h in set(running_hashes(ids, k).tolist()):
-            by_length[k][h].append(n)
-    seeds = {k: dict(v) for k, v in by_length.items()}
-
-    def run(batches):
-        import pyarrow as pa
-
-        get = numbers.get
-        tables = {k: (np.sort(np.fromiter(v, "u8", len(v))), v) for k, v in seeds.items()}
-        for batch in batches:
-            rows, keys = [], []
-            for at, text in enumerate(batch.column(1)):
-                found = words(text.as_py())
-                doc = np.fromiter((get(w, 0) for w in found), "u4", len(found))
-                near = set()
-                for k, (table, owners) in tables.items():
-                    known = np.convolve(doc > 0, np.ones(k, "i4"), "valid") == k if len(doc) >= k else np.zeros(0, bool)
-                    if not known.any():
-                        continue
-                    hashes = np.unique(running_hashes(doc, k)[known])
-                    for h in hashes[table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes].tolist():
-                        near.update(owners[h])
-                for n in sorted(near):
-                    key, item = coded[n]
-                    tiles = tile(item, doc, min(min_match, len(item)))
-                    covered = sum(t[2] for t in tiles) / len(item)
-                    if covered >= threshold:
-                        keys.append(at)
-                        rows.append((key, covered, len(tiles), max(t[2] for t in tiles), [{"item_at": i, "doc_at": j, "length": n} for i, j, n in tiles]))
-            if rows:
-                item, covered, count, longest, tiles = zip(*rows)
-                tile_type = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keys, "int64")), pa.array(item), pa.array(covered, "float64"), pa.array(count, "int32"), pa.array(longest, "int32"), pa.array(tiles, tile_type)],
-                    names=[id_col, "item_id", "coverage", "n_tiles", "longest", "tiles"],
-                )
-
-    out = f"{id_col} {kind}, item_id {item_kind}, coverage double, n_tiles int, longest int, tiles array<struct<item_at: int, doc_at: int, length: int>>"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of a document and an item it holds: id, item_id, coverage, n_tiles, longest and tiles."""
+class Matcher:
+    """The items of one block with their seeds; finds the items that a text holds."""
+
+    def __init__(self, items: list[tuple[object, str]], min_match: int, threshold: float):
+        self.min_match, self.threshold = min_match, threshold
+        self.numbers: dict[bytes, int] = {}
+        self.items = []
+        seeds: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for key, text in items:
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)], "u4")
+            if len(ids):
+                k = min(min_match, len(ids))
+                for h in set(running_hashes(ids, k).tolist()):
+                    seeds[k][h].append(len(self.items))
+                self.items.append((key, ids))
+        self.seeds = {k: (np.sort(np.fromiter(v, "u8", len(v))), dict(v)) for k, v in seeds.items()}
+
+    def matches(self, text: str | None) -> list[tuple]:
+        """(item key, coverage, tiles) of every item covered far enough."""
+        found = words(text)
+        get = self.numbers.get
+        doc = np.fromiter((get(w, 0) for w in found), "u4", len(found))
+        near: set[int] = set()
+        for k, (table, owners) in self.seeds.items():
+            if len(doc) < k:
+                continue
+            known = np.convolve(doc > 0, np.ones(k, "i4"), "valid") == k
+            if known.any():
+                hashes = np.unique(running_hashes(doc, k)[known])
+                for h in hashes[table[np.minimum(np.searchsorted(table, hashes), len(table) - 1)] == hashes].tolist():
+                    near.update(owners[h])
+        out = []
+        for n in sorted(near):
+            key, item = self.items[n]
+            tiles = tile(item, doc, min(self.min_match, len(item)))
+            covered = sum(t[2] for t in tiles) / len(item)
+            if covered >= self.threshold:
+                out.append((key, covered, tiles))
+        return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, min_match: int, threshold: float):
+    """Matchers of the blocks of the benchmark, one after another, and the type of item keys."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").alias("text")).where("text is not null")
-    item_kind = dict(items.dtypes)["item_id"]
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    found = None
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [(r["item_id"], r["text"]) for r in block.collect()]  # about BLOCK_CHARS characters
-        part = _compare(docs, rows, id_col, text_col, item_kind, min_match, threshold)
+        yield Matcher([(r["item_id"], r["text"]) for r in block.collect()], min_match, threshold)  # about BLOCK_CHARS characters
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of a document and an item it holds: id, item_id, coverage, n_tiles, longest and tiles."""
+    kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    out = f"{id_col} {kind}, item_id {item_kind}, coverage double, n_tiles int, longest int, tiles array<struct<item_at: int, doc_at: int, length: int>>"
+
+    def compare(matcher):
+        def run(batches):
+            import pyarrow as pa
+
+            tile_type = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))
+            for batch in batches:
+                at, rows = [], []
+                for k, text in enumerate(batch.column(1)):
+                    for key, covered, tiles in matcher.matches(text.as_py()):
+                        at.append(k)
+                        rows.append((key, covered, len(tiles), max(t[2] for t in tiles), [dict(zip(("item_at", "doc_at", "length"), t)) for t in tiles]))
+                if rows:
+                    item, covered, count, longest, tiles = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at, "int64")), pa.array(item), pa.array(covered, "float64"), pa.array(count, "int32"), pa.array(longest, "int32"), pa.array(tiles, tile_type)],
+                        names=[id_col, "item_id", "coverage", "n_tiles", "longest", "tiles"],
+                    )
+
+        return docs.select(id_col, text_col).mapInArrow(run, out)
+
+    found = None
+    for matcher in _blocks(benchmark, item_col, min_match, threshold):
+        part = compare(matcher)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    for matcher in _blocks(benchmark, item_col, min_match, threshold):
+        docs = keep_rows(docs, text_col, lambda matcher=matcher: lambda text: not matcher.matches(text))
+    return docs

@@ -33,6 +33,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hyperstrata.llm.common import keep_rows
+
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 SAMPLE_PER_LANGUAGE, EPOCHS, RATE = 1500, 4, 0.5
 REJECT_BELOW = 0.5
@@ -212,3 +214,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array((score < REJECT_BELOW) | np.array([x == "und" for x in pred], bool))], names=[id_col, "lang_pred", "score", "rejected"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that are not rejected, with all their columns."""
+
+    def make_test():
+        table = _Words(model)
+
+        def test(text):
+            words = text_words(text)
+            return bool(words) and bool(model.languages) and model.scores(table.mean(words)[None])[1][0] >= REJECT_BELOW
+
+        return test
+
+    return keep_rows(docs, text_col, make_test)

@@ -58,18 +58,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fingerprint (as a signed 64-bit integer ``fp``) of each row."""
-    kind = dict(docs.dtypes)[id_col]
+def fingerprints(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """Some columns and the fingerprint (as a signed 64-bit integer ``_fp``) of each row."""
+    kept = docs.select(*carry, F.col(text_col).alias("_text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in batch.column(len(carry))], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), pa.array(fp)], names=[*carry, "_fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    kinds = dict(kept.dtypes)
+    return kept.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", _fp long")
 
 
 def unary_counts(fp: np.ndarray) -> np.ndarray:
@@ -176,12 +177,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _roots(marked: DataFrame, max_distance: int) -> DataFrame:
+    """_fp and root (the least fingerprint of its component) of all fingerprints."""
+    nodes = marked.select(F.col("_fp").alias("fp")).distinct()
+    roots = components(links(nodes, max_distance))
+    return cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4) -> DataFrame:
     """id, fp (signed 64-bit) and component_id (the smallest id reachable) of each row."""
-    marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    roots = components(links(nodes.select("fp"), max_distance))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    named = cut_lineage(joined).select("fp", "_least", "root")
-    least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    marked = cut_lineage(fingerprints(docs, text_col, [id_col]))
+    roots = _roots(marked, max_distance)
+    least = marked.groupBy("_fp").agg(F.min(id_col).alias("_least")).join(roots, "_fp").groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = roots.join(least, "_root").select("_fp", "component_id")
+    return marked.join(named, "_fp").select(id_col, F.col("_fp").alias("fp"), "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4) -> DataFrame:
+    """One row of each group, with all its columns: that with the smallest id (ids
+    before null), then the smallest hash of its text; of equal rows any one."""
+    keys = {"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(F.lit(1), text_col, id_col)}
+    marked = cut_lineage(fingerprints(docs.withColumns(keys), text_col, [id_col, "_k1", "_k2"]))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2")
+    least = marked.groupBy("_fp").agg(F.min(order).alias("_least")).join(_roots(marked, max_distance), "_fp")
+    kept = least.groupBy("_root").agg(F.min("_least").alias("_least")).select("_least._k1", "_least._k2")
+    return docs.withColumns(keys).join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(docs.columns)
