@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hyperstrata.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hyperstrata.llm.line_dedup import drop_recurring_lines
 
