@@ -68,11 +68,11 @@ def _panel(spark, sf):
     return Grid(g.df, Header((Axis(64, 0.0, 0.01), Axis(24, 0.0, 0.05))))
 
 
-@query(f"""WITH {VECTORS}, {_PANEL}, a AS (SELECT t.i AS t0, k.i AS k, x.i AS x, CAST(floor(0.5 + (t.i * 0.01 + (-0.2 + k.i * 0.047) * (x.i * 0.05)) / 0.01) AS BIGINT) AS j FROM range(64) AS t(i), range(9) AS k(i), range(24) AS x(i)),
+@query(f"""WITH {VECTORS}, {_PANEL}, a AS (SELECT t.i AS t0, k.i AS k, x.i AS x, CAST(floor(0.5 + (t.i * 0.01 + (-0.2013 + k.i * 0.04717) * (x.i * 0.05)) / 0.01) AS BIGINT) AS j FROM range(64) AS t(i), range(9) AS k(i), range(24) AS x(i)),
 s AS (SELECT t0, k, sum(q.v) AS v FROM a JOIN q ON q.i1 = a.j AND q.i2 = a.x GROUP BY 1, 2)
 SELECT t.i AS i1, k.i AS i2, {R("coalesce(s.v, 0.0)")} AS v FROM range(64) AS t(i) CROSS JOIN range(9) AS k(i) LEFT JOIN s ON s.t0 = t.i AND s.k = k.i""")
 def slant_stack(spark, sf):
-    return rounded(I.slant_stack(_panel(spark, sf), Axis(9, -0.2, 0.047)).df)
+    return rounded(I.slant_stack(_panel(spark, sf), Axis(9, -0.2013, 0.04717)).df)
 
 
 @query(f"""WITH {VECTORS}, {_PANEL}, a AS (SELECT t.i AS t0, k.i AS k, x.i AS x, CAST(floor(0.5 + sqrt((0.0 + t.i * 0.01) * (0.0 + t.i * 0.01) + ((0.0 + x.i * 0.05) / (1.53 + k.i * 0.27)) * ((0.0 + x.i * 0.05) / (1.53 + k.i * 0.27))) / 0.01) AS BIGINT) AS j FROM range(64) AS t(i), range(9) AS k(i), range(24) AS x(i)),
