@@ -77,7 +77,7 @@ def read(spark: SparkSession, path: str) -> Grid:
 
 def _read_ascii(spark: SparkSession, header: Header, path: str) -> Grid:
     """White-space separated numbers; a text dataset is small, one file is one task."""
-    words = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("line", "w"))
+    words = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda w: w != "")).alias("line", "w"))
     df, size = words.select("line", F.col("w").cast("double").alias("v")), 1
     for k, a in enumerate(header.axes, 1):
         df = df.withColumn(f"i{k}", F.expr(f"cast((line div {size}) % {a.n} as bigint)"))
