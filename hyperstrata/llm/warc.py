@@ -11,14 +11,14 @@ and those at most ``gap`` bytes apart are joined to one read of at most
 ``most_bytes`` bytes, so a whole file is a few large reads and a few records are a
 few small ones.
 
-Scale: payloads are shuffled once, by range of their key. The search for equal
-payloads moves 20-byte digests alone, pre-aggregated, so a payload that a third of
-the rows hold is one row per task; the join back is a plain equi-join, which
-adaptive execution splits. Files are written under another name and moved into
+Scale: payloads are shuffled once, in the join of the pages to the narrow table of
+revisits, whose tasks write the shards. The search for equal payloads moves digests
+alone, pre-aggregated, so a payload that a third of the rows hold is one row per
+task; both joins are plain equi-joins, which adaptive execution splits. Files are written under another name and moved into
 place, so tasks may be retried. The index is a Parquet table in the same folder.
 
 Cases: a null payload is empty; a null URL gives a record without a target; a null
-key sorts first and is never referred to while a key exists; rows that repeat the
+key is never referred to while a key exists; rows that repeat the
 smallest key of a payload are all responses; an empty table gives no records;
 other columns are ignored.
 """
@@ -98,16 +98,21 @@ def first_of_equal(pages: DataFrame, min_bytes: int) -> DataFrame:
         .where("_n > 1")
     )
     first = groups.select("sha1", "size", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url"))
-    narrow = pages.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
-    joined = narrow.join(first, ["sha1", "size"], "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_url"))
+    revisits = (
+        pages.select("page_id", "url", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
+        .join(first, ["sha1", "size"])
+        .where(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+        .select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.col("sha1").alias("_sha1"), F.col("first_id").alias("refers_to"), F.col("first_url").alias("refers_url"))
+        .distinct()
+    )
+    whole = pages.select("page_id", "url", "payload", F.sha1("payload").alias("sha1"))
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("sha1") == F.col("_sha1"))
+    return whole.join(revisits, same, "left").select("page_id", "url", "payload", "sha1", "refers_to", "refers_url")
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, shards: int | None = None) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write the archives and ``folder``/index; returns the index. ``id_col`` is an integer column."""
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
@@ -143,13 +148,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         schema = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("record_type", pa.string())])
         yield from batches_of(((x, 200) for x in index), schema)
 
-    (
-        first_of_equal(rows, min_bytes)
-        .repartitionByRange(shards, F.col("page_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("page_id").asc_nulls_first(), "url", "sha1")
-        .mapInArrow(write_shard, _INDEX)
-        .write.parquet(f"{folder}/index")
-    )
+    first_of_equal(rows, min_bytes).mapInArrow(write_shard, _INDEX).write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
 
