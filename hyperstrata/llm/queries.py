@@ -104,4 +104,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from hyperstrata.llm import oracles
+
+    return oracles.oracle_sql()
