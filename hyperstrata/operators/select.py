@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperstrata.functions.header import Header
-from hyperstrata.operators.grid import Grid, combine
+from hyperstrata.operators.grid import Grid
 
 
 def _range(grid: Grid, axis: int, f=None, n=None, j=None, start=None, end=None, step=None) -> tuple[int, int | None, int]:
@@ -230,4 +230,18 @@ def to_complex(grid: Grid, pair: bool = False) -> Grid:
     return Grid(df.select(*grid.indices, "v"), header.with_axis(1, n=None if a.n is None else a.n // 2, d=a.d * 2))
 
 
-__all__ = ["combine", *[n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__]]
+
+
+
+def byte(grid: Grid, clip: float | None = None, percent: float = 99.0, bias: float = 0.0) -> Grid:
+    """Amplitudes as whole numbers 0 .. 255: ``bias`` is the middle, ``clip`` away from it the ends.
+
+    Without a clip it is the percentile of the absolute values.
+    """
+    if clip is None:
+        from hyperstrata.operators.rank import kth_smallest, quantile_rank
+
+        sizes = grid.df.select(F.abs(F.col("v") - bias).alias("v"))
+        clip = kth_smallest(sizes, "v", quantile_rank(sizes.count(), percent)) or 1.0
+    level = F.floor(F.lit(127.5) + F.lit(127.5) * (F.col("v") - F.lit(bias)) / F.lit(clip) + 0.5)
+    return grid.with_v(F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("int"))

@@ -36,6 +36,7 @@ def _round(c: Column, digits: int) -> Column:
 def _load() -> None:
     from hyperstrata.plans import (  # noqa: F401
         queries_bin,
+        queries_flow,
         queries_frame,
         queries_kernel,
         queries_reduce,
