@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from hyperstrata.llm.common import keep_rows
 
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (1, 2, 3, 4)
-SAMPLE_PER_LANGUAGE, EPOCHS, RATE = 1500, 4, 0.5
+SAMPLE_PER_LANGUAGE, EPOCHS, STEPS, RATE = 1500, 4, 20_000, 0.5
 REJECT_BELOW = 0.5
 _RUNS = re.compile(r"[^\W\d_]+").findall
 
@@ -55,10 +55,14 @@ def text_words(text: str | None) -> list[str]:
 
 
 def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, shares) of the n-grams of some words."""
+    """(buckets, counts) of the n-grams of some words."""
     counts = np.bincount(np.fromiter((b for w in words for b in word_buckets(w)), "i8"), minlength=1)
     at = np.flatnonzero(counts)
-    return at, (counts[at] / counts.sum()).astype("f4")
+    return at.astype("u2"), counts[at].astype("u4")
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return (counts / counts.sum()).astype("f4")
 
 
 @dataclass
@@ -82,11 +86,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     rng = np.random.default_rng(seed)
     embeddings = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype("f4")
     weights, bias = np.zeros((WIDTH, len(languages)), "f4"), np.zeros(len(languages), "f4")
-    steps, done = EPOCHS * len(bags), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(bags)))  # a small sample is seen more often
+    steps, done = epochs * len(bags), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(bags)):
             rate = np.float32(RATE * (1 - done / steps))
-            at, share = bags[k]
+            at, share = bags[k][0], _shares(bags[k][1])
             rows = embeddings[at]
             mean = share @ rows
             z = mean @ weights + bias
@@ -112,7 +117,7 @@ def calibrate(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], labels: n
     if not bags or len(model.languages) < 2:
         return model
     soft = 1 / (len(bags) + 2)
-    z = np.stack([share @ model.logits[at] for at, share in bags]) + model.bias
+    z = np.stack([_shares(counts) @ model.logits[at] for at, counts in bags]) + model.bias
     best = (np.inf, 1.0)
     for t in np.geomspace(0.05, 20, 61):
         y = z / t
@@ -150,14 +155,14 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text
                 # the whole text, and one fragment of three to ten words of it
                 size = 3 + draw % 8
                 at = (draw >> 8) % max(1, len(words) - size + 1)
-                kept += [(lang, 2 * draw + k, *(x.tolist() for x in bag(w))) for k, w in enumerate((words, words[at : at + size]))]
+                kept += [(lang, str(2 * draw + k), *(x.tobytes() for x in bag(w))) for k, w in enumerate((words, words[at : at + size]))]
             columns = list(zip(*kept)) or [(), (), (), ()]
-            types = (pa.string(), pa.decimal128(38, 0), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in columns[1]] if k == 1 else columns[k], pa.string() if k == 1 else t) for k, t in enumerate(types)], names=["lang", "draw", "at", "share"])
+            types = (pa.string(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "draw", "at", "counts"])
 
-    got = sorted(sample.mapInArrow(count, "lang string, draw string, at array<int>, share array<float>").collect(), key=lambda r: (r["draw"], r["lang"]))
+    got = sorted(sample.mapInArrow(count, "lang string, draw string, at binary, counts binary").collect(), key=lambda r: (r["draw"], r["lang"]))
     label = {lang: k for k, lang in enumerate(languages)}
-    bags = [(np.array(r["at"], "i8"), np.array(r["share"], "f4")) for r in got]
+    bags = [(np.frombuffer(r["at"], "u2"), np.frombuffer(r["counts"], "u4")) for r in got]
     labels = np.array([label[r["lang"]] for r in got], "i8")
     apart = np.array([zlib.crc32(r["draw"].encode()) % 5 == 0 for r in got], bool)
     take = lambda mask: ([b for b, m in zip(bags, mask) if m], labels[mask])
