@@ -41,6 +41,7 @@ def _load() -> None:
         queries_kernel,
         queries_reduce,
         queries_resample,
+        queries_seismic,
         queries_select,
         queries_shape,
     )
