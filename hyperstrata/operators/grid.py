@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -127,6 +128,16 @@ def combine(grids: list[Grid], mode: str, scale: list[float] | None = None, shif
     return replace(first, df=df)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut by a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (a local one in tests)."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hyperstrata-"))
+    return df.checkpoint(eager=True)
+
+
 def ragged(header_axes: int = 2) -> Header:
     """A header of traces that differ in length."""
     return Header(tuple(Axis() for _ in range(header_axes)))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from hyperstrata.operators import algebra, frame
-from hyperstrata.operators.grid import Grid, combine
+from hyperstrata.operators.grid import Grid, checkpointed, combine
 
 
 @dataclass(frozen=True)
@@ -49,13 +49,7 @@ def dot_test(op: Operator, model: Grid, data: Grid, seed: int = 2024) -> tuple[f
 
 
 def _keep(grid: Grid) -> Grid:
-    context = grid.spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        named = context.getConf().get("spark.checkpoint.dir") or grid.spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hyperstrata-"))
-    return Grid(grid.df.checkpoint(eager=True), grid.header)
+    return Grid(checkpointed(grid.df), grid.header)
 
 
 def conjugate_gradients(op: Operator, data: Grid, start: Grid, iterations: int, every: int = 2) -> Grid:

@@ -1,67 +1,37 @@
 """Sorting, ranks, order statistics, peaks and histograms' thresholds.
 
 Global ranks and order statistics never put all rows into one task: rows are dealt
-to ranges by boundaries fixed beforehand, and the ranges are numbered one after
-another from their counts.
+to ranges, and the ranges are numbered one after another from their counts.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperstrata.operators.grid import Grid
-
-RANGES = 256
+from hyperstrata.operators.grid import Grid, checkpointed
 
 
 def global_rank(df: DataFrame, order: list[str], name: str, descending: bool = False) -> DataFrame:
     """A column with the place (from 0) of each row in the order of some columns.
 
-    The first column is a number, and only it is descending if asked; equal rows are
-    numbered in any order. Boundaries come from approximate percentiles of the first
-    column and, for values that hold more than one range of rows, of the second among
-    them, so that ties are spread too. Only boundaries and one count per range reach
-    the driver.
+    Only the first column is descending, if asked. Rows are dealt to ranges of the whole
+    order (so ties in the first column are spread by the others), the dealing is kept by
+    a checkpoint, and the ranges are numbered one after another from their counts, of
+    which one each reaches the driver.
     """
-    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "date")
-    tie = F.col(order[1]).cast("double") if len(order) > 1 and dict(df.dtypes)[order[1]] in numbers else F.lit(None).cast("double")
-    keyed = df.withColumns({"_key": F.col(order[0]).cast("double"), "_tie": tie})
-    steps = [k / RANGES for k in range(1, RANGES)]
-    raw = [c for c in keyed.agg(F.percentile_approx("_key", steps)).first()[0] or [] if math.isfinite(c)]
-    heavy = sorted({c for c in raw if raw.count(c) > 1})
-    sub = str(RANGES)
-    if heavy and len(order) > 1:
-        for r in keyed.where(F.col("_key").isin(heavy)).groupBy("_key").agg(F.percentile_approx("_tie", steps).alias("c")).collect():
-            place = _cell("_tie", [c for c in r["c"] or [] if math.isfinite(c)])
-            sub = f"CASE WHEN _key = {r['_key']!r}D THEN {RANGES - 1} - {place} ELSE {sub} END" if descending else f"CASE WHEN _key = {r['_key']!r}D THEN {place} ELSE {sub} END"
-    dealt = keyed.withColumn("_part", F.expr(f"{_cell('_key', raw)} * {RANGES + 1} + {sub}").cast("int")).drop("_key", "_tie")
-    counts = {r[0]: r[1] for r in dealt.groupBy("_part").count().collect()}
-    before, starts = 0, []
-    for k in sorted(counts, reverse=descending):
-        starts.append((k, before))
-        before += counts[k]
     keys = [F.desc(c) if descending and j == 0 else F.asc(c) for j, c in enumerate(order)]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(ranges, *keys).withColumn("_part", F.spark_partition_id()))
+    before, starts = 0, []
+    for r in sorted(dealt.groupBy("_part").count().collect()):
+        starts.append((r["_part"], before))
+        before += r["count"]
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
-    start = df.sparkSession.createDataFrame(starts, "_part int, _start long")  # at most RANGES * (RANGES + 1) rows
+    start = df.sparkSession.createDataFrame(starts, "_part int, _start long")  # one row per range
     return dealt.withColumn("_local", local).join(F.broadcast(start), "_part").select(*df.columns, (F.col("_local") + F.col("_start")).alias(name))
 
 
-def _cell(column: str, cuts: list[float]) -> str:
-    """SQL of the number of boundaries at or below a value, by bisection; 0 for null."""
-    cuts = sorted(set(cuts))
-
-    def between(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        return f"CASE WHEN {column} < {cuts[middle]!r}D THEN {between(low, middle)} ELSE {between(middle + 1, high)} END"
-
-    return f"(CASE WHEN {column} IS NULL THEN 0 ELSE {between(0, len(cuts))} END)"
-
-
 def kth_smallest(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
     """The exact k-th smallest (from 0) by narrowing histograms; at most ``most``
     distinct values, or those of one tie, are looked at one by one."""
