@@ -20,6 +20,8 @@ each count; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ EPS, SEED = 1.9, 5
 BLOCK, QUERIES, MEET = 4096, 1024, 8
 
 
+@cache
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
@@ -69,13 +72,12 @@ def _packed(df: DataFrame, size: int, codes: bool) -> DataFrame:
         import pyarrow as pa
 
         held: dict[int, list] = {}
-        turns: dict[int, np.ndarray] = {}
 
         def block(dim, rows):
             x = np.array([r[1] for r in rows], "f8")
             out = {"dim": dim, "ids": np.array([r[0] for r in rows], "i8").tobytes(), "vectors": x.tobytes(), "bits": None, "scalars": None}
             if codes:
-                bits, scalars = encode(x, turns.setdefault(dim, rotation(dim)) if dim not in turns else turns[dim])
+                bits, scalars = encode(x, rotation(dim))
                 out |= {"bits": bits.tobytes(), "scalars": scalars.tobytes()}
             return pa.RecordBatch.from_pylist([out], schema=schema)
 
@@ -114,10 +116,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         import pyarrow as pa
 
         out_q, out_id, out_score = [], [], []
-        turns: dict[int, np.ndarray] = {}
         for q in queries.to_pylist():
             dim = q["dim"]
-            turn = turns[dim] if dim in turns else turns.setdefault(dim, rotation(dim))
+            turn = rotation(dim)
             q_ids, q_vec = np.frombuffer(q["ids"], "i8"), np.frombuffer(q["vectors"], "f8").reshape(-1, dim)
             found = [(np.zeros(0, "i8"), np.zeros(0)) for _ in q_ids]
             for ids, vec, bits, scalars in zip(*(blocks.column(c) for c in ("ids", "vectors", "bits", "scalars"))):
