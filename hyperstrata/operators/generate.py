@@ -84,6 +84,18 @@ def layered(spark: SparkSession, header: Header, interfaces: list[tuple[float, f
     return Grid(empty.df.withColumn("v", v), header)
 
 
+def layered3(spark: SparkSession, header: Header, interfaces: list[tuple[float, float, float]], velocities: list[tuple[float, float, float, float]]) -> Grid:
+    """The 3-D layered model: interfaces at a + b x + c y, layers v + dvdx x + dvdy y + dvdz (z - z_k)."""
+    empty = Grid(index_grid(spark, header), header)
+    a1, z, x, y = header.axis(1), empty.x(1), empty.x(2), empty.x(3)
+    value = lambda v0, vx, vy, vz, top: F.lit(v0) + x * F.lit(vx) + y * F.lit(vy) + (z - top) * F.lit(vz)
+    v = value(*velocities[0], F.lit(0.0))
+    for (a, b, c), layer in zip(interfaces, velocities[1:], strict=True):
+        depth = F.lit(a) + x * F.lit(b) + y * F.lit(c)
+        v = F.when(F.col("i1") >= F.floor(F.lit(0.5) + (depth - F.lit(a1.o)) / F.lit(a1.d)), value(*layer, depth)).otherwise(v)
+    return Grid(empty.df.withColumn("v", v), header)
+
+
 def lorenz(spark: SparkSession, n: int, dt: float = 0.01, sigma: float = 10.0, rho: float = 28.0, beta: float = 8 / 3, start: tuple[float, float, float] = (3.051522, 1.582542, 15.62388)) -> Grid:
     """A path of the Lorenz system by the midpoint rule: axis 1 is (x, y, z), axis 2 time."""
     flow = lambda p: np.array([sigma * (p[1] - p[0]), p[0] * (rho - p[2]) - p[1], p[0] * p[1] - beta * p[2]])

@@ -245,3 +245,8 @@ def byte(grid: Grid, clip: float | None = None, percent: float = 99.0, bias: flo
         clip = kth_smallest(sizes, "v", quantile_rank(sizes.count(), percent)) or 1.0
     level = F.floor(F.lit(127.5) + F.lit(127.5) * (F.col("v") - F.lit(bias)) / F.lit(clip) + 0.5)
     return grid.with_v(F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("int"))
+
+
+def outside_values(v: Column, lower: float, upper: float, lower_value: float, upper_value: float) -> Column:
+    """Other values under ``lower`` and over ``upper``."""
+    return F.when(v > upper, F.lit(float(upper_value))).when(v < lower, F.lit(float(lower_value))).otherwise(v)

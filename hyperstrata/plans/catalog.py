@@ -39,6 +39,7 @@ def _load() -> None:
         queries_flow,
         queries_frame,
         queries_kernel,
+        queries_more,
         queries_reduce,
         queries_resample,
         queries_seismic,
