@@ -54,10 +54,10 @@ def byte_alphabet() -> list[str]:
     return table
 
 
-class _Units(dict):
-    """unit -> bytes of its ids; an unknown unit is encoded on first use."""
+class Memo(dict):
+    """key -> bytes, made on first use and kept in two generations of bounded size."""
 
-    def __init__(self, encode, entries):
+    def __init__(self, encode, entries: int = 200_000):
         super().__init__()
         self._encode, self._entries, self._older = encode, entries, {}
 
@@ -81,18 +81,18 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._byte_level = spec["normalizer"] is None
-        self._split = _BYTE_SPLIT if self._byte_level else _WORD_SPLIT
+        self.byte_level = spec["normalizer"] is None
+        self._split = _BYTE_SPLIT if self.byte_level else _WORD_SPLIT
         alphabet = byte_alphabet()
         self._latin = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in [*range(33), *range(127, 256)]}
         self._model = self.tokenizer.model.tokenize
-        self._get = _Units(self._unit, cache_entries).__getitem__
+        self._get = Memo(self._unit, cache_entries).__getitem__
 
     def _unit(self, unit: str) -> bytes:
         return array("I", [t.id for t in self._model(unit.translate(self._latin))]).tobytes()
 
     def _simple(self, text: str) -> bytes:
-        return b"".join(map(self._get, self._split(text if self._byte_level else text.lower())))
+        return b"".join(map(self._get, self._split(text if self.byte_level else text.lower())))
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
@@ -109,7 +109,7 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text whose ids, one after another, are those of the text."""
-        if not self._byte_level:
+        if not self.byte_level:
             return _NON_SPACE(text)
         first, *rest = _CUT_AT_SPACE(text)
         return [first, *[" " + x for x in rest]]

@@ -33,18 +33,30 @@ from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
 from hyperstrata.llm.common import LOWER_ASCII, batches_of, cut_lineage, written
-from hyperstrata.llm.encoding import encoder
+from hyperstrata.llm.encoding import Memo, encoder
 
 HEAVY_BITS = 20
 WARM, WARM_EPOCHS, WARM_RATE = 4096, 3, 0.05
 PER_TRAINER, RATE = 16_384, 0.02
-_FLUSH = 300_000
+_FLUSH = 600_000
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
 
 
+def word_encoder(tokenizer_path: str):
+    """word -> bytes of its subword ids, kept in a table of bounded size.
+
+    The tokenizer drops white space and lower-cases, so the ids of the words, one
+    after another, are those of the text.
+    """
+    enc = encoder(tokenizer_path)
+    if enc.byte_level:
+        raise ValueError("words need a tokenizer that drops white space")
+    return Memo(lambda w: enc.encode_bytes(w.decode("utf-8", "surrogatepass"))).__getitem__
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, count over all documents; the ends of texts are not among them."""
 
@@ -133,9 +145,9 @@ def fit(docs: DataFrame, counts: DataFrame, documents: int, tokenizer_path: str,
     flat = attention.start(vocab)
     if not documents:
         return flat, vocab, end_id
-    windows = cut_lineage(training_windows(docs, tokenizer_path, end_id, text_col))
+    windows = cut_lineage(training_windows(docs, tokenizer_path, end_id, text_col).withColumn("row", F.monotonically_increasing_id()))
     share = min(1.0, WARM / documents)
-    warm = windows.where(F.pmod(F.xxhash64("draw", "ids"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * WARM).collect()
+    warm = windows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * WARM).collect()
     warm.sort(key=lambda r: (r["draw"], bytes(r["ids"])))
     if warm:
         flat = attention.train(flat, vocab, _as_windows([bytes(r["ids"]) for r in warm]), np.array([r["n"] for r in warm]), WARM_EPOCHS, WARM_RATE, seed=1)
@@ -155,8 +167,8 @@ def fit(docs: DataFrame, counts: DataFrame, documents: int, tokenizer_path: str,
 
     trainers = max(1, round(documents / PER_TRAINER))
     averaged = (
-        windows.repartition(trainers, F.xxhash64("draw", "ids"))
-        .sortWithinPartitions("draw", "ids")
+        windows.repartition(trainers, F.xxhash64("row"))  # equal windows are spread too
+        .sortWithinPartitions("row")
         .mapInArrow(trainer, "at int, weighted double, n long")
         .groupBy("at")
         .agg((F.sum("weighted") / F.sum("n")).alias("value"))
@@ -188,7 +200,7 @@ def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None
         import pyarrow as pa
 
         heavy, flat, vocab = sent.value
-        get, enc = heavy.get, encoder(tokenizer_path)
+        get, word_ids = heavy.get, word_encoder(tokenizer_path)
         end = np.array([end_id], "u4")
         schema = pa.schema([("key", key_type), ("n_tokens", pa.int64()), ("heavy_known", pa.int64()), ("heavy_score", pa.float64()), ("rare", pa.list_(pa.string())), ("score", pa.float64()), ("n_subwords", pa.int64())])
 
@@ -203,14 +215,9 @@ def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None
                 text = text.as_py()
                 found = words(text)
                 values = list(map(get, found))
-                rare = values.count(None)
-                if rare:
-                    missed = [w for w, v in zip(found, values) if v is None]
-                    values = [v for v in values if v is not None]
-                else:
-                    missed = []
-                ids = np.concatenate([end, enc.encode(text), end])
-                held.append((key, len(found) + 1, len(values) + end_known, math.fsum(values) + end_score, missed, ids))
+                missed = [w for w, v in zip(found, values) if v is None]
+                ids = np.concatenate([end, np.frombuffer(b"".join(map(word_ids, found)), "<u4"), end])
+                held.append((key, len(found) + 1, len(found) - len(missed) + end_known, sum(filter(None, values)) + end_score, missed, ids))
                 size += len(ids)
                 if size > 200_000:
                     yield finished(held)
