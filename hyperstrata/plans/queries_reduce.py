@@ -18,9 +18,9 @@ _STACKS = {
 }
 for _how, _value in _STACKS.items():
 
-    @query(f"WITH {LINES} SELECT i2 AS i1, {R(_value, 4)} AS v FROM g GROUP BY i2", name=f"stack_{_how}")
+    @query(f"WITH {LINES} SELECT i2 AS i1, {R(_value, 6)} AS v FROM g GROUP BY i2", name=f"stack_{_how}")
     def _stack(spark, sf, how=_how):
-        return rounded(A.stack(lines(spark, sf), 1, how).df, 4)
+        return rounded(A.stack(lines(spark, sf), 1, how).df, 6)
 
     @query(f"WITH {VECTORS} SELECT i1, i3 AS i2, {R(_value)} AS v FROM g GROUP BY i1, i3", name=f"stack_gather_{_how}")
     def _stack_gather(spark, sf, how=_how):
