@@ -140,9 +140,18 @@ def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.nda
     return loss
 
 
-def train(flat: np.ndarray, vocab: Vocabulary, windows: np.ndarray, lengths: np.ndarray, epochs: int, rate: float, seed: int) -> np.ndarray:
-    """Train on windows of WINDOW + 1 ids, of which ``lengths`` are real."""
-    flat, memory, rng = flat.copy(), np.full(SIZE, 1e-4, "f4"), np.random.default_rng(seed)
+def fresh_memory() -> np.ndarray:
+    """The sums of squared gradients that training starts with."""
+    return np.full(SIZE, 1e-4, "f4")
+
+
+def train(flat: np.ndarray, vocab: Vocabulary, windows: np.ndarray, lengths: np.ndarray, epochs: int, rate: float, seed: int, memory: np.ndarray | None = None) -> np.ndarray:
+    """Train on windows of WINDOW + 1 ids, of which ``lengths`` are real.
+
+    A ``memory`` that is given is updated in place, so that training can go on later.
+    """
+    flat, rng = flat.copy(), np.random.default_rng(seed)
+    memory = fresh_memory() if memory is None else memory
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for k in range(0, len(order), CHUNK):

@@ -6,8 +6,9 @@ What is learned, all from the rows that satisfy ``learn_from``:
 * counts of all subword ids, made from the word counts (classes, shares and biases
   of the attention model);
 * the attention model's weights: first on a bounded set of windows on the driver
-  (``WARM``), then on one window of every training document, by trainers of about
-  ``PER_TRAINER`` windows each, whose weights are averaged on the executors.
+  (``WARM``), then on windows that cover every training text whole. Each task trains
+  on all texts of its partition, one pass without a restart, over ``HELD`` windows at
+  a time in random order; the weights of the tasks are averaged on the executors.
 
 Scale: word counts are pre-aggregated in each task. Words with at least the
 2**-HEAVY_BITS part of all counts, so at most 2**HEAVY_BITS words, go to every
@@ -37,7 +38,7 @@ from hyperstrata.llm.encoding import Memo, encoder
 
 HEAVY_BITS = 20
 WARM, WARM_EPOCHS, WARM_RATE = 4096, 3, 0.05
-PER_TRAINER, RATE = 16_384, 0.02
+HELD, RATE = 16_384, 0.02
 _FLUSH = 600_000
 
 
@@ -103,7 +104,7 @@ def subword_counts(counts: DataFrame, tokenizer_path: str, size: int) -> np.ndar
 
 
 def training_windows(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """draw, n and ids (WINDOW + 1 uint32, n of them real): one window of every text.
+    """draw, n and ids (WINDOW + 1 uint32, n of them real): one window of every text, for the warm-up.
 
     A window starts at a word picked by a hash of the text; those at the first word
     are preceded, those at the last followed, by the end id.
@@ -136,6 +137,51 @@ def _as_windows(ids: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(ids), "<u4").reshape(-1, attention.WINDOW + 1).astype("i8")
 
 
+def whole_windows(ids: bytes) -> tuple[bytes, list[int]]:
+    """Windows of WINDOW + 1 ids (uint32) that cover all ``ids``, and how many of each are real.
+
+    A window starts with the last id of the one before, so every id but the first is
+    the target of one place in one window.
+    """
+    size, step = 4 * (attention.WINDOW + 1), 4 * attention.WINDOW
+    cut = [ids[k : k + size] for k in range(0, len(ids) - 4, step)]
+    return b"".join(w.ljust(size, b"\0") for w in cut), [len(w) // 4 for w in cut]
+
+
+def trained(docs: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
+    """at, weighted and n: of each task, its weights times the n ids that it was trained to tell."""
+    sent = docs.sparkSession.sparkContext.broadcast((flat, vocab))
+    end = int(end_id).to_bytes(4, "little")
+
+    def trainer(batches):
+        import pyarrow as pa
+
+        own, vocab = sent.value
+        word_ids, memory, n = word_encoder(tokenizer_path), attention.fresh_memory(), 0
+        held, lengths = [], []
+
+        def learn(own):
+            return attention.train(own, vocab, _as_windows(held), np.array(lengths), 1, RATE, seed=n, memory=memory)
+
+        for batch in batches:
+            for text in batch.column(0):
+                ids = end + b"".join(map(word_ids, words(text.as_py()))) + end
+                some, real = whole_windows(ids)
+                held.append(some)
+                lengths += real
+                n += len(ids) // 4 - 1
+                if len(lengths) >= HELD:
+                    own = learn(own)
+                    held.clear()
+                    lengths.clear()
+        if lengths:
+            own = learn(own)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE), "int32"), pa.array(own.astype("f8") * n), pa.array(np.full(attention.SIZE, n), "int64")], names=["at", "weighted", "n"])
+
+    return docs.select(text_col).mapInArrow(trainer, "at int, weighted double, n long")
+
+
 def fit(docs: DataFrame, counts: DataFrame, documents: int, tokenizer_path: str, text_col: str = "text") -> tuple[np.ndarray, attention.Vocabulary, int]:
     """(weights, vocabulary, end id) of a model of all rows of ``docs``."""
     end_id = encoder(tokenizer_path).tokenizer.get_vocab_size()
@@ -145,31 +191,14 @@ def fit(docs: DataFrame, counts: DataFrame, documents: int, tokenizer_path: str,
     flat = attention.start(vocab)
     if not documents:
         return flat, vocab, end_id
-    windows = cut_lineage(training_windows(docs, tokenizer_path, end_id, text_col).withColumn("row", F.monotonically_increasing_id()))
     share = min(1.0, WARM / documents)
-    warm = windows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * WARM).collect()
+    some = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    warm = training_windows(some, tokenizer_path, end_id).limit(2 * WARM).collect()
     warm.sort(key=lambda r: (r["draw"], bytes(r["ids"])))
     if warm:
         flat = attention.train(flat, vocab, _as_windows([bytes(r["ids"]) for r in warm]), np.array([r["n"] for r in warm]), WARM_EPOCHS, WARM_RATE, seed=1)
-    sent = docs.sparkSession.sparkContext.broadcast((flat, vocab))
-
-    def trainer(batches):
-        import pyarrow as pa
-
-        ids, n = [], []
-        for batch in batches:
-            ids += batch.column(2).to_pylist()
-            n += batch.column(1).to_pylist()
-        if ids:
-            start, vocab = sent.value
-            own = attention.train(start, vocab, _as_windows(ids), np.array(n), 1, RATE, seed=len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE), "int32"), pa.array(own.astype("f8") * len(ids)), pa.array(np.full(attention.SIZE, len(ids)), "int64")], names=["at", "weighted", "n"])
-
-    trainers = max(1, round(documents / PER_TRAINER))
     averaged = (
-        windows.repartition(trainers, F.xxhash64("row"))  # equal windows are spread too
-        .sortWithinPartitions("row")
-        .mapInArrow(trainer, "at int, weighted double, n long")
+        trained(docs, flat, vocab, tokenizer_path, end_id, text_col)
         .groupBy("at")
         .agg((F.sum("weighted") / F.sum("n")).alias("value"))
         .collect()  # one row per weight

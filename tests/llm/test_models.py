@@ -160,6 +160,27 @@ def test_lm_with_nothing_to_learn_from_and_of_nothing(spark):
     assert lm_scoring.score(docs(spark, []), WORDS).count() == 0
 
 
+def test_lm_trains_on_every_id_of_every_text(spark, monkeypatch):
+    """The trainers see all of a long text, not one window of it."""
+    from hyperstrata.llm.lm_scoring import whole_windows
+
+    size = attention.WINDOW + 1
+    for m in (2, 3, 32, 33, 34, 65, 66, 200):
+        ids = np.arange(m, dtype="<u4")
+        windows, real = whole_windows(ids.tobytes())
+        cut = np.frombuffer(windows, "<u4").reshape(-1, size)
+        assert [t for w, n in zip(cut, real) for t in w[1:n]] == list(range(1, m))
+        assert all(w[j] == w[0] + j for w, n in zip(cut, real) for j in range(n))
+    rows, enc = [*ODD, (8, "some words of a text " * 400)], encoder(WORDS)
+    end = enc.tokenizer.get_vocab_size()
+    vocab = attention.vocabulary(np.ones(end + 1, "i8"))
+    start = attention.start(vocab)
+    monkeypatch.setattr(lm_scoring, "HELD", 300)  # so that training goes on over several fillings
+    got = lm_scoring.trained(docs(spark, rows), start, vocab, WORDS, end).groupBy("at").agg(F.sum("n").alias("n"), F.sum("weighted").alias("w")).collect()
+    assert {r["n"] for r in got} == {sum(len(enc.encode(t)) + 1 for _, t in rows)}
+    assert len(got) == attention.SIZE and any(abs(r["w"] / r["n"] - start[r["at"]]) > 1e-3 for r in got)
+
+
 def test_lm_beats_its_unigrams_on_held_out_texts(spark, sf):
     """The attention model uses what it sees: it beats the smoothed counts of subword ids."""
     from hyperstrata.llm.common import doc_crc
