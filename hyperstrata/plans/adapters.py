@@ -26,6 +26,12 @@ def vectors(spark: SparkSession, sf: str, where: str | None = None, n2: int | No
     return Grid(df.select(F.col("i1").cast("long").alias("i1"), "i2", F.col("v").cast("double").alias("v")), Header((Axis(64), Axis(n2))))
 
 
+def panels(spark: SparkSession, sf: str, width: int, d1: float = 1.0, d2: float = 1.0) -> Grid:
+    """embeddings dealt whole to panels of ``width`` vectors: axis 3 the panel; places after the last vector are 0."""
+    df = vectors(spark, sf).df.select("i1", F.expr(f"pmod(i2, {width})").cast("long").alias("i2"), F.floor(F.col("i2") / width).cast("long").alias("i3"), "v")
+    return Grid(df, Header((Axis(64, 0.0, d1), Axis(width, 0.0, d2), Axis())))
+
+
 def gathers(spark: SparkSession, sf: str) -> Grid:
     """embeddings as gathers: axis 3 is the label, axis 2 the vector."""
     df = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("i3"), F.col("vec_id").alias("i2"), F.posexplode("embedding").alias("i1", "v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hyperstrata.functions.header import Axis, Header
 from hyperstrata.operators import generate as G, inverse, panel as P, traces as T
 from hyperstrata.operators.grid import Grid
-from hyperstrata.plans.adapters import VECTORS, vectors
+from hyperstrata.plans.adapters import VECTORS, panels, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
@@ -147,7 +147,7 @@ def heat(spark, sf):
 
 @query()
 def diffusion(spark, sf):
-    return rounded(P.diffuse(_panel(spark, sf), 5).df, 5)
+    return rounded(P.diffuse(panels(spark, sf, 64), 5).df, 5)
 
 
 @query()
@@ -165,34 +165,34 @@ def wave2d(spark, sf):
 
 @query()
 def lapfill(spark, sf):
-    g = _panel(spark, sf)
+    g = panels(spark, sf, 64)
     return rounded(P.fill_missing(g.with_v(F.when((F.col("i1") + F.col("i2")) % 3 == 0, F.lit(0.0)).otherwise(F.col("v")))).df, 5)
 
 
 @query()
 def dipfilter(spark, sf):
-    return rounded(P.dip_filter(_panel(spark, sf), -0.5, 0.5).df, 5)
+    return rounded(P.dip_filter(panels(spark, sf, 64), -0.5, 0.5).df, 5)
 
 
 @query()
 def spectra2(spark, sf):
-    return rounded(P.spectra2(_panel(spark, sf)).df, 5)
+    return rounded(P.spectra2(panels(spark, sf, 64)).df, 5)
 
 
 @query()
 def canny(spark, sf):
-    return P.canny(_panel(spark, sf)).df
+    return P.canny(panels(spark, sf, 64)).df
 
 
 @query()
 def label_components(spark, sf):
-    g = _panel(spark, sf)
+    g = panels(spark, sf, 64)
     return P.components(g.with_v((F.col("v") > 0.1).cast("double"))).df
 
 
 @query()
 def dip(spark, sf):
-    return rounded(P.local_slope(_panel(spark, sf)).df, 5)
+    return rounded(P.local_slope(panels(spark, sf, 64)).df, 5)
 
 
 @query(f"WITH {VECTORS} SELECT {R('sum(v * v)', 4)} AS v FROM g WHERE i2 < 64")

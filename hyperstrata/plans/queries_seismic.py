@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hyperstrata.functions.header import Axis, Header
 from hyperstrata.operators import seismic as S
 from hyperstrata.operators.grid import Grid
-from hyperstrata.plans.adapters import VECTORS, table, vectors
+from hyperstrata.plans.adapters import VECTORS, panels, table, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
@@ -93,7 +93,7 @@ def kirchhoff_dottest(spark, sf):
 
 @query()
 def stolt(spark, sf):
-    return rounded(S.stolt(_panel(spark, sf, 32), 2.0).df, 5)
+    return rounded(S.stolt(panels(spark, sf, 32, 0.01, 0.05), 2.0).df, 5)
 
 
 @query(f"""WITH {VECTORS}, q AS (SELECT i1, i2, v FROM g WHERE i2 < 24), p AS (SELECT i.i AS i1, k.i AS i2, ((0.1 + k.i * 0.21) * (i.i * 0.01)) / 0.05 AS p FROM range(64) AS i(i), range(8) AS k(i))
@@ -148,4 +148,4 @@ def iwarp_inverse(spark, sf):
 
 @query()
 def automatic_pick(spark, sf):
-    return S.automatic_pick(_panel(spark, sf)).df
+    return S.automatic_pick(panels(spark, sf, 24, 0.01, 0.05)).df
