@@ -14,6 +14,9 @@ pre-tokenisation pattern, and each unit goes to the library's BPE model. Other
 texts are cut into pieces as above; a piece with any further character goes
 through the library's whole encoder.
 
+A special token that stands in a text is plain text, or with ``special`` its own id, as
+in the library's default call; the text is then cut there first, as the library does.
+
 Units repeat, so their ids are kept (as little-endian uint32 bytes) in two
 generations of ``cache_entries`` units each: memory stays bounded however large
 the vocabulary of the corpus is, and frequent units survive.
@@ -74,7 +77,7 @@ class Memo(dict):
 class Encoder:
     """``encode_bytes(text)``: the ids of a whole text as little-endian uint32."""
 
-    def __init__(self, path: str, cache_entries: int = 200_000):
+    def __init__(self, path: str, cache_entries: int = 200_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,6 +90,11 @@ class Encoder:
         self._latin = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in [*range(33), *range(127, 256)]}
         self._model = self.tokenizer.model.tokenize
         self._get = Memo(self._unit, cache_entries).__getitem__
+        added = spec["added_tokens"] if special else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens that match more or less than their own characters")
+        self._added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self._markers = re.compile("|".join(re.escape(x) for x in sorted(self._added, key=len, reverse=True)))
 
     def _unit(self, unit: str) -> bytes:
         return array("I", [t.id for t in self._model(unit.translate(self._latin))]).tobytes()
@@ -95,6 +103,20 @@ class Encoder:
         return b"".join(map(self._get, self._split(text if self.byte_level else text.lower())))
 
     def encode_bytes(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self._added and self._markers.search(text):
+            return self._marked(text)
+        return self._plain(text)
+
+    def _marked(self, text: str) -> bytes:
+        out, at = [], 0
+        for found in self._markers.finditer(text):
+            out += [self._plain(text[at : found.start()]), self._added[found[0]]]
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _SIMPLE(text):
@@ -118,12 +140,12 @@ class Encoder:
         return np.frombuffer(self.encode_bytes(text), "<u4")
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, cache_entries: int = 200_000) -> Encoder:
+def encoder(path: str, cache_entries: int = 200_000, special: bool = False) -> Encoder:
     """One encoder for each worker process and file; its table outlives tasks."""
-    key = (path, cache_entries)
+    key = (path, cache_entries, special)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, cache_entries)
+        _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]

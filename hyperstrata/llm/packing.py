@@ -52,7 +52,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
     def encode(batches):
         import pyarrow as pa
 
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special=True)
         for batch in batches:
             keys, rows = [], []
             for k, text in enumerate(batch.column(1)):

@@ -76,14 +76,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     total = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(1, total))
     picked = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * SAMPLE_DOCS)
-    vocabulary = len(encoder(tokenizer_path).tokenizer.get_vocab())
+    vocabulary = len(encoder(tokenizer_path, special=True).tokenizer.get_vocab())
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     dtype, magic = ("<u2", MAGIC16) if width == 2 else ("<u4", MAGIC32)
 
     def serialized(batches):
         import pyarrow as pa
 
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special=True)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([enc.encode((t.as_py() or "")[:SAMPLE_BYTES]).astype(dtype).tobytes()[:SAMPLE_BYTES] for t in batch.column(0)], "binary")], names=["ids"])
 
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        enc, index = encoder(tokenizer_path), []
+        enc, index = encoder(tokenizer_path, special=True), []
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=_open_dictionary(dictionary))
         batches = iter(batches)
         first = next((b for b in batches if b.num_rows), None)

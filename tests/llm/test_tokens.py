@@ -29,6 +29,34 @@ def test_pieces_encode_like_whole_texts(name):
         assert mine.encode_bytes(text) == exact(text), repr(text)
 
 
+def default_library(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "é <|startoftext|>日<|endoftext|>\n\n a", "<|ENDOFTEXT|> <|endoftext|", "a  <|endoftext|>  b"]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_tokens_in_texts_get_their_ids(name):
+    exact, mine = default_library(name), Encoder(public_tokenizers.path(name), special=True)
+    letters = list("abAB '\n\t  .,01é\x1c<|>日") + ["'s", "<|endoftext|>", "<|endoftext|>", "<|startoftext|>", "  ", " the"]
+    rng = random.Random(8)
+    for text in [*MARKED, *[t or "" for _, t in ODD[:-2]], *["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(3000)]]:
+        assert mine.encode_bytes(text) == exact(text), repr(text)
+
+
+def test_files_and_pieces_hold_the_ids_of_special_tokens(spark, tmp_path):
+    rows = list(enumerate([*MARKED, "none"]))
+    exact = default_library(FILES[1])
+    got = packing.token_pieces(docs(spark, rows), public_tokenizers.path(FILES[1]), max_len=64, end_id=0).collect()
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in got) == [(d, exact(t) + bytes(4)) for d, t in rows]
+    exact, folder = default_library(FILES[0]), str(tmp_path / "tokens")
+    token_files.write_token_files(docs(spark, rows), folder, public_tokenizers.path(FILES[0]), end_id=2, shards=2)
+    got = token_files.read_token_files(spark, folder).collect()
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in got) == [(d, exact(t) + (2).to_bytes(4, "little")) for d, t in rows]
+
+
 def test_cut_puts_the_short_piece_first():
     assert packing.cut(5, 2) == [(0, 1), (1, 2), (3, 2)]
     assert packing.cut(4, 2) == [(0, 2), (2, 2)]
