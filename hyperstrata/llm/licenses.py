@@ -9,7 +9,9 @@ diagonals of one template, at most ``gap`` apart, are merged, so that a few word
 more or less inside a text do not split it. A merged span is verified by the
 share of the template's k-grams that it holds: all of them on one diagonal for
 phrases (so the words stand consecutively), at least ``COVER`` for texts, in a
-span of at most ``STRETCH`` times the template's length.
+span of at most ``STRETCH`` times the template's length. Where the merged span of a text
+fails, each of its diagonals is verified by itself, so that repeats of a short notice,
+whose diagonals are neighbours, are found one by one.
 
 Scale: one pass; texts are not shuffled. The template table is fixed in code
 (its size is known) and broadcast. A row of the join is a k-gram of template
@@ -130,14 +132,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.col("gap")
     islands = votes.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("_row", id_col, "n_words", *about, "_island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("_held"), F.min("start").alias("start"), F.max("end").alias("end")
-    )
+        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("_held"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.collect_list(F.struct("start", "end", F.size("held").alias("held"))).alias("_diagonals"),
+    )
     coverage = F.coalesce(F.col("_held") / F.col("t_grams"), F.lit(0.0))
     verified = F.when(F.col("phrase"), F.col("_held") == F.col("t_grams")).otherwise((F.col("coverage") >= COVER) & (F.col("end") - F.col("start") <= STRETCH * F.col("t_words")))
     span = F.struct("template", "label", "phrase", "start", "end", "coverage")
+    alone = F.filter("_diagonals", lambda d: ~F.col("phrase") & (d["held"] / F.col("t_grams") >= COVER) & (d["end"] - d["start"] <= STRETCH * F.col("t_words")))
+    each = F.transform(alone, lambda d: F.struct("template", "label", "phrase", d["start"].alias("start"), d["end"].alias("end"), (d["held"] / F.col("t_grams")).alias("coverage")))
     return (
         spans.withColumn("coverage", coverage)
         .groupBy("_row", id_col, "n_words")
-        .agg(F.max("coverage").alias("score"), F.sort_array(F.collect_list(F.when(verified, span))).alias("spans"))
+        .agg(F.max("coverage").alias("score"), F.sort_array(F.flatten(F.collect_list(F.when(verified, F.array(span)).otherwise(each)))).alias("spans"))
         .select(id_col, "n_words", "score", "spans")
     )

@@ -189,3 +189,11 @@ def test_license_texts_survive_small_changes(spark):
     assert [s["label"] for s in got[1]["spans"]] == [label] and got[1]["score"] == 1.0
     assert [s["label"] for s in got[2]["spans"]] == [label] and 0.6 <= got[2]["score"] < 1
     assert not got[3]["spans"] and 0 < got[3]["score"] < 0.6
+
+
+def test_license_notices_repeated_back_to_back(spark):
+    rows = [(n, "x " + "All rights reserved. " * n) for n in (1, 2, 3, 40)] + [(100, "rights reserved all rights"), (101, "all rights reserved, y all rights reserved")]
+    got = {r["doc_id"]: [(s["label"], s["start"], s["end"]) for s in r["spans"]] for r in licenses.scan(docs(spark, rows)).collect()}
+    label = "all-rights-reserved"
+    assert all(sorted(got[n]) == [(label, 1 + 3 * k, 4 + 3 * k) for k in range(n)] for n in (1, 2, 3, 40))
+    assert got[100] == [] and got[101] == [(label, 0, 3), (label, 4, 7)]
