@@ -1,9 +1,11 @@
 """A small causal self-attention language model over subword ids, in numpy.
 
 One block: embeddings of ids and places, one attention head with a causal mask, a
-rectified layer, and a softmax over classes of ids. Frequent ids are classes of
-their own; the others share classes by frequency, and within a class an id has its
-smoothed share of the corpus counts. So the probabilities of all ids sum to 1.
+rectified layer, and a softmax in two steps: over ``GROUPS`` groups of classes, then
+over the ``MEMBERS`` classes of the group, whose biases depend on the group. Frequent
+ids are classes of their own; the others share classes by frequency, and within a
+class an id has its smoothed share of the corpus counts. So the probabilities of all
+ids sum to 1, and GROUPS + MEMBERS logits tell GROUPS * MEMBERS classes apart.
 """
 
 from __future__ import annotations
@@ -13,23 +15,31 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW, STRIDE = 32, 24
-WIDTH, HIDDEN, OWN, BANDS = 16, 24, 96, 32
+WIDTH, HIDDEN, GROUPS, MEMBERS = 16, 24, 16, 16
+CLASSES = GROUPS * MEMBERS
+OWN = 192  # classes of one frequent id each; the rest are bands of ids by frequency
 KNOWN, OTHER = 4096, 256  # embedding rows of frequent ids, and those the other ids share by hash
-CHUNK, SCORE_CHUNK = 64, 128
+HOT = 31  # the first rows of the embedding, those of the most frequent ids
+CHUNK, SCORE_CHUNK = 64, 64
 _CEILING = np.float32(60.0)  # exp of this, summed over a window or the classes, stays finite
 _SHAPES = {
     "embed": (KNOWN + OTHER, WIDTH),
     "place": (WINDOW, WIDTH),
-    "qkv": (WIDTH, 3 * WIDTH),
+    "query": (WIDTH, WIDTH),
+    "key": (WIDTH, WIDTH),
+    "value": (WIDTH, WIDTH),
     "mix": (WIDTH, WIDTH),
     "up": (WIDTH, HIDDEN),
     "up_bias": (HIDDEN,),
-    "head": (HIDDEN, OWN + BANDS),
-    "head_bias": (OWN + BANDS,),
+    "head": (HIDDEN, GROUPS + MEMBERS),
+    "group_bias": (GROUPS,),
+    "member_bias": (GROUPS, MEMBERS),
 }
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-_HIDE = np.triu(np.full((WINDOW, WINDOW), -1e9, "f4"), 1)
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), "f4"))
+#: Sums each of the two parts of the logits.
+_HALVES = np.repeat(np.eye(2, dtype="f4"), [GROUPS, MEMBERS], axis=0)
+_SCALE = np.float32(WIDTH**-0.5)
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -63,43 +73,68 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
     cls = np.empty(len(counts), "i4")
     cls[order[:OWN]] = np.arange(min(OWN, len(counts)))
     tail = order[OWN:]
-    mass = np.cumsum(smooth[tail])
+    mass, bands = np.cumsum(smooth[tail]), CLASSES - OWN
     if len(tail):
-        cls[tail] = OWN + np.minimum(BANDS - 1, (mass - smooth[tail]) * BANDS // mass[-1])
-    totals = np.bincount(cls, smooth, OWN + BANDS)
+        cls[tail] = OWN + np.minimum(bands - 1, (mass - smooth[tail]) * bands // mass[-1])
+    totals = np.bincount(cls, smooth, CLASSES)
     return Vocabulary(row, cls, np.log(smooth / totals[cls]).astype("f4"), totals)
 
 
 def start(vocab: Vocabulary, seed: int = 11) -> np.ndarray:
+    """Small random weights; the biases are those of the class counts."""
     rng = np.random.default_rng(seed)
     flat = np.zeros(SIZE, "f4")
     p = parts(flat)
     for name in ("embed", "place"):
         p[name][:] = rng.normal(0, 0.1, p[name].shape)
-    for name in ("qkv", "mix", "up", "head"):
+    for name in ("query", "key", "value", "mix", "up", "head"):
         p[name][:] = rng.normal(0, p[name].shape[0] ** -0.5, p[name].shape)
-    p["head_bias"][:] = np.log((vocab.class_counts + 1) / (vocab.class_counts + 1).sum())
+    counts = (vocab.class_counts + 1).reshape(GROUPS, MEMBERS)
+    p["group_bias"][:] = np.log(counts.sum(1) / counts.sum())
+    p["member_bias"][:] = np.log(counts / counts.sum(1, keepdims=True))
     return flat
 
 
 def _forward(p: dict, rows: np.ndarray) -> dict:
+    """The block on windows of embedding rows; ``a`` times ``share`` are the attention weights.
+
+    Here and in ``step`` what is wide stays contiguous, and sums and spreads along short
+    axes are products with ones: numpy pays for each short inner loop.
+    """
     n = len(rows)
-    x = p["embed"][rows] + p["place"]
-    qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    x = np.take(p["embed"], rows.ravel(), axis=0).reshape(n, WINDOW, WIDTH)
+    x += p["place"]
+    x = x.reshape(-1, WIDTH)
+    q, k, v = (y.reshape(n, WINDOW, WIDTH) for y in (x @ (p["query"] * _SCALE), x @ p["key"], x @ p["value"]))
     a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, _CEILING, out=a)
-    a += _HIDE
+    if a.max(initial=0) > _CEILING:
+        np.minimum(a, _CEILING, out=a)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    o = np.matmul(a, v)
-    h = x + (o.reshape(-1, WIDTH) @ p["mix"]).reshape(x.shape)
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h}
+    a *= _SEEN
+    share = 1 / (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), "f4"))
+    o = np.matmul(a, v).reshape(-1, WIDTH)
+    o *= share @ np.ones((1, WIDTH), "f4")
+    h = o @ p["mix"]
+    h += x
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "share": share, "o": o, "h": h}
+
+
+def _logits(p: dict, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rectified layer, and the logits of the groups and of the members of ``group``."""
+    up = h @ p["up"]
+    up += p["up_bias"]
+    np.maximum(up, 0, out=up)
+    z = up @ p["head"]
+    z += np.take(np.hstack([np.tile(p["group_bias"], (GROUPS, 1)), p["member_bias"]]), group, axis=0)
+    if z.max(initial=0) > _CEILING:
+        np.minimum(z, _CEILING, out=z)
+    return up, z
 
 
-def _logits(p: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up = np.maximum(h @ p["up"] + p["up_bias"], 0)
-    return up, np.minimum(up @ p["head"] + p["head_bias"], _CEILING)
+def _target_places(group: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the targets' logits stand in the flattened logits."""
+    at = np.arange(0, len(group) * (GROUPS + MEMBERS), GROUPS + MEMBERS)
+    return at + group, at + (member + GROUPS)
 
 
 def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray, rate: float) -> float:
@@ -110,33 +145,58 @@ def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.nda
     """
     p, grad = parts(flat), np.zeros(SIZE, "f4")
     g, f = parts(grad), _forward(p, rows)
-    h = f["h"].reshape(-1, WIDTH)
-    up, z = _logits(p, h)
-    e = np.exp(z)
-    e /= e.sum(1, keepdims=True)
-    w, t, at = weight.ravel().astype("f4"), targets.ravel(), np.arange(len(h))
-    loss = float(-(np.log(np.maximum(e[at, t], 1e-30)) * w).sum() / max(1.0, float(w.sum())))
-    e[at, t] -= 1
-    e *= (w / max(1.0, float(w.sum())))[:, None]
-    g["head"][:], g["head_bias"][:] = up.T @ e, e.sum(0)
-    d_up = (e @ p["head"].T) * (up > 0)
-    g["up"][:], g["up_bias"][:] = h.T @ d_up, d_up.sum(0)
+    group, member = np.divmod(targets.ravel(), MEMBERS)
+    first, second = _target_places(group, member)
+    h, x, one = f["h"], f["x"], np.ones((1, len(group)), "f4")
+    up, e = _logits(p, h, group)
+    z = e.ravel()
+    right = z[first] + z[second]
+    np.exp(e, out=e)
+    sums = e @ _HALVES
+    w = weight.ravel().astype("f4")
+    whole = np.float32(max(1.0, float(w.sum())))
+    loss = float(((np.log(sums[:, 0] * sums[:, 1]) - right) * w).sum() / whole)
+    w /= whole
+    e *= (w[:, None] / sums) @ _HALVES.T
+    z[first] -= w
+    z[second] -= w
+    g["head"][:] = up.T @ e
+    chosen = np.zeros((len(group), GROUPS), "f4")
+    chosen.ravel()[np.arange(0, chosen.size, GROUPS) + group] = 1
+    g["group_bias"][:] = (one @ e)[0, :GROUPS]
+    g["member_bias"][:] = (chosen.T @ e)[:, GROUPS:]
+    d_up = e @ p["head"].T
+    d_up *= up > 0
+    g["up"][:], g["up_bias"][:] = h.T @ d_up, one @ d_up
     d_h = d_up @ p["up"].T
-    g["mix"][:] = f["o"].reshape(-1, WIDTH).T @ d_h
-    d_o = (d_h @ p["mix"].T).reshape(f["o"].shape)
-    d_a = np.matmul(d_o, f["v"].transpose(0, 2, 1))
-    d_v = np.matmul(f["a"].transpose(0, 2, 1), d_o)
-    d_s = f["a"] * (d_a - (d_a * f["a"]).sum(-1, keepdims=True))
-    d_q = np.matmul(d_s, f["k"]) * np.float32(WIDTH**-0.5)
-    d_k = np.matmul(d_s.transpose(0, 2, 1), f["q"])
-    d_qkv = np.concatenate([d_q, d_k, d_v], -1).reshape(-1, 3 * WIDTH)
-    x = f["x"].reshape(-1, WIDTH)
-    g["qkv"][:] = x.T @ d_qkv
-    d_x = d_h + d_qkv @ p["qkv"].T
+    g["mix"][:] = f["o"].T @ d_h
+    d_o = d_h @ p["mix"].T
+    a = f["a"]
+    a *= f["share"].reshape(-1, WINDOW, 1)
+    # over a row, the sum of weights times their gradients is that of output times its gradient
+    inner = (d_o * f["o"]) @ np.ones((WIDTH, 1), "f4")
+    d_o = d_o.reshape(-1, WINDOW, WIDTH)
+    d_s = np.matmul(d_o, f["v"].transpose(0, 2, 1))
+    d_s -= inner.reshape(-1, WINDOW, 1)
+    d_s *= a
+    d_x = d_h
+    for name, d in (("query", np.matmul(d_s, f["k"]) * _SCALE), ("key", np.matmul(d_s.transpose(0, 2, 1), f["q"])), ("value", np.matmul(a.transpose(0, 2, 1), d_o))):
+        d = d.reshape(-1, WIDTH)
+        g[name][:] = x.T @ d
+        d_x += d @ p[name].T
     g["place"][:] = d_x.reshape(-1, WINDOW, WIDTH).sum(0)
-    np.add.at(g["embed"], rows.ravel(), d_x)
+    # the most frequent rows by a product, since adding to one place again and again is slow
+    at = rows.ravel()
+    hot = np.zeros((len(at), HOT + 1), "f4")
+    hot.ravel()[np.arange(0, hot.size, HOT + 1) + np.minimum(at, HOT)] = 1
+    rest = np.flatnonzero(at >= HOT)
+    places = at[rest].astype("i8")[:, None] * WIDTH + np.arange(WIDTH)
+    np.add.at(g["embed"].reshape(-1), places.ravel(), np.take(d_x, rest, axis=0).ravel())
+    g["embed"][:HOT] = (hot.T @ d_x)[:HOT]
     memory += grad * grad
-    flat -= np.float32(rate) * grad / np.sqrt(memory + np.float32(1e-8))
+    grad *= np.float32(-rate)
+    grad /= np.sqrt(memory + np.float32(1e-8))
+    flat += grad
     return loss
 
 
@@ -145,91 +205,65 @@ def fresh_memory() -> np.ndarray:
     return np.full(SIZE, 1e-4, "f4")
 
 
-def train(flat: np.ndarray, vocab: Vocabulary, windows: np.ndarray, lengths: np.ndarray, epochs: int, rate: float, seed: int, memory: np.ndarray | None = None) -> np.ndarray:
-    """Train on windows of WINDOW + 1 ids, of which ``lengths`` are real.
+def windows(begins: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, number within it, first place) of windows of WINDOW inputs, ``step`` apart.
 
-    A ``memory`` that is given is updated in place, so that training can go on later.
+    They cover every id of the sequences that begin at ``begins``, but the first id as a target.
     """
-    flat, rng = flat.copy(), np.random.default_rng(seed)
-    memory = fresh_memory() if memory is None else memory
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for k in range(0, len(order), CHUNK):
-            ids = windows[order[k : k + CHUNK]]
-            real = np.arange(1, WINDOW + 1) < lengths[order[k : k + CHUNK], None]
-            step(flat, memory, vocab.row[ids[:, :-1]], vocab.cls[ids[:, 1:]], real, rate)
-    return flat
+    inputs = sizes - 1  # the last id is a target only
+    per = np.where(inputs > 0, 1 + np.maximum(0, -(-(inputs - WINDOW) // step)), 0)
+    owner = np.repeat(np.arange(len(sizes)), per)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    return owner, number, begins[owner] + step * number
 
 
-def _scoring_parts(flat: np.ndarray) -> dict[str, np.ndarray]:
-    """The parameters as scoring needs them: contiguous, queries scaled beforehand."""
-    p = {k: np.ascontiguousarray(v) for k, v in parts(flat).items()}
-    p["qkv"] = p["qkv"].copy()
-    p["qkv"][:, :WIDTH] *= np.float32(WIDTH**-0.5)
-    return p
+def padded(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([ids, np.zeros(WINDOW + 1, ids.dtype)])
 
 
-def _hidden(p: dict, rows: np.ndarray) -> np.ndarray:
-    """The block's output for windows of embedding rows: ``_forward`` with fewer passes.
+def train(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, epochs: int, rate: float, seed: int, memory: np.ndarray | None = None) -> np.ndarray:
+    """Train on windows that cover the sequences whole, in random order: each id but a first one is a target once an epoch.
 
-    The attention weights' sums come out of the same product as the weighted values,
-    by a column of ones, so only the small product is divided.
+    A ``memory`` that is given is updated in place, so that training can go on later.
     """
-    n = len(rows)
-    x = np.take(p["embed"], rows.ravel(), axis=0).reshape(n, WINDOW, WIDTH)
-    x += p["place"]
-    qkv = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
-    a = np.matmul(qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-    if a.max() > _CEILING:
-        np.minimum(a, _CEILING, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN
-    values = np.ones((n, WINDOW, WIDTH + 1), "f4")
-    values[..., :WIDTH] = qkv[..., 2 * WIDTH :]
-    o = np.matmul(a, values).reshape(-1, WIDTH + 1)
-    h = (o[:, :WIDTH] / o[:, WIDTH:]) @ p["mix"]
-    h += x.reshape(-1, WIDTH)
-    return h
+    flat, rng = flat.copy(), np.random.default_rng(seed)
+    memory = fresh_memory() if memory is None else memory
+    owner, number, first = windows(begins, sizes, WINDOW)
+    real = sizes[owner] - 1 - WINDOW * number
+    ids, span = padded(ids), np.arange(WINDOW + 1)
+    for _ in range(epochs):
+        order = rng.permutation(len(first))
+        for k in range(0, len(order), CHUNK):
+            some = order[k : k + CHUNK]
+            got = np.take(ids, first[some, None] + span)
+            step(flat, memory, np.take(vocab.row, got[:, :-1]), np.take(vocab.cls, got[:, 1:]), span[:-1] < real[some, None], rate)
+    return flat
 
 
-def log_probabilities(flat: np.ndarray, vocab: Vocabulary, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each id sequence that starts with a given first id.
+def log_probabilities(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each sequence ``ids[begin : begin + size]`` after its given first id.
 
     Windows of WINDOW inputs overlap by WINDOW - STRIDE; a window after the first
     scores only what the one before did not, so each id is scored once, with at
     least WINDOW - STRIDE ids before it.
     """
-    if not texts:
-        return np.zeros(0)
-    p = _scoring_parts(flat)
-    sizes = np.array([len(t) for t in texts], "i8")
-    ids = np.concatenate([*texts, np.zeros(WINDOW + 1, texts[0].dtype)])
-    begins = np.cumsum(sizes) - sizes
-    inputs = sizes - 1  # the last id is a target only
-    per = np.where(inputs > 0, 1 + np.maximum(0, -(-(inputs - WINDOW) // STRIDE)), 0)
-    owner = np.repeat(np.arange(len(texts)), per)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    first = begins[owner] + STRIDE * number
+    p = {k: np.ascontiguousarray(v) for k, v in parts(flat).items()}
+    owner, number, first = windows(begins, sizes, STRIDE)
     low = np.where(number > 0, WINDOW - STRIDE, 0)
-    high = np.minimum(WINDOW, inputs[owner] - STRIDE * number)
-    rows, classes, shares = vocab.row[ids], vocab.cls[ids], vocab.log_share[ids]
-    head = np.vstack([p["head"], p["head_bias"]])
-    longest = (head * head).sum(0).max()
-    span, ones = np.arange(WINDOW), np.ones(OWN + BANDS, "f4")
-    scores = np.zeros(len(owner))
+    high = np.minimum(WINDOW, sizes[owner] - 1 - STRIDE * number)
+    ids, span, scores = padded(ids), np.arange(WINDOW), np.zeros(len(owner))
     for k in range(0, len(owner), SCORE_CHUNK):
         part = slice(k, k + SCORE_CHUNK)
         at = first[part, None] + span
-        inside = (span >= low[part, None]) & (span < high[part, None])
-        scored = np.flatnonzero(inside)
-        target = at.ravel()[scored] + 1
-        up = np.ones((len(scored), HIDDEN + 1), "f4")  # the last column brings the bias
-        np.maximum(_hidden(p, rows[at])[scored] @ p["up"] + p["up_bias"], 0, out=up[:, :HIDDEN])
-        z = up @ head
-        if np.einsum("ij,ij->i", up, up).max(initial=0) * longest > _CEILING**2:
-            np.minimum(z, _CEILING, out=z)
-        right = z[np.arange(len(z)), classes[target]]
+        scored = np.flatnonzero((span >= low[part, None]) & (span < high[part, None]))
+        target = np.take(ids, at.ravel()[scored] + 1)
+        group, member = np.divmod(np.take(vocab.cls, target), MEMBERS)
+        h = np.take(_forward(p, np.take(vocab.row, np.take(ids, at)))["h"], scored, axis=0)
+        z = _logits(p, h, group)[1]
+        places = _target_places(group, member)
+        right = z.ravel()[places[0]] + z.ravel()[places[1]]
         np.exp(z, out=z)
-        right += shares[target] - np.log(z @ ones)
+        sums = z @ _HALVES
+        right += np.take(vocab.log_share, target) - np.log(sums[:, 0] * sums[:, 1])
         scores[part] = np.bincount(scored // WINDOW, right, len(at))
-    return np.bincount(owner, scores, len(texts))
+    return np.bincount(owner, scores, len(sizes))

@@ -5,16 +5,20 @@ What is learned, all from the rows that satisfy ``learn_from``:
 * counts of all words (the word model, ``base_score``);
 * counts of all subword ids, made from the word counts (classes, shares and biases
   of the attention model);
-* the attention model's weights: first on a bounded set of windows on the driver
-  (``WARM``), then on windows that cover every training text whole. Each task trains
-  on all texts of its partition, one pass without a restart, over ``HELD`` windows at
-  a time in random order; the weights of the tasks are averaged on the executors.
+* the attention model's weights: first on at most ``WARM`` windows on the driver,
+  then on windows that cover every training text whole. Each task trains on all
+  texts of its partition, one pass without a restart, one segment after another in
+  random order; the weights of the tasks are averaged on the executors.
 
-Scale: word counts are pre-aggregated in each task. Words with at least the
-2**-HEAVY_BITS part of all counts, so at most 2**HEAVY_BITS words, go to every
-task; only the rarer words of a document are joined to their counts, so no join key
-is hot. Texts are not shuffled. The driver gets those heavy words, one number per
-subword id, and one per weight.
+Segments: texts are cut into words and encoded once. Each task writes runs of
+consecutive documents as segments, rows of one table: the segment's own word list
+(at most ``WORDS`` words, or those of one document) with counts and subword ids, and
+the documents as numbers into that list. All later work is on numbers.
+
+Scale: texts are not shuffled. The word lists meet by word, each word at most once a
+segment, so no key is hot; what returns to a segment is one number for each of its
+words, and segments of bounded size meet their numbers in a cogroup. The driver gets
+one number per subword id, one per weight, and the warm-up windows.
 
 Cases: a null or empty text holds the end alone; a null id counts as the empty text
 in the split; repeated rows are scored each by itself; with nothing to learn from,
@@ -26,20 +30,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
-from hyperstrata.llm.common import LOWER_ASCII, batches_of, cut_lineage, written
+from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, written
 from hyperstrata.llm.encoding import Memo, encoder
 
-HEAVY_BITS = 20
-WARM, WARM_EPOCHS, WARM_RATE = 4096, 3, 0.05
-HELD, RATE = 16_384, 0.02
-_FLUSH = 600_000
+WORDS, TOKENS = 400_000, 2_000_000  # of a segment's list and of its documents
+WARM, WARM_EPOCHS, WARM_RATE, RATE = 4096, 3, 0.05, 0.02
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,220 +59,220 @@ def word_encoder(tokenizer_path: str):
     return Memo(lambda w: enc.encode_bytes(w.decode("utf-8", "surrogatepass"))).__getitem__
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, count over all documents; the ends of texts are not among them."""
-
-    def count(batches):
-        import pyarrow as pa
+class _Numbers(dict):
+    """word -> its number, from 1 on in order of appearance; 0 is the end of a text."""
 
-        seen: Counter = Counter()
+    def __missing__(self, word):
+        n = self[word] = len(self) + 1
+        return n
 
-        def flushed():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), "int64")], names=["word", "count"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(words(text.as_py()))
-                if len(seen) > _FLUSH:
-                    yield flushed()
-                    seen.clear()
-        if seen:
-            yield flushed()
+def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """segment; keys and train flags of its documents; ``places``, the numbers (uint32) of all
 
-    return docs.select(text_col).mapInArrow(count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    words, 0 after each document; ``listed``, words 1, 2, ... with their training counts;
+    ``id_sizes`` and ``ids`` (uint32), the subword ids of words 0, 1, 2, ...
+    """
+    learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    kind = dict(docs.dtypes)[id_col]
+    end = int(end_id).to_bytes(4, "little")
 
+    def cut(batches):
+        import pyarrow as pa
 
-def subword_counts(counts: DataFrame, tokenizer_path: str, size: int) -> np.ndarray:
-    """Counts of all subword ids in the texts that the words come from."""
+        get_ids = word_encoder(tokenizer_path)
+        entry = pa.struct([("word", pa.string()), ("n", pa.int64())])
+
+        def row():
+            numbers = np.concatenate(places)
+            sizes = np.fromiter(map(len, places), "i8", len(places))
+            learned = np.repeat(np.array(train, bool), sizes)
+            counts = np.bincount(numbers[learned], minlength=len(list_) + 1)[1:]
+            ids = list(map(get_ids, list_))
+            id_sizes = np.fromiter((len(x) // 4 for x in [end, *ids]), "u4", len(ids) + 1)
+            listed = pa.StructArray.from_arrays([pa.array(list(list_), pa.string()), pa.array(counts, "int64")], fields=list(entry))
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], "int32"), a)
+            return pa.RecordBatch.from_arrays(
+                [one(pa.array(keys, key_type)), one(pa.array(train, pa.bool_())), pa.array([numbers.tobytes()], pa.binary()), one(listed), pa.array([id_sizes.tobytes()], pa.binary()), pa.array([b"".join([end, *ids])], pa.binary())],
+                names=["keys", "train", "places", "listed", "id_sizes", "ids"],
+            )
+
+        key_type, list_, keys, train, places, held = None, _Numbers(), [], [], [], 0
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for key, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                found = words(text.as_py())
+                number = np.fromiter(map(list_.__getitem__, found), "u4", len(found))
+                keys.append(key)
+                train.append(flag)
+                places.append(np.append(number, np.uint32(0)))
+                held += len(found) + 1
+                if len(list_) >= WORDS or held >= TOKENS:
+                    yield row()
+                    list_, keys, train, places, held = _Numbers(), [], [], [], 0
+        if keys:
+            yield row()
+
+    out = f"keys array<{kind}>, train array<boolean>, places binary, listed array<struct<word: string, n: bigint>>, id_sizes binary, ids binary"
+    cut_ = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), learn.alias("learn")).mapInArrow(cut, out)
+    return written(cut_.withColumn("segment", F.monotonically_increasing_id()), "segments")
+
+
+def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np.ndarray:
+    """Counts of all subword ids in the training texts, from the word lists' counts."""
 
     def count(batches):
         import pyarrow as pa
 
-        total, enc = np.zeros(size, "i8"), encoder(tokenizer_path)
+        total = np.zeros(size, "i8")
         for batch in batches:
-            ids = [enc.encode(w) for w in batch.column(0).to_pylist()]
-            if ids:
-                weight = np.repeat(np.asarray(batch.column(1)), [len(x) for x in ids])
-                total += np.bincount(np.concatenate(ids), weight, size).astype("i8")
+            for listed, sizes, ids in zip(*(batch.column(k) for k in range(3))):
+                n = np.concatenate([[0], np.asarray(listed.values)])
+                total += np.bincount(np.frombuffer(ids.as_py(), "<u4"), np.repeat(n, np.frombuffer(sizes.as_py(), "<u4")), size).astype("i8")
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(size, "i8")
-    for r in counts.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in cut.select("listed.n", "id_sizes", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
+    out[end_id] = documents
     return out
 
 
-def training_windows(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """draw, n and ids (WINDOW + 1 uint32, n of them real): one window of every text, for the warm-up.
+def sequences(places: bytes, id_sizes: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begins, sizes) of a segment's documents as sequences of subword ids.
 
-    A window starts at a word picked by a hash of the text; those at the first word
-    are preceded, those at the last followed, by the end id.
+    Each starts with the end id of the document before it and closes with its own.
     """
-    size = attention.WINDOW + 1
-    end = int(end_id).to_bytes(4, "little")
-
-    def cut(batches):
-        import pyarrow as pa
+    numbers, sizes = np.frombuffer(places, "<u4"), np.frombuffer(id_sizes, "<u4").astype("i8")
+    starts, width = np.cumsum(sizes) - sizes, np.take(sizes, numbers)
+    stops = np.cumsum(width)
+    at = np.arange(stops[-1]) + np.repeat(np.take(starts, numbers) - stops + width, width)
+    flat = np.frombuffer(ids, "<u4")
+    stream = np.concatenate([flat[:1], np.take(flat, at)])  # all begins with an end
+    ends = stops[numbers == 0]  # places of the ends in the stream
+    begins = np.concatenate([[0], ends[:-1]])
+    return stream, begins, ends - begins + 1
 
-        enc = encoder(tokenizer_path)
 
-        def rows():
-            for batch in batches:
-                for text in batch.column(0):
-                    found = (text.as_py() or "").split()
-                    draw = zlib.crc32((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                    at = draw % max(1, len(found) - 4)
-                    some = enc.encode_bytes(" ".join(found[at : at + size]))
-                    ids = (b"" if at else end) + some + (end if at + size >= len(found) else b"")
-                    ids = ids[: 4 * size]
-                    yield (draw, len(ids) // 4, ids.ljust(4 * size, b"\0")), 4 * size
+def _trained_sequences(batch):
+    """The sequences of the training documents of each segment in a batch."""
+    for train, places, id_sizes, ids in zip(*(batch.column(k) for k in range(4))):
+        mask = np.array(train.as_py(), bool)
+        if mask.any():
+            stream, begins, sizes = sequences(places.as_py(), id_sizes.as_py(), ids.as_py())
+            yield stream, begins[mask], sizes[mask]
 
-        yield from batches_of(rows(), pa.schema([("draw", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())]))
 
-    return docs.select(text_col).mapInArrow(cut, "draw long, n int, ids binary")
+_TRAINING = ["train", "places", "id_sizes", "ids"]
 
 
-def _as_windows(ids: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(ids), "<u4").reshape(-1, attention.WINDOW + 1).astype("i8")
+def warm_windows(cut: DataFrame, share: float) -> DataFrame:
+    """draw, n and ids (WINDOW + 1 uint32, n of them real) of a share of all training windows."""
 
+    def pick(batches):
+        import pyarrow as pa
 
-def whole_windows(ids: bytes) -> tuple[bytes, list[int]]:
-    """Windows of WINDOW + 1 ids (uint32) that cover all ``ids``, and how many of each are real.
+        for batch in batches:
+            for stream, begins, sizes in _trained_sequences(batch):
+                owner, number, first = attention.windows(begins, sizes, attention.WINDOW)
+                draw = np.random.default_rng(zlib.crc32(stream.tobytes())).integers(0, 1 << 40, len(first))
+                some = np.flatnonzero(draw < share * (1 << 40))
+                ids = np.take(attention.padded(stream), first[some, None] + np.arange(attention.WINDOW + 1)).astype("<u4")
+                real = np.minimum(attention.WINDOW + 1, sizes[owner[some]] - attention.WINDOW * number[some])
+                yield pa.RecordBatch.from_arrays([pa.array(draw[some]), pa.array(real, "int32"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["draw", "n", "ids"])
 
-    A window starts with the last id of the one before, so every id but the first is
-    the target of one place in one window.
-    """
-    size, step = 4 * (attention.WINDOW + 1), 4 * attention.WINDOW
-    cut = [ids[k : k + size] for k in range(0, len(ids) - 4, step)]
-    return b"".join(w.ljust(size, b"\0") for w in cut), [len(w) // 4 for w in cut]
+    return cut.select(_TRAINING).mapInArrow(pick, "draw long, n int, ids binary")
 
 
-def trained(docs: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
+def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> DataFrame:
     """at, weighted and n: of each task, its weights times the n ids that it was trained to tell."""
-    sent = docs.sparkSession.sparkContext.broadcast((flat, vocab))
-    end = int(end_id).to_bytes(4, "little")
+    sent = cut.sparkSession.sparkContext.broadcast((flat, vocab))
 
     def trainer(batches):
         import pyarrow as pa
 
         own, vocab = sent.value
-        word_ids, memory, n = word_encoder(tokenizer_path), attention.fresh_memory(), 0
-        held, lengths = [], []
-
-        def learn(own):
-            return attention.train(own, vocab, _as_windows(held), np.array(lengths), 1, RATE, seed=n, memory=memory)
-
+        memory, n = attention.fresh_memory(), 0
         for batch in batches:
-            for text in batch.column(0):
-                ids = end + b"".join(map(word_ids, words(text.as_py()))) + end
-                some, real = whole_windows(ids)
-                held.append(some)
-                lengths += real
-                n += len(ids) // 4 - 1
-                if len(lengths) >= HELD:
-                    own = learn(own)
-                    held.clear()
-                    lengths.clear()
-        if lengths:
-            own = learn(own)
+            for stream, begins, sizes in _trained_sequences(batch):
+                own = attention.train(own, vocab, stream, begins, sizes, 1, RATE, seed=n, memory=memory)
+                n += int(sizes.sum()) - len(sizes)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE), "int32"), pa.array(own.astype("f8") * n), pa.array(np.full(attention.SIZE, n), "int64")], names=["at", "weighted", "n"])
 
-    return docs.select(text_col).mapInArrow(trainer, "at int, weighted double, n long")
+    return cut.select(_TRAINING).mapInArrow(trainer, "at int, weighted double, n long")
 
 
-def fit(docs: DataFrame, counts: DataFrame, documents: int, tokenizer_path: str, text_col: str = "text") -> tuple[np.ndarray, attention.Vocabulary, int]:
-    """(weights, vocabulary, end id) of a model of all rows of ``docs``."""
-    end_id = encoder(tokenizer_path).tokenizer.get_vocab_size()
-    per_id = subword_counts(counts, tokenizer_path, end_id + 1)
-    per_id[end_id] = documents
+def fit(cut: DataFrame, documents: int, end_id: int) -> tuple[np.ndarray, attention.Vocabulary]:
+    """(weights, vocabulary) of a model of all training documents of the segments."""
+    per_id = subword_counts(cut, documents, end_id + 1, end_id)
     vocab = attention.vocabulary(per_id)
     flat = attention.start(vocab)
     if not documents:
-        return flat, vocab, end_id
-    share = min(1.0, WARM / documents)
-    some = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    warm = training_windows(some, tokenizer_path, end_id).limit(2 * WARM).collect()
-    warm.sort(key=lambda r: (r["draw"], bytes(r["ids"])))
-    if warm:
-        flat = attention.train(flat, vocab, _as_windows([bytes(r["ids"]) for r in warm]), np.array([r["n"] for r in warm]), WARM_EPOCHS, WARM_RATE, seed=1)
-    averaged = (
-        trained(docs, flat, vocab, tokenizer_path, end_id, text_col)
-        .groupBy("at")
-        .agg((F.sum("weighted") / F.sum("n")).alias("value"))
-        .collect()  # one row per weight
-    )
+        return flat, vocab
+    share = min(1.0, 1.2 * WARM * attention.WINDOW / per_id.sum())
+    warm = warm_windows(cut, share).orderBy("draw", "ids").limit(WARM).collect()
+    sizes = np.array([r["n"] for r in warm], "i8")
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in warm])
+    begins = np.arange(len(warm)) * (attention.WINDOW + 1)
+    flat = attention.train(flat, vocab, ids, begins, sizes, WARM_EPOCHS, WARM_RATE, seed=1)
+    averaged = trained(cut, flat, vocab).groupBy("at").agg((F.sum("weighted") / F.sum("n")).alias("value")).collect()  # one row per weight
     flat = flat.copy()
     for r in averaged:
         flat[r["at"]] = r["value"]
-    return flat, vocab, end_id
+    return flat, vocab
+
+
+def corpus_counts(cut: DataFrame) -> DataFrame:
+    """segment, place in its list, count of the word in all training texts, and whether this
+
+    row stands for the word (one row of each word does)."""
+    same = Window.partitionBy("word")
+    rows = cut.select("segment", F.posexplode("listed").alias("place", "entry")).select("segment", "place", "entry.word", "entry.n")
+    return cut_lineage(rows.select("segment", "place", F.sum("n").over(same).alias("count"), (F.row_number().over(same.orderBy("segment", "place")) == 1).alias("stands")))
 
 
 def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score and n_subwords of each row."""
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    train = docs if learn_from is None else docs.where(learn_from)
-    counts = cut_lineage(word_counts(train, text_col))
-    documents = train.count()
-    seen = counts.agg(F.sum("count").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = (seen["n"] or 0) + documents, seen["v"] + (documents > 0)
+    end_id = encoder(tokenizer_path).tokenizer.get_vocab_size()
+    cut = segments(docs, learn_from, tokenizer_path, end_id, id_col, text_col)
+    counts = corpus_counts(cut)
+    learned = F.size(F.filter("train", lambda x: x))
+    inside = F.aggregate("listed", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    seen = cut.agg(F.sum(learned).alias("documents"), F.sum(inside).alias("n")).first()
+    documents = seen["documents"] or 0
+    total = (seen["n"] or 0) + documents
+    distinct = counts.where(F.col("stands") & (F.col("count") > 0)).count() + (documents > 0)
     below = math.log10(total + 1 * (distinct + 1))
-    least = max(1, math.ceil(total / (1 << HEAVY_BITS)))
-    heavy = {r["word"].encode(): math.log10(r["count"] + 1) - below for r in counts.where(F.col("count") >= least).collect()}
-    flat, vocab, end_id = fit(train, counts, documents, tokenizer_path, text_col)
-    sent = spark.sparkContext.broadcast((heavy, flat, vocab))
-    end_score, end_known = math.log10(documents + 1) - below, int(documents > 0)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(cut, documents, end_id))
 
-    def run(batches):
+    def run(segment, numbers):
         import pyarrow as pa
 
-        heavy, flat, vocab = sent.value
-        get, word_ids = heavy.get, word_encoder(tokenizer_path)
-        end = np.array([end_id], "u4")
-        schema = pa.schema([("key", key_type), ("n_tokens", pa.int64()), ("heavy_known", pa.int64()), ("heavy_score", pa.float64()), ("rare", pa.list_(pa.string())), ("score", pa.float64()), ("n_subwords", pa.int64())])
-
-        def finished(held):
-            scores = attention.log_probabilities(flat, vocab, [h[-1] for h in held]) / math.log(10)
-            columns = list(zip(*[(*h[:-1], s, len(h[-1]) - 1) for h, s in zip(held, scores)]))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        held, size = [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                found = words(text)
-                values = list(map(get, found))
-                missed = [w for w, v in zip(found, values) if v is None]
-                ids = np.concatenate([end, np.frombuffer(b"".join(map(word_ids, found)), "<u4"), end])
-                held.append((key, len(found) + 1, len(found) - len(missed) + end_known, sum(filter(None, values)) + end_score, missed, ids))
-                size += len(ids)
-                if size > 200_000:
-                    yield finished(held)
-                    held, size = [], 0
-        if held:
-            yield finished(held)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key_type = to_arrow_type(docs.schema[id_col].dataType)
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"key {kind}, n_tokens long, heavy_known long, heavy_score double, rare array<string>, score double, n_subwords long")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = counts.where(F.col("count") < least)
-    terms = (
-        scored.select("row", F.explode("rare").alias("word"))
-        .join(rare, "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 1.0) - below).alias("rare_score"), F.count("count").alias("rare_known"))
-    )
-    return scored.join(terms, "row", "left").select(
-        F.col("key").alias(id_col),
-        "n_tokens",
-        (F.col("heavy_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("heavy_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
-        "n_subwords",
-    )
+        flat, vocab = sent.value
+        keys, places, id_sizes, ids = (segment.column(c)[0] for c in ("keys", "places", "id_sizes", "ids"))
+        found = np.zeros(len(id_sizes.as_py()) // 4, "i8")
+        found[0] = documents
+        found[np.asarray(numbers.column("place")) + 1] = np.asarray(numbers.column("count"))
+        word = np.frombuffer(places.as_py(), "<u4")
+        ends = np.flatnonzero(word == 0)
+        firsts = np.concatenate([[0], ends[:-1] + 1])
+        stream, begins, sizes = sequences(places.as_py(), id_sizes.as_py(), ids.as_py())
+        return pa.table(
+            {
+                id_col: keys.values,
+                "n_tokens": pa.array(ends - firsts + 1, "int64"),
+                "n_known": pa.array(np.add.reduceat(np.take((found > 0).astype("i8"), word), firsts)),
+                "base_score": pa.array(np.add.reduceat(np.take(np.log10(found + 1.0) - below, word), firsts)),
+                "score": pa.array(attention.log_probabilities(flat, vocab, stream, begins, sizes) / math.log(10)),
+                "n_subwords": pa.array(sizes - 1, "int64"),
+            }
+        )
+
+    out = f"{id_col} {kind}, n_tokens long, n_known long, base_score double, score double, n_subwords long"
+    slim = cut.select("segment", "keys", "places", "id_sizes", "ids")
+    scored = slim.groupBy("segment").cogroup(counts.select("segment", "place", "count").groupBy("segment")).applyInArrow(run, out)
+    return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_subwords")

@@ -54,6 +54,12 @@ def test_language_id_without_labels_or_rows(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs(spark, [(1, "text")]), one).collect()} == {"de"}
 
 
+def in_a_row(texts):
+    """(ids, begins, sizes) of some id sequences."""
+    sizes = np.array([len(t) for t in texts], "i8")
+    return np.concatenate([np.zeros(0, "i8"), *texts]), np.cumsum(sizes) - sizes, sizes
+
+
 def test_attention_gradient_against_differences():
     rng = np.random.default_rng(0)
     vocab = attention.vocabulary(rng.integers(0, 50, 6000))
@@ -92,31 +98,32 @@ def test_attention_scores_each_id_once_and_probabilities_sum_to_one():
             window = np.zeros(attention.WINDOW, "i8")
             have = text[attention.STRIDE * k : t]
             window[: len(have)] = have
-            h = attention._forward(p, vocab.row[window][None])["h"][0, len(have) - 1]
-            _, z = attention._logits(p, h[None])
-            z = z[0].astype("f8")
-            total += z[vocab.cls[text[t]]] - np.log(np.exp(z).sum()) + vocab.log_share[text[t]]
+            h = attention._forward(p, vocab.row[window][None])["h"][len(have) - 1]
+            group, member = divmod(int(vocab.cls[text[t]]), attention.MEMBERS)
+            z = attention._logits(p, h[None], np.array([group]))[1][0].astype("f8")
+            first, second = z[: attention.GROUPS], z[attention.GROUPS :]
+            total += first[group] - np.log(np.exp(first).sum()) + second[member] - np.log(np.exp(second).sum()) + vocab.log_share[text[t]]
         return total
 
     texts = [rng.integers(0, n, m) for m in (1, 2, 3, 31, 32, 33, 34, 56, 57, 58, 81, 200)]
-    got = attention.log_probabilities(flat, vocab, texts)
+    got = attention.log_probabilities(flat, vocab, *in_a_row(texts))
     assert np.allclose(got, [plain(t) for t in texts], atol=2e-3)
     start = rng.integers(0, n, 40)
-    each = attention.log_probabilities(flat, vocab, [np.append(start, k) for k in range(n)])
-    before = attention.log_probabilities(flat, vocab, [start])[0]
+    each = attention.log_probabilities(flat, vocab, *in_a_row([np.append(start, k) for k in range(n)]))
+    before = attention.log_probabilities(flat, vocab, *in_a_row([start]))[0]
     assert abs(np.exp(each - before).sum() - 1) < 1e-3
-    assert len(attention.log_probabilities(flat, vocab, [])) == 0
+    assert len(attention.log_probabilities(flat, vocab, *in_a_row([]))) == 0
 
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     pattern = np.tile(np.arange(10), 10)
-    windows = np.stack([pattern[k % 10 : k % 10 + attention.WINDOW + 1] for k in range(256)])
-    vocab = attention.vocabulary(np.bincount(windows.ravel(), minlength=50))
+    windows = [pattern[k % 10 : k % 10 + attention.WINDOW + 1] for k in range(256)]
+    vocab = attention.vocabulary(np.bincount(np.concatenate(windows), minlength=50))
     start = attention.start(vocab)
-    trained = attention.train(start, vocab, windows, np.full(256, attention.WINDOW + 1), 12, 0.05, 1)
-    held = [np.tile(rng.permutation(1) + np.arange(10), 6)]
-    assert attention.log_probabilities(trained, vocab, held)[0] > attention.log_probabilities(start, vocab, held)[0] + 20
+    trained = attention.train(start, vocab, *in_a_row(windows), 12, 0.05, 1)
+    held = in_a_row([np.tile(np.arange(10), 6)])
+    assert attention.log_probabilities(trained, vocab, *held)[0] > attention.log_probabilities(start, vocab, *held)[0] + 20
 
 
 def plain_base(rows, train):
@@ -135,7 +142,7 @@ def plain_base(rows, train):
 
 
 def test_lm_base_scores_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HEAVY_BITS", 4)  # so that both ways to counts are used
+    monkeypatch.setattr(lm_scoring, "WORDS", 9)  # so that there are many segments
     rng = np.random.default_rng(5)
     rows = [(k, " ".join(rng.choice(["A", "b", "The", "cat,", "é", "zebra", f"w{k}"], rng.integers(0, 30)))) for k in range(60)] + [r for r in ODD if r[0] not in (5, 6)] + [(6, "long " * 3000)]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
@@ -160,24 +167,32 @@ def test_lm_with_nothing_to_learn_from_and_of_nothing(spark):
     assert lm_scoring.score(docs(spark, []), WORDS).count() == 0
 
 
-def test_lm_trains_on_every_id_of_every_text(spark, monkeypatch):
-    """The trainers see all of a long text, not one window of it."""
-    from hyperstrata.llm.lm_scoring import whole_windows
-
+def test_windows_cover_every_id_once():
     size = attention.WINDOW + 1
-    for m in (2, 3, 32, 33, 34, 65, 66, 200):
-        ids = np.arange(m, dtype="<u4")
-        windows, real = whole_windows(ids.tobytes())
-        cut = np.frombuffer(windows, "<u4").reshape(-1, size)
-        assert [t for w, n in zip(cut, real) for t in w[1:n]] == list(range(1, m))
-        assert all(w[j] == w[0] + j for w, n in zip(cut, real) for j in range(n))
+    for m in (1, 2, 3, 32, 33, 34, 65, 66, 200):
+        owner, number, first = attention.windows(np.array([0, m]), np.array([m, 5]), attention.WINDOW)
+        mine = [(f, min(size, m - attention.WINDOW * n)) for o, n, f in zip(owner, number, first) if o == 0]
+        assert [t for f, real in mine for t in range(f + 1, f + real)] == list(range(1, m))
+        assert list(first[owner == 1]) == [m]
+
+
+def test_segments_hold_every_id_of_every_text(spark, monkeypatch):
+    """Sequences made from segments are the whole texts, and the trainers are told every id of them."""
     rows, enc = [*ODD, (8, "some words of a text " * 400)], encoder(WORDS)
     end = enc.tokenizer.get_vocab_size()
+    monkeypatch.setattr(lm_scoring, "TOKENS", 300)  # so that there are many segments
+    cut = lm_scoring.segments(docs(spark, rows), F.col("doc_id") != 7, WORDS, end)
+    found, learned = Counter(), 0
+    for r in cut.collect():
+        stream, begins, sizes = lm_scoring.sequences(bytes(r["places"]), bytes(r["id_sizes"]), bytes(r["ids"]))
+        found.update((k, stream[b : b + n].tobytes()) for k, b, n in zip(r["keys"], begins, sizes))
+        assert stream[0] == end
+    close = np.uint32(end).tobytes()
+    assert found == Counter((k, close + enc.encode_bytes(t) + close) for k, t in rows)
     vocab = attention.vocabulary(np.ones(end + 1, "i8"))
     start = attention.start(vocab)
-    monkeypatch.setattr(lm_scoring, "HELD", 300)  # so that training goes on over several fillings
-    got = lm_scoring.trained(docs(spark, rows), start, vocab, WORDS, end).groupBy("at").agg(F.sum("n").alias("n"), F.sum("weighted").alias("w")).collect()
-    assert {r["n"] for r in got} == {sum(len(enc.encode(t)) + 1 for _, t in rows)}
+    got = lm_scoring.trained(cut, start, vocab).groupBy("at").agg(F.sum("n").alias("n"), F.sum("weighted").alias("w")).collect()
+    assert {r["n"] for r in got} == {sum(len(enc.encode(t)) + 1 for k, t in rows if k not in (None, 7))}
     assert len(got) == attention.SIZE and any(abs(r["w"] / r["n"] - start[r["at"]]) > 1e-3 for r in got)
 
 
