@@ -39,7 +39,7 @@ from hyperstrata.llm import attention
 from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, written
 from hyperstrata.llm.encoding import Memo, encoder
 
-WORDS, TOKENS = 400_000, 2_000_000  # of a segment's list and of its documents
+WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
 WARM, WARM_EPOCHS, WARM_RATE, RATE = 4096, 3, 0.05, 0.02
 
 
