@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
-from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, written
+from hyperstrata.llm.common import LOWER_ASCII, written
 from hyperstrata.llm.encoding import Memo, encoder
 
 WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
@@ -70,8 +70,8 @@ class _Numbers(dict):
 def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """segment; keys and train flags of its documents; ``places``, the numbers (uint32) of all
 
-    words, 0 after each document; ``listed``, words 1, 2, ... with their training counts;
-    ``id_sizes`` and ``ids`` (uint32), the subword ids of words 0, 1, 2, ...
+    words, 0 after each document, compressed; ``listed``, words 1, 2, ... with their training counts;
+    ``id_sizes`` and ``ids`` (uint32, compressed), the subword ids of words 0, 1, 2, ...
     """
     learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
     kind = dict(docs.dtypes)[id_col]
@@ -79,7 +79,9 @@ def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, en
 
     def cut(batches):
         import pyarrow as pa
+        import zstandard
 
+        zip_ = zstandard.ZstdCompressor(level=1).compress
         get_ids = word_encoder(tokenizer_path)
         entry = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
@@ -93,7 +95,7 @@ def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, en
             listed = pa.StructArray.from_arrays([pa.array(list(list_), pa.string()), pa.array(counts, "int64")], fields=list(entry))
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], "int32"), a)
             return pa.RecordBatch.from_arrays(
-                [one(pa.array(keys, key_type)), one(pa.array(train, pa.bool_())), pa.array([numbers.tobytes()], pa.binary()), one(listed), pa.array([id_sizes.tobytes()], pa.binary()), pa.array([b"".join([end, *ids])], pa.binary())],
+                [one(pa.array(keys, key_type)), one(pa.array(train, pa.bool_())), pa.array([zip_(numbers.tobytes())], pa.binary()), one(listed), pa.array([zip_(id_sizes.tobytes())], pa.binary()), pa.array([zip_(b"".join([end, *ids]))], pa.binary())],
                 names=["keys", "train", "places", "listed", "id_sizes", "ids"],
             )
 
@@ -118,6 +120,12 @@ def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, en
     return written(cut_.withColumn("segment", F.monotonically_increasing_id()), "segments")
 
 
+def _numbers(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u4")
+
+
 def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np.ndarray:
     """Counts of all subword ids in the training texts, from the word lists' counts."""
 
@@ -128,7 +136,7 @@ def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np
         for batch in batches:
             for listed, sizes, ids in zip(*(batch.column(k) for k in range(3))):
                 n = np.concatenate([[0], np.asarray(listed.values)])
-                total += np.bincount(np.frombuffer(ids.as_py(), "<u4"), np.repeat(n, np.frombuffer(sizes.as_py(), "<u4")), size).astype("i8")
+                total += np.bincount(_numbers(ids.as_py()), np.repeat(n, _numbers(sizes.as_py())), size).astype("i8")
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], names=["id", "n"])
@@ -145,11 +153,11 @@ def sequences(places: bytes, id_sizes: bytes, ids: bytes) -> tuple[np.ndarray, n
 
     Each starts with the end id of the document before it and closes with its own.
     """
-    numbers, sizes = np.frombuffer(places, "<u4"), np.frombuffer(id_sizes, "<u4").astype("i8")
+    numbers, sizes = _numbers(places), _numbers(id_sizes).astype("i8")
     starts, width = np.cumsum(sizes) - sizes, np.take(sizes, numbers)
     stops = np.cumsum(width)
     at = np.arange(stops[-1]) + np.repeat(np.take(starts, numbers) - stops + width, width)
-    flat = np.frombuffer(ids, "<u4")
+    flat = _numbers(ids)
     stream = np.concatenate([flat[:1], np.take(flat, at)])  # all begins with an end
     ends = stops[numbers == 0]  # places of the ends in the stream
     begins = np.concatenate([[0], ends[:-1]])
@@ -231,7 +239,7 @@ def corpus_counts(cut: DataFrame) -> DataFrame:
     row stands for the word (one row of each word does)."""
     same = Window.partitionBy("word")
     rows = cut.select("segment", F.posexplode("listed").alias("place", "entry")).select("segment", "place", "entry.word", "entry.n")
-    return cut_lineage(rows.select("segment", "place", F.sum("n").over(same).alias("count"), (F.row_number().over(same.orderBy("segment", "place")) == 1).alias("stands")))
+    return written(rows.select("segment", "place", F.sum("n").over(same).alias("count"), (F.row_number().over(same.orderBy("segment", "place")) == 1).alias("stands")), "counts")
 
 
 def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,10 +262,10 @@ def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None
 
         flat, vocab = sent.value
         keys, places, id_sizes, ids = (segment.column(c)[0] for c in ("keys", "places", "id_sizes", "ids"))
-        found = np.zeros(len(id_sizes.as_py()) // 4, "i8")
+        found = np.zeros(len(_numbers(id_sizes.as_py())), "i8")
         found[0] = documents
         found[np.asarray(numbers.column("place")) + 1] = np.asarray(numbers.column("count"))
-        word = np.frombuffer(places.as_py(), "<u4")
+        word = _numbers(places.as_py())
         ends = np.flatnonzero(word == 0)
         firsts = np.concatenate([[0], ends[:-1] + 1])
         stream, begins, sizes = sequences(places.as_py(), id_sizes.as_py(), ids.as_py())
