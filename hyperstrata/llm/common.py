@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: that of ``spark.checkpoint.dir``, else a local one (tests)."""
+    """The folder all executors see: that of ``spark.checkpoint.dir``.
+
+    Without the setting, a local folder in local mode; on a cluster that is an error,
+    since executors would not see each other's files.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hyperstrata-"))
     return context.getCheckpointDir()
 
@@ -43,6 +50,22 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """One column ``row``, a struct of all columns of ``df``, and ``more``: no name can clash."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select(F.struct(*quoted).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``packed`` put into ``row``."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def text_keys(id_col: str, text_col: str) -> dict[str, Column]:
+    """128 bits of an id and a text: rows that share them are alike to the operators."""
+    return {"k1": F.xxhash64(id_col, text_col), "k2": F.xxhash64(F.lit(1), text_col, id_col)}
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a folder given as a path or a URI."""
     import pyarrow.fs as pafs

@@ -12,9 +12,11 @@ and those at most ``gap`` bytes apart are joined to one read of at most
 few small ones.
 
 Scale: payloads are shuffled once, in the join of the pages to the narrow table of
-revisits, whose tasks write the shards. The search for equal payloads moves digests
-alone, pre-aggregated, so a payload that a third of the rows hold is one row per
-task; both joins are plain equi-joins, which adaptive execution splits. Files are written under another name and moved into
+revisits, whose tasks write the shards. The search for equal payloads hashes each once
+into a narrow checkpointed table and moves that alone; counts are pre-aggregated, so a
+payload that a third of the rows hold is one row per task. The smallest keys are
+checkpointed too: both sides of each join are plain exchanges, which adaptive execution
+splits where one payload is hot. Files are written under another name and moved into
 place, so tasks may be retried. The index is a Parquet table in the same folder.
 
 Cases: a null payload is empty; a null URL gives a record without a target; a null
@@ -35,7 +37,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import batches_of, filesystem, write_whole
+from hyperstrata.llm.common import batches_of, cut_lineage, filesystem, write_whole
 
 DATE = "1970-01-01T00:00:00Z"  # the tables hold no time of capture
 GAP, MOST_BYTES = 64 << 10, 32 << 20
@@ -90,18 +92,16 @@ def parse(member: bytes) -> dict:
 
 def first_of_equal(pages: DataFrame, min_bytes: int) -> DataFrame:
     """key, url, payload, sha1 (hex), and the key and URL a revisit refers to (else null)."""
+    hashed = cut_lineage(pages.select("page_id", "url", F.sha1("payload").alias("sha1"), F.length("payload").alias("size")).where(F.col("size") >= min_bytes))
     groups = (
-        pages.select("page_id", "url", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
-        .where(F.col("size") >= min_bytes)
-        .groupBy("sha1", "size")
+        hashed.groupBy("sha1", "size")
         .agg(F.count("*").alias("_n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("_first"))
         .where("_n > 1")
     )
-    first = groups.select("sha1", "size", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url"))
+    first = cut_lineage(groups.select("sha1", "size", F.col("_first.page_id").alias("first_id"), F.col("_first.url").alias("first_url")).where("first_id is not null"))
     revisits = (
-        pages.select("page_id", "url", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
-        .join(first, ["sha1", "size"])
-        .where(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+        hashed.join(first, ["sha1", "size"])
+        .where(~F.col("page_id").eqNullSafe(F.col("first_id")))
         .select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), F.col("sha1").alias("_sha1"), F.col("first_id").alias("refers_to"), F.col("first_url").alias("refers_url"))
         .distinct()
     )
