@@ -11,9 +11,10 @@ so that the score, the top probability, is near the share of right answers. A te
 is rejected if it has no letter or its score is under ``REJECT_BELOW``: then it is
 likelier wrong than right.
 
-Scale: the model is fitted on a bounded sample (``SAMPLE_PER_LANGUAGE`` labelled
-rows of each language, picked by a hash of text and id; their n-gram counts are
-made on the executors). Prediction is one pass without a shuffle: the model is
+Scale: the model is fitted on a bounded sample: of each of the ``LANGUAGES`` commonest
+languages the ``SAMPLE_PER_LANGUAGE`` labelled rows with the smallest hashes of id and
+text, so that copies of one text are drawn no more than other rows; their n-gram
+counts are made on the executors. Prediction is one pass without a shuffle: the model is
 linear, so each word has one vector of summed logits, kept in a bounded table.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; with no
@@ -30,13 +31,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperstrata.llm.common import keep_rows
 
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (1, 2, 3, 4)
-SAMPLE_PER_LANGUAGE, EPOCHS, STEPS, RATE = 1500, 4, 20_000, 0.5
+LANGUAGES, SAMPLE_PER_LANGUAGE, EPOCHS, STEPS, RATE = 512, 1500, 4, 20_000, 0.5
 REJECT_BELOW = 0.5
 _RUNS = re.compile(r"[^\W\d_]+").findall
 
@@ -129,19 +130,30 @@ def calibrate(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], labels: n
     return model
 
 
-def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> Model:
+def sample_of(rows: DataFrame, counts: dict[str, int], id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """text, lang and draw: at most SAMPLE_PER_LANGUAGE rows of each language in ``counts``.
+
+    A share of twice as many is drawn first, so that the texts of few rows are ranked.
+    """
+    unit = 1 << 30
+    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(unit, 2 * unit * SAMPLE_PER_LANGUAGE // n + unit // n)))])
+    draw = F.xxhash64(id_col, text_col, lang_col)
+    drawn = rows.where(F.pmod(draw, F.lit(unit)) < shares[F.col(lang_col)]).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(unit)), "draw"))
+    return drawn.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).drop("rank")
+
+
+def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of the rows that satisfy ``learn_from`` and have a text and a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if learn_from is not None:
         rows = rows.where(learn_from)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
+    commonest = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in commonest.collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), "f4"), np.zeros(0, "f4"))
     languages = sorted(counts)
-    unit = 1 << 30
-    shares = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(unit, unit * SAMPLE_PER_LANGUAGE // counts[k])))])
-    draw = F.xxhash64(text_col, lang_col)
-    sample = rows.where(F.pmod(draw, F.lit(unit)) < shares[F.col(lang_col)]).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    sample = sample_of(rows, counts, id_col, text_col, lang_col)
 
     def count(batches):
         import pyarrow as pa
