@@ -6,18 +6,22 @@ of four words; bit b is set if over half of the shingles' XXH64 hashes have it.
 Search: each fingerprint is embedded as the bit counts of its ``SEGMENT``-bit
 segments. Turning one bit moves one count by one, so the Manhattan distance of
 two embeddings is a lower bound of the Hamming distance. The segments are dealt
-to ``max_distance + 1`` groups; if the whole distance is at most
-``max_distance``, at least one group has distance 0, so two linked fingerprints
-share a grid cell (group, counts of its segments) of at least one group. Within
-a cell pairs are first tested by the Manhattan bound and then exactly.
+to ``max_distance + s`` groups; a distance of at most ``max_distance`` touches at
+most as many groups, so two linked fingerprints agree in the counts of at least s
+groups: they share a grid cell (s groups, counts of their segments). ``s`` grows
+with the number of fingerprints, so that chance does not fill the cells; any s gives
+the same links. Within a cell pairs are first tested by the Manhattan bound and then
+exactly.
 
 Scale: documents with one fingerprint are one node of the search. A cell is cut
 into tiles of ``TILE`` fingerprints and each pair of tiles is one unit of work,
 so a hot cell is spread over many tasks; a pair of tiles returns a spanning
 forest of its links (fewer edges than nodes), never all pairs of a group. The
 forests keep every connection, so components are those of all links. Components
-come from alternating large-star and small-star steps with reliable checkpoints;
-nothing but a row count reaches the driver.
+come from alternating large-star and small-star steps with reliable checkpoints, where
+a node's edges are pre-aggregated to its smallest neighbour and that table is
+checkpointed, so the exchanges of a hub's join can be split by adaptive execution.
+Nothing but counts and a checksum reaches the driver.
 
 Cases: null, empty and blank texts have no words and the fingerprint zero, and
 are linked like any other; fewer than four words make one shingle; repeated rows
@@ -27,13 +31,16 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import LOWER_ASCII, cut_lineage
+from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, packed, text_keys, unpacked, written
 
 SEED, SEGMENT, TILE = 42, 2, 2048
+_ALIKE = 0.375  # two random segments of two bits have equal counts so often
 _CHUNK = 1 << 15
 
 
@@ -89,12 +96,24 @@ def group_masks(groups: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def cells(nodes: DataFrame, max_distance: int) -> DataFrame:
-    """fp, group and cell (counts of the group's segments) of distinct fingerprints."""
+def shared_groups(nodes: int, max_distance: int) -> int:
+    """In how many groups, of ``max_distance`` and as many more, linked fingerprints are to agree:
+
+    the fewest for which cells of random fingerprints are far smaller than a tile, at most four.
+    """
+    for s in (1, 2, 3):
+        if nodes * _ALIKE ** (64 // SEGMENT * s / (max_distance + s)) <= 64:
+            return s
+    return 4
+
+
+def cells(nodes: DataFrame, max_distance: int, shared: int) -> DataFrame:
+    """fp, group (a choice of ``shared`` groups) and cell (counts of their segments) of distinct fingerprints."""
     low = F.lit(0x5555555555555555)
     a, b = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 1).bitwiseAND(low)
     unary = F.shiftleft(a.bitwiseAND(b), 1).bitwiseOR(a.bitwiseOR(b))
-    masks = [m - (1 << 64) if m >> 63 else m for m in group_masks(max_distance + 1)]
+    masks = [sum(some) for some in combinations(group_masks(max_distance + shared), shared)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     grid = F.array(*[F.struct(F.lit(k).alias("group"), F.col("unary").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)])
     return nodes.select("fp", unary.alias("unary")).select("fp", F.inline(grid))
 
@@ -122,10 +141,10 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, max_distance: int) -> list
     return edges
 
 
-def links(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
+def links(nodes: DataFrame, max_distance: int = 4, shared: int | None = None) -> DataFrame:
     """Edges (a, b) that connect just what links within ``max_distance`` connect."""
-    in_cells = cells(nodes, max_distance).withColumn("_spread", F.xxhash64("fp"))
-    sizes = in_cells.groupBy("group", "cell").count().where("count > 1").withColumn("_tiles", F.ceil(F.col("count") / TILE).cast("int"))
+    in_cells = cells(nodes, max_distance, shared or shared_groups(nodes.count(), max_distance)).withColumn("_spread", F.xxhash64("fp"))
+    sizes = cut_lineage(in_cells.groupBy("group", "cell").count().where("count > 1").select("group", "cell", F.ceil(F.col("count") / TILE).cast("int").alias("_tiles")))
     tiles = in_cells.join(sizes, ["group", "cell"]).select("group", "cell", "fp", "_tiles", F.pmod("_spread", "_tiles").cast("int").alias("_tile"))
     # tile t meets every tile: as the first of (t, u) for u >= t and the second of (u, t) for u < t
     partners = F.expr("transform(sequence(0, _tiles - 1), u -> struct(least(_tile, u) as i, greatest(_tile, u) as j))")
@@ -157,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("v"), F.col("u"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m")))
         joined = both.join(least, "u")
         if large:
             moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
@@ -166,7 +185,7 @@ def components(edges: DataFrame) -> DataFrame:
         return moved.where("u <> v").distinct()
 
     def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
 
     seen = mark(edges)
     while True:
@@ -179,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _roots(marked: DataFrame, max_distance: int) -> DataFrame:
     """_fp and root (the least fingerprint of its component) of all fingerprints."""
-    nodes = marked.select(F.col("_fp").alias("fp")).distinct()
+    nodes = cut_lineage(marked.select(F.col("_fp").alias("fp")).distinct())
     roots = components(links(nodes, max_distance))
     return cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root")))
 
@@ -189,16 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut_lineage(fingerprints(docs, text_col, [id_col]))
     roots = _roots(marked, max_distance)
     least = marked.groupBy("_fp").agg(F.min(id_col).alias("_least")).join(roots, "_fp").groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = roots.join(least, "_root").select("_fp", "component_id")
+    named = cut_lineage(roots.join(cut_lineage(least), "_root").select("_fp", "component_id"))
     return marked.join(named, "_fp").select(id_col, F.col("_fp").alias("fp"), "component_id")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4) -> DataFrame:
     """One row of each group, with all its columns: that with the smallest id (ids
     before null), then the smallest hash of its text; of equal rows any one."""
-    keys = {"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(F.lit(1), text_col, id_col)}
-    marked = cut_lineage(fingerprints(docs.withColumns(keys), text_col, [id_col, "_k1", "_k2"]))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2")
+    keys = text_keys(id_col, text_col)
+    marked = cut_lineage(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(k) for k, c in keys.items()]), "text", ["id", "k1", "k2"]))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     least = marked.groupBy("_fp").agg(F.min(order).alias("_least")).join(_roots(marked, max_distance), "_fp")
-    kept = least.groupBy("_root").agg(F.min("_least").alias("_least")).select("_least._k1", "_least._k2")
-    return docs.withColumns(keys).join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    kept = written(least.groupBy("_root").agg(F.min("_least").alias("_least")).select("_least.k1", "_least.k2"), "survivors")
+    return unpacked(packed(docs, **keys).join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)
