@@ -8,18 +8,34 @@ from hyperstrata.llm.line_dedup import DEPTH, MIN_DOCS, SIMILARITY
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
+#: Rounds of templates that the SQL unrolls; the operator goes on until none is found.
+ROUNDS = 5
+
+
+def _round(k: int) -> str:
+    """The CTEs of one round: what is left of the leaves, votes, seeds, and the lines that share a template."""
+    left = (
+        f"SELECT n, leaf, t, w FROM kinds JOIN (SELECT n, leaf FROM kinds WHERE floor((1 - {SIMILARITY}) * (n - {DEPTH}) + 1e-9) >= 1 GROUP BY 1, 2 HAVING count(*) > 1) USING (n, leaf)"
+        if k == 0
+        else f"SELECT n, leaf, t, w FROM j{k - 1} JOIN a{k - 1} USING (n, leaf) WHERE NOT joins"
+    )
+    return f"""
+l{k} AS ({left}),
+u{k} AS (SELECT n, leaf, t, w, unnest(range(len(w))) AS place, unnest(w) AS word FROM l{k}),
+c{k} AS (SELECT n, leaf, place, word FROM u{k} GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY n, leaf, place ORDER BY count(*) DESC, word DESC) = 1),
+s{k} AS (SELECT n, leaf, w AS seed FROM (SELECT u.n, u.leaf, u.t, u.w, count(*) FILTER (WHERE u.word = c.word) AS same FROM u{k} u JOIN c{k} c USING (n, leaf, place) GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY n, leaf ORDER BY same DESC, w DESC) = 1),
+j{k} AS (SELECT n, leaf, t, w, len(list_filter(range(len(w)), lambda i: w[i + 1] = seed[i + 1])) >= {SIMILARITY} * len(w) AS joins FROM l{k} JOIN s{k} USING (n, leaf)),
+a{k} AS (SELECT n, leaf FROM j{k} WHERE joins GROUP BY 1, 2 HAVING count(*) > 1),"""
+
+
 LINE_DEDUP = f"""
 WITH
 l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, text, pos, list_transform(string_split(trim(regexp_replace(line, '[ \\x09\\x0B-\\x0D]+', ' ', 'g'), ' '), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l WHERE trim(line, {BLANK}) <> ''),
 m AS (SELECT doc_id, text, pos, w, len(w) AS n, array_to_string(w[1:{DEPTH}], ' ') AS leaf, array_to_string(w, ' ') AS t FROM w),
-kinds AS (SELECT n, leaf, t, any_value(w) AS w, count(*) AS c FROM m GROUP BY 1, 2, 3),
-mixed AS (SELECT n, leaf FROM kinds GROUP BY 1, 2 HAVING count(*) > 1),
-words AS (SELECT n, leaf, t, c, unnest(range(n)) AS place, unnest(w) AS word FROM kinds JOIN mixed USING (n, leaf)),
-votes AS (SELECT n, leaf, place, word, sum(c) AS votes FROM words GROUP BY 1, 2, 3, 4),
-chosen AS (SELECT n, leaf, place, word FROM votes QUALIFY row_number() OVER (PARTITION BY n, leaf, place ORDER BY votes DESC, word DESC) = 1),
-merged AS (SELECT a.n, a.leaf, a.t FROM words a JOIN chosen b USING (n, leaf, place) GROUP BY 1, 2, 3 HAVING sum(CASE WHEN a.word = b.word THEN 1 ELSE 0 END) >= {SIMILARITY} * a.n),
-g AS (SELECT m.doc_id, m.text, m.pos, CASE WHEN merged.t IS NULL THEN 'line ' || m.t ELSE 'leaf ' || m.n || ' ' || m.leaf END AS template FROM m LEFT JOIN merged USING (n, leaf, t)),
+kinds AS (SELECT n, leaf, t, any_value(w)[{DEPTH + 1}:] AS w FROM m GROUP BY 1, 2, 3),{"".join(map(_round, range(ROUNDS)))}
+merged AS ({" UNION ALL ".join(f"SELECT n, leaf, t, {k} AS round FROM j{k} JOIN a{k} USING (n, leaf) WHERE joins" for k in range(ROUNDS))}),
+g AS (SELECT m.doc_id, m.text, m.pos, CASE WHEN merged.t IS NULL THEN 'line ' || m.t ELSE 'leaf ' || m.n || ' ' || merged.round || ' ' || m.leaf END AS template FROM m LEFT JOIN merged USING (n, leaf, t)),
 recurring AS (SELECT template, min(doc_id) AS first FROM (SELECT DISTINCT template, doc_id, text FROM g) GROUP BY 1 HAVING count(*) >= {MIN_DOCS}),
 dropped AS (SELECT DISTINCT doc_id, text, pos FROM g JOIN recurring USING (template) WHERE doc_id > first),
 kept AS (SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept FROM (SELECT DISTINCT * FROM l) l ANTI JOIN dropped USING (doc_id, text, pos) GROUP BY 1, 2),
@@ -52,8 +68,8 @@ g AS (SELECT r, unnest(range(len(w) - {K - 1})) AS place, unnest(list_transform(
 v AS (SELECT r, template, label, phrase, gap, t_words, t_grams, place - t_place AS diagonal, list(DISTINCT t_place) AS held, min(place) AS a, max(place) + {K} AS b FROM g JOIN t USING (gram) GROUP BY ALL),
 n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= gap THEN 0 ELSE 1 END AS fresh FROM v),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM n),
-s AS (SELECT r, template, label, phrase, t_words, t_grams, island, len(list_distinct(flatten(list(held)))) AS held, min(a) AS a, max(b) AS b FROM i GROUP BY ALL),
-q AS (SELECT *, held / t_grams AS cover, CASE WHEN phrase THEN held = t_grams ELSE held / t_grams >= {COVER} AND b - a <= {STRETCH} * t_words END AS ok FROM s),
+s AS (SELECT r, template, label, phrase, t_words, t_grams, island, len(list_distinct(flatten(list(held)))) AS held, min(a) AS a, max(b) AS b, bool_or(NOT phrase AND len(held) / t_grams >= {COVER} AND b - a <= {STRETCH} * t_words) AS alone FROM i GROUP BY r, template, label, phrase, t_words, t_grams, island),
+q AS (SELECT *, held / t_grams AS cover, CASE WHEN phrase THEN held = t_grams ELSE alone OR held / t_grams >= {COVER} AND b - a <= {STRETCH} * t_words END AS ok FROM s),
 x AS (SELECT r, max(cover) AS score, count(*) FILTER (WHERE ok AND phrase) AS n_base, min(a) FILTER (WHERE ok AND phrase) AS first_word, max(a) FILTER (WHERE ok AND phrase) AS last_word, {labels(" AND phrase")} AS base_labels, {labels("")} AS labels FROM q GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN x USING (r)"""
 
