@@ -1,6 +1,7 @@
 import gzip
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def test_neighbours_estimates_stay_within_bounds():
     turn = neighbours.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
     bits, scalars = neighbours.encode(x, turn)
-    assert bits.shape == (2000, 8)
+    assert bits.shape == (2000, neighbours.CODE // 8)
     est, err = neighbours.estimate(q, bits, scalars, turn)
     true = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
     assert (np.abs(est - true) <= err).mean() > 0.9 and abs((est - true).mean()) < 5e-3
@@ -39,6 +40,8 @@ def test_neighbours_estimates_stay_within_bounds():
 def test_neighbours_odd_rows_and_ties(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 3)
     monkeypatch.setattr(neighbours, "QUERIES", 2)
+    monkeypatch.setattr(neighbours, "MEET", 1)
+    monkeypatch.setattr(neighbours, "RERANK", 2)
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (3, [2.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (1, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (10, [1.0, 1.0]), (100, None)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("score", F.lit(2))
@@ -49,6 +52,34 @@ def test_neighbours_odd_rows_and_ties(spark, monkeypatch):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_with_a_vector_that_a_third_of_the_rows_share(spark, monkeypatch):
+    """Only few of its rows are candidates, and the answers are those of brute force."""
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    monkeypatch.setattr(neighbours, "MEET", 2)
+    monkeypatch.setattr(neighbours, "RERANK", 40)
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=8)
+    rows = [(k, (hot if k % 3 == 0 else hot + rng.normal(size=8) * rng.choice([0.01, 1.0])).tolist()) for k in range(600)] + [(0, hot.tolist())] * 20
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    valid = table.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("row"))
+    assert neighbours.codes(valid, 5).count() == 400 + 5 + 5  # of the shared vector: five rows of id 0, then five more ids
+    got = neighbours.nearest(table, F.col("vec_id") % 50 == 0).collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    wanted, mine = {}, {}
+    for k in sorted({k for k in ids.tolist() if k % 50 == 0}):
+        other = np.flatnonzero(ids != k)
+        score = neighbours.cosines(x[ids == k][0], x[other])
+        wanted[k] = [(int(ids[other[t]]), float(score[t])) for t in neighbours.best(ids[other], score, 5)]
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    zero = mine.pop(0)
+    assert len(zero) == 21 * 5 and set(zero) == set(wanted.pop(0))  # the repeated query is asked each time
+    assert set(mine) == set(wanted)
+    same = sum((Counter(mine[k]) & Counter(wanted[k])).total() for k in mine)
+    assert same >= 0.9 * 5 * len(mine)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("offset", F.lit(1)).withColumn("payload", F.lit("x"))
 
@@ -143,13 +174,37 @@ def test_decontamination_catches_reordered_passages(spark, monkeypatch):
     table = docs(spark, rows)
     kept = decontamination.without_contaminated(table, benchmark(spark, items))
     assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 3, 4, 5]
-    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 40)  # many blocks find the same
+    monkeypatch.setattr(decontamination, "BITMAP_BITS", 64)  # a full bitmap finds the same
     again = decontamination.contaminated(docs(spark, rows), benchmark(spark, items)).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
     assert decontamination.contaminated(docs(spark, []), benchmark(spark, items)).count() == 0
     assert decontamination.contaminated(docs(spark, rows), benchmark(spark, [])).count() == 0
 
 
+def test_decontamination_against_all_pairs(spark, sf):
+    """No pair is lost by the seeds: every document is tiled with every item."""
+    table, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    hashes = decontamination.word_hashes()
+    own = [(r["item_id"], hashes(r["text"])) for r in items.collect()]
+    wanted = set()
+    for r in table.collect():
+        doc = hashes(r["text"])
+        for key, item in own:
+            covered = sum(t[2] for t in decontamination.tile(item, doc, min(5, len(item)))) / len(item)
+            wanted |= {(r["doc_id"], key, round(covered, 9))} if covered >= decontamination.THRESHOLD else set()
+    assert {(r["doc_id"], r["item_id"], round(r["coverage"], 9)) for r in decontamination.contaminated(table, items).collect()} == wanted
+
+
+def test_tiling_of_repetitive_texts_ends_soon():
+    import time
+
+    began, word = time.time(), np.uint64(7)
+    assert sum(t[2] for t in decontamination.tile(np.full(2000, word), np.full(30_000, word), 5)) == 2000
+    period = np.arange(40_000, dtype="u8") % 3
+    assert sum(t[2] for t in decontamination.tile(period[:3000], period, 5)) == 3000
+    assert time.time() - began < 20
+
+
 def test_decontamination_finds_planted_items(spark, sf):
     table, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     clean = lambda t: " ".join(decontamination.words(t)[k].decode() for k in range(len(decontamination.words(t))))
