@@ -10,8 +10,9 @@ rank within their length.
 
 Scale: texts are never shuffled. The narrow piece table is checkpointed once.
 Ranks are counted within (length, salt) groups plus offsets, so a length that
-holds a third of all rows is spread over ``SALTS`` groups, and the plan is
-joined by (length, rank // CHUNK), so no join key has over ``CHUNK`` pieces.
+holds a third of all rows is spread over many groups: ``SALTS``, or one for each
+``SALTED`` pieces if these are more. The plan is joined by (length, rank // CHUNK),
+so no join key has over ``CHUNK`` pieces.
 
 Cases: null and empty texts are one piece that holds the end id alone; repeated
 rows and null ids are packed like any others, each row by itself; an empty table
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from hyperstrata.llm.common import cut_lineage
 from hyperstrata.llm.encoding import encoder
 
-SALTS, CHUNK = 256, 4096
+SALTS, SALTED, CHUNK = 256, 1 << 20, 4096
 
 
 def cut(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -113,7 +114,8 @@ def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     """``pieces`` (with a column ``length`` from 1 to ``max_len``) with sequence_id and offset."""
     spark = pieces.sparkSession
     columns = pieces.columns
-    rows = cut_lineage(pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")))
+    rows = cut_lineage(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(max(SALTS, rows.count() // SALTED))).cast("int"))
     sizes = rows.groupBy("length", "_salt").count()
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most max_len rows
     plan, _ = best_fit_plan(histogram, max_len)

@@ -16,14 +16,17 @@ uint32 (uint16 shards are written if every id of the vocabulary fits; the flag i
 the last byte of ``MAGIC``). A reader that wants one document reads the manifest,
 one footer, one index and one frame.
 
-Scale: one range shuffle by document id writes the shards where the rows are; only
-one row per shard reaches the driver. Shards are written under another name and
-moved into place, so tasks may be retried. The dictionary is fitted on a bounded
-sample (``SAMPLE_DOCS`` documents picked by a hash of their id, the first
-``SAMPLE_BYTES`` of each); every document is encoded whole.
+Scale: one range shuffle by document id (then hash of the text, then row, so that a
+repeated id can span shards) writes the shards where the rows are, about
+``SHARD_CHARS`` characters each; only one row per shard reaches the driver. Shards are
+written under another name and moved into place, so tasks may be retried. Reading joins
+neighbouring frames to reads of at most ``READ_BYTES``. The dictionary is fitted on a
+bounded sample (the ``SAMPLE_DOCS`` documents with the smallest hashes of their ids, of
+each a run of ``SAMPLE_BYTES`` characters from a place that the hash picks); every
+document is encoded whole.
 
 Cases: null and empty texts hold the end id alone; null ids come first and stay
-null; repeated ids stand side by side, ordered by text; an empty table gives a
+null; repeated ids stand side by side, ordered by a hash of the text; an empty table gives a
 folder without shards, from which no rows are read; other columns are ignored.
 """
 
@@ -33,6 +36,7 @@ import hashlib
 import json
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +47,7 @@ from hyperstrata.llm.encoding import encoder
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 16_384, 65_536
 LEVEL = 3
+SHARD_CHARS, READ_BYTES = 1 << 28, 8 << 20
 MAGIC16, MAGIC32 = b"ZTOK001\x02", b"ZTOK001\x04"
 _FOOTER = "<QQI32s8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
@@ -69,13 +74,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Write the folder; returns its manifest. ``id_col`` is an integer column."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
 
-    total = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    picked = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * SAMPLE_DOCS)
+    seen = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(seen["chars"] or 0) // SHARD_CHARS))
+    draw, unit = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)), 1 << 30
+    drawn = docs.where(draw < F.lit(int(min(1.0, 2 * SAMPLE_DOCS / max(1, seen["n"])) * unit)))
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES + 1)).cast("int") + 1
+    picked = drawn.select(F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"), draw.alias("draw")).orderBy("draw", "text").limit(SAMPLE_DOCS)
     vocabulary = len(encoder(tokenizer_path, special=True).tokenizer.get_vocab())
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     dtype, magic = ("<u2", MAGIC16) if width == 2 else ("<u4", MAGIC32)
@@ -85,7 +92,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         enc = encoder(tokenizer_path, special=True)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([enc.encode((t.as_py() or "")[:SAMPLE_BYTES]).astype(dtype).tobytes()[:SAMPLE_BYTES] for t in batch.column(0)], "binary")], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([enc.encode(t.as_py()).astype(dtype).tobytes()[:SAMPLE_BYTES] for t in batch.column(0)], "binary")], names=["ids"])
 
     dictionary = train_dictionary([bytes(r["ids"]) for r in picked.select("text").mapInArrow(serialized, "ids binary").collect()])
     digest = hashlib.sha256(dictionary).digest()
@@ -98,7 +105,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        enc, index = encoder(tokenizer_path, special=True), []
+        enc, index = encoder(tokenizer_path, special=True), [array(t) for t in "qBQLQ"]
         zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=_open_dictionary(dictionary))
         batches = iter(batches)
         first = next((b for b in batches if b.num_rows), None)
@@ -119,19 +126,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     ids = enc.encode_bytes(text.as_py()) + end
                     frame = zip_.compress(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                     out.write(frame)
-                    index.append((key or 0, key is None, at, len(frame), len(ids) // 4))
+                    for column, value in zip(index, (key or 0, key is None, at, len(frame), len(ids) // 4)):
+                        column.append(value)
                     at += len(frame)
-            columns = [np.array(c, t).tobytes() for c, (_, t) in zip(zip(*index), _INDEX)]
-            table = b"".join(columns)
+            table = b"".join(np.array(c, t).tobytes() for c, (_, t) in zip(index, _INDEX))
             out.write(table)
-            out.write(struct.pack(_FOOTER, len(index), at, zlib.crc32(table), digest, magic))
+            out.write(struct.pack(_FOOTER, len(index[0]), at, zlib.crc32(table), digest, magic))
 
         write_whole(fs, f"{path}/{name}", write)
-        yield pa.RecordBatch.from_pylist([{"number": number, "name": name, "n_docs": len(index), "n_tokens": sum(x[4] for x in index), "first": None if index[0][1] else index[0][0], "last": None if index[-1][1] else index[-1][0]}], schema=pa.schema([("number", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"number": number, "name": name, "n_docs": len(index[0]), "n_tokens": sum(index[4]), "first": None if index[1][0] else index[0][0], "last": None if index[1][-1] else index[0][-1]}], schema=pa.schema([("number", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     written = (
-        docs.repartitionByRange(shards, F.col("key").asc_nulls_first())
-        .sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+        docs.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(shards, F.col("key").asc_nulls_first(), "hash", "row")
+        .sortWithinPartitions(F.col("key").asc_nulls_first(), "hash")
+        .select("key", "text")
         .mapInArrow(write_shard, "number int, name string, n_docs long, n_tokens long, first long, last long")
         .collect()  # one row per shard
     )
@@ -178,7 +187,21 @@ class Shard:
 
     def ids(self, k: int) -> bytes:
         """Ids of the k-th document of the shard as little-endian uint32."""
-        frame = self.file.read_at(int(self.index["size"][k]), int(self.index["offset"][k]))
+        return self._ids(k, self.file.read_at(int(self.index["size"][k]), int(self.index["offset"][k])))
+
+    def all_ids(self):
+        """Ids of all documents in order; neighbouring frames are read together."""
+        offsets, sizes = self.index["offset"].astype("i8"), self.index["size"].astype("i8")
+        first = 0
+        while first < len(offsets):
+            last = max(first + 1, int(np.searchsorted(offsets + sizes, offsets[first] + READ_BYTES, "right")))
+            data = self.file.read_at(int(offsets[last - 1] + sizes[last - 1] - offsets[first]), int(offsets[first]))
+            for k in range(first, last):
+                at = offsets[k] - offsets[first]
+                yield self._ids(k, data[at : at + sizes[k]])
+            first = last
+
+    def _ids(self, k: int, frame: bytes) -> bytes:
         ids = self._unzip.decompress(frame, max_output_size=int(self.index["n_tokens"][k]) * 4)
         return ids if self.dtype == "<u4" else np.frombuffer(ids, self.dtype).astype("<u4").tobytes()
 
@@ -201,8 +224,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 for number in batch.column(0).to_pylist():
                     entry = manifest["shards"][number]
                     shard, start = Shard(folder, entry["name"], manifest["dictionary_sha256"]), entry["start"]
-                    for k in range(entry["n_docs"]):
-                        ids = shard.ids(k)
+                    for k, ids in enumerate(shard.all_ids()):
                         yield (None if shard.index["null"][k] else int(shard.index["key"][k]), start, len(ids) // 4, ids), len(ids)
                         start += len(ids) // 4
 
