@@ -20,7 +20,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose templates recur in other documents."""
     from hyperstrata.llm.line_dedup import drop_recurring_lines
 
-    return drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return drop_recurring_lines(docs, counts=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
