@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, packed, text_keys, unpacked, written
 
-SEED, SEGMENT, TILE = 42, 2, 2048
+SEED, SEGMENT, TILE, SMALL = 42, 2, 2048, 64
 _ALIKE = 0.375  # two random segments of two bits have equal counts so often
 _CHUNK = 1 << 15
 
@@ -141,6 +141,43 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, max_distance: int) -> list
     return edges
 
 
+def _unit_links(rows: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
+    """Spanning forests of the links of units of work: rows (group, cell, i, j, tile, fp) in this order, units whole.
+
+    Units of few fingerprints are compared all at once, by their distance in the table;
+    links found are united unit by unit.
+    """
+    starts = np.concatenate([[0], np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(0)) + 1])
+    sizes = np.diff(np.append(starts, rows.shape[1]))
+    fp, same = rows[5].view("u8"), rows[2, starts] == rows[3, starts]
+    small, edges = same & (sizes <= SMALL), []
+    for a, n, one in zip(starts[~small].tolist(), sizes[~small].tolist(), same[~small].tolist()):
+        own = fp[a : a + n]
+        cut = n if one else int(np.searchsorted(rows[4, a : a + n], rows[2, a], "right"))
+        edges += _forest(own[:cut], own if one else own[cut:], one, max_distance)
+    some = np.repeat(small, sizes)
+    nodes, unit = fp[some], np.repeat(np.arange(len(sizes)), sizes)[some]
+    unary, near = unary_counts(nodes), []
+    for d in range(1, int(sizes[small].max(initial=1))):
+        at = np.flatnonzero(unit[d:] == unit[:-d])
+        at = at[np.bitwise_count(unary[at] ^ unary[at + d]) <= max_distance]
+        at = at[np.bitwise_count(nodes[at] ^ nodes[at + d]) <= max_distance]
+        near += zip(at.tolist(), (at + d).tolist())
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in near:  # places of one unit are never those of another
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            edges.append((int(nodes[a].view("i8")), int(nodes[b].view("i8"))))
+    return edges
+
+
 def links(nodes: DataFrame, max_distance: int = 4, shared: int | None = None) -> DataFrame:
     """Edges (a, b) that connect just what links within ``max_distance`` connect."""
     in_cells = cells(nodes, max_distance, shared or shared_groups(nodes.count(), max_distance)).withColumn("_spread", F.xxhash64("fp"))
@@ -150,19 +187,29 @@ def links(nodes: DataFrame, max_distance: int = 4, shared: int | None = None) ->
     partners = F.expr("transform(sequence(0, _tiles - 1), u -> struct(least(_tile, u) as i, greatest(_tile, u) as j))")
     work = tiles.select("group", "cell", "fp", "_tile", F.inline(partners))
 
-    def join(table):
+    unit = ["group", "cell", "i", "j"]
+
+    def join(batches):
         import pyarrow as pa
 
-        fp = np.asarray(table.column("fp")).view("u8")
-        tile, i, j = (table.column(c) for c in ("_tile", "i", "j"))
-        same = i[0].as_py() == j[0].as_py()
-        first = np.asarray(tile) == i[0].as_py()
-        a = np.sort(fp[first])
-        edges = _forest(a, a if same else np.sort(fp[~first]), same, max_distance)
-        x, y = zip(*edges) if edges else ((), ())
-        return pa.table({"a": pa.array(x, "int64"), "b": pa.array(y, "int64")})
+        def found(rows):
+            edges = _unit_links(rows, max_distance)
+            x, y = zip(*edges) if edges else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, "int64"), pa.array(y, "int64")], names=["a", "b"])
 
-    return work.groupBy("group", "cell", "i", "j").applyInArrow(join, "a long, b long")
+        held = np.zeros((6, 0), "i8")  # the rows of the last unit, which may go on in the next batch
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([np.asarray(c).astype("i8") for c in batch.columns])], axis=1)
+            fresh = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(0))
+            last = fresh[-1] + 1 if len(fresh) else 0
+            held = rows[:, last:]
+            if last:
+                yield found(rows[:, :last])
+        if held.size:
+            yield found(held)
+
+    ordered = work.select(*unit, "_tile", "fp").repartition(*unit).sortWithinPartitions(*unit, "_tile", "fp")
+    return ordered.mapInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
