@@ -36,7 +36,7 @@ from hyperstrata.llm.common import LOWER_ASCII, packed, text_keys, unpacked, wri
 from hyperstrata.llm.encoding import Memo
 
 MIN_MATCH, THRESHOLD = 5, 0.6
-BITMAP_BITS = 1 << 27
+BITMAP_BITS, PROBES = 1 << 27, (0, 18, 37)  # a seed sets one bit for each part of its hash
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,9 +138,10 @@ def seed_table(items: DataFrame, min_match: int) -> DataFrame:
 def bitmap_of(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
     """(a bitmap of the seeds' hashes, the lengths of seeds); both of bounded size."""
     lengths = {r["k"]: r["n"] for r in seeds.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    bits = min(BITMAP_BITS, 1 << max(16, (32 * sum(lengths.values())).bit_length()))
-    at = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    cells = seeds.select(F.shiftright(at, 6).alias("cell"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bits = min(BITMAP_BITS, 1 << max(16, (512 * sum(lengths.values())).bit_length()))
+    at = F.col("at")
+    probes = F.explode(F.array(*[F.shiftrightunsigned("hash", p).bitwiseAND(F.lit(bits - 1)) for p in PROBES]))
+    cells = seeds.select(probes.alias("at")).select(F.shiftright(at, 6).alias("cell"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     bitmap = np.zeros(bits // 64, "i8")
     bitmap[np.asarray(cells.column("cell"))] = np.asarray(cells.column("bits"))
     return bitmap.view("u1"), sorted(lengths)
@@ -161,8 +162,9 @@ def suspects(docs: DataFrame, carry: list[str], text_col: str, bitmap: np.ndarra
             for k, text in enumerate(batch.column(len(carry))):
                 numbers = hashes(text.as_py())
                 found = np.concatenate([np.zeros(0, "u8"), *(running_hashes(numbers, n) for n in lengths)])
-                place = found & mask
-                found = found[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype("u1") & 1 == 1]
+                for probe in PROBES:
+                    place = found >> np.uint64(probe) & mask
+                    found = found[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype("u1") & 1 == 1]
                 if len(found):
                     at.append(k)
                     seeds.append(np.unique(found).view("i8"))
