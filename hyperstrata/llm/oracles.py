@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 from hyperstrata.llm.licenses import COVER, K, STRETCH, templates
-from hyperstrata.llm.line_dedup import DEPTH, MIN_DOCS, SIMILARITY
+from hyperstrata.llm.line_dedup import DEPTH, MIN_DOCS, RUNS, SIMILARITY
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
-#: Rounds of templates that the SQL unrolls; the operator goes on until none is found.
-ROUNDS = 5
-
-
 def _round(k: int) -> str:
-    """The CTEs of one round: what is left of the leaves, votes, seeds, and the lines that share a template."""
+    """The CTEs of one round: untried meetings, the largest of each line, votes, seeds, and the lines that share a template."""
     left = (
-        f"SELECT n, leaf, t, w FROM kinds JOIN (SELECT n, leaf FROM kinds WHERE floor((1 - {SIMILARITY}) * (n - {DEPTH}) + 1e-9) >= 1 GROUP BY 1, 2 HAVING count(*) > 1) USING (n, leaf)"
+        f"SELECT n, leaf, t, w, []::BIGINT[] AS tried FROM kinds JOIN (SELECT n, leaf FROM kinds WHERE floor((1 - {SIMILARITY}) * (n - {DEPTH}) + 1e-9) >= 1 GROUP BY 1, 2 HAVING count(*) > 1) USING (n, leaf)"
         if k == 0
-        else f"SELECT n, leaf, t, w FROM j{k - 1} JOIN a{k - 1} USING (n, leaf) WHERE NOT joins"
+        else f"SELECT n, leaf, t, w, list_append(tried, run) AS tried FROM j{k - 1} LEFT JOIN a{k - 1} USING (n, leaf, run, key) WHERE NOT (joins AND lines IS NOT NULL)"
     )
+    runs = f"least({RUNS}, CAST(floor((1 - {SIMILARITY}) * len(w) + 1e-9) AS BIGINT) + 1)"
     return f"""
-l{k} AS ({left}),
-u{k} AS (SELECT n, leaf, t, w, unnest(range(len(w))) AS place, unnest(w) AS word FROM l{k}),
-c{k} AS (SELECT n, leaf, place, word FROM u{k} GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY n, leaf, place ORDER BY count(*) DESC, word DESC) = 1),
-s{k} AS (SELECT n, leaf, w AS seed FROM (SELECT u.n, u.leaf, u.t, u.w, count(*) FILTER (WHERE u.word = c.word) AS same FROM u{k} u JOIN c{k} c USING (n, leaf, place) GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY n, leaf ORDER BY same DESC, w DESC) = 1),
-j{k} AS (SELECT n, leaf, t, w, len(list_filter(range(len(w)), lambda i: w[i + 1] = seed[i + 1])) >= {SIMILARITY} * len(w) AS joins FROM l{k} JOIN s{k} USING (n, leaf)),
-a{k} AS (SELECT n, leaf FROM j{k} WHERE joins GROUP BY 1, 2 HAVING count(*) > 1),"""
+l{k} AS MATERIALIZED ({left}),
+e{k} AS (SELECT n, leaf, t, run, array_to_string(w[run * len(w) // runs + 1 : (run + 1) * len(w) // runs], ' ') AS key FROM (SELECT *, unnest(range(runs)) AS run FROM (SELECT *, {runs} AS runs FROM l{k})) WHERE NOT list_contains(tried, run)),
+b{k} AS (SELECT n, leaf, t, run, key FROM (SELECT *, count(*) OVER (PARTITION BY n, leaf, run, key) AS size FROM e{k}) WHERE size > 1 QUALIFY row_number() OVER (PARTITION BY n, leaf, t ORDER BY size DESC, run) = 1),
+p{k} AS MATERIALIZED (SELECT * FROM l{k} JOIN b{k} USING (n, leaf, t)),
+u{k} AS (SELECT n, leaf, run, key, t, w, unnest(range(len(w))) AS place, unnest(w) AS word FROM p{k}),
+c{k} AS (SELECT n, leaf, run, key, place, word FROM u{k} GROUP BY 1, 2, 3, 4, 5, 6 QUALIFY row_number() OVER (PARTITION BY n, leaf, run, key, place ORDER BY count(*) DESC, word DESC) = 1),
+s{k} AS (SELECT n, leaf, run, key, w AS seed FROM (SELECT u.n, u.leaf, u.run, u.key, u.t, u.w, count(*) FILTER (WHERE u.word = c.word) AS same FROM u{k} u JOIN c{k} c USING (n, leaf, run, key, place) GROUP BY 1, 2, 3, 4, 5, 6) QUALIFY row_number() OVER (PARTITION BY n, leaf, run, key ORDER BY same DESC, w DESC) = 1),
+j{k} AS MATERIALIZED (SELECT n, leaf, run, key, t, w, tried, len(list_filter(range(len(w)), lambda i: w[i + 1] = seed[i + 1])) >= {SIMILARITY} * len(w) AS joins FROM p{k} JOIN s{k} USING (n, leaf, run, key)),
+a{k} AS MATERIALIZED (SELECT n, leaf, run, key, count(*) AS lines FROM j{k} WHERE joins GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),"""
 
 
 LINE_DEDUP = f"""
@@ -33,9 +33,9 @@ WITH
 l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, text, pos, list_transform(string_split(trim(regexp_replace(line, '[ \\x09\\x0B-\\x0D]+', ' ', 'g'), ' '), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l WHERE trim(line, {BLANK}) <> ''),
 m AS (SELECT doc_id, text, pos, w, len(w) AS n, array_to_string(w[1:{DEPTH}], ' ') AS leaf, array_to_string(w, ' ') AS t FROM w),
-kinds AS (SELECT n, leaf, t, any_value(w)[{DEPTH + 1}:] AS w FROM m GROUP BY 1, 2, 3),{"".join(map(_round, range(ROUNDS)))}
-merged AS ({" UNION ALL ".join(f"SELECT n, leaf, t, {k} AS round FROM j{k} JOIN a{k} USING (n, leaf) WHERE joins" for k in range(ROUNDS))}),
-g AS (SELECT m.doc_id, m.text, m.pos, CASE WHEN merged.t IS NULL THEN 'line ' || m.t ELSE 'leaf ' || m.n || ' ' || merged.round || ' ' || m.leaf END AS template FROM m LEFT JOIN merged USING (n, leaf, t)),
+kinds AS (SELECT n, leaf, t, any_value(w)[{DEPTH + 1}:] AS w FROM m GROUP BY 1, 2, 3),{"".join(map(_round, range(RUNS)))}
+merged AS ({" UNION ALL ".join(f"SELECT n, leaf, t, {k} || ' ' || run || ' ' || key AS place FROM j{k} JOIN a{k} USING (n, leaf, run, key) WHERE joins" for k in range(RUNS))}),
+g AS (SELECT m.doc_id, m.text, m.pos, CASE WHEN merged.t IS NULL THEN 'line ' || m.t ELSE 'leaf ' || m.n || ' ' || m.leaf || ' ' || merged.place END AS template FROM m LEFT JOIN merged USING (n, leaf, t)),
 recurring AS (SELECT template, min(doc_id) AS first FROM (SELECT DISTINCT template, doc_id, text FROM g) GROUP BY 1 HAVING count(*) >= {MIN_DOCS}),
 dropped AS (SELECT DISTINCT doc_id, text, pos FROM g JOIN recurring USING (template) WHERE doc_id > first),
 kept AS (SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept FROM (SELECT DISTINCT * FROM l) l ANTI JOIN dropped USING (doc_id, text, pos) GROUP BY 1, 2),
