@@ -43,6 +43,24 @@ def convolve(grid: Grid, taps: list[float], lag: int = 0, adjoint: bool = False)
     return grid.with_v(total)
 
 
+def complex_matvec(matrix: DataFrame, grid: Grid, rows: int, adjoint: bool = False) -> Grid:
+    """Multiply each complex line of axis 1 by a matrix (row, col, re, im); the adjoint by its conjugate transpose."""
+    row, col, sign = ("col", "row", -1.0) if adjoint else ("row", "col", 1.0)
+    hit = matrix.select(F.col(row).alias("_r"), F.col(col).alias("i1"), "re", (F.col("im") * sign).alias("im")).join(grid.df, "i1")
+    re = F.sum(F.col("re") * F.col("v.re") - F.col("im") * F.col("v.im"))
+    im = F.sum(F.col("re") * F.col("v.im") + F.col("im") * F.col("v.re"))
+    df = hit.groupBy(F.col("_r").alias("i1"), *grid.others(1)).agg(F.struct(re.alias("re"), im.alias("im")).alias("v"))
+    return Grid(df, grid.header.with_axis(1, n=rows))
+
+
+def matched(data: Grid, other: Grid, taps: int) -> Grid:
+    """The adjoint of filtering ``other``: for each tap j, the sum of data(i) other(i - j + taps div 2) along a line."""
+    j = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(taps - 1).cast("long")))
+    moved = other.df.withColumn("_j", j).select(*other.others(1), "_j", (F.col("i1") + F.col("_j") - F.lit(taps // 2)).alias("i1"), F.col("v").alias("_w"))
+    df = moved.join(data.df, data.indices).groupBy(F.col("_j").alias("i1"), *data.others(1)).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+    return Grid(df, data.header.with_axis(1, n=taps))
+
+
 def autocorrelation(grid: Grid, lags: int) -> Grid:
     """Sums of products of each line with itself at lags 0 to lags - 1."""
     w = grid.along(1)
@@ -69,10 +87,28 @@ def dft(grid: Grid, frequencies: int) -> DataFrame:
 
 
 def covariance(grid: Grid) -> DataFrame:
-    """row, col, a: products of samples of axis 1 averaged over all other axes (uncentred)."""
-    right = grid.df.select(F.col("i1").alias("_j"), *grid.others(1), F.col("v").alias("_w"))
-    pairs = grid.df.join(right, grid.others(1))
-    return pairs.groupBy(F.col("i1").alias("row"), F.col("_j").alias("col")).agg(F.avg(F.col("v") * F.col("_w")).alias("a"))
+    """row, col, a: products of samples of axis 1 averaged over all other axes (uncentred).
+
+    Lines become arrays; each task adds up the products of its lines in one matrix, so a
+    matrix per task is shuffled. Lines must have all samples of the axis.
+    """
+    n = grid.axis(1).n
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total, lines = np.zeros((n, n)), 0
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), "f8").reshape(-1, n)
+            total += x.T @ x
+            lines += len(x)
+        if lines:
+            at = np.arange(n * n)
+            yield pa.RecordBatch.from_arrays([pa.array(at // n), pa.array(at % n), pa.array(total.ravel()), pa.array(np.full(n * n, lines))], names=["row", "col", "total", "lines"])
+
+    sums = grid.to_traces().select("trace").mapInArrow(products, "row long, col long, total double, lines long")
+    return sums.groupBy("row", "col").agg((F.sum("total") / F.sum("lines")).alias("a"))
 
 
 def as_matrix(grid: Grid) -> DataFrame:

@@ -128,13 +128,20 @@ def combine(grids: list[Grid], mode: str, scale: list[float] | None = None, shif
     return replace(first, df=df)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (a local one in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; without the setting a local one, in local mode alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hyperstrata-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -34,12 +34,23 @@ def global_rank(df: DataFrame, order: list[str], name: str, descending: bool = F
 
 def kth_smallest(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
     """The exact k-th smallest (from 0) by narrowing histograms; at most ``most``
-    distinct values, or those of one tie, are looked at one by one."""
+    distinct values, or those of one tie, are looked at one by one. Nulls and NaN do
+    not count; with no other value the answer is NaN, and a k beyond the last takes
+    the greatest."""
     x = F.col(column).cast("double")
-    values = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    values = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     low, high = values.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return float("nan")
     while low < high:
+        # infinite ends, and ranges too narrow or too wide to be divided, are looked at by value
         width = (high - low) / 1000
+        if not 0 < width < float("inf"):
+            for s in values.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").count().orderBy("x").toLocalIterator():
+                if k < s["count"]:
+                    return s["x"]
+                k -= s["count"]
+            return high
         cell = F.least(F.floor((F.col("x") - low) / width), F.lit(999))
         held = values.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.approx_count_distinct("x").alias("u"))
         for r in held.orderBy("cell").collect():  # at most 1000 rows
@@ -52,6 +63,9 @@ def kth_smallest(df: DataFrame, column: str, k: int, most: int = 10_000) -> floa
                 if k < s["count"]:
                     return s["x"]
                 k -= s["count"]
+            return high
+        if k >= r["n"]:
+            return high
     return low
 
 

@@ -177,14 +177,23 @@ def shifts(panel_: Grid, dips: Axis) -> Grid:
 
 
 def remap_angle(gather: Grid, rule: str, angles: Axis) -> Grid:
-    """Axis 1 from tan, cos or sin of an angle to the angle in degrees."""
+    """Axis 1 from tan, cos, sin, -1/cos (``inverse cos``) or 1/sin of an angle to the angle in degrees."""
     a = gather.axis(1)
     angle = F.radians(F.lit(float(angles.o)) + F.col("i1") * F.lit(float(angles.d)))
-    value = {"tan": F.tan, "cos": F.cos, "sin": F.sin}[rule](angle)
+    value = {"tan": F.tan, "cos": F.cos, "sin": F.sin, "inverse cos": lambda x: -1 / F.cos(x), "inverse sin": lambda x: 1 / F.sin(x)}[rule](angle)
     out = resample.remapped(gather, (value - F.lit(float(a.o))) / F.lit(float(a.d)), n=angles.n)
     return Grid(out.df, out.header.with_axis(1, o=angles.o, d=angles.d, label="Angle", unit="deg"))
 
 
+def converted_angle(gather: Grid, ratio: float, inverse: bool = False) -> Grid:
+    """Axis 1, tan of an angle, of PP gathers to that of PS gathers for a ratio of velocities, or back; linear between samples."""
+    a, r = gather.axis(1), ((1 - ratio) / (1 + ratio)) ** 2 * (-1 if inverse else 1)
+    t = F.pow(F.lit(float(a.o)) + F.col("i1") * F.lit(float(a.d)), F.lit(2.0))
+    at = F.try_divide(t + F.lit(r), 1 + F.lit(r) * t)
+    position = (F.sqrt(F.greatest(at, F.lit(0.0))) - F.lit(float(a.o))) / F.lit(float(a.d))
+    return resample.remapped(gather, F.when(at >= 0, position).otherwise(-1.0))
+
+
 def partition_velocity(velocity: Grid, cuts: list[float]) -> DataFrame:
     """The part of v**2 t in each interval between cut times: cut number, and the velocity of that part."""
     t = velocity.x(1)

@@ -36,6 +36,7 @@ def _round(c: Column, digits: int) -> Column:
 def _load() -> None:
     from hyperstrata.plans import (  # noqa: F401
         queries_bin,
+        queries_extra,
         queries_flow,
         queries_frame,
         queries_kernel,
@@ -45,6 +46,7 @@ def _load() -> None:
         queries_seismic,
         queries_select,
         queries_shape,
+        queries_source,
     )
 
 

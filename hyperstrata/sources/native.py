@@ -109,6 +109,8 @@ def write(grid: Grid, path: str, data_format: str = "native_float") -> None:
         at = np.asarray(table.column("line")) - number * block
         v = table.column("v")
         x = np.zeros(min(block, total - number * block), dtype)
+        if len(np.unique(at)) != len(x):
+            raise ValueError("some samples of the grid are missing or given twice")
         if dtype.kind == "c":
             s = v.combine_chunks()
             x[at] = np.asarray(s.field("re")) + 1j * np.asarray(s.field("im"))

@@ -295,3 +295,45 @@ def test_round_trip_of_traces(spark):
     a = RNG.normal(size=(3, 5))
     g = grid(spark, a)
     assert np.allclose(dense(from_traces(g.to_traces(), g.header)), a)
+
+
+def test_order_statistics_of_odd_values(spark):
+    """NaN and null do not count, nothing is NaN, ties, infinities and tiny ranges are told apart."""
+    from hyperstrata.operators.rank import kth_smallest
+
+    def kth(values, k):
+        return kth_smallest(spark.createDataFrame([(v,) for v in values], "x double"), "x", k)
+
+    nan, inf = float("nan"), float("inf")
+    assert [kth([3.0, nan, 1.0, None, 2.0], k) for k in range(3)] == [1.0, 2.0, 3.0]
+    assert math.isnan(kth([], 0)) and math.isnan(kth([nan, None], 0))
+    assert kth([5.0, 5.0, 5.0], 2) == 5.0 and kth([1.0, 2.0], 9) == 2.0
+    assert [kth([-inf, 0.0, inf], k) for k in range(3)] == [-inf, 0.0, inf]
+    assert [kth([0.0, 5e-324, 1e-323], k) for k in range(3)] == [0.0, 5e-324, 1e-323]
+    values = [float(x) for x in RNG.normal(size=500)]
+    assert [kth(values, k) for k in (0, 250, 499)] == [sorted(values)[k] for k in (0, 250, 499)]
+
+
+def test_native_write_counts_samples(spark, tmp_path):
+    g = grid(spark, [[1.0, 2.0], [3.0, 4.0]])
+    with pytest.raises(Exception, match="missing"):
+        native.write(Grid(g.df.where("not (i1 = 1 and i2 = 0)"), g.header), str(tmp_path / "a.h"))
+    with pytest.raises(Exception, match="missing"):
+        native.write(Grid(g.df.where("i2 = 0").union(g.df.where("i2 = 0")), g.header), str(tmp_path / "b.h"))
+
+
+def test_covariance_against_numpy(spark):
+    from hyperstrata.operators import algebra
+
+    x = RNG.normal(size=(7, 5))
+    got = {(r["row"], r["col"]): r["a"] for r in algebra.covariance(grid(spark, x)).collect()}
+    assert np.allclose([[got[i, j] for j in range(5)] for i in range(5)], x.T @ x / 7)
+    one = {(r["row"], r["col"]): r["a"] for r in algebra.covariance(grid(spark, x[0])).collect()}
+    assert np.allclose([[one[i, j] for j in range(5)] for i in range(5)], np.outer(x[0], x[0]))
+
+
+def test_sobel3_is_zero_on_the_border_and_exact_on_a_ramp(spark):
+    u = np.add.outer(np.add.outer(5.0 * np.arange(4), 3.0 * np.arange(4)), 2.0 * np.arange(4))
+    for axis, slope in ((1, 2.0), (2, 3.0), (3, 5.0)):
+        g = dense(frame.sobel3(grid(spark, u), axis))
+        assert np.allclose(g[1:-1, 1:-1, 1:-1], 2 * slope * (4 * 5 + 4)) and not g[0].any() and not g[:, :, -1].any()
