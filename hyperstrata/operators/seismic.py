@@ -109,18 +109,23 @@ def kirchhoff_time(section: Grid, velocity: float, aperture: int, adjoint: bool
     most ``aperture`` traces away; modelling spreads along the same curves. Every sample
     makes at most 2 * aperture + 1 requests, joined by index and summed.
     """
-    a1, a2 = section.axis(1), section.axis(2)
+    a1, a2, extra = section.axis(1), section.axis(2), section.others(1, 2)
     shift = F.explode(F.sequence(F.lit(-aperture).cast("long"), F.lit(aperture).cast("long")))
     t0 = F.lit(float(a1.o)) + F.col("i1") * F.lit(float(a1.d))
     h = F.col("_s") * F.lit(float(a2.d)) * F.lit(2.0 / velocity)
     index = F.floor(F.lit(0.5) + (F.sqrt(t0 * t0 + h * h) - F.lit(float(a1.o))) / F.lit(float(a1.d))).cast("long")
     curves = section.df.withColumn("_s", shift).withColumns({"_j": index, "_y": F.col("i2") + F.col("_s")}).where((F.col("_j") < a1.n) & (F.col("_y") >= 0) & (F.col("_y") < a2.n))
     if adjoint:
-        df = curves.groupBy(F.col("_j").alias("i1"), F.col("_y").alias("i2")).agg(F.sum("v").alias("v"))
-        df = index_grid(section.spark, section.header).join(df, ["i1", "i2"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+        sums = curves.groupBy(F.col("_j").alias("i1"), F.col("_y").alias("i2"), *extra).agg(F.sum("v").alias("v"))
+        frame = index_grid(section.spark, Header((a1, a2)))
+        panels = section.df.select(*extra).distinct().withColumn("_one", F.lit(1)) if extra else section.spark.range(1).select(F.lit(1).alias("_one"))
+        # every panel has every place of axes 1 and 2, a bounded table
+        places = frame.agg(F.collect_list(F.struct("i1", "i2")).alias("_all")).withColumn("_one", F.lit(1))
+        full = panels.join(F.broadcast(places), "_one").select(*extra, F.inline("_all"))
+        df = full.join(sums, section.indices, "left").select(*section.indices, F.coalesce("v", F.lit(0.0)).alias("v"))
         return Grid(df, section.header)
-    source = section.df.select(F.col("i1").alias("_j"), F.col("i2").alias("_y"), F.col("v").alias("_v"))
-    df = curves.select("i1", "i2", "_j", "_y").join(source, ["_j", "_y"]).groupBy("i1", "i2").agg(F.sum("_v").alias("v"))
+    source = section.df.select(F.col("i1").alias("_j"), F.col("i2").alias("_y"), *extra, F.col("v").alias("_v"))
+    df = curves.select("i1", "i2", *extra, "_j", "_y").join(source, ["_j", "_y", *extra]).groupBy(*section.indices).agg(F.sum("_v").alias("v"))
     return Grid(df, section.header)
 
 

@@ -32,6 +32,12 @@ def panels(spark: SparkSession, sf: str, width: int, d1: float = 1.0, d2: float
     return Grid(df, Header((Axis(64, 0.0, d1), Axis(width, 0.0, d2), Axis())))
 
 
+def whole(spark: SparkSession, sf: str) -> Grid:
+    """All vectors, with the number of them in the header."""
+    g = vectors(spark, sf)
+    return g.put(n2=(g.df.agg(F.max("i2")).first()[0] or 0) + 1)
+
+
 def gathers(spark: SparkSession, sf: str) -> Grid:
     """embeddings as gathers: axis 3 is the label, axis 2 the vector."""
     df = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("i3"), F.col("vec_id").alias("i2"), F.posexplode("embedding").alias("i1", "v"))
@@ -58,6 +64,11 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumn("x", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(EPOCH).cast("timestamp"))) / F.lit(1e6))
 
 
+def panels_sql(width: int) -> str:
+    """The CTE g of all vectors dealt to panels of ``width``, without the places after the last."""
+    return f"g AS (SELECT vec_id % {width} AS i2, vec_id // {width} AS i3, CAST(unnest(range(len(embedding))) AS BIGINT) AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
 VECTORS = "g AS (SELECT vec_id AS i2, CAST(label AS BIGINT) AS i3, CAST(unnest(range(len(embedding))) AS BIGINT) AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 LINES = f"g AS (SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) - 1 AS i1, l_orderkey AS i2, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem)"
 FEED = f"g AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i1, user_id AS i2, CAST(value AS DOUBLE) AS v, (epoch_us(ts) - epoch_us(TIMESTAMP '{EPOCH}')) / 1e6 AS x, event_type FROM events)"

@@ -13,7 +13,7 @@ from hyperstrata.operators import velocity as V
 from hyperstrata.operators import weights as W
 from hyperstrata.operators.grid import Grid
 from hyperstrata.operators.select import to_complex
-from hyperstrata.plans.adapters import LINE_ORDER, VECTORS, gathers, panels, table, vectors
+from hyperstrata.plans.adapters import LINE_ORDER, VECTORS, gathers, panels, panels_sql, table, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
@@ -118,15 +118,11 @@ def stacks(spark, sf):
     return rounded(V.constant_velocity_stacks(gathers(spark, sf).put(d1=0.01, d2=0.0005), Axis(3, 1.5, 0.5)).df)
 
 
-def _panel_sql(width: int) -> str:
-    return f"e AS (SELECT vec_id % {width} AS i2, vec_id // {width} AS i3, CAST(unnest(range(len(embedding))) AS BIGINT) AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), g AS (SELECT * FROM e)"
-
-
 def _frame_sql(n: int) -> str:
     return f"FROM range(64) AS i(i) CROSS JOIN range({n}) AS k(i) CROSS JOIN (SELECT DISTINCT i3 FROM g) u LEFT JOIN s ON s.t0 = i.i AND s.k = k.i AND s.i3 = u.i3"
 
 
-@query(f"""WITH {_panel_sql(8)}, x AS (SELECT i.i AS t0, k.i AS k, u.i2, u.i3, (i.i * 0.01) * (i.i * 0.01) - (k.i * 0.0517 * 2.0 / (1.5 + u.i2 * 0.25)) * (k.i * 0.0517 * 2.0 / (1.5 + u.i2 * 0.25)) AS f FROM range(64) AS i(i), range(6) AS k(i), (SELECT DISTINCT i2, i3 FROM g) u),
+@query(f"""WITH {panels_sql(8)}, x AS (SELECT i.i AS t0, k.i AS k, u.i2, u.i3, (i.i * 0.01) * (i.i * 0.01) - (k.i * 0.0517 * 2.0 / (1.5 + u.i2 * 0.25)) * (k.i * 0.0517 * 2.0 / (1.5 + u.i2 * 0.25)) AS f FROM range(64) AS i(i), range(6) AS k(i), (SELECT DISTINCT i2, i3 FROM g) u),
 y AS ({_taps("SELECT *, sqrt(f) / 0.01 AS p FROM x WHERE f >= 0", "i2, i3")}), s AS (SELECT t0, k, i3, sum(v) * (1.0 / 384) AS v FROM y GROUP BY 1, 2, 3)
 SELECT i.i AS i1, k.i AS i2, u.i3, {R("coalesce(s.v, 0.0)")} AS v {_frame_sql(6)}""")
 def velmod(spark, sf):
@@ -134,7 +130,7 @@ def velmod(spark, sf):
     return rounded(V.velocity_model(scan, Axis(6, 0.0, 0.0517)).df)
 
 
-@query(f"""WITH {_panel_sql(16)}, x AS (SELECT i.i AS t0, k.i AS k, u.i2, u.i3, sqrt((i.i * 0.01) * (i.i * 0.01) + (k.i * 0.0937) * (u.i2 * 0.0517) * (u.i2 * 0.0517)) AS t FROM range(1, 64) AS i(i), range(4) AS k(i), (SELECT DISTINCT i2, i3 FROM g) u),
+@query(f"""WITH {panels_sql(16)}, x AS (SELECT i.i AS t0, k.i AS k, u.i2, u.i3, sqrt((i.i * 0.01) * (i.i * 0.01) + (k.i * 0.0937) * (u.i2 * 0.0517) * (u.i2 * 0.0517)) AS t FROM range(1, 64) AS i(i), range(4) AS k(i), (SELECT DISTINCT i2, i3 FROM g) u),
 y AS ({_taps("SELECT *, t / 0.01 AS p FROM x WHERE t / 0.01 <= 63", "i2, i3")}), s AS (SELECT t0, k, i3, sum(v * (t0 * 0.01) / (t * sqrt(t))) AS v FROM y GROUP BY 1, 2, 3)
 SELECT i.i AS i1, k.i AS i2, u.i3, {R("coalesce(s.v, 0.0)", 5)} AS v {_frame_sql(4)}""")
 def veltran(spark, sf):

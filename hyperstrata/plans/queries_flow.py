@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hyperstrata.functions.header import Axis, Header
-from hyperstrata.operators.grid import Grid
 from hyperstrata.plans.adapters import VECTORS, gathers, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.flow import flow
@@ -42,9 +40,8 @@ def byte_scale(spark, sf):
     return byte(vectors(spark, sf), 0.25).df
 
 
-@query(f"WITH {VECTORS}, q AS (SELECT i1, i2, v FROM g WHERE i2 < 24) SELECT i1 // 16 AS i1, i2 // 6 AS i2, {R('avg(v)')} AS v FROM q GROUP BY 1, 2")
+@query(f"WITH {VECTORS} SELECT i1 // 16 AS i1, i2 // 6 AS i2, {R('avg(v)')} AS v FROM g GROUP BY 1, 2")
 def patch_means(spark, sf):
-    """Means of 16 by 6 patches of a panel."""
-    g = vectors(spark, sf, "vec_id < 24")
-    df = Grid(g.df, Header((Axis(64), Axis(24)))).df
+    """Means of 16 by 6 patches of all vectors."""
+    df = vectors(spark, sf).df
     return rounded(df.groupBy(F.expr("i1 div 16").alias("i1"), F.expr("i2 div 6").alias("i2")).agg(F.avg("v").alias("v")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hyperstrata.functions.header import Axis, Header
 from hyperstrata.operators import generate as G, inverse, panel as P, traces as T
 from hyperstrata.operators.grid import Grid
-from hyperstrata.plans.adapters import VECTORS, panels, vectors
+from hyperstrata.plans.adapters import VECTORS, panels, panels_sql, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
@@ -129,20 +129,15 @@ def recfilt(spark, sf):
     return rounded(T.recursive_filter(vectors(spark, sf), [-0.5, 0.2]).df, 5)
 
 
-def _panel(spark, sf):
-    g = vectors(spark, sf, "vec_id < 64")
-    return Grid(g.df, Header((Axis(64), Axis(64))))
-
-
 def _velocity(spark):
     return G.layered(spark, Header((Axis(60, 0.0, 10.0), Axis(40, 0.0, 10.0))), [(300.0, 0.1)], [(1500.0, 0.0, 0.0), (2500.0, 0.0, 0.0)])
 
 
-@query(f"""WITH RECURSIVE {VECTORS}, u AS (SELECT 0 AS s, i1, i2, v FROM g WHERE i2 < 64 UNION ALL
-SELECT s + 1, i1, i2, v + 0.2 * (coalesce(lag(v) OVER (PARTITION BY i2 ORDER BY i1) - v, 0) + coalesce(lead(v) OVER (PARTITION BY i2 ORDER BY i1) - v, 0) + coalesce(lag(v) OVER (PARTITION BY i1 ORDER BY i2) - v, 0) + coalesce(lead(v) OVER (PARTITION BY i1 ORDER BY i2) - v, 0)) FROM u WHERE s < 5)
-SELECT i1, i2, {R("v", 5)} AS v FROM u WHERE s = 5""")
+@query(f"""WITH RECURSIVE {panels_sql(64)}, f AS (SELECT a.i AS i1, b.i AS i2, u.i3 FROM range(64) AS a(i), range(64) AS b(i), (SELECT DISTINCT i3 FROM g) u), u AS (SELECT 0 AS s, i1, i2, i3, coalesce(v, 0.0) AS v FROM f LEFT JOIN g USING (i1, i2, i3) UNION ALL
+SELECT s + 1, i1, i2, i3, v + 0.2 * (coalesce(lag(v) OVER (PARTITION BY i2, i3 ORDER BY i1) - v, 0) + coalesce(lead(v) OVER (PARTITION BY i2, i3 ORDER BY i1) - v, 0) + coalesce(lag(v) OVER (PARTITION BY i1, i3 ORDER BY i2) - v, 0) + coalesce(lead(v) OVER (PARTITION BY i1, i3 ORDER BY i2) - v, 0)) FROM u WHERE s < 5)
+SELECT i1, i2, i3, {R("v", 5)} AS v FROM u WHERE s = 5""")
 def heat(spark, sf):
-    return rounded(P.heat(_panel(spark, sf), 5, 0.2).df, 5)
+    return rounded(P.heat(panels(spark, sf, 64), 5, 0.2).df, 5)
 
 
 @query()
@@ -195,19 +190,19 @@ def dip(spark, sf):
     return rounded(P.local_slope(panels(spark, sf, 64)).df, 5)
 
 
-@query(f"WITH {VECTORS} SELECT {R('sum(v * v)', 4)} AS v FROM g WHERE i2 < 64")
+@query(f"WITH {VECTORS} SELECT {R('sum(v * v)', 4)} AS v FROM g")
 def svd_energy(spark, sf):
-    """Squared singular values add up to the energy of the panel."""
-    return rounded(P.singular_values(_panel(spark, sf)).df.agg(F.sum(F.col("v") * F.col("v")).alias("v")), 4)
+    """Squared singular values add up to the energy of all panels."""
+    return rounded(P.singular_values(panels(spark, sf, 64)).df.agg(F.sum(F.col("v") * F.col("v")).alias("v")), 4)
 
 
-@query(f"WITH {VECTORS}, w AS (SELECT i1, i2, v + 1.0 AS d FROM g WHERE i2 < 16) SELECT i1, i2, {R('d - coalesce(lag(d) OVER (PARTITION BY i2 ORDER BY i1), 0)', 4)} AS v FROM w WHERE i1 < 6")
+@query(f"WITH {VECTORS}, w AS (SELECT i1 % 4 AS i1, i2 * 16 + i1 // 4 AS i2, v + 1.0 AS d FROM g) SELECT i1, i2, {R('d - coalesce(lag(d) OVER (PARTITION BY i2 ORDER BY i1), 0)', 4)} AS v FROM w")
 def conjgrad(spark, sf):
     """Undo a causal integration of short lines by conjugate gradients."""
-    g = vectors(spark, sf, "vec_id < 16")
-    data = Grid(g.df.where("i1 < 6").withColumn("v", F.col("v") + 1.0), Header((Axis(6), Axis(16))))
+    short = vectors(spark, sf).df.select(F.expr("i1 % 4").alias("i1"), F.expr("i2 * 16 + i1 div 4").alias("i2"), (F.col("v") + 1.0).alias("v"))
+    data = Grid(short, Header((Axis(4), Axis())))
     start = data.with_v(F.lit(0.0))
-    return rounded(inverse.conjugate_gradients(inverse.causal_integration, data, start, 6).df, 4)
+    return rounded(inverse.conjugate_gradients(inverse.causal_integration, data, start, 5).df, 4)
 
 
 @query("SELECT * FROM (VALUES ('causint', true), ('gradient', true), ('convolution', true)) AS t(operator, adjoint)")

@@ -117,14 +117,14 @@ def covariance(spark, sf):
     return rounded(algebra.covariance(vectors(spark, sf)))
 
 
-@query(f"""WITH {VECTORS}, a AS (SELECT i2 AS row, i1 // 2 AS col, max(CASE WHEN i1 % 2 = 0 THEN v END) AS re, max(CASE WHEN i1 % 2 = 1 THEN v END) AS im FROM g WHERE i2 < 40 GROUP BY 1, 2),
+@query(f"""WITH {VECTORS}, a AS (SELECT i2 AS row, i1 // 2 AS col, max(CASE WHEN i1 % 2 = 0 THEN v END) AS re, max(CASE WHEN i1 % 2 = 1 THEN v END) AS im FROM g GROUP BY 1, 2),
 b AS (SELECT col AS row, row AS col, re, -im AS im FROM a)
-SELECT a.row, b.col, {R("sum(a.re * b.re - a.im * b.im)")} AS re, {R("sum(a.re * b.im + a.im * b.re)")} AS im FROM a JOIN b ON a.col = b.row GROUP BY 1, 2""")
+SELECT a.row, b.col, {R("sum(a.re * b.re - a.im * b.im)", 4)} AS re, {R("sum(a.re * b.im + a.im * b.re)", 4)} AS im FROM b AS a JOIN a AS b ON a.col = b.row GROUP BY 1, 2""")
 def cmatmult2(spark, sf):
-    """A complex panel times its conjugate transpose."""
+    """The conjugate transpose of all vectors, taken as complex, times themselves."""
     from hyperstrata.operators.select import to_complex
 
-    c = to_complex(vectors(spark, sf, "vec_id < 40"), pair=True).df
+    c = to_complex(vectors(spark, sf), pair=True).df
     a = c.select(F.col("i2").alias("row"), F.col("i1").alias("col"), "v.re", "v.im")
     b = a.select(F.col("col").alias("row"), F.col("row").alias("col"), "re", (-F.col("im")).alias("im"))
-    return rounded(algebra.complex_matmul(a, b))
+    return rounded(algebra.complex_matmul(b, a), 4)

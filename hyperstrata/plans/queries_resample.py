@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hyperstrata.functions.header import Axis, Header
 from hyperstrata.operators import resample as I
 from hyperstrata.operators.grid import Grid
-from hyperstrata.plans.adapters import FEED, VECTORS, feed, vectors
+from hyperstrata.plans.adapters import FEED, VECTORS, feed, panels, panels_sql, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
@@ -60,23 +60,23 @@ def t2stretch(spark, sf):
     return rounded(I.stretch(g, "t2", 64, 0.02, 0.008).df)
 
 
-_PANEL = "q AS (SELECT i1, i2, v FROM g WHERE i2 < 24)"
+def _curves(index: str) -> str:
+    """SQL: the samples asked for along curves in every panel."""
+    return f"a AS (SELECT t.i AS t0, k.i AS k, x.i2 AS x, x.i3, CAST(floor(0.5 + ({index}) / 0.01) AS BIGINT) AS j FROM range(64) AS t(i), range(9) AS k(i), (SELECT DISTINCT i2, i3 FROM g) x)"
 
 
-def _panel(spark, sf):
-    g = vectors(spark, sf, "vec_id < 24")
-    return Grid(g.df, Header((Axis(64, 0.0, 0.01), Axis(24, 0.0, 0.05))))
+_FRAME = "FROM range(64) AS t(i) CROSS JOIN range(9) AS k(i) CROSS JOIN (SELECT DISTINCT i3 FROM g) u LEFT JOIN s ON s.t0 = t.i AND s.k = k.i AND s.i3 = u.i3"
 
 
-@query(f"""WITH {VECTORS}, {_PANEL}, a AS (SELECT t.i AS t0, k.i AS k, x.i AS x, CAST(floor(0.5 + (t.i * 0.01 + (-0.2013 + k.i * 0.04717) * (x.i * 0.05)) / 0.01) AS BIGINT) AS j FROM range(64) AS t(i), range(9) AS k(i), range(24) AS x(i)),
-s AS (SELECT t0, k, sum(q.v) AS v FROM a JOIN q ON q.i1 = a.j AND q.i2 = a.x GROUP BY 1, 2)
-SELECT t.i AS i1, k.i AS i2, {R("coalesce(s.v, 0.0)")} AS v FROM range(64) AS t(i) CROSS JOIN range(9) AS k(i) LEFT JOIN s ON s.t0 = t.i AND s.k = k.i""")
+@query(f"""WITH {panels_sql(24)}, {_curves("t.i * 0.01 + (-0.2013 + k.i * 0.04717) * (x.i2 * 0.05)")},
+s AS (SELECT t0, k, a.i3, sum(g.v) AS v FROM a JOIN g ON g.i1 = a.j AND g.i2 = a.x AND g.i3 = a.i3 GROUP BY 1, 2, 3)
+SELECT t.i AS i1, k.i AS i2, u.i3, {R("coalesce(s.v, 0.0)")} AS v {_FRAME}""")
 def slant_stack(spark, sf):
-    return rounded(I.slant_stack(_panel(spark, sf), Axis(9, -0.2013, 0.04717)).df)
+    return rounded(I.slant_stack(panels(spark, sf, 24, 0.01, 0.05), Axis(9, -0.2013, 0.04717)).df)
 
 
-@query(f"""WITH {VECTORS}, {_PANEL}, a AS (SELECT t.i AS t0, k.i AS k, x.i AS x, CAST(floor(0.5 + sqrt((0.0 + t.i * 0.01) * (0.0 + t.i * 0.01) + ((0.0 + x.i * 0.05) / (1.53 + k.i * 0.27)) * ((0.0 + x.i * 0.05) / (1.53 + k.i * 0.27))) / 0.01) AS BIGINT) AS j FROM range(64) AS t(i), range(9) AS k(i), range(24) AS x(i)),
-s AS (SELECT t0, k, sum(q.v) * sum(q.v) / (sum(CASE WHEN q.v <> 0 THEN 1 ELSE 0 END) * sum(q.v * q.v)) AS v FROM a JOIN q ON q.i1 = a.j AND q.i2 = a.x GROUP BY 1, 2)
-SELECT t.i AS i1, k.i AS i2, {R("coalesce(s.v, 0.0)")} AS v FROM range(64) AS t(i) CROSS JOIN range(9) AS k(i) LEFT JOIN s ON s.t0 = t.i AND s.k = k.i""")
+@query(f"""WITH {panels_sql(24)}, {_curves("sqrt((0.0 + t.i * 0.01) * (0.0 + t.i * 0.01) + ((0.0 + x.i2 * 0.05) / (1.53 + k.i * 0.27)) * ((0.0 + x.i2 * 0.05) / (1.53 + k.i * 0.27)))")},
+s AS (SELECT t0, k, a.i3, sum(g.v) * sum(g.v) / (sum(CASE WHEN g.v <> 0 THEN 1 ELSE 0 END) * sum(g.v * g.v)) AS v FROM a JOIN g ON g.i1 = a.j AND g.i2 = a.x AND g.i3 = a.i3 GROUP BY 1, 2, 3)
+SELECT t.i AS i1, k.i AS i2, u.i3, {R("coalesce(s.v, 0.0)")} AS v {_FRAME}""")
 def vscan_semblance(spark, sf):
-    return rounded(I.velocity_scan(_panel(spark, sf), Axis(9, 1.53, 0.27)).df)
+    return rounded(I.velocity_scan(panels(spark, sf, 24, 0.01, 0.05), Axis(9, 1.53, 0.27)).df)

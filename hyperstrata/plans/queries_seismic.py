@@ -7,33 +7,37 @@ from pyspark.sql import functions as F
 from hyperstrata.functions.header import Axis, Header
 from hyperstrata.operators import seismic as S
 from hyperstrata.operators.grid import Grid
-from hyperstrata.plans.adapters import VECTORS, panels, table, vectors
+from hyperstrata.plans.adapters import VECTORS, panels, panels_sql, table, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
-_CUBE = "q AS (SELECT i1, i2 % 6 AS i2, i2 // 6 AS i3, v FROM g WHERE i2 < 60 AND i1 < 16)"
+_CUBE = "q AS (SELECT i1, i2 % 6 AS i2, i2 // 6 AS i3, v FROM g)"
 
 
 def _cube(spark, sf):
-    """16 samples, 6 offsets, 10 midpoints."""
-    g = vectors(spark, sf, "vec_id < 60")
-    df = g.df.where("i1 < 16").select("i1", (F.col("i2") % 6).alias("i2"), F.expr("i2 div 6").alias("i3"), "v")
-    return Grid(df, Header((Axis(16, 0.0, 0.01), Axis(6, -0.25, 0.1), Axis(10, 0.0, 0.1))))
+    """All vectors as gathers of 6 offsets: axis 3 is the midpoint."""
+    df = vectors(spark, sf).df.select("i1", (F.col("i2") % 6).alias("i2"), F.expr("i2 div 6").alias("i3"), "v")
+    n3 = (df.agg(F.max("i3")).first()[0] or 0) + 1
+    return Grid(df, Header((Axis(64, 0.0, 0.01), Axis(6, -0.25, 0.1), Axis(n3, 0.0, 0.1))))
 
 
-def _panel(spark, sf, n2=24):
-    g = vectors(spark, sf, f"vec_id < {n2}")
-    return Grid(g.df, Header((Axis(64, 0.0, 0.01), Axis(n2, 0.0, 0.05))))
+def _panels(spark, sf):
+    return panels(spark, sf, 24, 0.01, 0.05)
 
 
-@query(f"WITH {VECTORS}, {_CUBE}, f AS (SELECT a.i AS i1, b.i AS i2, c.i AS i3 FROM range(16) AS a(i), range(6) AS b(i), range(12) AS c(i)) SELECT f.i1, f.i2, f.i3, coalesce(q.v, 0.0) AS v FROM f LEFT JOIN q ON q.i1 = f.i1 AND q.i2 = f.i2 AND q.i3 = f.i3 + f.i2 - 5")
+_SHOTS = "f AS (SELECT a.i AS i1, b.i AS i2, c.i AS i3 FROM range(64) AS a(i), range(6) AS b(i), range((SELECT max(i3) + 6 FROM q)) AS c(i))"
+
+
+@query(f"WITH {VECTORS}, {_CUBE}, {_SHOTS} SELECT f.i1, f.i2, f.i3, coalesce(q.v, 0.0) AS v FROM f LEFT JOIN q ON q.i1 = f.i1 AND q.i2 = f.i2 AND q.i3 = f.i3 + f.i2 - 5")
 def cmp2shot(spark, sf):
-    return S.cmp_to_shot(_cube(spark, sf), 12).df
+    cube = _cube(spark, sf)
+    return S.cmp_to_shot(cube, cube.axis(3).n + 5).df
 
 
-@query(f"WITH {VECTORS}, {_CUBE}, f AS (SELECT a.i AS i1, b.i AS i2, c.i AS i3 FROM range(16) AS a(i), range(6) AS b(i), range(12) AS c(i)) SELECT f.i1, f.i2, f.i3, coalesce(q.v, 0.0) AS v FROM f LEFT JOIN q ON q.i1 = f.i1 AND q.i2 = f.i2 AND q.i3 = f.i3 - f.i2 + 5")
+@query(f"WITH {VECTORS}, {_CUBE}, {_SHOTS} SELECT f.i1, f.i2, f.i3, coalesce(q.v, 0.0) AS v FROM f LEFT JOIN q ON q.i1 = f.i1 AND q.i2 = f.i2 AND q.i3 = f.i3 - f.i2 + 5")
 def shot2cmp(spark, sf):
-    return S.shot_to_cmp(_cube(spark, sf), 12).df
+    cube = _cube(spark, sf)
+    return S.shot_to_cmp(cube, cube.axis(3).n + 5).df
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) SELECT o_orderkey, round(o_totalprice / 2 + 10 * n + (5 + n * 0.5), 4) + 0.0 AS v FROM n")
@@ -75,17 +79,17 @@ def nmow_fit(spark, sf):
     return rounded(S.moveout_fit(picks, ["l_suppkey"], "t", "t0", "x", "y"), 4)
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT i1, i2, v FROM g WHERE i2 < 24), c AS (SELECT q.i1, q.i2, CAST(floor(0.5 + sqrt((i1 * 0.01) * (i1 * 0.01) + (s.s * 0.05 * (2.0 / 1.87)) * (s.s * 0.05 * (2.0 / 1.87))) / 0.01) AS BIGINT) AS j, q.i2 + s.s AS y FROM q, (SELECT range - 5 AS s FROM range(11)) s)
-SELECT c.i1, c.i2, {R("sum(q.v)")} AS v FROM c JOIN q ON q.i1 = c.j AND q.i2 = c.y GROUP BY 1, 2""")
+@query(f"""WITH {panels_sql(24)}, q AS (SELECT i1, i2, i3, v FROM g), c AS (SELECT q.i1, q.i2, q.i3, CAST(floor(0.5 + sqrt((i1 * 0.01) * (i1 * 0.01) + (s.s * 0.05 * (2.0 / 1.87)) * (s.s * 0.05 * (2.0 / 1.87))) / 0.01) AS BIGINT) AS j, q.i2 + s.s AS y FROM q, (SELECT range - 5 AS s FROM range(11)) s)
+SELECT c.i1, c.i2, c.i3, {R("sum(q.v)")} AS v FROM c JOIN q ON q.i1 = c.j AND q.i2 = c.y AND q.i3 = c.i3 GROUP BY 1, 2, 3""")
 def kirchhoff(spark, sf):
-    return rounded(S.kirchhoff_time(_panel(spark, sf), 1.87, 5).df)
+    return rounded(S.kirchhoff_time(_panels(spark, sf), 1.87, 5).df)
 
 
 @query("SELECT true AS adjoint")
 def kirchhoff_dottest(spark, sf):
     from hyperstrata.operators.inverse import Operator, dot_test
 
-    g = _panel(spark, sf)
+    g = _panels(spark, sf)
     op = Operator(lambda m: S.kirchhoff_time(m, 1.87, 5), lambda d: S.kirchhoff_time(d, 1.87, 5, adjoint=True))
     a, b = dot_test(op, g, g)
     return spark.createDataFrame([(abs(a - b) <= 1e-9 * max(abs(a), 1.0),)], "adjoint boolean")
@@ -96,16 +100,16 @@ def stolt(spark, sf):
     return rounded(S.stolt(panels(spark, sf, 32, 0.01, 0.05), 2.0).df, 5)
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT i1, i2, v FROM g WHERE i2 < 24), p AS (SELECT i.i AS i1, k.i AS i2, ((0.1 + k.i * 0.21) * (i.i * 0.01)) / 0.05 AS p FROM range(64) AS i(i), range(8) AS k(i))
-SELECT p.i1, p.i2, {R("coalesce(a.v, 0) * (1 - (p - floor(p))) + coalesce(b.v, 0) * (p - floor(p))")} AS v FROM p LEFT JOIN q a ON a.i1 = p.i1 AND a.i2 = floor(p) LEFT JOIN q b ON b.i1 = p.i1 AND b.i2 = floor(p) + 1""")
+@query(f"""WITH {panels_sql(24)}, p AS (SELECT i.i AS i1, k.i AS i2, u.i3, ((0.1 + k.i * 0.21) * (i.i * 0.01)) / 0.05 AS p FROM range(64) AS i(i), range(8) AS k(i), (SELECT DISTINCT i3 FROM g) u)
+SELECT p.i1, p.i2, p.i3, {R("coalesce(a.v, 0) * (1 - (p - floor(p))) + coalesce(b.v, 0) * (p - floor(p))")} AS v FROM p LEFT JOIN g a ON a.i1 = p.i1 AND a.i3 = p.i3 AND a.i2 = floor(p) LEFT JOIN g b ON b.i1 = p.i1 AND b.i3 = p.i3 AND b.i2 = floor(p) + 1""")
 def radial(spark, sf):
-    return rounded(S.radial(_panel(spark, sf), Axis(8, 0.1, 0.21)).df)
+    return rounded(S.radial(_panels(spark, sf), Axis(8, 0.1, 0.21)).df)
 
 
-@query(f"""WITH {VECTORS}, q AS (SELECT i1, i2, v FROM g WHERE i2 < 24), p AS (SELECT i1, i2, k.i AS i3, i1 + (-1.3) + k.i * 0.65 AS p FROM q, range(5) AS k(i))
+@query(f"""WITH {VECTORS}, q AS (SELECT i1, i2, v FROM g), p AS (SELECT i1, i2, k.i AS i3, i1 + (-1.3) + k.i * 0.65 AS p FROM q, range(5) AS k(i))
 SELECT p.i1, p.i2, p.i3, {R("CASE WHEN p >= 0 AND p <= 63 THEN coalesce(a.v, 0) * (1 - (p - floor(p))) + coalesce(b.v, 0) * (p - floor(p)) ELSE 0.0 END")} AS v FROM p LEFT JOIN q a ON a.i2 = p.i2 + 1 AND a.i1 = floor(p) LEFT JOIN q b ON b.i2 = p.i2 + 1 AND b.i1 = floor(p) + 1""")
 def shifts(spark, sf):
-    return rounded(S.shifts(_panel(spark, sf), Axis(5, -1.3, 0.65)).df)
+    return rounded(S.shifts(vectors(spark, sf), Axis(5, -1.3, 0.65)).df)
 
 
 @query(f"""WITH {VECTORS}, p AS (SELECT o.i1, u.i2, (tan(radians(0.0 + o.i1 * 1.3)) - 0.0) / 0.05 AS p FROM range(30) AS o(i1), (SELECT DISTINCT i2 FROM g) u)

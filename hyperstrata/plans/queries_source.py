@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hyperstrata.operators.grid import shared_folder
 from hyperstrata.plans import datasets
-from hyperstrata.plans.adapters import VECTORS, vectors
+from hyperstrata.plans.adapters import VECTORS, vectors, whole
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 from hyperstrata.sources import native, segy, tables
@@ -21,15 +21,10 @@ def _path(spark, kind: str) -> str:
     return f"{folder}/{kind}-{uuid.uuid4().hex}"
 
 
-def _whole(spark, sf):
-    g = vectors(spark, sf)
-    return g.put(n2=g.df.agg(F.max("i2")).first()[0] + 1)
-
-
 @query(f"WITH {VECTORS} SELECT i1, i2, v FROM g")
 def native_round_trip(spark, sf):
     path = _path(spark, "native")
-    native.write(_whole(spark, sf), path)
+    native.write(whole(spark, sf), path)
     return native.read(spark, path).df.select("i1", "i2", F.col("v").cast("double").alias("v"))
 
 
@@ -61,7 +56,7 @@ def csv_round_trip(spark, sf):
 def dataset_copy(spark, sf):
     """Saved, copied, the first removed, and the copy loaded."""
     first, second = _path(spark, "dataset"), _path(spark, "dataset")
-    datasets.save(_whole(spark, sf), first)
+    datasets.save(whole(spark, sf), first)
     datasets.copy(spark, first, second)
     datasets.remove(first)
     return datasets.load(spark, second).df.select("i1", "i2", "v")
@@ -71,7 +66,7 @@ def dataset_copy(spark, sf):
 def header_get(spark, sf):
     """Header values of a saved dataset after one of them is put."""
     path = _path(spark, "dataset")
-    datasets.save(_whole(spark, sf), path)
+    datasets.save(whole(spark, sf), path)
     datasets.put(path, d1=0.5)
     h = datasets.load(spark, path).header
     return spark.createDataFrame([(h.axis(1).n, h.axis(2).n, float(h.axis(1).d))], "n1 long, n2 long, d1 double")
@@ -80,4 +75,4 @@ def header_get(spark, sf):
 @query(f"WITH {VECTORS} SELECT i2, CAST(count(*) AS INTEGER) AS n, max(CASE WHEN i1 = 3 THEN v END) AS fourth FROM g GROUP BY 1")
 def print_rows(spark, sf):
     """Lines as they are printed: their lengths and fourth samples."""
-    return tables.to_rows(_whole(spark, sf)).select("i2", F.size("trace").alias("n"), F.col("trace")[3].alias("fourth"))
+    return tables.to_rows(whole(spark, sf)).select("i2", F.size("trace").alias("n"), F.col("trace")[3].alias("fourth"))
