@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hyperstrata.llm.common import LOWER_ASCII, packed, text_keys, unpacked, written
-from hyperstrata.llm.encoding import Memo
 
 MIN_MATCH, THRESHOLD = 5, 0.6
 BITMAP_BITS, PROBES = 1 << 27, (0, 18, 37)  # a seed sets one bit for each part of its hash
@@ -47,14 +46,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_hashes():
-    """text -> the 64-bit hashes of its words; those of words seen before are kept in a bounded table."""
+    """text -> the 64-bit hashes of its words."""
     import xxhash
 
-    get = Memo(xxhash.xxh64_intdigest).__getitem__
-
     def hashes(text: str | None) -> np.ndarray:
         found = words(text)
-        return np.fromiter(map(get, found), "u8", len(found))
+        return np.fromiter(map(xxhash.xxh64_intdigest, found), "u8", len(found))
 
     return hashes
 
