@@ -123,6 +123,29 @@ def batches_of(rows, schema, most_bytes: int = 8_000_000, most_rows: int = 5_000
         yield batch()
 
 
+def releasing(run):
+    """A function on Arrow batches that gives freed memory back to the system when its task ends.
+
+    Python workers are kept for later tasks and stages; what their allocators hold on to
+    would add up on an executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def keep_rows(df: DataFrame, text_col: str, make_test) -> DataFrame:
     """The rows whose text passes a test; ``make_test()`` builds it once in each task."""
     at = df.columns.index(text_col)
@@ -134,4 +157,4 @@ def keep_rows(df: DataFrame, text_col: str, make_test) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([bool(test(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import LOWER_ASCII, packed, text_keys, unpacked, written
+from hyperstrata.llm.common import LOWER_ASCII, packed, releasing, text_keys, unpacked, written
 
 MIN_MATCH, THRESHOLD = 5, 0.6
 BITMAP_BITS, PROBES = 1 << 27, (0, 18, 37)  # a seed sets one bit for each part of its hash
@@ -169,7 +169,7 @@ def suspects(docs: DataFrame, carry: list[str], text_col: str, bitmap: np.ndarra
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, "int64")) for c in batch.columns), pa.array(seeds, pa.list_(pa.int64()))], names=[*carry, "text", "seeds"])
 
     kinds = dict(kept.dtypes)
-    out = kept.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", text string, seeds array<long>")
+    out = kept.mapInArrow(releasing(run), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", text string, seeds array<long>")
     return written(out.withColumn("row", F.monotonically_increasing_id()), "suspects")
 
 

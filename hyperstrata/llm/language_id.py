@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import keep_rows
+from hyperstrata.llm.common import keep_rows, releasing
 
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 LANGUAGES, SAMPLE_PER_LANGUAGE, EPOCHS, STEPS, RATE = 512, 1500, 4, 20_000, 0.5
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text
             types = (pa.string(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "draw", "at", "counts"])
 
-    got = sorted(sample.mapInArrow(count, "lang string, draw string, at binary, counts binary").collect(), key=lambda r: (r["draw"], r["lang"]))
+    got = sorted(sample.mapInArrow(releasing(count), "lang string, draw string, at binary, counts binary").collect(), key=lambda r: (r["draw"], r["lang"]))
     label = {lang: k for k, lang in enumerate(languages)}
     bags = [(np.frombuffer(r["at"], "u2"), np.frombuffer(r["counts"], "u4")) for r in got]
     labels = np.array([label[r["lang"]] for r in got], "i8")
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     pred[k] = model.languages[b]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array((score < REJECT_BELOW) | np.array([x == "und" for x in pred], bool))], names=[id_col, "lang_pred", "score", "rejected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
 
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import cut_lineage
+from hyperstrata.llm.common import cut_lineage, releasing
 from hyperstrata.llm.encoding import encoder
 
 SALTS, SALTED, CHUNK = 256, 1 << 20, 4096
@@ -69,7 +69,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
                     names=[id_col, "piece", "start", "length", "ids" if payload == "ids" else "ids_crc32"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(encode, out)
+    return docs.select(id_col, text_col).mapInArrow(releasing(encode), out)
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, packed, text_keys, unpacked, written
+from hyperstrata.llm.common import LOWER_ASCII, cut_lineage, packed, releasing, text_keys, unpacked, written
 
 SEED, SEGMENT, TILE, SMALL = 42, 2, 2048, 64
 _ALIKE = 0.375  # two random segments of two bits have equal counts so often
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), pa.array(fp)], names=[*carry, "_fp"])
 
     kinds = dict(kept.dtypes)
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", _fp long")
+    return kept.mapInArrow(releasing(run), ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", _fp long")
 
 
 def unary_counts(fp: np.ndarray) -> np.ndarray:
