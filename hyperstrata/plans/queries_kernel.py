@@ -12,6 +12,60 @@ from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_select import R
 
 
+def _spectral(response: str, nt: int, where: str = "true") -> str:
+    """CTEs: g, and f, its lines through a filter of the real and imaginary ``response`` at frequency k of nt.
+
+    Said by definition: the response's inverse transform, moved along each line.
+    """
+    return f"""{VECTORS}, r AS (SELECT k, CASE WHEN k IN (0, {nt // 2}) THEN 1 ELSE 2 END AS c, {response} FROM range({nt // 2 + 1}) AS k(k) WHERE {where}),
+h AS (SELECT m, sum(c * (re * cos(2 * pi() * ((k * m) % {nt}) / {nt}) - im * sin(2 * pi() * ((k * m) % {nt}) / {nt}))) / {nt} AS h FROM r, range({nt}) AS m(m) GROUP BY m),
+f AS (SELECT i.i AS i1, g.i2, sum(g.v * h.h) AS f, sum(CASE WHEN g.i1 = i.i THEN g.v END) AS v FROM g, range(64) AS i(i), h WHERE h.m = (i.i - g.i1 + {nt}) % {nt} GROUP BY 1, 2)"""
+
+
+def _impulse(name: str, b: tuple[str, str, str], a: tuple[str, str]) -> str:
+    """CTE: the first 64 places of the answer of a recursive filter to a unit impulse."""
+    return f"{name} AS (SELECT 0 AS m, CAST({b[0]} AS DOUBLE) AS h, 0.0::DOUBLE AS last UNION ALL SELECT m + 1, CASE m WHEN 0 THEN {b[1]} WHEN 1 THEN {b[2]} ELSE 0.0 END - ({a[0]}) * h - ({a[1]}) * last, h FROM {name} WHERE m < 63)"
+
+
+def _convolved(name: str, source: str, impulse: str, backward: bool = False) -> str:
+    """CTE: the lines of ``source`` convolved with an impulse's answer, from the end if backward."""
+    m = f"{source}.i1 - i.i" if backward else f"i.i - {source}.i1"
+    return f"{name} AS (SELECT i.i AS i1, {source}.i2, sum({source}.v * {impulse}.h) AS v FROM {source}, range(64) AS i(i), {impulse} WHERE {impulse}.m = {m} GROUP BY 1, 2)"
+
+
+def _second_order(cut: str, high: bool) -> tuple[tuple[str, str, str], tuple[str, str]]:
+    """Taps of a two-pole Butterworth filter by the bilinear transform, as SQL."""
+    w = f"(2 * tan(pi() * {cut}))"
+    a0 = f"(4 + 2 * sqrt(2) * {w} + {w} * {w})"
+    b0 = f"4 / {a0}" if high else f"{w} * {w} / {a0}"
+    b1 = f"-8 / {a0}" if high else f"2 * {w} * {w} / {a0}"
+    return (b0, b1, b0), (f"(2 * {w} * {w} - 8) / {a0}", f"(4 - 2 * sqrt(2) * {w} + {w} * {w}) / {a0}")
+
+
+_BANDPASS = ", ".join([
+    VECTORS, _impulse("hi", *_second_order("0.04", True)), _impulse("lo", *_second_order("0.24", False)),
+    _convolved("a", "g", "hi"), _convolved("b", "a", "hi", True), _convolved("c", "b", "lo"), _convolved("d", "c", "lo", True),
+])
+_HILBERT = _spectral("0.0 AS re, -1.0 AS im", 64, "k BETWEEN 1 AND 31")
+_HALF_PHASE = "CASE WHEN k = 0 THEN 0.0 ELSE (pi() / 2 - pi() * k / 128) / 2 END"
+_HALF_SIZE = "sqrt(greatest(2 * sin(pi() * k / 128), 0.001))"
+
+
+def _burg(order: int) -> str:
+    """Burg's recursion: forward and backward errors and one reflection coefficient a stage."""
+    out = [VECTORS, "s0 AS (SELECT i1, i2, v AS f, v AS b FROM g)"]
+    filters = ["1.0"]
+    for n in range(1, order + 1):
+        out.append(f"p{n} AS (SELECT i1, i2, f, lag(b) OVER (PARTITION BY i2 ORDER BY i1) AS b FROM s{n - 1})")
+        out.append(f"k{n} AS (SELECT i2, -2 * sum(f * b) / sum(f * f + b * b) AS k{n} FROM p{n} WHERE b IS NOT NULL GROUP BY 1)")
+        out.append(f"s{n} AS (SELECT i1, i2, f + k{n} * b AS f, b + k{n} * f AS b FROM p{n} JOIN k{n} USING (i2) WHERE b IS NOT NULL)")
+        padded = [*filters, "0.0"]
+        filters = [f"({a} + k{n} * {b})" for a, b in zip(padded, reversed(padded), strict=True)]
+    joined = "k1 " + " ".join(f"JOIN k{n} USING (i2)" for n in range(2, order + 1))
+    taps = " UNION ALL ".join(f"SELECT {i} AS i1, i2, {a} AS v FROM {joined}" for i, a in enumerate(filters))
+    return f"WITH {', '.join(out)}, t AS ({taps}) SELECT CAST(i1 AS BIGINT) AS i1, i2, {R('v', 5)} AS v FROM t"
+
+
 @query("SELECT a.i AS i1, b.i AS i2, CASE WHEN a.i = 4 THEN 1.0 ELSE 0.0 END + CASE WHEN a.i BETWEEN 1 AND 2 AND b.i = 6 THEN 2.5 ELSE 0.0 END AS v FROM range(10) AS a(i), range(8) AS b(i)")
 def spike(spark, sf):
     return G.spike(spark, Header((Axis(10), Axis(8))), [{"k": {1: 5}}, {"k": {1: 2, 2: 7}, "l": {1: 3}, "mag": 2.5}]).df
@@ -34,12 +88,16 @@ def noise(spark, sf):
     return rounded(G.noise(vectors(spark, sf), 7, variance=0.01).df)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT a.i AS i1, b.i AS i2, -2.0::DOUBLE + a.i * 0.05::DOUBLE AS x, -1.25::DOUBLE + b.i * 0.05::DOUBLE AS y FROM range(60) AS a(i), range(50) AS b(i)), z AS (SELECT i1, i2, x, y, 0 AS n, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM c UNION ALL
+SELECT i1, i2, x, y, n + 1, a * a - b * b + x, 2 * a * b + y FROM z WHERE sqrt(a * a + b * b) <= 2 AND n < 50)
+SELECT i1, i2, CAST(max(n) AS DOUBLE) AS v FROM z GROUP BY 1, 2""")
 def mandelbrot(spark, sf):
     return G.mandelbrot(spark, Header((Axis(60, -2.0, 0.05), Axis(50, -1.25, 0.05))), 50).df
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT 0 AS i, 3.051522::DOUBLE AS x, 1.582542::DOUBLE AS y, 15.62388::DOUBLE AS z UNION ALL
+SELECT i + 1, x + 0.01 * 10 * (b - a), y + 0.01 * (a * (28 - c) - b), z + 0.01 * (a * b - 8.0::DOUBLE / 3 * c) FROM (SELECT *, x + 0.005 * 10 * (y - x) AS a, y + 0.005 * (x * (28 - z) - y) AS b, z + 0.005 * (x * y - 8.0::DOUBLE / 3 * z) AS c FROM p) WHERE i < 499)
+SELECT CAST(k AS BIGINT) AS i1, CAST(i AS BIGINT) AS i2, {R("CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE z END", 4)} AS v FROM p, range(3) AS k(k)""")
 def lorenz(spark, sf):
     return rounded(G.lorenz(spark, 500).df, 4)
 
@@ -70,32 +128,32 @@ def dwt_round_trip(spark, sf):
     return rounded(T.dwt(T.dwt(vectors(spark, sf)), inverse=True).df, 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BANDPASS} SELECT i1, i2, {R("v", 5)} AS v FROM d""")
 def bandpass(spark, sf):
     return rounded(T.bandpass(vectors(spark, sf).put(d1=0.004), 10.0, 60.0).df, 5)
 
 
-@query()
+@query(f"""WITH {_spectral("CASE WHEN k / 0.256 < 5 OR k / 0.256 > 80 THEN 0.0 WHEN k / 0.256 < 10 THEN (k / 0.256 - 5) / 5 WHEN k / 0.256 <= 60 THEN 1.0 ELSE (80 - k / 0.256) / 20 END AS re, 0.0 AS im", 64)} SELECT i1, i2, {R("f", 5)} AS v FROM f""")
 def trapez(spark, sf):
     return rounded(T.trapezoid(vectors(spark, sf).put(d1=0.004), (5.0, 10.0, 60.0, 80.0)).df, 5)
 
 
-@query()
+@query(f"""WITH {_HILBERT} SELECT i1, i2, {R("sqrt(v * v + f * f)", 5)} AS v FROM f""")
 def envelope(spark, sf):
     return rounded(T.envelope(vectors(spark, sf)).df, 5)
 
 
-@query()
+@query(f"""WITH {_HILBERT} SELECT i1, i2, {R("f", 5)} AS v FROM f""")
 def phase_rotation(spark, sf):
     return rounded(T.envelope(vectors(spark, sf), phase=90.0).df, 5)
 
 
-@query()
+@query(f"""WITH {_spectral("pow(k / 12.8, 2) * exp(1 - pow(k / 12.8, 2)) AS re, 0.0 AS im", 128)} SELECT i1, i2, {R("f", 5)} AS v FROM f""")
 def ricker1(spark, sf):
     return rounded(T.ricker(vectors(spark, sf).put(d1=0.004), 25.0).df, 5)
 
 
-@query()
+@query(f"""WITH {_spectral(f"cos({_HALF_PHASE}) / {_HALF_SIZE} AS re, -sin({_HALF_PHASE}) / {_HALF_SIZE} AS im", 128)} SELECT i1, i2, {R("f", 5)} AS v FROM f""")
 def halfint(spark, sf):
     return rounded(T.half_integral(vectors(spark, sf)).df, 5)
 
@@ -112,7 +170,7 @@ def spline(spark, sf):
     return rounded(T.spline(vectors(spark, sf), Axis(200, -1.0, 0.35)).df, 5)
 
 
-@query()
+@query(_burg(4))
 def burg(spark, sf):
     return rounded(T.prediction_filter(vectors(spark, sf), 4).df, 5)
 
@@ -124,7 +182,7 @@ def smoothreg_mass(spark, sf):
     return rounded(out.df.groupBy("i2").agg(F.sum("v").alias("v")), 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VECTORS}, {_impulse("h", ("1.0", "0.0", "0.0"), ("-0.5", "0.2"))}, {_convolved("y", "g", "h")} SELECT i1, i2, {R("v", 5)} AS v FROM y""")
 def recfilt(spark, sf):
     return rounded(T.recursive_filter(vectors(spark, sf), [-0.5, 0.2]).df, 5)
 
