@@ -66,6 +66,52 @@ def _burg(order: int) -> str:
     return f"WITH {', '.join(out)}, t AS ({taps}) SELECT CAST(i1 AS BIGINT) AS i1, i2, {R('v', 5)} AS v FROM t"
 
 
+def _signed(k: str, n: int) -> str:
+    return f"CASE WHEN {k} < {n // 2} THEN {k} ELSE {k} - {n} END"
+
+
+def filled_sql(n1: int, n2: int, source: str = "g") -> str:
+    """The CTE f: whole panels, 0 where ``source`` has no sample."""
+    return f"f AS (SELECT a.i AS i1, b.i AS i2, u.i3, coalesce(v, 0.0) AS v FROM range({n1}) AS a(i), range({n2}) AS b(i), (SELECT DISTINCT i3 FROM {source}) u LEFT JOIN {source} ON {source}.i1 = a.i AND {source}.i2 = b.i AND {source}.i3 = u.i3)"
+
+
+def dft_sql(name: str, source: str, axis: int, n: int, inverse: bool = False, real: bool = False, out: int | None = None) -> str:
+    """CTE: the transform of axis 1 or 2 (of n places) of panels (i1, i2, i3, re, im or real v), by definition."""
+    re, im = ("v", "0.0") if real else ("re", "im")
+    angle, other = f"(2 * pi() * ((k.k * i{axis}) % {n}) / {n})", 3 - axis
+    c, d = f"cos({angle})", f"{'' if inverse else '-'}sin({angle})"
+    scale = f" / {n}" if inverse else ""
+    return f"{name} AS (SELECT CAST(k.k AS BIGINT) AS i{axis}, i{other}, i3, sum({re} * {c} - {im} * ({d})){scale} AS re, sum({re} * ({d}) + {im} * {c}){scale} AS im FROM {source}, range({out or n}) AS k(k) GROUP BY 1, 2, 3)"
+
+
+_SPECTRA2 = ", ".join([panels_sql(64), dft_sql("a", "g", 1, 64, real=True, out=33), dft_sql("b", "a", 2, 64)])
+_DIPFILTER = ", ".join([
+    panels_sql(64), dft_sql("a", "g", 1, 64, real=True), dft_sql("b", "a", 2, 64),
+    f"c AS (SELECT * FROM b WHERE i1 = 0 OR -({_signed('i2', 64)})::DOUBLE / ({_signed('i1', 64)}) BETWEEN -0.5 AND 0.5)",
+    dft_sql("d", "c", 2, 64, inverse=True), dft_sql("e", "d", 1, 64, inverse=True),
+])
+
+
+def _smoothed_panel(columns: list[str]) -> str:
+    """CTEs t1 and t2: triangle smoothing of panels p (64 by 64) over both axes, edges mirrored."""
+    out, source = [], "p"
+    for axis in (1, 2):
+        at = f"i{axis} + m.m"
+        near = f"CASE WHEN {at} < 0 THEN -1 - ({at}) WHEN {at} > 63 THEN 127 - ({at}) ELSE {at} END"
+        asked = f"(SELECT *, {near} AS j FROM (SELECT i1, i2, i3 FROM {source}) _, range(-4, 5) AS m(m))"
+        other = 3 - axis
+        sums = ", ".join(f"sum((5 - abs(q.m)) / 25.0::DOUBLE * s.{c}) AS {c}" for c in columns)
+        out.append(f"t{axis} AS (SELECT q.i1, q.i2, q.i3, {sums} FROM {asked} q JOIN {source} s ON s.i{axis} = q.j AND s.i{other} = q.i{other} AND s.i3 = q.i3 GROUP BY 1, 2, 3)")
+        source = f"t{axis}"
+    return ", ".join(out)
+
+
+def _central(axis: int) -> str:
+    """SQL: central differences inside, one-sided ones at the ends."""
+    w = f"OVER (PARTITION BY i{3 - axis}, i3 ORDER BY i{axis})"
+    return f"CASE WHEN i{axis} = 0 THEN lead(v) {w} - v WHEN i{axis} = 63 THEN v - lag(v) {w} ELSE (lead(v) {w} - lag(v) {w}) / 2 END"
+
+
 @query("SELECT a.i AS i1, b.i AS i2, CASE WHEN a.i = 4 THEN 1.0 ELSE 0.0 END + CASE WHEN a.i BETWEEN 1 AND 2 AND b.i = 6 THEN 2.5 ELSE 0.0 END AS v FROM range(10) AS a(i), range(8) AS b(i)")
 def spike(spark, sf):
     return G.spike(spark, Header((Axis(10), Axis(8))), [{"k": {1: 5}}, {"k": {1: 2, 2: 7}, "l": {1: 3}, "mag": 2.5}]).df
@@ -208,7 +254,10 @@ def eikonal(spark, sf):
     return rounded(P.travel_times(_velocity(spark), (3, 20)).df, 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE u AS (SELECT 0 AS s, a.i AS i1, b.i AS i2, CASE WHEN a.i >= floor(0.5 + (300 + b.i) / 10.0) THEN 2.5 * 2.5 ELSE 1.5 * 1.5 END::DOUBLE AS c2, 0.0::DOUBLE AS before, 0.0::DOUBLE AS now FROM range(60) AS a(i), range(40) AS b(i) UNION ALL
+SELECT s + 1, i1, i2, c2, now, 2 * now - before + c2 * (coalesce(lag(now) OVER x, 0) + coalesce(lead(now) OVER x, 0) + coalesce(lag(now) OVER y, 0) + coalesce(lead(now) OVER y, 0) - 4 * now) / 100
++ CASE WHEN i1 = 5 AND i2 = 20 THEN (1 - 2 * pow(pi() * 15 * (s * 0.001 - 0.06), 2)) * exp(-pow(pi() * 15 * (s * 0.001 - 0.06), 2)) * 1e-6 ELSE 0.0 END FROM u WHERE s < 150 WINDOW x AS (PARTITION BY i2 ORDER BY i1), y AS (PARTITION BY i1 ORDER BY i2))
+SELECT i1, i2, {R("now", 9)} AS v FROM u WHERE s = 150""")
 def wave2d(spark, sf):
     import math
 
@@ -222,12 +271,12 @@ def lapfill(spark, sf):
     return rounded(P.fill_missing(g.with_v(F.when((F.col("i1") + F.col("i2")) % 3 == 0, F.lit(0.0)).otherwise(F.col("v")))).df, 5)
 
 
-@query()
+@query(f"""WITH {_DIPFILTER} SELECT i1, i2, i3, {R("re", 5)} AS v FROM e""")
 def dipfilter(spark, sf):
     return rounded(P.dip_filter(panels(spark, sf, 64), -0.5, 0.5).df, 5)
 
 
-@query()
+@query(f"""WITH {_SPECTRA2} SELECT i1, (i2 + 32) % 64 AS i2, i3, {R("sqrt(re * re + im * im) / 64", 5)} AS v FROM b""")
 def spectra2(spark, sf):
     return rounded(P.spectra2(panels(spark, sf, 64)).df, 5)
 
@@ -243,7 +292,8 @@ def label_components(spark, sf):
     return P.components(g.with_v((F.col("v") > 0.1).cast("double"))).df
 
 
-@query()
+@query(f"""WITH {panels_sql(64)}, {filled_sql(64, 64)}, d AS (SELECT i1, i2, i3, {_central(1)} AS d1, {_central(2)} AS d2 FROM f), p AS (SELECT i1, i2, i3, d1 * d1 AS a, d1 * d2 AS b FROM d), {_smoothed_panel(["a", "b"])}
+SELECT i1, i2, i3, {R("-b / CASE WHEN a > 1e-12 THEN a ELSE 1.0 END", 5)} AS v FROM t2""")
 def dip(spark, sf):
     return rounded(P.local_slope(panels(spark, sf, 64)).df, 5)
 

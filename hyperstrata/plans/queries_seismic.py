@@ -9,6 +9,7 @@ from hyperstrata.operators import seismic as S
 from hyperstrata.operators.grid import Grid
 from hyperstrata.plans.adapters import VECTORS, panels, panels_sql, table, vectors
 from hyperstrata.plans.catalog import query, rounded
+from hyperstrata.plans.queries_kernel import dft_sql
 from hyperstrata.plans.queries_select import R
 
 _CUBE = "q AS (SELECT i1, i2 % 6 AS i2, i2 // 6 AS i3, v FROM g)"
@@ -95,7 +96,18 @@ def kirchhoff_dottest(spark, sf):
     return spark.createDataFrame([(abs(a - b) <= 1e-9 * max(abs(a), 1.0),)], "adjoint boolean")
 
 
-@query()
+_STOLT = ", ".join([
+    panels_sql(32), dft_sql("a", "g", 1, 128, real=True), dft_sql("b", "a", 2, 32),
+    "w AS (SELECT k.k AS i1, l.l AS i2, (CASE WHEN k.k < 64 THEN k.k ELSE k.k - 128 END) * (1 / (128 * 0.01::DOUBLE)) AS w, (CASE WHEN l.l < 16 THEN l.l ELSE l.l - 32 END) * (1 / (32 * 0.05::DOUBLE)) AS k FROM range(128) AS k(k), range(32) AS l(l))",
+    "s AS (SELECT *, sign(w) * sqrt(w * w + k * k) AS s FROM w)",
+    "p AS (SELECT *, s * 128 * 0.01::DOUBLE AS p, CASE WHEN s = 0 THEN 1.0 ELSE abs(w) / abs(s) END AS j FROM s)",
+    "q AS (SELECT i1, i2, (CAST(floor(p) AS BIGINT) + e.e + 256) % 128 AS at, j * CASE e.e WHEN 0 THEN 1 - (p - floor(p)) ELSE p - floor(p) END AS c FROM p, range(2) AS e(e) WHERE abs(p) < 63)",
+    "m AS (SELECT q.i1, q.i2, b.i3, sum(c * re) AS re, sum(c * im) AS im FROM q JOIN b ON b.i1 = q.at AND b.i2 = q.i2 GROUP BY 1, 2, 3)",
+    dft_sql("n", "m", 2, 32, inverse=True), dft_sql("o", "n", 1, 128, inverse=True, out=64),
+])
+
+
+@query(f"WITH {_STOLT} SELECT i1, i2, i3, {R('re', 5)} AS v FROM o")
 def stolt(spark, sf):
     return rounded(S.stolt(panels(spark, sf, 32, 0.01, 0.05), 2.0).df, 5)
 
@@ -131,7 +143,9 @@ def zoeppritz_normal(spark, sf):
     return rounded(spark.range(1).select(F.col("id").alias("i1"), S.zoeppritz_pp(F.radians(F.lit(0.0)), 2500, 1200, 2.2, 3000, 1500, 2.4).alias("v")))
 
 
-@query()
+@query(f"""WITH t AS (SELECT i, sin(radians(i)) / 2500 AS p FROM range(50) AS i(i)), c AS (SELECT *, sqrt(1 - pow(p * 2500, 2)) / 2500 AS a1, sqrt(1 - pow(p * 3000, 2)) / 3000 AS a2, sqrt(1 - pow(p * 1200, 2)) / 1200 AS b1, sqrt(1 - pow(p * 1500, 2)) / 1500 AS b2, 2.2 * 1200 * 1200 AS m1, 2.4 * 1500 * 1500 AS m2 FROM t),
+k AS (SELECT *, (2.4 - 2 * m2 * p * p) - (2.2 - 2 * m1 * p * p) AS a, 2.4 - 2 * (m2 - m1) * p * p AS b, 2.2 + 2 * (m2 - m1) * p * p AS c, 2 * (m2 - m1) AS d FROM c)
+SELECT i AS i1, {R("((b * a1 - c * a2) * (b * b1 + c * b2) - (a + d * a1 * b2) * (a - d * a2 * b1) * p * p) / ((b * a1 + c * a2) * (b * b1 + c * b2) + (a - d * a1 * b2) * (a - d * a2 * b1) * p * p)")} AS v FROM k""")
 def zoeppritz(spark, sf):
     return rounded(spark.range(50).select(F.col("id").alias("i1"), S.zoeppritz_pp(F.radians(F.col("id").cast("double")), 2500, 1200, 2.2, 3000, 1500, 2.4).alias("v")))
 
