@@ -112,6 +112,39 @@ def _central(axis: int) -> str:
     return f"CASE WHEN i{axis} = 0 THEN lead(v) {w} - v WHEN i{axis} = 63 THEN v - lag(v) {w} ELSE (lead(v) {w} - lag(v) {w}) / 2 END"
 
 
+def _diffusion(steps: int) -> str:
+    """Each step: differences, the median of their sizes in a panel, and the flow over the edges of cells."""
+    out, last = [panels_sql(64), filled_sql(64, 64)], "f"
+    for n in range(steps):
+        out.append(f"d{n} AS (SELECT *, lead(v) OVER (PARTITION BY i2, i3 ORDER BY i1) - v AS a, lead(v) OVER (PARTITION BY i1, i3 ORDER BY i2) - v AS b FROM {last})")
+        out.append(f"k{n} AS (SELECT i3, quantile_cont(x, 0.5) AS k FROM (SELECT i3, abs(a) AS x FROM d{n} WHERE a IS NOT NULL UNION ALL SELECT i3, abs(b) FROM d{n} WHERE b IS NOT NULL) GROUP BY 1)")
+        out.append(f"e{n} AS (SELECT i1, i2, i3, v, coalesce(a / (1 + pow(a / CASE k WHEN 0 THEN 1 ELSE k END, 2)), 0) AS a, coalesce(b / (1 + pow(b / CASE k WHEN 0 THEN 1 ELSE k END, 2)), 0) AS b FROM d{n} JOIN k{n} USING (i3))")
+        out.append(f"u{n} AS (SELECT i1, i2, i3, v + 0.2 * (a + b - coalesce(lag(a) OVER (PARTITION BY i2, i3 ORDER BY i1), 0) - coalesce(lag(b) OVER (PARTITION BY i1, i3 ORDER BY i2), 0)) AS v FROM e{n})")
+        last = f"u{n}"
+    return f"WITH {', '.join(out)} SELECT i1, i2, i3, {R('v', 5)} AS v FROM {last}"
+
+
+#: Curvatures of the natural spline through 64 knots by the closed inverse of their (1, 4, 1) system.
+_SPLINE = f"""WITH {VECTORS}, c AS (SELECT i1, i2, v, 6 * (lead(v) OVER w - 2 * v + lag(v) OVER w) AS c FROM g WINDOW w AS (PARTITION BY i2 ORDER BY i1)),
+n AS (SELECT a.i AS i, b.i AS j, (1 - 2 * ((a.i + b.i) % 2)) * sinh(least(a.i, b.i) * acosh(2.0)) * sinh((63 - greatest(a.i, b.i)) * acosh(2.0)) / (sinh(acosh(2.0)) * sinh(63 * acosh(2.0))) AS x FROM range(1, 63) AS a(i), range(1, 63) AS b(i)),
+m AS (SELECT n.i AS i1, c.i2, sum(n.x * c.c) AS m FROM n JOIN c ON c.i1 = n.j GROUP BY 1, 2),
+k AS (SELECT i1, i2, v, coalesce(m, 0.0) AS m, lead(v) OVER w AS v1, lead(coalesce(m, 0.0)) OVER w AS m1 FROM g LEFT JOIN m USING (i1, i2) WINDOW w AS (PARTITION BY i2 ORDER BY i1)),
+o AS (SELECT i.i AS i1, -1.0::DOUBLE + 0.35::DOUBLE * i.i AS x FROM range(200) AS i(i)), q AS (SELECT *, least(greatest(floor(x), 0), 62) AS b, least(greatest(x, 0), 63) - least(greatest(floor(x), 0), 62) AS t FROM o)
+SELECT q.i1, k.i2, {R("v + t * (v1 - v - (2 * m + m1) / 6) + t * t * m / 2 + t * t * t * (m1 - m) / 6 + CASE WHEN x < 0 THEN x * (v1 - v - m1 / 6) WHEN x > 63 THEN (x - 63) * (v1 - v + m / 6) ELSE 0 END", 5)} AS v FROM q JOIN k ON k.i1 = q.b"""
+
+#: Labels spread over whole runs of columns and rows in turn until nothing can change.
+_COMPONENTS = f"""WITH RECURSIVE {panels_sql(64)}, s AS (SELECT i1, i2, i3, i2 * 64 + i1 AS c FROM g WHERE v > 0.1),
+r AS (SELECT *, i1 - row_number() OVER (PARTITION BY i2, i3 ORDER BY i1) AS down, i2 - row_number() OVER (PARTITION BY i1, i3 ORDER BY i2) AS across FROM s),
+u AS (SELECT 0 AS n, * FROM r UNION ALL SELECT n + 1, i1, i2, i3, min(c) OVER (PARTITION BY i1, i3, across), down, across FROM (SELECT n, i1, i2, i3, min(c) OVER (PARTITION BY i2, i3, down) AS c, down, across FROM u WHERE n < 150)),
+l AS (SELECT i1, i2, i3, dense_rank() OVER (PARTITION BY i3 ORDER BY c) AS l FROM u WHERE n = 150)
+SELECT a.i AS i1, b.i AS i2, p.i3, CAST(coalesce(l, 0) AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(i), (SELECT DISTINCT i3 FROM g) p LEFT JOIN l ON l.i1 = a.i AND l.i2 = b.i AND l.i3 = p.i3"""
+
+#: The scheme's only solution, as the limit of repeated sweeps (cells of 10 by 10).
+_EIKONAL = f"""WITH RECURSIVE u AS (SELECT 0 AS n, a.i AS i1, b.i AS i2, 10 / CASE WHEN a.i >= floor(0.5 + (300 + b.i) / 10.0) THEN 2500.0 ELSE 1500.0 END::DOUBLE AS s, CASE WHEN a.i = 3 AND b.i = 20 THEN 0.0 ELSE 1e9 END::DOUBLE AS t FROM range(60) AS a(i), range(40) AS b(i) UNION ALL
+SELECT n + 1, i1, i2, s, least(t, CASE WHEN abs(x - y) < s THEN (x + y + sqrt(2 * s * s - (x - y) * (x - y))) / 2 ELSE least(x, y) + s END) FROM (SELECT *, least(coalesce(lag(t) OVER p, 1e9), coalesce(lead(t) OVER p, 1e9)) AS x, least(coalesce(lag(t) OVER q, 1e9), coalesce(lead(t) OVER q, 1e9)) AS y FROM u WHERE n < 200 WINDOW p AS (PARTITION BY i2 ORDER BY i1), q AS (PARTITION BY i1 ORDER BY i2)))
+SELECT i1, i2, {R("t", 5)} AS v FROM u WHERE n = 200"""
+
+
 @query("SELECT a.i AS i1, b.i AS i2, CASE WHEN a.i = 4 THEN 1.0 ELSE 0.0 END + CASE WHEN a.i BETWEEN 1 AND 2 AND b.i = 6 THEN 2.5 ELSE 0.0 END AS v FROM range(10) AS a(i), range(8) AS b(i)")
 def spike(spark, sf):
     return G.spike(spark, Header((Axis(10), Axis(8))), [{"k": {1: 5}}, {"k": {1: 2, 2: 7}, "l": {1: 3}, "mag": 2.5}]).df
@@ -211,7 +244,7 @@ def spline_at_knots(spark, sf):
     return rounded(out.df.where("i1 % 2 = 0"), 5)
 
 
-@query()
+@query(_SPLINE)
 def spline(spark, sf):
     return rounded(T.spline(vectors(spark, sf), Axis(200, -1.0, 0.35)).df, 5)
 
@@ -244,12 +277,12 @@ def heat(spark, sf):
     return rounded(P.heat(panels(spark, sf, 64), 5, 0.2).df, 5)
 
 
-@query()
+@query(_diffusion(5))
 def diffusion(spark, sf):
     return rounded(P.diffuse(panels(spark, sf, 64), 5).df, 5)
 
 
-@query()
+@query(_EIKONAL)
 def eikonal(spark, sf):
     return rounded(P.travel_times(_velocity(spark), (3, 20)).df, 5)
 
@@ -286,7 +319,7 @@ def canny(spark, sf):
     return P.canny(panels(spark, sf, 64)).df
 
 
-@query()
+@query(_COMPONENTS)
 def label_components(spark, sf):
     g = panels(spark, sf, 64)
     return P.components(g.with_v((F.col("v") > 0.1).cast("double"))).df

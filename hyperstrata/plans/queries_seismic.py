@@ -9,7 +9,7 @@ from hyperstrata.operators import seismic as S
 from hyperstrata.operators.grid import Grid
 from hyperstrata.plans.adapters import VECTORS, panels, panels_sql, table, vectors
 from hyperstrata.plans.catalog import query, rounded
-from hyperstrata.plans.queries_kernel import dft_sql
+from hyperstrata.plans.queries_kernel import dft_sql, filled_sql
 from hyperstrata.plans.queries_select import R
 
 _CUBE = "q AS (SELECT i1, i2 % 6 AS i2, i2 // 6 AS i3, v FROM g)"
@@ -164,6 +164,19 @@ def iwarp_inverse(spark, sf):
     return rounded(S.warp(g, g.with_v(F.col("i1") * 0.913 + 1.27), inverse=True).df)
 
 
-@query()
+def _best_path(width: int, gate: int) -> str:
+    """The best sums time by time, each with the velocity it came from (equal ones: the smaller step), read back from the end."""
+    steps = sorted(range(-gate, gate + 1), key=abs)
+    came = {m: f"{'t' if m == 0 else f'lag(t, {m}) OVER w' if m > 0 else f'lead(t, {-m}) OVER w'} - {m * m}" for m in steps}
+    best = f"greatest({', '.join(came.values())})"
+    origin = "CASE " + " ".join(f"WHEN {came[m]} = {best} THEN i2 - ({m})" for m in steps) + " END"
+    return f"""WITH RECURSIVE {panels_sql(width)}, {filled_sql(64, width)}, p AS (SELECT i1, i2, i3, v AS t, 0::BIGINT AS o FROM f WHERE i1 = 0 UNION ALL
+SELECT f.i1, f.i2, f.i3, b.t + f.v, b.o FROM (SELECT i1, i2, i3, {best} AS t, {origin} AS o FROM p WINDOW w AS (PARTITION BY i3 ORDER BY i2)) b JOIN f ON f.i1 = b.i1 + 1 AND f.i2 = b.i2 AND f.i3 = b.i3),
+e AS (SELECT i3, min(i2) AS i2 FROM (SELECT i3, i2, t, max(t) OVER (PARTITION BY i3) AS m FROM p WHERE i1 = 63) WHERE t = m GROUP BY 1),
+b AS (SELECT 63::BIGINT AS i1, i2, i3 FROM e UNION ALL SELECT b.i1 - 1, p.o, b.i3 FROM b JOIN p ON p.i1 = b.i1 AND p.i2 = b.i2 AND p.i3 = b.i3 WHERE b.i1 > 0)
+SELECT i1, 0::BIGINT AS i2, i3, CAST(i2 AS DOUBLE) AS v FROM b"""
+
+
+@query(_best_path(24, 3))
 def automatic_pick(spark, sf):
     return S.automatic_pick(panels(spark, sf, 24, 0.01, 0.05)).df
