@@ -41,6 +41,7 @@ def _load() -> None:
         queries_frame,
         queries_kernel,
         queries_more,
+        queries_moveout,
         queries_reduce,
         queries_resample,
         queries_seismic,
