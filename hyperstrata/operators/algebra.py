@@ -117,3 +117,11 @@ def as_matrix(grid: Grid) -> DataFrame:
 
 def from_matrix(df: DataFrame, n1: int, n2: int) -> Grid:
     return Grid(df.select(F.col("row").alias("i1"), F.col("col").alias("i2"), F.col("a").alias("v")), Header((Axis(n1), Axis(n2))))
+
+
+def relative_error(a: Grid, b: Grid) -> DataFrame:
+    """error: the rms of the difference over that of the first; differing headers are refused, a zero first gives null."""
+    from hyperstrata.operators.grid import inner
+
+    x, d = F.col("v"), F.col("v") - F.col("w")
+    return inner(a, b).agg(F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(x * x))).alias("error"))

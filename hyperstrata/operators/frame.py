@@ -185,3 +185,17 @@ def shift(grid: Grid, by: int, axis: int = 1) -> Grid:
     """Move samples along an axis, zeros coming in."""
     w = grid.along(axis)
     return grid.with_v(F.coalesce(F.lag("v", by).over(w) if by >= 0 else F.lead("v", -by).over(w), F.lit(0.0)))
+
+
+def smooth_axes(grid: Grid, rects: dict[int, int], repeat: int = 1) -> Grid:
+    """Triangle smoothing over several axes, one after another."""
+    for axis, rect in rects.items():
+        grid = triangle(grid, rect, axis, repeat)
+    return grid
+
+
+def smooth_complex(grid: Grid, rects: dict[int, int], repeat: int = 1) -> Grid:
+    """Triangle smoothing of complex samples: the parts are smoothed apart."""
+    from hyperstrata.operators.select import cmplx, part
+
+    return cmplx(*[smooth_axes(part(grid, k), rects, repeat) for k in ("re", "im")])

@@ -257,3 +257,26 @@ def local_slope(grid: Grid, rect: int = 5) -> Grid:
         return -smooth(d1 * d2) / np.where(below > 1e-12, below, 1.0)
 
     return apply(grid, kernel)
+
+
+def frequency_filter(grid: Grid, response) -> Grid:
+    """Multiply the 2-D spectrum of each panel by ``response(f1, f2)``, in cycles per sample."""
+
+    def kernel(u):
+        f2, f1 = np.fft.fftfreq(u.shape[0])[:, None], np.fft.fftfreq(u.shape[1])[None]
+        return np.fft.ifft2(np.fft.fft2(u) * response(f1, f2)).real
+
+    return apply(grid, kernel)
+
+
+def solved(grid: Grid) -> Grid:
+    """x of A x = b for each panel: rows i2 of A, and b as its last column (i1 = n2). Singular panels give 0."""
+    n = grid.axis(2).n
+
+    def kernel(u):
+        try:
+            return np.linalg.solve(u[:, :n], u[:, n])[None]
+        except np.linalg.LinAlgError:
+            return np.zeros((1, n))
+
+    return apply(grid, kernel, out=[Axis(n), Axis(1)])

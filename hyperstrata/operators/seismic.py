@@ -322,3 +322,29 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
 
 
 __all__ = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__]
+
+
+def layer_reflections(layers: DataFrame, time: Axis, model: str = "model", layer: str = "layer") -> Grid:
+    """PP (i2 = 0) and PS (i2 = 1) reflectivity at normal incidence of stacks of layers, in two-way time.
+
+    ``layers``: model, layer (in order), thickness, vp, vs, rho. A reflection is shared by
+    the two samples next to its time.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(model).orderBy(layer)
+    after = {c: F.lead(c).over(w) for c in ("vp", "vs", "rho")}
+    down = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    z, a, b = F.col("thickness"), F.col("vp"), F.col("vs")
+    plus, density = after["vp"] + a, (after["rho"] - F.col("rho")) / (after["rho"] + F.col("rho"))
+    pp = F.struct(F.lit(0).cast("long").alias("i2"), F.sum(2 * z / a).over(down).alias("t"), ((after["vp"] - a) / plus + density).alias("r"))
+    ps = F.struct(F.lit(1).cast("long").alias("i2"), F.sum(z / a + z / b).over(down).alias("t"), (4 * (after["vs"] - b) / plus + (1 + 2 * (after["vs"] + b) / plus) * density).alias("r"))
+    spikes = layers.select(F.col(model).alias("i3"), F.array(pp, ps).alias("_s")).select("i3", F.inline("_s")).where("r IS NOT NULL")
+    p = (F.col("t") - F.lit(float(time.o))) / F.lit(float(time.d))
+    part = p - F.floor(p)
+    ends = F.array(F.struct(F.floor(p).cast("long").alias("i1"), ((1 - part) * F.col("r")).alias("v")), F.struct((F.floor(p) + 1).cast("long").alias("i1"), (part * F.col("r")).alias("v")))
+    found = spikes.select("i2", "i3", F.inline(ends)).groupBy("i1", "i2", "i3").agg(F.sum("v").alias("v"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    frame = layers.select(F.col(model).alias("i3")).distinct().withColumn("i2", every(2)).withColumn("i1", every(time.n))
+    df = frame.join(found, ["i1", "i2", "i3"], "left").select("i1", "i2", "i3", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return Grid(df, Header((time, Axis(2), Axis())))

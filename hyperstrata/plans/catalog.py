@@ -47,6 +47,7 @@ def _load() -> None:
         queries_seismic,
         queries_select,
         queries_shape,
+        queries_small,
         queries_source,
     )
 
