@@ -199,3 +199,12 @@ def smooth_complex(grid: Grid, rects: dict[int, int], repeat: int = 1) -> Grid:
     from hyperstrata.operators.select import cmplx, part
 
     return cmplx(*[smooth_axes(part(grid, k), rects, repeat) for k in ("re", "im")])
+
+
+def grid_derivative(grid: Grid, axis: int = 1, adjoint: bool = False) -> Grid:
+    """Forward differences over the step, 0 at the last sample; and the adjoint of that."""
+    w, d = grid.along(axis), F.lit(float(grid.axis(axis).d))
+    v, last = F.col("v"), F.lead("v").over(grid.along(axis)).isNull()
+    if adjoint:
+        return grid.with_v((F.coalesce(F.lag("v").over(w), F.lit(0.0)) - F.when(last, F.lit(0.0)).otherwise(v)) / d)
+    return grid.with_v(F.coalesce(F.lead("v").over(w) - v, F.lit(0.0)) / d)

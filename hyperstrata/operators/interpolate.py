@@ -46,3 +46,53 @@ def at_points(grid: Grid, points: DataFrame, x: str, kind: str, y: str | None =
     weight = F.col("_i1") * F.col("_i2") if y else F.col("_i1")
     found = asked.join(grid.df, grid.indices, "left").withColumn("_t", F.coalesce("v", F.lit(0.0)) * weight)
     return found.groupBy(*points.columns).agg(F.sum("_t").alias("v"))
+
+
+def eno(grid: Grid, places: Column, n: int) -> Grid:
+    """Lines of n samples, each on the parabola through its cell's ends and the neighbour that bends it less.
+
+    ``places``: fractional indices of axis 1 as an expression of the output index (column
+    i1); the cell of the first or last sample goes on beyond it. Ties take the neighbour before.
+    """
+    from pyspark.sql import Window
+
+    keys, size = grid.others(1), grid.axis(1).n
+    w = Window.partitionBy(*keys).orderBy("i1") if keys else Window.partitionBy(F.lit(0)).orderBy("i1")
+    bend = F.lag("v").over(w) - 2 * F.col("v") + F.lead("v").over(w)
+    cells = grid.df.withColumn("_b", bend).withColumns({"_w": F.lead("v").over(w), "_c": F.lead("_b").over(w)}).where("_w IS NOT NULL")
+    less = F.when(F.col("_c").isNull() | (F.abs("_b") <= F.abs("_c")), F.col("_b")).otherwise(F.col("_c"))
+    cells = cells.select(F.col("i1").alias("_cell"), *keys, "v", "_w", F.coalesce(less, F.col("_c"), F.lit(0.0)).alias("_bend"))
+    lines = grid.df.select(*keys).distinct() if keys else grid.spark.range(1).drop("id")
+    outs = lines.withColumn("i1", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("_p", places.cast("double"))
+    outs = outs.withColumn("_cell", F.least(F.greatest(F.floor("_p"), F.lit(0)), F.lit(size - 2)).cast("long"))
+    t = F.col("_p") - F.col("_cell")
+    value = F.col("v") + t * (F.col("_w") - F.col("v")) + t * (t - 1) / 2 * F.col("_bend")
+    return Grid(outs.join(cells, ["_cell", *keys]).select("i1", *keys, value.alias("v")), grid.header.with_axis(1, n=n))
+
+
+def spline_values(grid: Grid, axes: tuple[int, ...] = (1,)) -> Grid:
+    """Samples of cubic B-splines of given coefficients, mirrored about the end samples."""
+    for axis in axes:
+        w = grid.along(axis)
+        before, after = F.lag("v").over(w), F.lead("v").over(w)
+        side = F.coalesce(before, after, F.col("v")) + F.coalesce(after, before, F.col("v"))
+        grid = grid.with_v((4 * F.col("v") + side) / 6)
+    return grid
+
+
+def spline_coefficients(grid: Grid) -> Grid:
+    """Coefficients of the cubic B-spline through the samples of each line: the inverse of ``spline_values``."""
+    import numpy as np
+
+    from hyperstrata.operators import traces
+
+    def kernel(x):
+        n = len(x)
+        if n < 2:
+            return x
+        off = np.full(n - 1, 1 / 6)
+        upper, lower = off.copy(), off.copy()
+        upper[0] = lower[-1] = 1 / 3
+        return traces.tridiagonal(lower, np.full(n, 4 / 6), upper, x)
+
+    return traces.apply(grid, kernel)

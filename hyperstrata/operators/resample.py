@@ -141,3 +141,9 @@ def slant_stack(grid: Grid, slopes: Axis) -> Grid:
 def velocity_scan(grid: Grid, velocities: Axis, semblance: bool = True) -> Grid:
     """Semblance (or sums) along t = sqrt(t0**2 + (x / v)**2)."""
     return trajectory_sum(grid, velocities, lambda t0, x, p: F.sqrt(t0 * t0 + (x / p) * (x / p)), semblance=semblance)
+
+
+def linear_moveout(grid: Grid, velocity: float) -> Grid:
+    """out(t) = in(t + x / velocity) for offsets x on axis 2; 0 outside."""
+    a = grid.axis(1)
+    return remapped(grid, F.col("i1") + grid.x(2) / F.lit(float(velocity) * float(a.d)))

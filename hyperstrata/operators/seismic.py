@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperstrata.functions.header import Axis, Header
@@ -348,3 +348,43 @@ def layer_reflections(layers: DataFrame, time: Axis, model: str = "model", layer
     frame = layers.select(F.col(model).alias("i3")).distinct().withColumn("i2", every(2)).withColumn("i1", every(time.n))
     df = frame.join(found, ["i1", "i2", "i3"], "left").select("i1", "i2", "i3", F.coalesce("v", F.lit(0.0)).alias("v"))
     return Grid(df, Header((time, Axis(2), Axis())))
+
+
+def phase_shift_migration(section: Grid, velocities: list[float]) -> Grid:
+    """Post-stack time migration by phase shifts through layers: one velocity for each sample of axis 1.
+
+    A wave that cannot travel in a layer is not seen below its top.
+    """
+    d1, d2 = float(section.axis(1).d), float(section.axis(2).d)
+
+    def kernel(u):
+        n2, n1 = u.shape
+        nt = 2 * n1
+        spectrum = np.fft.fft2(u, (n2, nt))
+        f, k = np.fft.fftfreq(nt, d1)[None], np.fft.fftfreq(n2, d2)[:, None]
+        phase, image = np.zeros((n2, nt)), np.empty((n2, n1), complex)
+        for j, v in enumerate(velocities):
+            image[:, j] = (spectrum * np.exp(2j * np.pi * np.sign(f) * phase)).sum(1) / nt
+            square = f * f - (v * k / 2) ** 2
+            spectrum[square < 0] = 0
+            phase += d1 * np.sqrt(np.maximum(square, 0))
+        return np.fft.ifft(image, axis=0).real
+
+    return panel.apply(section, kernel)
+
+
+def source_traces(headers: DataFrame, wavelet: list[float], coordinates: dict[str, str]) -> DataFrame:
+    """Source traces of a survey: a row for each header and sample i1 of the wavelet, receiver coordinates set from the named columns."""
+    samples = F.posexplode(F.array(*[F.lit(float(x)) for x in wavelet])).alias("i1", "v")
+    return headers.withColumns({new: F.col(old) for new, old in coordinates.items()}).select("*", samples)
+
+
+def plane_wave(spark: SparkSession, receivers: Axis, slopes: Axis, wavelet: list[float], dt: float) -> Grid:
+    """Plane-wave sources: the wavelet at times p x, between samples, for each receiver (axis 2) and slope (axis 3); before time 0 nothing."""
+    base = spark.range(receivers.n * slopes.n).select((F.col("id") % receivers.n).alias("i2"), F.expr(f"id div {receivers.n}").alias("i3"))
+    at = (F.lit(float(receivers.o)) + F.col("i2") * float(receivers.d)) * (F.lit(float(slopes.o)) + F.col("i3") * float(slopes.d)) / F.lit(dt)
+    taps = base.withColumn("_t", at).select("i2", "i3", "_t", F.posexplode(F.array(*[F.lit(float(x)) for x in wavelet])).alias("_k", "_v"))
+    part = F.col("_t") - F.floor("_t")
+    ends = F.array(F.struct((F.floor("_t") + F.col("_k")).cast("long").alias("i1"), ((1 - part) * F.col("_v")).alias("v")), F.struct((F.floor("_t") + F.col("_k") + 1).cast("long").alias("i1"), (part * F.col("_v")).alias("v")))
+    found = taps.select("i2", "i3", F.inline(ends)).where("i1 >= 0").groupBy("i1", "i2", "i3").agg(F.sum("v").alias("v"))
+    return Grid(found, Header((Axis(None, 0.0, dt), receivers, slopes)))

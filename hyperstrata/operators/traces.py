@@ -303,3 +303,33 @@ def smooth_derivative(grid: Grid, eps: float = 0.2) -> Grid:
     slope = np.diff(np.linalg.inv(np.eye(n) + eps * second.T @ second), axis=0) / d
     table = np.vstack([slope, slope[-1:]])
     return apply(grid, lambda x: table @ x)
+
+
+def lifted(x: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """Wavelet transform by linear lifting of a line padded to a power of two: odd samples less the mean of
+
+    their neighbours, even ones plus a quarter of the differences beside them; edges repeat.
+    """
+    n = 1 << max(0, len(x) - 1).bit_length()
+    y = np.concatenate([x.astype("f8"), np.zeros(n - len(x))])
+    sizes = [n >> k for k in range(n.bit_length() - 1)]
+    for m in reversed(sizes) if inverse else sizes:
+        half = m // 2
+        if inverse:
+            even, odd = y[:half].copy(), y[half:m].copy()
+        else:
+            even, odd = y[:m:2].copy(), y[1:m:2].copy()
+            odd -= (even + np.append(even[1:], even[-1:])) / 2
+        quarter = (odd + np.append(odd[:1], odd[:-1])) / 4
+        even += -quarter if inverse else quarter
+        if inverse:
+            odd += (even + np.append(even[1:], even[-1:])) / 2
+            y[:m:2], y[1:m:2] = even, odd
+        else:
+            y[:half], y[half:m] = even, odd
+    return y
+
+
+def lifting(grid: Grid, inverse: bool = False) -> Grid:
+    n = 1 << max(0, grid.axis(1).n - 1).bit_length()
+    return apply(grid, lambda x: lifted(x, inverse), Axis(n, grid.axis(1).o, grid.axis(1).d))

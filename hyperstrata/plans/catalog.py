@@ -49,6 +49,7 @@ def _load() -> None:
         queries_shape,
         queries_small,
         queries_source,
+        queries_wave,
     )
 
 
