@@ -18,10 +18,14 @@ class Grid:
     Coordinates are never stored: they are ``o + i*d`` of the header. Columns
     besides the indices and ``v`` (a gather's key, say) ride along where an
     operator keeps rows, and are dropped where it makes new ones.
+
+    ``arrays`` is a frame of long form and the same samples with a line of axis 1 as an
+    array in each row; whoever asks for lines of that very frame need not gather them.
     """
 
     df: DataFrame
     header: Header
+    arrays: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -84,13 +88,18 @@ class Grid:
 
     def to_traces(self) -> DataFrame:
         """One row per line of axis 1, its samples as an array in order (a line must fit a task)."""
+        if self.arrays and self.arrays[0] is self.df and {*self.others(1), "trace"} <= set(self.arrays[1].columns):
+            return self.arrays[1].select(*self.others(1), "trace")
         pairs = F.sort_array(F.collect_list(F.struct("i1", "v")))
         return self.df.groupBy(*self.others(1)).agg(F.transform(pairs, lambda s: s["v"]).alias("trace"))
 
 
 def from_traces(df: DataFrame, header: Header, column: str = "trace") -> Grid:
+    """A grid from one row per line of axis 1; lines that are null or empty hold no samples."""
     keys = [f"i{k}" for k in range(2, len(header.axes) + 1)]
-    return Grid(df.select(*keys, F.posexplode(column).alias("i1", "v")).withColumn("i1", F.col("i1").cast("long")).select("i1", *keys, "v"), header)
+    lines = df.select(*keys, F.col(column).alias("trace")).where(F.size("trace") > 0)
+    long = lines.select(*keys, F.posexplode("trace").alias("i1", "v")).select(F.col("i1").cast("long").alias("i1"), *keys, "v")
+    return Grid(long, header, (long, lines))
 
 
 def index_grid(spark: SparkSession, header: Header) -> DataFrame:

@@ -16,8 +16,22 @@ from hyperstrata.functions.header import Axis
 from hyperstrata.operators.grid import Grid, from_traces
 
 
-def apply(grid: Grid, kernel, axis: Axis | None = None, complex_out: bool = False) -> Grid:
-    """``kernel(line) -> line`` on every line of axis 1; ``axis`` describes the new axis 1."""
+def _lines(column) -> tuple[np.ndarray, np.ndarray]:
+    """(all samples, offsets of the lines) of an Arrow column of arrays, complex where the samples are pairs."""
+    import pyarrow as pa
+
+    offsets, values = np.asarray(column.offsets), column.values
+    if pa.types.is_struct(values.type):
+        return np.asarray(values.field("re"), "f8") + 1j * np.asarray(values.field("im"), "f8"), offsets
+    return np.asarray(values, "f8"), offsets
+
+
+def apply(grid: Grid, kernel, axis: Axis | None = None, complex_out: bool = False, block: bool = False) -> Grid:
+    """``kernel(line) -> line`` on every line of axis 1; ``axis`` describes the new axis 1.
+
+    A ``block`` kernel takes the lines of one length of a batch at once, as rows. Null
+    samples are NaN.
+    """
     keys = grid.others(1)
     traces = grid.to_traces()
     kinds = dict(traces.dtypes)
@@ -26,15 +40,23 @@ def apply(grid: Grid, kernel, axis: Axis | None = None, complex_out: bool = Fals
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("re", pa.float64()), ("im", pa.float64())])) if complex_out else pa.list_(pa.float64())
         for batch in batches:
-            lines = []
-            for line in batch.column(len(keys)).to_pylist():
-                if line and isinstance(line[0], dict):
-                    line = [complex(s["re"], s["im"]) for s in line]
-                out = np.asarray(kernel(np.asarray(line)))
-                lines.append([{"re": float(z.real), "im": float(z.imag)} for z in out] if complex_out else out.astype("f8").tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(lines, kind)], names=[*keys, "trace"])
+            samples, offsets = _lines(batch.column(len(keys)))
+            sizes, out = np.diff(offsets), [None] * batch.num_rows
+            if block:
+                for size in np.unique(sizes):
+                    which = np.flatnonzero(sizes == size)
+                    for k, line in zip(which, np.asarray(kernel(samples[offsets[which, None] + np.arange(size)]))):
+                        out[k] = line
+            else:
+                out = [np.asarray(kernel(samples[i:j])) for i, j in zip(offsets[:-1], offsets[1:])]
+            flat = np.concatenate(out) if out else np.zeros(0)
+            if complex_out:
+                values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat.real, "f8")), pa.array(np.ascontiguousarray(flat.imag, "f8"))], names=["re", "im"])
+            else:
+                values = pa.array(flat.astype("f8"))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype("i4")
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.ListArray.from_arrays(pa.array(ends), values)], names=[*keys, "trace"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (", " if keys else "") + f"trace {value}"
     header = grid.header
@@ -60,7 +82,7 @@ def fft1(grid: Grid, sym: bool = False) -> Grid:
     a = grid.axis(1)
     nt = 2 * next_fast((a.n + 1) // 2)
     scale = 1 / math.sqrt(nt) if sym else 1.0
-    out = apply(grid, lambda x: np.fft.rfft(x, nt) * scale, Axis(nt // 2 + 1, 0.0, 1 / (nt * a.d), "Frequency", "Hz"), complex_out=True)
+    out = apply(grid, lambda x: np.fft.rfft(x, nt) * scale, Axis(nt // 2 + 1, 0.0, 1 / (nt * a.d), "Frequency", "Hz"), complex_out=True, block=True)
     return out.put(fft_n1=a.n, fft_o1=a.o, fft_nt=nt)
 
 
@@ -68,7 +90,7 @@ def ifft1(grid: Grid, sym: bool = False) -> Grid:
     n, o, nt = grid.header.get("fft_n1"), grid.header.get("fft_o1"), grid.header.get("fft_nt")
     d = 1 / (nt * grid.axis(1).d)
     scale = math.sqrt(nt) if sym else 1.0
-    return apply(grid, lambda x: np.fft.irfft(x, nt)[:n] * scale, Axis(n, o, d))
+    return apply(grid, lambda x: np.fft.irfft(x, nt)[:, :n] * scale, Axis(n, o, d), block=True)
 
 
 def fft3(grid: Grid, inverse: bool = False, sym: bool = False) -> Grid:
@@ -76,9 +98,9 @@ def fft3(grid: Grid, inverse: bool = False, sym: bool = False) -> Grid:
     a = grid.axis(1)
     n = a.n
     scale = 1 / math.sqrt(n) if sym else (1 / n if inverse else 1.0)
-    kernel = (lambda x: np.fft.ifft(np.fft.ifftshift(x)) * n * scale) if inverse else (lambda x: np.fft.fftshift(np.fft.fft(x)) * scale)
+    kernel = (lambda x: np.fft.ifft(np.fft.ifftshift(x, 1)) * n * scale) if inverse else (lambda x: np.fft.fftshift(np.fft.fft(x), 1) * scale)
     d = 1 / (n * a.d)
-    return apply(grid, kernel, Axis(n, 0.0 if inverse else -(n // 2) * d, d), complex_out=True)
+    return apply(grid, kernel, Axis(n, 0.0 if inverse else -(n // 2) * d, d), complex_out=True, block=True)
 
 
 def cosft(grid: Grid, inverse: bool = False) -> Grid:
@@ -86,14 +108,14 @@ def cosft(grid: Grid, inverse: bool = False) -> Grid:
     n = grid.axis(1).n
     table = np.cos(np.pi * np.outer(np.arange(n), 2 * np.arange(n) + 1) / (2 * n))
     weight = np.where(np.arange(n) == 0, 1.0, 2.0) / n
-    return apply(grid, (lambda x: (x * weight) @ table) if inverse else (lambda x: table @ x))
+    return apply(grid, (lambda x: (x * weight) @ table) if inverse else (lambda x: x @ table.T), block=True)
 
 
 def spectra(grid: Grid, average: bool = False) -> Grid:
     """Amplitude spectra scaled by the root of the length; or their mean over all lines."""
     a = grid.axis(1)
     nt = 2 * next_fast((a.n + 1) // 2)
-    out = apply(grid, lambda x: np.abs(np.fft.rfft(x, nt)) / math.sqrt(nt), Axis(nt // 2 + 1, 0.0, 1 / (nt * a.d), "Frequency", "Hz"))
+    out = apply(grid, lambda x: np.abs(np.fft.rfft(x, nt)) / math.sqrt(nt), Axis(nt // 2 + 1, 0.0, 1 / (nt * a.d), "Frequency", "Hz"), block=True)
     if not average:
         return out
     df = out.df.groupBy("i1").agg(F.avg("v").alias("v"))
@@ -103,8 +125,8 @@ def spectra(grid: Grid, average: bool = False) -> Grid:
 
 
 def butterworth(x: np.ndarray, cut: float, poles: int, high: bool) -> np.ndarray:
-    """Cascade of second-order sections by the bilinear transform; ``cut`` is in cycles per sample."""
-    y = x.astype("f8")
+    """Cascade of second-order sections by the bilinear transform, on the rows; ``cut`` is in cycles per sample."""
+    y = np.ascontiguousarray(x.T, "f8")  # samples first: all rows take a step at once
     warp = 2 * math.tan(math.pi * cut)
     for k in range(poles // 2):
         damping = 2 * math.sin(math.pi * (2 * k + 1) / (2 * poles))
@@ -112,13 +134,15 @@ def butterworth(x: np.ndarray, cut: float, poles: int, high: bool) -> np.ndarray
         a0 = 4 + 2 * damping * warp + w2
         a1, a2 = (2 * w2 - 8) / a0, (4 - 2 * damping * warp + w2) / a0
         b0, b1 = (4 / a0, -8 / a0) if high else (w2 / a0, 2 * w2 / a0)
-        out, x1, x2, y1, y2 = np.empty_like(y), 0.0, 0.0, 0.0, 0.0
-        for i, v in enumerate(y.tolist()):
-            z = b0 * (v + x2) + b1 * x1 - a1 * y1 - a2 * y2
-            x2, x1, y2, y1 = x1, v, y1, z
-            out[i] = z
+        out = b0 * y
+        out[1:] += b1 * y[:-1]
+        out[2:] += b0 * y[:-2]
+        for i in range(1, len(out)):
+            out[i] -= a1 * out[i - 1]
+            if i > 1:
+                out[i] -= a2 * out[i - 2]
         y = out
-    return y
+    return y.T
 
 
 def bandpass(grid: Grid, low: float | None = None, high: float | None = None, poles: int = 6, zero_phase: bool = True) -> Grid:
@@ -131,10 +155,10 @@ def bandpass(grid: Grid, low: float | None = None, high: float | None = None, po
             if cut is not None:
                 x = butterworth(x, cut * d, n, is_high)
                 if zero_phase:
-                    x = butterworth(x[::-1], cut * d, n, is_high)[::-1]
+                    x = butterworth(x[:, ::-1], cut * d, n, is_high)[:, ::-1]
         return x
 
-    return apply(grid, kernel)
+    return apply(grid, kernel, block=True)
 
 
 def trapezoid(grid: Grid, corners: tuple[float, float, float, float]) -> Grid:
@@ -142,39 +166,42 @@ def trapezoid(grid: Grid, corners: tuple[float, float, float, float]) -> Grid:
     a = grid.axis(1)
 
     def kernel(x):
-        nt = 2 * next_fast((len(x) + 1) // 2)
+        n = x.shape[1]
+        nt = 2 * next_fast((n + 1) // 2)
         f = np.fft.rfftfreq(nt, a.d)
-        return np.fft.irfft(np.fft.rfft(x, nt) * np.interp(f, corners, [0, 1, 1, 0], 0, 0), nt)[: len(x)]
+        return np.fft.irfft(np.fft.rfft(x, nt) * np.interp(f, corners, [0, 1, 1, 0], 0, 0), nt)[:, :n]
 
-    return apply(grid, kernel)
+    return apply(grid, kernel, block=True)
 
 
 def hilbert(x: np.ndarray) -> np.ndarray:
-    n = len(x)
+    """The transform of each row."""
+    n = x.shape[-1]
     spectrum = np.fft.fft(x)
-    spectrum[1 : (n + 1) // 2] *= 2
-    spectrum[n // 2 + 1 :] = 0
+    spectrum[..., 1 : (n + 1) // 2] *= 2
+    spectrum[..., n // 2 + 1 :] = 0
     return np.fft.ifft(spectrum).imag
 
 
 def envelope(grid: Grid, phase: float | None = None) -> Grid:
     """The size of the analytic signal; with ``phase`` (degrees) the line turned by it."""
     if phase is None:
-        return apply(grid, lambda x: np.hypot(x, hilbert(x)))
+        return apply(grid, lambda x: np.hypot(x, hilbert(x)), block=True)
     c, s = math.cos(math.radians(phase)), math.sin(math.radians(phase))
-    return apply(grid, lambda x: c * x + s * hilbert(x))
+    return apply(grid, lambda x: c * x + s * hilbert(x), block=True)
 
 
 def half_integral(grid: Grid, inverse: bool = False) -> Grid:
     """Half-order integration (division of the spectrum by the root of i w), or differentiation."""
 
     def kernel(x):
-        n = 2 * next_fast(len(x))
+        size = x.shape[1]
+        n = 2 * next_fast(size)
         z = np.exp(1j * np.pi * 2 * np.arange(n // 2 + 1) / n)
         root = np.sqrt(np.maximum(np.abs(1 - 1 / z), 1e-3)) * np.exp(0.5j * np.angle(1 - 1 / z + 1e-30))
-        return np.fft.irfft(np.fft.rfft(x, n) * (root if inverse else 1 / root), n)[: len(x)]
+        return np.fft.irfft(np.fft.rfft(x, n) * (root if inverse else 1 / root), n)[:, :size]
 
-    return apply(grid, kernel)
+    return apply(grid, kernel, block=True)
 
 
 def ricker(grid: Grid, frequency: float) -> Grid:
@@ -182,11 +209,12 @@ def ricker(grid: Grid, frequency: float) -> Grid:
     a = grid.axis(1)
 
     def kernel(x):
-        nt = 2 * next_fast(len(x))
+        n = x.shape[1]
+        nt = 2 * next_fast(n)
         f = np.fft.rfftfreq(nt, a.d) / frequency
-        return np.fft.irfft(np.fft.rfft(x, nt) * f * f * np.exp(1 - f * f), nt)[: len(x)]
+        return np.fft.irfft(np.fft.rfft(x, nt) * f * f * np.exp(1 - f * f), nt)[:, :n]
 
-    return apply(grid, kernel)
+    return apply(grid, kernel, block=True)
 
 
 def tridiagonal(lower: np.ndarray, diagonal: np.ndarray, upper: np.ndarray, rhs: np.ndarray) -> np.ndarray:
@@ -302,7 +330,7 @@ def smooth_derivative(grid: Grid, eps: float = 0.2) -> Grid:
     second = np.diff(np.eye(n), 2, axis=0)
     slope = np.diff(np.linalg.inv(np.eye(n) + eps * second.T @ second), axis=0) / d
     table = np.vstack([slope, slope[-1:]])
-    return apply(grid, lambda x: table @ x)
+    return apply(grid, lambda x: x @ table.T, block=True)
 
 
 def lifted(x: np.ndarray, inverse: bool = False) -> np.ndarray:

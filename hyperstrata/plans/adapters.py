@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hyperstrata.functions.header import Axis, Header
-from hyperstrata.operators.grid import Grid, ragged
+from hyperstrata.operators.grid import Grid, from_traces, ragged
 
 #: A total order of the lines of an order.
 LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -22,8 +22,7 @@ def vectors(spark: SparkSession, sf: str, where: str | None = None, n2: int | No
     df = table(spark, sf, "embeddings")
     if where:
         df = df.where(where)
-    df = df.select(F.col("vec_id").alias("i2"), F.posexplode("embedding").alias("i1", "v"))
-    return Grid(df.select(F.col("i1").cast("long").alias("i1"), "i2", F.col("v").cast("double").alias("v")), Header((Axis(64), Axis(n2))))
+    return from_traces(df.select(F.col("vec_id").alias("i2"), F.col("embedding").cast("array<double>").alias("trace")), Header((Axis(64), Axis(n2))))
 
 
 def panels(spark: SparkSession, sf: str, width: int, d1: float = 1.0, d2: float = 1.0) -> Grid:
