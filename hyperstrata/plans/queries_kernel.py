@@ -145,6 +145,27 @@ SELECT n + 1, i1, i2, s, least(t, CASE WHEN abs(x - y) < s THEN (x + y + sqrt(2
 SELECT i1, i2, {R("t", 5)} AS v FROM u WHERE n = 200"""
 
 
+def _beside(c: str, axis: int) -> tuple[str, str]:
+    """SQL: the samples before and after along an axis, edges repeated."""
+    w = f"OVER (PARTITION BY i{3 - axis}, i3 ORDER BY i{axis})"
+    return f"coalesce(lag({c}) {w}, {c})", f"coalesce(lead({c}) {w}, {c})"
+
+
+def _canny() -> str:
+    """Sobel gradients, cells not under those across their edge, two percentiles, and weak cells that touch strong ones."""
+    a, b = _beside("v", 1), _beside("v", 2)
+    c, d = _beside("y", 1), _beside("x", 2)
+    near = lambda m, n: f"coalesce((SELECT g FROM q o WHERE o.i3 = q.i3 AND o.i2 = q.i2 + ({m}) AND o.i1 = q.i1 + ({n})), 0)"
+    ways = {0: (0, 1), 1: (1, 1), 2: (1, 0), 3: (1, -1)}
+    thin = " OR ".join(f"(s = {k} AND g >= {near(m, n)} AND g > {near(-m, -n)})" for k, (m, n) in ways.items())
+    return f"""WITH RECURSIVE {panels_sql(64)}, {filled_sql(64, 64)}, x AS (SELECT i1, i2, i3, {a[0]} + 2 * v + {a[1]} AS x, {b[0]} + 2 * v + {b[1]} AS y FROM f),
+d AS (SELECT i1, i2, i3, {c[1]} - {c[0]} AS s1, {d[1]} - {d[0]} AS s2 FROM x), q AS (SELECT i1, i2, i3, s1 * s1 + s2 * s2 AS g, (CAST(round_even(atan2(s2, s1) / (pi() / 4), 0) AS BIGINT) + 8) % 4 AS s FROM d),
+t AS (SELECT i1, i2, i3, CASE WHEN {thin} THEN g ELSE 0 END AS t FROM q), p AS (SELECT i3, quantile_cont(t, 0.95) AS low, quantile_cont(t, 0.98) AS high FROM t GROUP BY 1),
+w AS (SELECT i1, i2, i3, t > high AS strong FROM t JOIN p USING (i3) WHERE t > low),
+r AS (SELECT i1, i2, i3 FROM w WHERE strong UNION SELECT w.i1, w.i2, w.i3 FROM r JOIN w ON w.i3 = r.i3 AND abs(w.i1 - r.i1) <= 1 AND abs(w.i2 - r.i2) <= 1)
+SELECT f.i1, f.i2, f.i3, CASE WHEN r.i1 IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS v FROM f LEFT JOIN r ON r.i1 = f.i1 AND r.i2 = f.i2 AND r.i3 = f.i3"""
+
+
 @query("SELECT a.i AS i1, b.i AS i2, CASE WHEN a.i = 4 THEN 1.0 ELSE 0.0 END + CASE WHEN a.i BETWEEN 1 AND 2 AND b.i = 6 THEN 2.5 ELSE 0.0 END AS v FROM range(10) AS a(i), range(8) AS b(i)")
 def spike(spark, sf):
     return G.spike(spark, Header((Axis(10), Axis(8))), [{"k": {1: 5}}, {"k": {1: 2, 2: 7}, "l": {1: 3}, "mag": 2.5}]).df
@@ -314,7 +335,7 @@ def spectra2(spark, sf):
     return rounded(P.spectra2(panels(spark, sf, 64)).df, 5)
 
 
-@query()
+@query(_canny())
 def canny(spark, sf):
     return P.canny(panels(spark, sf, 64)).df
 
