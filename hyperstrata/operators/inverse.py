@@ -72,3 +72,31 @@ def conjugate_gradients(op: Operator, data: Grid, start: Grid, iterations: int,
         direction = _keep(combine([gradient, direction], "add", scale=[1.0, new / size]))
         size = new
     return model
+
+
+def conjugate_directions(op: Operator, data: Grid, start: Grid, iterations: int, memory: int = 3) -> Grid:
+    """Least squares by steps made conjugate to the last ``memory`` steps; needs no exact adjoint, only a useful one."""
+    model = _keep(start)
+    residual = _keep(combine([data, op.forward(model)], "add", scale=[1.0, -1.0]))
+    past: list[tuple[Grid, Grid, float]] = []
+    for _ in range(iterations):
+        way = _keep(op.adjoint(residual))
+        seen = _keep(op.forward(way))
+        for old, old_seen, power in past:
+            share = seen.dot(old_seen) / power
+            way = combine([way, old], "add", scale=[1.0, -share])
+            seen = combine([seen, old_seen], "add", scale=[1.0, -share])
+        way, seen = _keep(way), _keep(seen)
+        power = seen.dot(seen)
+        if not power:
+            break
+        step = residual.dot(seen) / power
+        model = _keep(combine([model, way], "add", scale=[1.0, step]))
+        residual = _keep(combine([residual, seen], "add", scale=[1.0, -step]))
+        past = [*past, (way, seen, power)][-memory:] if memory else []
+    return model
+
+
+def preconditioned(op: Operator, shaping: Operator, data: Grid, start: Grid, iterations: int) -> Grid:
+    """Least squares for p in m = P p, by conjugate gradients from p = ``start``; the model m."""
+    return shaping.forward(conjugate_gradients(op @ shaping, data, start, iterations))

@@ -111,3 +111,24 @@ def isotropic_velocity(gather: Grid) -> DataFrame:
     """The squared velocity that fits t**2 - t0**2 of (time, x, y, ...) best; null where the fit is 0."""
     square = gather.x(2) * gather.x(2) + gather.x(3) * gather.x(3)
     return gather.df.groupBy("i1", *gather.others(1, 2, 3)).agg(F.try_divide(F.sum(square * square), F.sum(square * F.col("v"))).alias("v"))
+
+
+def ellipse_by_parts(gather: Grid, mean: Column, difference: Column, cross: Column, half: bool = True, inverse: bool = False) -> Grid:
+    """``ellipse`` with squared slownesses said by their mean over azimuth, half the difference of the axes, and the cross term."""
+    return ellipse(gather, mean + difference, mean - difference, cross, half, inverse)
+
+
+def moveout_slopes(spark, time: Axis, offset: Axis, velocity: Axis, reference: float = 0.0) -> Grid:
+    """Slopes, in samples of time from one offset to the next, of hyperbolas: axes time, offset, velocity.
+
+    ``reference`` stands for the step before the first offset; times under one sample count as one.
+    """
+    from hyperstrata.functions.header import Header
+    from hyperstrata.operators.grid import index_grid
+
+    header = Header((time, offset, velocity))
+    empty = Grid(index_grid(spark, header), header)
+    h, v = empty.x(2), empty.x(3)
+    step = F.when(F.col("i2") == 0, F.lit(float(reference))).otherwise(F.lit(float(offset.d)))
+    t = F.greatest(F.sqrt(empty.x(1) * empty.x(1) + h * h / (v * v)), F.lit(float(time.d)))
+    return empty.with_v(h / (v * v) * step / (t * F.lit(float(time.d))))

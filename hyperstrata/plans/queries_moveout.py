@@ -150,3 +150,14 @@ def nmow_adj(spark, sf):
 def nmov(spark, sf):
     g = cube(spark, sf, o2=0.1, d2=0.2, d3=0.3)
     return rounded(M.isotropic_velocity(g.with_v(F.col("v") + 2.0)), 5)
+
+
+@query(_gathered(CUBE, "sqrt(pow(i1 * 0.01, 2) + (0.4 + 0.1 * i1 * 0.01) * (pow(0.04 + i2 * 0.1, 2) + pow(i3 * 0.06, 2)) - 0.1 * (pow(0.04 + i2 * 0.1, 2) - pow(i3 * 0.06, 2)) + 2 * 0.05 * (0.04 + i2 * 0.1) * (i3 * 0.06)) / 0.01", "i2, i3, i4"))
+def nmo3_ort(spark, sf):
+    g = cube(spark, sf, o2=0.02, d2=0.05, d3=0.03)
+    return rounded(M.ellipse_by_parts(g, F.lit(0.4) + F.lit(0.1) * g.x(1), F.lit(-0.1), F.lit(0.05)).df)
+
+
+@query(f"SELECT t.i AS i1, h.i AS i2, v.i AS i3, {R('pow(1.5 + v.i * 0.1, -2) * (0.2 + h.i * 0.1) * CASE h.i WHEN 0 THEN 0.05 ELSE 0.1 END / (0.004 * greatest(sqrt(pow(t.i * 0.004, 2) + pow((0.2 + h.i * 0.1) / (1.5 + v.i * 0.1), 2)), 0.004))')} AS v FROM range(100) AS t(i), range(24) AS h(i), range(10) AS v(i)")
+def nmodips(spark, sf):
+    return rounded(M.moveout_slopes(spark, Axis(100, 0.0, 0.004), Axis(24, 0.2, 0.1), Axis(10, 1.5, 0.1), 0.05).df.select("i1", "i2", "i3", "v"))

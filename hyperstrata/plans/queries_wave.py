@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hyperstrata.functions.header import Axis
-from hyperstrata.operators import frame, interpolate, resample, seismic, traces
+from hyperstrata.functions.header import Axis, Header
+from hyperstrata.operators import frame, interpolate, inverse, resample, seismic, traces
+from hyperstrata.operators.grid import Grid
 from hyperstrata.plans.adapters import VECTORS, panels, panels_sql, table, vectors
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_extra import _taps
@@ -140,3 +141,24 @@ def runge(spark, sf):
         return f.assign(x=out[0], u=out[1])
 
     return rounded(_mapped(pairs, kernel, "i1 long, i2 long, x double, u double"), 4)
+
+
+_UNDONE = f"WITH {VECTORS}, w AS (SELECT i1 % 4 AS i1, i2 * 16 + i1 // 4 AS i2, v + 1.0 AS d FROM g) SELECT i1, i2, {R('d - coalesce(lag(d) OVER (PARTITION BY i2 ORDER BY i1), 0)', 4)} AS v FROM w"
+
+
+def _integrated(spark, sf):
+    """Short lines, to be found again from their causal integrals."""
+    short = vectors(spark, sf).df.select(F.expr("i1 % 4").alias("i1"), F.expr("i2 * 16 + i1 div 4").alias("i2"), (F.col("v") + 1.0).alias("v"))
+    return Grid(short, Header((Axis(4), Axis())))
+
+
+@query(_UNDONE)
+def conjugate_directions(spark, sf):
+    data = _integrated(spark, sf)
+    return rounded(inverse.conjugate_directions(inverse.causal_integration, data, data.with_v(F.lit(0.0)), 5).df, 4)
+
+
+@query(_UNDONE)
+def preconditioned(spark, sf):
+    data = _integrated(spark, sf)
+    return rounded(inverse.preconditioned(inverse.causal_integration, inverse.convolution([1.0, -0.5]), data, data.with_v(F.lit(0.0)), 5).df, 4)
