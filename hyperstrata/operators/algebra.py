@@ -125,3 +125,11 @@ def relative_error(a: Grid, b: Grid) -> DataFrame:
 
     x, d = F.col("v"), F.col("v") - F.col("w")
     return inner(a, b).agg(F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(x * x))).alias("error"))
+
+
+def richardson(fine: Grid, coarse: Grid, order: float) -> DataFrame:
+    """Indices, v and error of a scheme of an order at two steps, one twice the other: the extrapolated values and the fine ones' errors."""
+    from hyperstrata.operators.grid import inner
+
+    error = (F.col("v") - F.col("w")) / F.lit(2.0**order - 1)
+    return inner(fine, coarse).select(*fine.indices, (F.col("v") + error).alias("v"), error.alias("error"))

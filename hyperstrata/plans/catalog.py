@@ -37,6 +37,7 @@ def _load() -> None:
     from hyperstrata.plans import (  # noqa: F401
         queries_bin,
         queries_extra,
+        queries_figures,
         queries_flow,
         queries_frame,
         queries_kernel,

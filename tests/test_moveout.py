@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hyperstrata.functions import extend, solve
 from hyperstrata.functions.header import Axis, Header
-from hyperstrata.operators import algebra, frame, helix, interpolate, moveout, panel, traces
+from hyperstrata.operators import algebra, figures, frame, helix, interpolate, inverse, moveout, panel, traces
 from hyperstrata.operators.grid import Grid, from_traces
 
 
@@ -119,3 +119,19 @@ def test_weighted_median_and_patches(spark):
     assert got == {1: 3.0, 2: None, 3: 2.0}
     patches = lambda n: [(r["start"], r["stop"]) for r in extend.Patches(F.lit(n), F.lit(4), F.lit(3)).collect()]
     assert patches(9) == [(0, 4), (3, 7), (5, 9)] and patches(2) == [(0, 2)] and patches(0) == []
+
+
+def test_contours_of_flat_and_level_panels(spark):
+    assert figures.crossings(grid(spark, np.ones((3, 3))), [1.0, 0.5]).count() == 0
+    got = figures.crossings(grid(spark, [[0.0, 1.0, 0.0]]), [1.0, 0.25]).collect()
+    assert sorted((r["level"], r["y"]) for r in got) == [(0.25, 0.25), (0.25, 1.75), (1.0, 1.0), (1.0, 1.0)]
+
+
+def test_wiggles_are_clipped(spark):
+    rows = figures.wiggles(grid(spark, [[-9.0, 0.5, 9.0]]), 1.0).orderBy("i1").collect()
+    assert [(r["x"], r["fill"]) for r in rows] == [(-1.0, 0.0), (0.5, 0.5), (1.0, 1.0)]
+
+
+def test_conjugate_directions_of_nothing(spark):
+    data = grid(spark, np.zeros((1, 4)))
+    assert (dense(inverse.conjugate_directions(inverse.causal_integration, data, data, 3), (1, 4)) == 0).all()
