@@ -86,13 +86,45 @@ class Grid:
     def __mul__(self, other):
         return combine([self, other], "mul") if isinstance(other, Grid) else self.with_v(F.col("v") * F.lit(other))
 
+    def _has_arrays(self) -> bool:
+        return bool(self.arrays) and self.arrays[0] is self.df and {*self.others(1), "trace"} <= set(self.arrays[1].columns)
+
     def to_traces(self) -> DataFrame:
         """One row per line of axis 1, its samples as an array in order (a line must fit a task)."""
-        if self.arrays and self.arrays[0] is self.df and {*self.others(1), "trace"} <= set(self.arrays[1].columns):
+        if self._has_arrays():
             return self.arrays[1].select(*self.others(1), "trace")
         pairs = F.sort_array(F.collect_list(F.struct("i1", "v")))
         return self.df.groupBy(*self.others(1)).agg(F.transform(pairs, lambda s: s["v"]).alias("trace"))
 
+    def dense(self, axis: int = 1) -> DataFrame:
+        """One row per line of an axis, ``trace`` its samples by index: null where there is none, the sum where there are several.
+
+        A line must fit a task. Lines that are arrays already come as they are.
+        """
+        if axis == 1 and self._has_arrays():
+            return self.to_traces()
+        keys, i, n = self.others(axis), F.col(f"i{axis}"), self.axis(axis).n
+        df = self.df.repartition(*keys) if keys else self.df  # serves both groupings
+        once = df.groupBy(*keys, i).agg(F.sum("v").alias("v"))
+        known = F.sort_array(F.collect_list(F.when((i >= 0) & (i < n), F.struct(i.alias("i"), "v"))))
+        lines, s = once.groupBy(*keys).agg(known.alias("_s")), F.col("_s")
+        nothing = lambda size: F.array_repeat(F.lit(None).cast("double"), size.cast("int"))
+        place = lambda k: F.coalesce(F.get(s, k)["i"], F.lit(n))
+        with_gaps = F.concat(nothing(place(F.lit(0))), F.flatten(F.transform(s, lambda x, k: F.concat(F.array(x["v"]), nothing(place(k + 1) - x["i"] - 1)))))
+        return lines.select(*keys, F.when(F.size(s) == n, F.transform(s, lambda x: x["v"])).otherwise(with_gaps).alias("trace"))
+
+
+def every(n: int) -> Column:
+    """A row for each index of an axis of n samples."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def sample(trace: Column, place: Column) -> Column:
+    """The value of an array at a fractional index, by linear interpolation; null samples count 0 beside others."""
+    base, part = F.floor(place).cast("int"), place - F.floor(place)
+    low, high = F.get(trace, base) * (F.lit(1.0) - part), F.when(part > 0, F.get(trace, base + 1) * part)
+    return F.coalesce(low + high, low, high)
+
 
 def from_traces(df: DataFrame, header: Header, column: str = "trace") -> Grid:
     """A grid from one row per line of axis 1; lines that are null or empty hold no samples."""

@@ -1,4 +1,4 @@
-"""Interpolation, slices, moveout and sums along trajectories, as joins on computed indices."""
+"""Interpolation, slices, moveout and sums along trajectories, read from lines at computed indices."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hyperstrata.functions.header import Axis
-from hyperstrata.operators.grid import Grid
+from hyperstrata.operators.grid import Grid, every, sample
 
 
 def linear(knots: DataFrame, by: list[str], x: str, v: str, axis: Axis) -> DataFrame:
@@ -55,24 +55,25 @@ def slice_at(grid: Grid, picks: DataFrame, axis: int = 2) -> DataFrame:
     return found.groupBy(*keys, "pick").agg(F.sum(F.coalesce("v", F.lit(0.0)) * F.col("_w")).alias("v")).select(*keys, F.when(inside, F.col("v")).otherwise(0.0).alias("v"))
 
 
-def remapped(grid: Grid, position: Column, axis: int = 1, n: int | None = None) -> Grid:
+def remapped(grid: Grid, position: Column, axis: int = 1, n: int | None = None, along: bool = False) -> Grid:
     """New lines of ``n`` samples: the value at a fractional input index given for each output index.
 
-    ``position`` is an expression of the output indices (columns i1, i2, ...). 0 outside.
+    ``position`` is an expression of the output indices (columns i1, i2, ...); it may hold
+    windows along the lines if ``along`` says so. 0 outside. A line is an array that its
+    outputs are read from, so only whole lines are shuffled, if any.
     """
-    i = f"i{axis}"
-    n_in = grid.axis(axis).n
+    i, keys, n_in = f"i{axis}", grid.others(axis), grid.axis(axis).n
     n = n or n_in
-    lines = grid.df.select(*grid.others(axis)).distinct() if grid.others(axis) else grid.spark.range(1).drop("id")
-    targets = lines.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("_p", position.cast("double"))
-    targets = targets.where((F.col("_p") >= 0) & (F.col("_p") <= n_in - 1))
-    base, part = F.floor("_p").cast("long"), F.col("_p") - F.floor("_p")
-    ends = targets.select(*grid.indices, F.inline(F.array(F.struct(base.alias("_j"), (F.lit(1.0) - part).alias("_w")), F.struct((base + 1).alias("_j"), part.alias("_w"))))).where("_w > 0")
-    source = grid.df.select(F.col(i).alias("_j"), *grid.others(axis), F.col("v").alias("_v"))
-    value = ends.join(source, ["_j", *grid.others(axis)]).groupBy(*grid.indices).agg(F.sum(F.col("_v") * F.col("_w")).alias("v"))
-    full = lines.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    df = full.join(value, grid.indices, "left").select(*grid.indices, F.coalesce("v", F.lit(0.0)).alias("v"))
-    return Grid(df, grid.header.with_axis(axis, n=n))
+    lines, p = grid.dense(axis), F.col("_p")
+    if along:
+        places = lines.select(*keys).distinct().withColumn(i, every(n)).withColumn("_p", position.cast("double"))
+        places = places.groupBy(*keys).agg(F.collect_list(F.struct(i, "_p")).alias("_places"))
+        # the hint keeps the lines from being broadcast by way of the driver
+        outs = places.hint("merge").join(lines, keys, "left").select(*keys, "trace", F.inline("_places")) if keys else places.crossJoin(lines).select("trace", F.inline("_places"))
+    else:
+        outs = lines.withColumn(i, every(n)).withColumn("_p", position.cast("double"))
+    value = F.when((p >= 0) & (p <= n_in - 1), sample(F.col("trace"), p))
+    return Grid(outs.select(*grid.indices, F.coalesce(value, F.lit(0.0)).alias("v")), grid.header.with_axis(axis, n=n))
 
 
 def nmo(grid: Grid, offset: Column, velocity: Column | float, stretch_mute: float | None = None) -> Grid:
