@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from hyperstrata.functions.header import Axis, Header
 from hyperstrata.operators import moveout as M
-from hyperstrata.operators.grid import Grid
-from hyperstrata.plans.adapters import VECTORS, panels, panels_sql, vectors
+from hyperstrata.operators.grid import Grid, from_traces
+from hyperstrata.plans.adapters import panels, panels_sql, table
 from hyperstrata.plans.catalog import query, rounded
 from hyperstrata.plans.queries_extra import _taps
 from hyperstrata.plans.queries_select import R
@@ -17,8 +17,9 @@ CUBE = "g AS (SELECT vec_id % 10 AS i2, vec_id // 10 % 10 AS i3, vec_id // 100 A
 
 
 def cube(spark, sf, d1=0.01, o2=0.0, d2=1.0, o3=0.0, d3=1.0) -> Grid:
-    df = vectors(spark, sf).df.select("i1", (F.col("i2") % 10).alias("i2"), F.expr("i2 div 10 % 10").alias("i3"), F.expr("i2 div 100").alias("i4"), "v")
-    return Grid(df, Header((Axis(64, 0.0, d1), Axis(10, o2, d2), Axis(10, o3, d3), Axis())))
+    vec = F.col("vec_id")
+    lines = table(spark, sf, "embeddings").select((vec % 10).alias("i2"), F.expr("vec_id div 10 % 10").alias("i3"), F.expr("vec_id div 100").alias("i4"), F.col("embedding").cast("array<double>").alias("trace"))
+    return from_traces(lines, Header((Axis(64, 0.0, d1), Axis(10, o2, d2), Axis(10, o3, d3), Axis())))
 
 
 def _gathered(source: str, p: str, lines: str) -> str:
