@@ -9,7 +9,7 @@ from hyperstrata.plans import catalog
 
 #: Nothing of these is broadcast, whatever the size of the tables.
 LINES = """
-inmo nmo nmo3 nmo3_ort pp2psang logstretch logwarp t2stretch
+inmo nmo nmo3 nmo3_ort pp2psang logstretch logwarp t2stretch t2warp
 """.split()
 
 
