@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hyperstrata.operators.grid import Grid
+from hyperstrata.operators.grid import Grid, every
 
 
 def weights(kind: str, x: Column) -> list[Column]:
@@ -54,20 +54,15 @@ def eno(grid: Grid, places: Column, n: int) -> Grid:
     ``places``: fractional indices of axis 1 as an expression of the output index (column
     i1); the cell of the first or last sample goes on beyond it. Ties take the neighbour before.
     """
-    from pyspark.sql import Window
-
     keys, size = grid.others(1), grid.axis(1).n
-    w = Window.partitionBy(*keys).orderBy("i1") if keys else Window.partitionBy(F.lit(0)).orderBy("i1")
-    bend = F.lag("v").over(w) - 2 * F.col("v") + F.lead("v").over(w)
-    cells = grid.df.withColumn("_b", bend).withColumns({"_w": F.lead("v").over(w), "_c": F.lead("_b").over(w)}).where("_w IS NOT NULL")
-    less = F.when(F.col("_c").isNull() | (F.abs("_b") <= F.abs("_c")), F.col("_b")).otherwise(F.col("_c"))
-    cells = cells.select(F.col("i1").alias("_cell"), *keys, "v", "_w", F.coalesce(less, F.col("_c"), F.lit(0.0)).alias("_bend"))
-    lines = grid.df.select(*keys).distinct() if keys else grid.spark.range(1).drop("id")
-    outs = lines.withColumn("i1", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("_p", places.cast("double"))
-    outs = outs.withColumn("_cell", F.least(F.greatest(F.floor("_p"), F.lit(0)), F.lit(size - 2)).cast("long"))
-    t = F.col("_p") - F.col("_cell")
-    value = F.col("v") + t * (F.col("_w") - F.col("v")) + t * (t - 1) / 2 * F.col("_bend")
-    return Grid(outs.join(cells, ["_cell", *keys]).select("i1", *keys, value.alias("v")), grid.header.with_axis(1, n=n))
+    outs = grid.dense().withColumn("i1", every(n)).withColumn("_p", places.cast("double"))
+    outs = outs.withColumn("_cell", F.least(F.greatest(F.floor("_p"), F.lit(0)), F.lit(size - 2)).cast("int"))
+    at = lambda k: F.get("trace", F.col("_cell") + k)
+    outs = outs.select("i1", *keys, (F.col("_p") - F.col("_cell")).alias("_t"), *[at(k).alias(c) for k, c in enumerate(["_a", "_b", "_c", "_d"], -1)]).where("_c IS NOT NULL")
+    before, after, t = F.col("_a") - 2 * F.col("_b") + F.col("_c"), F.col("_b") - 2 * F.col("_c") + F.col("_d"), F.col("_t")
+    less = F.when(after.isNull() | (F.abs(before) <= F.abs(after)), before).otherwise(after)
+    value = F.col("_b") + t * (F.col("_c") - F.col("_b")) + t * (t - 1) / 2 * F.coalesce(less, after, F.lit(0.0))
+    return Grid(outs.select("i1", *keys, value.alias("v")), grid.header.with_axis(1, n=n))
 
 
 def spline_values(grid: Grid, axes: tuple[int, ...] = (1,)) -> Grid:
