@@ -27,8 +27,8 @@ def vectors(spark: SparkSession, sf: str, where: str | None = None, n2: int | No
 
 def panels(spark: SparkSession, sf: str, width: int, d1: float = 1.0, d2: float = 1.0) -> Grid:
     """embeddings dealt whole to panels of ``width`` vectors: axis 3 the panel; places after the last vector are 0."""
-    df = vectors(spark, sf).df.select("i1", F.expr(f"pmod(i2, {width})").cast("long").alias("i2"), F.floor(F.col("i2") / width).cast("long").alias("i3"), "v")
-    return Grid(df, Header((Axis(64, 0.0, d1), Axis(width, 0.0, d2), Axis())))
+    lines = table(spark, sf, "embeddings").select(F.expr(f"pmod(vec_id, {width})").cast("long").alias("i2"), F.floor(F.col("vec_id") / width).cast("long").alias("i3"), F.col("embedding").cast("array<double>").alias("trace"))
+    return from_traces(lines, Header((Axis(64, 0.0, d1), Axis(width, 0.0, d2), Axis())))
 
 
 def whole(spark: SparkSession, sf: str) -> Grid:
