@@ -1,6 +1,6 @@
 """Velocity: constant-velocity stacks, velocity transforms, and closed-form profiles.
 
-Every output sample asks for input samples on a curve, which is a join on computed
+Every output sample asks for input samples on a curve, read from its line at computed
 indices; products are summed before the shuffle. Samples between two others are taken
 linearly.
 """
@@ -11,34 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hyperstrata.functions.header import Axis, Header
-from hyperstrata.operators.grid import Grid, index_grid
-
-
-def _every(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+from hyperstrata.operators.grid import Grid, every, index_grid, sample
 
 
 def _asked(grid: Grid, parameter: Axis, time) -> DataFrame:
     """_t0, _k, the input's other indices and the value v of the input at ``time(t, x, p)``.
 
     ``x`` is the coordinate of axis 2, ``p`` that of the parameter; times outside the
-    axis (and null ones) are left out.
+    axis (and null ones) give null.
     """
     a, rest = grid.axis(1), grid.others(1)
     t, p = F.lit(float(a.o)) + F.col("_t0") * F.lit(float(a.d)), F.lit(float(parameter.o)) + F.col("_k") * F.lit(float(parameter.d))
-    lines = grid.df.select(*rest).distinct().withColumn("_x", grid.x(2))
-    asked = lines.withColumn("_k", _every(parameter.n)).withColumn("_t0", _every(a.n))
-    asked = asked.withColumn("_p", (time(t, F.col("_x"), p) - F.lit(float(a.o))) / F.lit(float(a.d))).where((F.col("_p") >= 0) & (F.col("_p") <= a.n - 1))
-    base, part = F.floor("_p").cast("long"), F.col("_p") - F.floor("_p")
-    ends = asked.select("_t0", "_k", *rest, F.inline(F.array(F.struct(base.alias("i1"), (1 - part).alias("_w")), F.struct((base + 1).alias("i1"), part.alias("_w"))))).where("_w > 0")
-    hit = ends.join(grid.df.select("i1", *rest, "v"), ["i1", *rest])
-    return hit.groupBy("_t0", "_k", *rest).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
-
-
-def _filled(grid: Grid, sums: DataFrame, parameter: Axis, extra: list[str]) -> Grid:
-    panels = grid.df.select(*extra).distinct() if extra else grid.spark.range(1).drop("id")
-    frame = panels.withColumn("_k", _every(parameter.n)).withColumn("_t0", _every(grid.axis(1).n))
-    df = frame.join(sums, ["_t0", "_k", *extra], "left").select(F.col("_t0").alias("i1"), F.col("_k").alias("i2"), *extra, F.coalesce("v", F.lit(0.0)).alias("v"))
+    asked = grid.dense().withColumn("_x", grid.x(2)).withColumn("_k", every(parameter.n)).withColumn("_t0", every(a.n))
+    asked = asked.select("_t0", "_k", *rest, "trace", ((time(t, F.col("_x"), p) - F.lit(float(a.o))) / F.lit(float(a.d))).alias("_p"))
+    inside = (F.col("_p") >= 0) & (F.col("_p") <= a.n - 1)
+    return asked.select("_t0", "_k", *rest, F.when(inside, sample(F.col("trace"), F.col("_p"))).alias("v"))
+
+
+def _summed(grid: Grid, asked: DataFrame, value: Column, parameter: Axis) -> Grid:
+    """``value`` of what every output asked for, 0 where that is null."""
+    extra = grid.others(1, 2)
+    sums = asked.groupBy("_t0", "_k", *extra).agg(F.coalesce(value, F.lit(0.0)).alias("v"))
+    df = sums.select(F.col("_t0").alias("i1"), F.col("_k").alias("i2"), *extra, "v")
     return Grid(df, grid.header.with_axis(2, n=parameter.n, o=parameter.o, d=parameter.d))
 
 
@@ -55,9 +49,7 @@ def constant_velocity_stacks(grid: Grid, velocities: Axis, half: bool = False, s
         curve = F.sqrt(t * t + h * h)
         return curve if stretch is None else F.when(curve <= t * F.lit(1 + stretch), curve)
 
-    hit = _asked(grid, velocities, time).where("v <> 0")
-    extra = grid.others(1, 2)
-    return _filled(grid, hit.groupBy("_t0", "_k", *extra).agg(F.avg("v").alias("v")), velocities, extra)
+    return _summed(grid, _asked(grid, velocities, time), F.avg(F.when(F.col("v") != 0, F.col("v"))), velocities)
 
 
 def velocity_model(scan: Grid, offsets: Axis, half: bool = True, slowness: bool = False) -> Grid:
@@ -69,9 +61,7 @@ def velocity_model(scan: Grid, offsets: Axis, half: bool = True, slowness: bool
         return F.when(t * t - h * h >= 0, F.sqrt(F.greatest(F.lit(0.0), t * t - h * h)))
 
     scale = F.lit(1.0 / (scan.axis(1).n * offsets.n))
-    extra = scan.others(1, 2)
-    sums = _asked(scan, offsets, time).groupBy("_t0", "_k", *extra).agg((F.sum("v") * scale).alias("v"))
-    return _filled(scan, sums, offsets, extra)
+    return _summed(scan, _asked(scan, offsets, time), F.sum("v") * scale, offsets)
 
 
 def hyperbolic_radon(grid: Grid, slowness: Axis) -> Grid:
@@ -83,9 +73,7 @@ def hyperbolic_radon(grid: Grid, slowness: Axis) -> Grid:
     s = F.lit(float(slowness.o)) + F.col("_k") * F.lit(float(slowness.d))
     hit = _asked(grid, slowness, lambda t, x, p: F.when((t > 0) & (t * t + p * x * x > 0), F.sqrt(F.greatest(F.lit(0.0), t * t + p * x * x))))
     t = F.sqrt(z * z + s * grid.x(2) * grid.x(2))
-    extra = grid.others(1, 2)
-    sums = hit.groupBy("_t0", "_k", *extra).agg(F.sum(F.col("v") * z / (t * F.sqrt(t))).alias("v"))
-    return _filled(grid, sums, slowness, extra)
+    return _summed(grid, hit, F.sum(F.try_divide(F.col("v") * z, t * F.sqrt(t))), slowness)
 
 
 def interval_profile(t: Column, v0: float = 1.5, alpha: float = 0.5) -> Column:
