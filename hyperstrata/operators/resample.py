@@ -113,24 +113,20 @@ def trajectory_sum(grid: Grid, parameter: Axis, moveout, normalise: bool = False
     """Sum a panel (i1: time, i2: offset) along curves t(t0, x, p), one for each parameter.
 
     ``moveout(t0, x, p)`` is a column. Every output sample asks for the input sample
-    nearest its curve: a join on (index, offset), then a sum over offsets that is
+    nearest its curve, read from its line, then a sum over offsets that is
     pre-aggregated. Without a panel index i3 there is one panel.
     """
     a, extra = grid.axis(1), grid.others(1, 2)
-    offsets = grid.df.select("i2", *extra).distinct().withColumn("_x", grid.x(2))
-    curves = offsets.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parameter.n - 1).cast("long"))))
-    outs = curves.withColumn("_t0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long"))))
+    outs = grid.dense().withColumn("_x", grid.x(2)).withColumn("_k", every(parameter.n)).withColumn("_t0", every(a.n))
     p = F.lit(float(parameter.o)) + F.col("_k") * F.lit(float(parameter.d))
     t0 = F.lit(float(a.o)) + F.col("_t0") * F.lit(float(a.d))
     index = F.floor(F.lit(0.5) + (moveout(t0, F.col("_x"), p) - F.lit(float(a.o))) / F.lit(float(a.d))).cast("long")
-    asked = outs.select("_t0", "_k", "i2", *extra, index.alias("i1")).where((F.col("i1") >= 0) & (F.col("i1") < a.n))
-    hit = asked.join(grid.df.select("i1", "i2", *extra, "v"), ["i1", "i2", *extra])
+    # samples asked for outside are null, so that every output has its group
+    hit = outs.select("_t0", "_k", *extra, "trace", index.alias("_j")).select("_t0", "_k", *extra, F.when((F.col("_j") >= 0) & (F.col("_j") < a.n), F.get("trace", F.col("_j").cast("int"))).alias("v"))
     total, square, live = F.sum("v"), F.sum(F.col("v") * F.col("v")), F.sum((F.col("v") != 0).cast("double"))
-    value = F.coalesce(F.try_divide(total * total, live * square), F.lit(0.0)) if semblance else (F.coalesce(F.try_divide(total, live), F.lit(0.0)) if normalise else total)
-    sums = hit.groupBy("_t0", "_k", *extra).agg(value.alias("v"))
-    panels = grid.df.select(*extra).distinct() if extra else grid.spark.range(1).drop("id")
-    frame = panels.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parameter.n - 1).cast("long")))).withColumn("_t0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a.n - 1).cast("long"))))
-    df = frame.join(sums, ["_t0", "_k", *extra], "left").select(F.col("_t0").alias("i1"), F.col("_k").alias("i2"), *extra, F.coalesce("v", F.lit(0.0)).alias("v"))
+    value = F.try_divide(total * total, live * square) if semblance else (F.try_divide(total, live) if normalise else total)
+    sums = hit.groupBy("_t0", "_k", *extra).agg(F.coalesce(value, F.lit(0.0)).alias("v"))
+    df = sums.select(F.col("_t0").alias("i1"), F.col("_k").alias("i2"), *extra, "v")
     return Grid(df, grid.header.with_axis(2, n=parameter.n, o=parameter.o, d=parameter.d))
 
 
