@@ -1,7 +1,7 @@
 """Moveout of gathers in offset, slope and angle, and fits of moveout.
 
-Every correction is a position on an axis said as a column, so that resampling is one
-join on computed indices; what scatters samples instead of gathering them sums before
+Every correction is a position on an axis said as a column, so that resampling reads
+each line at computed indices; what scatters samples instead of gathering them sums before
 the shuffle. Positions outside the data give 0.
 """
 
@@ -16,14 +16,14 @@ from hyperstrata.operators.resample import remapped
 from hyperstrata.operators.seismic import warp
 
 
-def moved(gather: Grid, time: Column, inverse: bool = False) -> Grid:
-    """out(t) = in(time(t)) along axis 1; the inverse puts each sample at its time (null: nowhere)."""
+def moved(gather: Grid, time: Column, inverse: bool = False, along: bool = False) -> Grid:
+    """out(t) = in(time(t)) along axis 1; the inverse puts each sample at its time (null: nowhere). ``along``: the time holds windows."""
     a = gather.axis(1)
     nowhere = F.lit(float(a.o) - 10 * float(a.d))
     time = F.coalesce(time, nowhere)
     if inverse:
         return warp(gather, gather.with_v(time), inverse=True)
-    return remapped(gather, (time - F.lit(float(a.o))) / F.lit(float(a.d)))
+    return remapped(gather, (time - F.lit(float(a.o))) / F.lit(float(a.d)), along=along)
 
 
 def ellipse(gather: Grid, wx: Column, wy: Column, wxy: Column, half: bool = True, inverse: bool = False) -> Grid:
@@ -49,7 +49,7 @@ def slope_moveout(gather: Grid, velocity: Column, interval: bool = True, inverse
         return moved(gather, F.when(part >= 0, root * gather.x(1)), inverse)
     a = gather.axis(1)
     before = Window.partitionBy(*gather.others(1)).orderBy("i1").rowsBetween(Window.unboundedPreceding, -1)
-    return moved(gather, F.lit(float(a.o)) + F.coalesce(F.sum(root).over(before), F.lit(0.0)) * F.lit(float(a.d)), inverse)
+    return moved(gather, F.lit(float(a.o)) + F.coalesce(F.sum(root).over(before), F.lit(0.0)) * F.lit(float(a.d)), inverse, along=True)
 
 
 def time_offset_slope(gather: Grid, velocity: Column) -> Grid:
