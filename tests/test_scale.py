@@ -10,7 +10,7 @@ from hyperstrata.plans import catalog
 #: Nothing of these is broadcast, whatever the size of the tables.
 LINES = """
 inmo nmo nmo3 nmo3_ort pp2psang logstretch logwarp t2stretch t2warp t2warp_inverse remap1
-taupmo_effective txpnmo velmod slant_stack taupmo veltran
+taupmo_effective txpnmo velmod slant_stack taupmo veltran vscan_semblance
 """.split()
 
 
