@@ -17,11 +17,12 @@ from hyperstrata.functions.header import Axis
 from hyperstrata.operators.grid import Grid
 
 
-def apply(grid: Grid, kernel, axes: int = 2, out: list[Axis] | None = None) -> Grid:
+def apply(grid: Grid, kernel, axes: int = 2, out: list[Axis] | None = None, held: bool = False) -> Grid:
     """``kernel(array) -> array`` on every block of the first ``axes`` axes.
 
     The array has the last of these axes first, as in C order: a 2-D panel is
-    [i2, i1]. ``out`` describes new block axes.
+    [i2, i1]. ``out`` describes new block axes. Places without a sample are 0; with ``held``
+    the kernel is also told which have one, and only these come back.
     """
     keys = grid.others(*range(1, axes + 1))
     shape = tuple(grid.axis(k).n for k in range(axes, 0, -1))
@@ -32,12 +33,16 @@ def apply(grid: Grid, kernel, axes: int = 2, out: list[Axis] | None = None) -> G
         import pyarrow as pa
 
         dense = np.zeros(shape)
-        dense[tuple(np.asarray(table.column(f"i{k}")) for k in range(axes, 0, -1))] = np.asarray(table.column("v"))
-        result = np.asarray(kernel(dense), "f8")
+        at = tuple(np.asarray(table.column(f"i{k}")) for k in range(axes, 0, -1))
+        dense[at] = np.asarray(table.column("v"))
+        has = np.zeros(shape, bool)
+        has[at] = True
+        result = np.asarray(kernel(dense, has) if held else kernel(dense), "f8")
+        kept = has.ravel() if held else np.ones(result.size, bool)
         places = np.meshgrid(*[np.arange(n) for n in result.shape], indexing="ij")
-        columns = {names[k]: pa.array(places[result.ndim - 1 - k].ravel(), "int64") for k in range(axes)}
-        columns |= {c: pa.array(np.full(result.size, k.as_py()), "int64") for c, k in zip(keys, key)}
-        return pa.table({**columns, "v": pa.array(result.ravel())})
+        columns = {names[k]: pa.array(places[result.ndim - 1 - k].ravel()[kept], "int64") for k in range(axes)}
+        columns |= {c: pa.array(np.full(kept.sum(), k.as_py()), "int64") for c, k in zip(keys, key)}
+        return pa.table({**columns, "v": pa.array(result.ravel()[kept])})
 
     df = grid.df.select(*names, *keys, F.col("v").cast("double").alias("v"))
     if not keys:

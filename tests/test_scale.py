@@ -47,3 +47,11 @@ def test_helix_makes_no_samples(spark):
     out = _samples(helix.convolve(_partial(spark), [1, 5], [-0.5, 0.25]))
     line = [0.0] * 5 + [1.0 + k for k in range(8)]
     assert out == {(k % 4, k // 4): line[k + 5] - 0.5 * line[k + 4] + 0.25 * line[k] for k in range(8)}
+
+
+def test_helix_division_makes_no_samples(spark):
+    g = _partial(spark)
+    gaps = Grid(g.df.where("i1 <> 2 or i2 <> 0"), g.header)
+    for x in (g, gaps):
+        out = _samples(helix.divide(helix.convolve(x, [1, 5], [-0.5, 0.25]), [1, 5], [-0.5, 0.25]))
+        assert out == pytest.approx(_samples(x))
