@@ -56,7 +56,8 @@ def triangle(grid: Grid, rect: int, axis: int = 1, repeat: int = 1) -> Grid:
     """Weights (r - |k|) / r**2 with half-sample mirrors at the ends.
 
     The line is mirrored by ``rect`` samples as extra rows, so that the weighted sum
-    is one moving frame; lines shorter than ``rect`` mirror again and again.
+    is one moving frame, of places, not of rows: a place without a sample counts 0.
+    Lines shorter than ``rect`` mirror again and again.
     """
     if rect <= 1:
         return grid
@@ -70,10 +71,11 @@ def triangle(grid: Grid, rect: int, axis: int = 1, repeat: int = 1) -> Grid:
         images = F.flatten(F.transform(F.sequence(low, high), lambda k: F.array(F.col(i) + k * period, period - 1 - F.col(i) + k * period)))
         spread = with_n.withColumn("_p", F.explode(images)).where((F.col("_p") >= -rect) & (F.col("_p") < F.col("_n") + rect))
         line = Window.partitionBy(*grid.others(axis)).orderBy("_p") if grid.others(axis) else Window.partitionBy(F.lit(0)).orderBy("_p")
-        around = F.collect_list("v").over(line.rowsBetween(1 - rect, rect - 1))
-        weights = F.array(*[F.lit((rect - abs(k)) / rect**2) for k in range(1 - rect, rect)])
-        value = F.aggregate(F.zip_with(around, weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        smooth = spread.withColumn("_s", value).where((F.col("_p") >= 0) & (F.col("_p") < F.col("_n")))
+        known = F.when(F.col("v").isNotNull(), F.struct("_p", "v"))
+        near = spread.withColumn("_near", F.collect_list(known).over(line.rangeBetween(1 - rect, rect - 1)))
+        weight = lambda x: (F.lit(rect) - F.abs(x["_p"] - F.col("_p"))) / F.lit(float(rect**2))
+        value = F.when(F.size("_near") > 0, F.aggregate("_near", F.lit(0.0), lambda a, x: a + weight(x) * x["v"]))
+        smooth = near.withColumn("_s", value).where((F.col("_p") >= 0) & (F.col("_p") < F.col("_n")))
         df = smooth.select(*[F.col("_p").alias(i) if c == i else F.col(c) for c in grid.indices], F.col("_s").alias("v"))
         grid = Grid(df, grid.header)
     return grid

@@ -3,7 +3,7 @@
 import pytest
 
 from hyperstrata.functions.header import Axis, Header
-from hyperstrata.operators import helix, resample
+from hyperstrata.operators import frame, helix, resample
 from hyperstrata.operators.grid import Grid
 from hyperstrata.plans import catalog
 
@@ -55,3 +55,9 @@ def test_helix_division_makes_no_samples(spark):
     for x in (g, gaps):
         out = _samples(helix.divide(helix.convolve(x, [1, 5], [-0.5, 0.25]), [1, 5], [-0.5, 0.25]))
         assert out == pytest.approx(_samples(x))
+
+
+def test_triangle_of_partial_panels(spark):
+    """Mirrored at the end of the axis, not at that of the samples; missing ones count 0."""
+    out = _samples(frame.smooth_axes(_partial(spark), {2: 2}))
+    assert out == {(i, k): [0.75 * (1 + i) + 0.25 * (5 + i), 0.25 * (1 + i) + 0.5 * (5 + i)][k] for i in range(4) for k in range(2)}
