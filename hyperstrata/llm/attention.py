@@ -19,7 +19,6 @@ WIDTH, HIDDEN, GROUPS, MEMBERS = 16, 24, 16, 16
 CLASSES = GROUPS * MEMBERS
 OWN = 192  # classes of one frequent id each; the rest are bands of ids by frequency
 KNOWN, OTHER = 4096, 256  # embedding rows of frequent ids, and those the other ids share by hash
-HOT = 31  # the first rows of the embedding, those of the most frequent ids
 CHUNK, SCORE_CHUNK = 64, 64
 _CEILING = np.float32(60.0)  # exp of this, summed over a window or the classes, stays finite
 _SHAPES = {
@@ -35,20 +34,21 @@ _SHAPES = {
     "group_bias": (GROUPS,),
     "member_bias": (GROUPS, MEMBERS),
 }
-SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_STOPS = dict(zip(_SHAPES, np.cumsum([int(np.prod(s)) for s in _SHAPES.values()]).tolist()))
+SIZE = max(_STOPS.values())
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), "f4"))
 #: Sums each of the two parts of the logits.
 _HALVES = np.repeat(np.eye(2, dtype="f4"), [GROUPS, MEMBERS], axis=0)
 _SCALE = np.float32(WIDTH**-0.5)
+_ONES = np.ones((WINDOW, 1), "f4")
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of the parameters in one vector."""
     out, at = {}, 0
     for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
+        out[name] = flat[at : _STOPS[name]].reshape(shape)
+        at = _STOPS[name]
     return out
 
 
@@ -95,28 +95,37 @@ def start(vocab: Vocabulary, seed: int = 11) -> np.ndarray:
     return flat
 
 
-def _forward(p: dict, rows: np.ndarray) -> dict:
-    """The block on windows of embedding rows; ``a`` times ``share`` are the attention weights.
+def _forward(p: dict, rows: np.ndarray, since: int = 0) -> dict:
+    """The block on windows of embedding rows, for the places from ``since`` on; ``a`` over ``sums`` are the attention weights.
 
-    Here and in ``step`` what is wide stays contiguous, and sums and spreads along short
-    axes are products with ones: numpy pays for each short inner loop.
+    Here and in ``step`` what is wide stays contiguous, and sums along short axes are
+    products with ones: numpy pays for each short inner loop.
     """
     n = len(rows)
     x = np.take(p["embed"], rows.ravel(), axis=0).reshape(n, WINDOW, WIDTH)
     x += p["place"]
+    own = np.ascontiguousarray(x[:, since:]).reshape(-1, WIDTH)
     x = x.reshape(-1, WIDTH)
-    q, k, v = (y.reshape(n, WINDOW, WIDTH) for y in (x @ (p["query"] * _SCALE), x @ p["key"], x @ p["value"]))
+    k = x @ p["key"] if "key" in p else x
+    q, k, v = (y.reshape(n, -1, WIDTH) for y in (own @ (p["query"] * _SCALE), k, x @ p["value"]))
     a = np.matmul(q, k.transpose(0, 2, 1))
     if a.max(initial=0) > _CEILING:
         np.minimum(a, _CEILING, out=a)
     np.exp(a, out=a)
-    a *= _SEEN
-    share = 1 / (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), "f4"))
+    a *= _SEEN[since:]
+    sums = a.reshape(-1, WINDOW) @ _ONES
     o = np.matmul(a, v).reshape(-1, WIDTH)
-    o *= share @ np.ones((1, WIDTH), "f4")
-    h = o @ p["mix"]
-    h += x
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "share": share, "o": o, "h": h}
+    o /= sums
+    h = o @ p["mix"] if "mix" in p else o
+    h += own
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "sums": sums, "o": o, "h": h}
+
+
+def _folded(flat: np.ndarray) -> dict:
+    """Parameters for ``_forward`` alone: keys are multiplied into queries, and the mix into values."""
+    p = parts(flat)
+    key, mix = p.pop("key"), p.pop("mix")
+    return p | {"query": p["query"] @ key.T, "value": p["value"] @ mix}
 
 
 def _logits(p: dict, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,78 +134,101 @@ def _logits(p: dict, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     up += p["up_bias"]
     np.maximum(up, 0, out=up)
     z = up @ p["head"]
-    z += np.take(np.hstack([np.tile(p["group_bias"], (GROUPS, 1)), p["member_bias"]]), group, axis=0)
+    bias = np.empty((GROUPS, GROUPS + MEMBERS), "f4")
+    bias[:, :GROUPS], bias[:, GROUPS:] = p["group_bias"], p["member_bias"]
+    z += np.take(bias, group, axis=0)
     if z.max(initial=0) > _CEILING:
         np.minimum(z, _CEILING, out=z)
     return up, z
 
 
+def _split(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and members of classes, in a row."""
+    cls = cls.ravel().astype("i8")
+    group = cls // MEMBERS
+    return group, cls - group * MEMBERS
+
+
 def _target_places(group: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the targets' logits stand in the flattened logits."""
     at = np.arange(0, len(group) * (GROUPS + MEMBERS), GROUPS + MEMBERS)
     return at + group, at + (member + GROUPS)
 
 
+def _across(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y of long thin matrices, in 8 parts: BLAS is slow on the whole."""
+    part = lambda m: m.reshape(8, -1, m.shape[1])
+    return np.matmul(part(x).transpose(0, 2, 1), part(y)).sum(0)
+
+
+def _descend(flat: np.ndarray, memory: np.ndarray, at, grad: np.ndarray, rate: float) -> None:
+    """The step at some parameters; where the gradient is 0, nothing would change."""
+    squares = grad * grad
+    squares += memory[at]
+    memory[at] = squares
+    squares += np.float32(1e-8)
+    grad *= np.float32(-rate)
+    grad /= np.sqrt(squares, out=squares)
+    flat[at] += grad
+
+
 def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray, rate: float) -> float:
     """One step of stochastic gradient descent (with per-parameter rates); the mean loss before it.
 
     ``rows`` and ``targets``: windows x WINDOW embedding rows and next classes;
     ``weight`` 0 where a window has ended.
     """
-    p, grad = parts(flat), np.zeros(SIZE, "f4")
-    g, f = parts(grad), _forward(p, rows)
-    group, member = np.divmod(targets.ravel(), MEMBERS)
+    p, g = parts(flat), {}
+    f = _forward(p, rows)
+    group, member = _split(targets)
     first, second = _target_places(group, member)
-    h, x, one = f["h"], f["x"], np.ones((1, len(group)), "f4")
+    h, x, a, one = f["h"], f["x"], f["a"], np.ones((1, len(group)), "f4")
     up, e = _logits(p, h, group)
     z = e.ravel()
-    right = z[first] + z[second]
+    right = np.take(z, first) + np.take(z, second)
     np.exp(e, out=e)
     sums = e @ _HALVES
     w = weight.ravel().astype("f4")
     whole = np.float32(max(1.0, float(w.sum())))
-    loss = float(((np.log(sums[:, 0] * sums[:, 1]) - right) * w).sum() / whole)
+    loss = float((np.log(sums[:, 0] * sums[:, 1]) - right) @ w / whole)
     w /= whole
     e *= (w[:, None] / sums) @ _HALVES.T
     z[first] -= w
     z[second] -= w
-    g["head"][:] = up.T @ e
+    g["head"] = _across(up, e)
     chosen = np.zeros((len(group), GROUPS), "f4")
     chosen.ravel()[np.arange(0, chosen.size, GROUPS) + group] = 1
-    g["group_bias"][:] = (one @ e)[0, :GROUPS]
-    g["member_bias"][:] = (chosen.T @ e)[:, GROUPS:]
+    biases = _across(chosen, e)
+    g["group_bias"], g["member_bias"] = biases[:, :GROUPS].sum(0), biases[:, GROUPS:]
     d_up = e @ p["head"].T
     d_up *= up > 0
-    g["up"][:], g["up_bias"][:] = h.T @ d_up, one @ d_up
+    g["up"], g["up_bias"] = h.T @ d_up, one @ d_up
     d_h = d_up @ p["up"].T
-    g["mix"][:] = f["o"].T @ d_h
+    g["mix"] = f["o"].T @ d_h
     d_o = d_h @ p["mix"].T
-    a = f["a"]
-    a *= f["share"].reshape(-1, WINDOW, 1)
+    d_o /= f["sums"]
     # over a row, the sum of weights times their gradients is that of output times its gradient
-    inner = (d_o * f["o"]) @ np.ones((WIDTH, 1), "f4")
+    inner = (d_o * f["o"]) @ _ONES[:WIDTH]
     d_o = d_o.reshape(-1, WINDOW, WIDTH)
     d_s = np.matmul(d_o, f["v"].transpose(0, 2, 1))
     d_s -= inner.reshape(-1, WINDOW, 1)
     d_s *= a
+    d = np.empty((len(rows), WINDOW, 3 * WIDTH), "f4")
+    np.matmul(d_s, f["k"], out=d[:, :, :WIDTH])
+    np.matmul(d_s.transpose(0, 2, 1), f["q"], out=d[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_o, out=d[:, :, 2 * WIDTH :])
+    d = d.reshape(-1, 3 * WIDTH)
+    g["query"], g["key"], g["value"] = np.split(_across(x, d), 3, axis=1)
+    g["query"] *= _SCALE
     d_x = d_h
-    for name, d in (("query", np.matmul(d_s, f["k"]) * _SCALE), ("key", np.matmul(d_s.transpose(0, 2, 1), f["q"])), ("value", np.matmul(a.transpose(0, 2, 1), d_o))):
-        d = d.reshape(-1, WIDTH)
-        g[name][:] = x.T @ d
-        d_x += d @ p[name].T
-    g["place"][:] = d_x.reshape(-1, WINDOW, WIDTH).sum(0)
-    # the most frequent rows by a product, since adding to one place again and again is slow
-    at = rows.ravel()
-    hot = np.zeros((len(at), HOT + 1), "f4")
-    hot.ravel()[np.arange(0, hot.size, HOT + 1) + np.minimum(at, HOT)] = 1
-    rest = np.flatnonzero(at >= HOT)
-    places = at[rest].astype("i8")[:, None] * WIDTH + np.arange(WIDTH)
-    np.add.at(g["embed"].reshape(-1), places.ravel(), np.take(d_x, rest, axis=0).ravel())
-    g["embed"][:HOT] = (hot.T @ d_x)[:HOT]
-    memory += grad * grad
-    grad *= np.float32(-rate)
-    grad /= np.sqrt(memory + np.float32(1e-8))
-    flat += grad
+    d_x += d @ np.vstack([p["query"].T * _SCALE, p["key"].T, p["value"].T])
+    g["place"] = np.ones((1, len(rows)), "f4") @ d_x.reshape(len(rows), -1)
+    order = np.argsort(rows.ravel().astype("u2"), kind="stable")
+    at = np.take(rows.ravel(), order)
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    summed = np.add.reduceat(np.take(d_x, order, axis=0), starts, axis=0)
+    _descend(p["embed"], parts(memory)["embed"], at[starts], summed, rate)
+    _descend(flat, memory, slice(_STOPS["embed"], None), np.concatenate([g[name].ravel() for name in _SHAPES if name != "embed"]), rate)
     return loss
 
 
@@ -221,6 +253,16 @@ def padded(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([ids, np.zeros(WINDOW + 1, ids.dtype)])
 
 
+def _places(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The table's entries for all ids, and some more so that the last windows are whole."""
+    return np.take(table, padded(ids))
+
+
+def _views(values: np.ndarray, width: int) -> np.ndarray:
+    """``width`` values from each place on."""
+    return np.lib.stride_tricks.sliding_window_view(values, width)
+
+
 def train(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, epochs: int, rate: float, seed: int, memory: np.ndarray | None = None) -> np.ndarray:
     """Train on windows that cover the sequences whole, in random order: each id but a first one is a target once an epoch.
 
@@ -229,14 +271,14 @@ def train(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begins: np.ndarr
     flat, rng = flat.copy(), np.random.default_rng(seed)
     memory = fresh_memory() if memory is None else memory
     owner, number, first = windows(begins, sizes, WINDOW)
-    real = sizes[owner] - 1 - WINDOW * number
-    ids, span = padded(ids), np.arange(WINDOW + 1)
+    real, span = sizes[owner] - 1 - WINDOW * number, np.arange(WINDOW)
+    rows, classes = (_views(_places(table, ids), WINDOW) for table in (vocab.row, vocab.cls))
     for _ in range(epochs):
         order = rng.permutation(len(first))
         for k in range(0, len(order), CHUNK):
             some = order[k : k + CHUNK]
-            got = np.take(ids, first[some, None] + span)
-            step(flat, memory, np.take(vocab.row, got[:, :-1]), np.take(vocab.cls, got[:, 1:]), span[:-1] < real[some, None], rate)
+            at = first[some]
+            step(flat, memory, rows[at], classes[at + 1], span < real[some, None], rate)
     return flat
 
 
@@ -247,23 +289,24 @@ def log_probabilities(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begi
     scores only what the one before did not, so each id is scored once, with at
     least WINDOW - STRIDE ids before it.
     """
-    p = {k: np.ascontiguousarray(v) for k, v in parts(flat).items()}
     owner, number, first = windows(begins, sizes, STRIDE)
-    low = np.where(number > 0, WINDOW - STRIDE, 0)
-    high = np.minimum(WINDOW, sizes[owner] - 1 - STRIDE * number)
-    ids, span, scores = padded(ids), np.arange(WINDOW), np.zeros(len(owner))
-    for k in range(0, len(owner), SCORE_CHUNK):
-        part = slice(k, k + SCORE_CHUNK)
-        at = first[part, None] + span
-        scored = np.flatnonzero((span >= low[part, None]) & (span < high[part, None]))
-        target = np.take(ids, at.ravel()[scored] + 1)
-        group, member = np.divmod(np.take(vocab.cls, target), MEMBERS)
-        h = np.take(_forward(p, np.take(vocab.row, np.take(ids, at)))["h"], scored, axis=0)
-        z = _logits(p, h, group)[1]
-        places = _target_places(group, member)
-        right = z.ravel()[places[0]] + z.ravel()[places[1]]
-        np.exp(z, out=z)
-        sums = z @ _HALVES
-        right += np.take(vocab.log_share, target) - np.log(sums[:, 0] * sums[:, 1])
-        scores[part] = np.bincount(scored // WINDOW, right, len(at))
+    p, scores = _folded(flat), np.zeros(len(owner))
+    rows, classes, shares = (_places(table, ids) for table in (vocab.row, vocab.cls, vocab.log_share))
+    rows = _views(rows, WINDOW)
+    for since, which in ((0, np.flatnonzero(number == 0)), (WINDOW - STRIDE, np.flatnonzero(number))):
+        width = WINDOW - since
+        targets, extra, span = _views(classes[since + 1 :], width), _views(shares[since + 1 :], width), np.arange(width)
+        for k in range(0, len(which), SCORE_CHUNK):
+            some = which[k : k + SCORE_CHUNK]
+            at = first[some]
+            group, member = _split(targets[at])
+            z = _logits(p, _forward(p, rows[at], since)["h"], group)[1]
+            places = _target_places(group, member)
+            right = np.take(z, places[0]) + np.take(z, places[1])
+            np.exp(z, out=z)
+            sums = z @ _HALVES
+            right -= np.log(sums[:, 0] * sums[:, 1])
+            right = right.reshape(-1, width) + extra[at]
+            inside = sizes[owner[some]] - 1 - STRIDE * number[some] - since
+            scores[some] = (right * (span < inside[:, None])).sum(1)
     return np.bincount(owner, scores, len(sizes))

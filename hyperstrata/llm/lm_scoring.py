@@ -10,15 +10,17 @@ What is learned, all from the rows that satisfy ``learn_from``:
   texts of its partition, one pass without a restart, one segment after another in
   random order; the weights of the tasks are averaged on the executors.
 
-Segments: texts are cut into words and encoded once. Each task writes runs of
-consecutive documents as segments, rows of one table: the segment's own word list
-(at most ``WORDS`` words, or those of one document) with counts and subword ids, and
-the documents as numbers into that list. All later work is on numbers.
-
-Scale: texts are not shuffled. The word lists meet by word, each word at most once a
-segment, so no key is hot; what returns to a segment is one number for each of its
-words, and segments of bounded size meet their numbers in a cogroup. The driver gets
-one number per subword id, one per weight, and the warm-up windows.
+Segments: texts are cut into words once. Each task writes runs of consecutive
+documents as segments, rows of one table: the segment's own word list (at most
+``WORDS`` words, or those of one document) with counts, and the documents as numbers
+into that list. The lists meet in groups by the words' crc32; there each word of the
+corpus is counted and encoded once, and what returns is, for each listed word, its
+count and its subword ids. All later work is on numbers.
+
+Scale: texts are not shuffled. Lists go to groups in blocks, one for each segment and
+group that share words; a word stands at most once in a segment, so no group is hot,
+and the number of groups grows with the lists. The driver gets one number per subword
+id, one per weight, and the warm-up windows.
 
 Cases: a null or empty text holds the end alone; a null id counts as the empty text
 in the split; repeated rows are scored each by itself; with nothing to learn from,
@@ -28,11 +30,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
+from bisect import bisect_left
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
@@ -40,10 +44,13 @@ from hyperstrata.llm.common import LOWER_ASCII, written
 from hyperstrata.llm.encoding import Memo, encoder
 
 WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
+LISTED = 500_000  # listed words that meet in a group, on average
+PART = 8_000_000  # bytes of text split at once
 WARM, WARM_EPOCHS, WARM_RATE, RATE = 4096, 3, 0.05, 0.02
 
 
 def words(text: str | None) -> list[bytes]:
+    """The words of a text; ``split_texts`` tells those of many."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()
 
 
@@ -59,71 +66,200 @@ def word_encoder(tokenizer_path: str):
     return Memo(lambda w: enc.encode_bytes(w.decode("utf-8", "surrogatepass"))).__getitem__
 
 
-class _Numbers(dict):
-    """word -> its number, from 1 on in order of appearance; 0 is the end of a text."""
+def split_texts(texts):
+    """(words of all texts one after another, number of words of each) of an Arrow array."""
+    import pyarrow.compute as pc
 
-    def __missing__(self, word):
-        n = self[word] = len(self) + 1
-        return n
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, sizes = lists.flatten(), np.asarray(pc.list_value_length(lists)).astype("i8")
+    empty = np.asarray(pc.equal(flat, "").cast("uint8")).astype(bool)
+    if empty.any():  # texts that are empty, begin or end with white space
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        flat = flat.filter(pc.not_equal(flat, ""))
+    return flat, sizes
 
 
-def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """segment; keys and train flags of its documents; ``places``, the numbers (uint32) of all
+@functools.cache
+def _zstd() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _zip(values) -> bytes:
+    return _zstd()[0].compress(values)
+
+
+def _unzip(packed: bytes) -> bytes:
+    return _zstd()[1].decompress(packed)
+
+
+def _numbers(packed: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(_unzip(packed), kind)
+
+
+def _binary(sizes: np.ndarray, data: bytes):
+    """Byte strings that stand one after another, as an Arrow array."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - stops + sizes, sizes)
+
 
-    words, 0 after each document, compressed; ``listed``, words 1, 2, ... with their training counts;
-    ``id_sizes`` and ``ids`` (uint32, compressed), the subword ids of words 0, 1, 2, ...
+def _lists(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
+    """The segments before their words are encoded: keys, train flags, ``places`` (see ``segments``),
+
+    ``words`` (in the order of their crc32) with ``word_sizes`` and training counts ``n``, and totals.
     """
-    learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
     kind = dict(docs.dtypes)[id_col]
-    end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
         import pyarrow as pa
-        import zstandard
+        import pyarrow.compute as pc
 
-        zip_ = zstandard.ZstdCompressor(level=1).compress
-        get_ids = word_encoder(tokenizer_path)
-        entry = pa.struct([("word", pa.string()), ("n", pa.int64())])
+        keys, train, sizes, held = [], np.zeros(0, bool), np.zeros(0, "i8"), []
 
         def row():
-            numbers = np.concatenate(places)
-            sizes = np.fromiter(map(len, places), "i8", len(places))
-            learned = np.repeat(np.array(train, bool), sizes)
-            counts = np.bincount(numbers[learned], minlength=len(list_) + 1)[1:]
-            ids = list(map(get_ids, list_))
-            id_sizes = np.fromiter((len(x) // 4 for x in [end, *ids]), "u4", len(ids) + 1)
-            listed = pa.StructArray.from_arrays([pa.array(list(list_), pa.string()), pa.array(counts, "int64")], fields=list(entry))
+            """The first documents held, as a segment."""
+            nonlocal keys, train, sizes, held
+            whole = pa.concat_arrays(held)
+            ends = np.cumsum(sizes)
+            most = min(len(sizes), 1 + int(np.searchsorted(ends + np.arange(1, len(ends) + 1), TOKENS)))
+            coded = whole[: ends[most - 1]].dictionary_encode()
+            number = np.asarray(coded.indices)
+            seen = np.concatenate([[0], np.maximum.accumulate(number) + 1])[ends[:most]]  # words listed by the end of each document
+            n = min(most, 1 + int(np.searchsorted(seen, WORDS)))
+            stop, list_ = ends[n - 1], coded.dictionary[: seen[n - 1]].cast(pa.large_binary())
+            hashes = np.fromiter(map(zlib.crc32, list_.to_pylist()), "u4", len(list_))
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), "u4")
+            rank[order] = np.arange(1, len(order) + 1)
+            number = np.take(rank, number[:stop])
+            places = np.zeros(stop + n, "<u4")
+            places[np.arange(stop) + np.repeat(np.arange(n), sizes[:n])] = number
+            counts = np.bincount(number[np.repeat(train[:n], sizes[:n])], minlength=len(order) + 1)[1:].astype("<i8")
+            list_ = list_.take(pa.array(order))
+            starts = np.frombuffer(list_.buffers()[1], "i8")[list_.offset : list_.offset + len(list_) + 1] if len(list_) else np.zeros(1, "i8")
+            data = list_.buffers()[2][starts[0] : starts[-1]] if len(list_) else b""
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], "int32"), a)
-            return pa.RecordBatch.from_arrays(
-                [one(pa.array(keys, key_type)), one(pa.array(train, pa.bool_())), pa.array([zip_(numbers.tobytes())], pa.binary()), one(listed), pa.array([zip_(id_sizes.tobytes())], pa.binary()), pa.array([zip_(b"".join([end, *ids]))], pa.binary())],
-                names=["keys", "train", "places", "listed", "id_sizes", "ids"],
+            binary = lambda x: pa.array([_zip(x)], pa.binary())
+            long = lambda x: pa.array([x], "int64")
+            out = pa.RecordBatch.from_arrays(
+                [one(pa.array(keys[:n], key_type)), one(pa.array(train[:n])), binary(places.tobytes()), binary(np.diff(starts).astype("<u4").tobytes()), binary(data), binary(counts.tobytes()), long(len(list_)), long(int(train[:n].sum())), long(int(counts.sum()))],
+                names=["keys", "train", "places", "word_sizes", "words", "n", "listed", "documents", "inside"],
             )
+            keys, train, sizes, held = keys[n:], train[n:], sizes[n:], [whole[stop:]]
+            return out
 
-        key_type, list_, keys, train, places, held = None, _Numbers(), [], [], [], 0
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for key, text, flag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                found = words(text.as_py())
-                number = np.fromiter(map(list_.__getitem__, found), "u4", len(found))
-                keys.append(key)
-                train.append(flag)
-                places.append(np.append(number, np.uint32(0)))
-                held += len(found) + 1
-                if len(list_) >= WORDS or held >= TOKENS:
+            key_type, lengths = batch.schema.field(0).type, pc.binary_length(batch.column(1)).fill_null(0)
+            parts = np.flatnonzero(np.diff(np.cumsum(np.asarray(lengths), dtype="i8") // PART)) + 1
+            for low, high in zip([0, *parts], [*parts, len(batch)]):
+                some = batch.slice(low, high - low)
+                flat, more = split_texts(some.column(1))
+                keys += some.column(0).to_pylist()
+                train = np.append(train, np.array(some.column(2).to_pylist(), bool))
+                sizes = np.append(sizes, more)
+                held.append(flat)
+                while keys and (sizes.sum() + len(sizes) >= TOKENS or sum(x.nbytes for x in held) >= 8 * PART):
                     yield row()
-                    list_, keys, train, places, held = _Numbers(), [], [], [], 0
-        if keys:
+        while keys:
             yield row()
 
-    out = f"keys array<{kind}>, train array<boolean>, places binary, listed array<struct<word: string, n: bigint>>, id_sizes binary, ids binary"
+    out = f"keys array<{kind}>, train array<boolean>, places binary, word_sizes binary, words binary, n binary, listed long, documents long, inside long"
     cut_ = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), learn.alias("learn")).mapInArrow(cut, out)
-    return written(cut_.withColumn("segment", F.monotonically_increasing_id()), "segments")
+    return written(cut_.withColumn("segment", F.monotonically_increasing_id()).withColumn("task", F.spark_partition_id()), "lists")
 
 
-def _numbers(packed: bytes) -> np.ndarray:
-    import zstandard
+def _looked_up(lists: DataFrame, tokenizer_path: str) -> DataFrame:
+    """For each segment and group of words, in the order of the list: ``found``, their counts in all training
+
+    texts (int64), and their subword ids; ``distinct``, how many of those with a count are listed in no earlier segment.
+    """
+    total = lists.agg(F.sum("listed")).first()[0] or 0
+    groups = max(1, -(-total // LISTED))
+
+    def blocks(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for segment, word_sizes, packed, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                sizes, data, n = _numbers(word_sizes), _unzip(packed), _numbers(n, "<i8")
+                at = np.concatenate([[0], np.cumsum(sizes, dtype="i8")]).tolist()
+                crc = lambda k: zlib.crc32(data[at[k] : at[k + 1]])
+                bounds = [*(bisect_left(range(len(sizes)), -(-(g << 32) // groups), key=crc) for g in range(groups)), len(sizes)]
+                group = [g for g in range(groups) if bounds[g] < bounds[g + 1]]
+                cuts = [(bounds[g], bounds[g + 1]) for g in group]
+                binary = lambda x: pa.array(map(_zip, x), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group, "int64"), pa.array([segment] * len(cuts), "int64"), binary(sizes[a:b].tobytes() for a, b in cuts), binary(data[at[a] : at[b]] for a, b in cuts), binary(n[a:b].tobytes() for a, b in cuts)],
+                    names=["group", "segment", "word_sizes", "words", "n"],
+                )
+
+    def look_up(met):
+        import pyarrow as pa
+
+        met = met.sort_by("segment")  # so that a task run again tells the same
+        column = lambda name: met.column(name).to_pylist()
+        each = [_numbers(x) for x in column("word_sizes")]
+        coded = _binary(np.concatenate(each), b"".join(map(_unzip, column("words")))).dictionary_encode()
+        number = np.asarray(coded.indices)
+        count = np.bincount(number, np.concatenate([_numbers(x, "<i8") for x in column("n")])).astype("<i8")
+        ids = list(map(word_encoder(tokenizer_path), coded.dictionary.to_pylist()))
+        sizes = np.fromiter((len(x) // 4 for x in ids), "<u4", len(ids))
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype="i8") - sizes
+        known = np.concatenate([[0], np.cumsum(count > 0)])
+        cuts = np.cumsum([0, *map(len, each)])
+        # words are numbered in the order of their first places
+        new = known[np.concatenate([[0], np.maximum.accumulate(number) + 1])[cuts]]
+        own = [number[a:b] for a, b in zip(cuts, cuts[1:])]
+        binary = lambda x: pa.array(map(_zip, x), pa.binary())
+        return pa.table(
+            {
+                "group": met.column("group"),
+                "segment": met.column("segment"),
+                "found": binary(count[x].tobytes() for x in own),
+                "distinct": pa.array(np.diff(new), "int64"),
+                "id_sizes": binary(sizes[x].tobytes() for x in own),
+                "ids": binary(np.take(flat, _spans(starts[x], sizes[x].astype("i8"))).tobytes() for x in own),
+            }
+        )
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u4")
+    met = lists.select("segment", "word_sizes", "words", "n").mapInArrow(blocks, "group long, segment long, word_sizes binary, words binary, n binary")
+    return met.groupBy("group").applyInArrow(look_up, "group long, segment long, found binary, distinct long, id_sizes binary, ids binary")
+
+
+def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """keys and train flags of a segment's documents; ``places``, the numbers (uint32) of all words,
+
+    0 after each document; ``n`` and ``found``, the counts of words 1, 2, ... in the segment's and in all training
+    texts (int64); ``id_sizes`` and ``ids`` (uint32), the subword ids of words 0, 1, 2, ...; all compressed;
+    ``documents`` and ``inside``, its training documents and their words; ``distinct`` sums to that of all words;
+    ``task``, the one that cut it.
+    """
+    learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    kind = dict(docs.dtypes)[id_col]
+    lists = _lists(docs, learn, id_col, text_col)
+
+    def joined(segment, blocks):
+        import pyarrow as pa
+
+        blocks = blocks.sort_by("group")
+        whole = lambda name, first: pa.array([_zip(b"".join([first, *map(_unzip, blocks.column(name).to_pylist())]))], pa.binary())
+        one, end = np.uint32(1).astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
+        more = {"found": whole("found", b""), "id_sizes": whole("id_sizes", one), "ids": whole("ids", end), "distinct": pa.array([sum(blocks.column("distinct").to_pylist())], "int64")}
+        kept = ["task", "keys", "train", "places", "n", "documents", "inside"]
+        return pa.table({name: segment.column(name) for name in kept} | more)
+
+    out = f"task int, keys array<{kind}>, train array<boolean>, places binary, n binary, documents long, inside long, found binary, id_sizes binary, ids binary, distinct long"
+    slim = lists.select("segment", "task", "keys", "train", "places", "n", "documents", "inside")
+    return written(slim.groupBy("segment").cogroup(_looked_up(lists, tokenizer_path).groupBy("segment")).applyInArrow(joined, out), "segments")
 
 
 def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np.ndarray:
@@ -134,34 +270,41 @@ def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np
 
         total = np.zeros(size, "i8")
         for batch in batches:
-            for listed, sizes, ids in zip(*(batch.column(k) for k in range(3))):
-                n = np.concatenate([[0], np.asarray(listed.values)])
+            for n, sizes, ids in zip(*(batch.column(k) for k in range(3))):
+                n = np.concatenate([[0], _numbers(n.as_py(), "<i8")])
                 total += np.bincount(_numbers(ids.as_py()), np.repeat(n, _numbers(sizes.as_py())), size).astype("i8")
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(size, "i8")
-    for r in cut.select("listed.n", "id_sizes", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in cut.select("n", "id_sizes", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     out[end_id] = documents
     return out
 
 
+def _layout(places: bytes, id_sizes: bytes) -> tuple:
+    """(starts, stops, begins, sizes): where each word's ids start in the list and stop in the stream of a segment
+
+    that follows its first end, and the sequences of its documents in the stream that has it.
+    """
+    numbers, sizes = _numbers(places), _numbers(id_sizes).astype("i8")
+    stops = np.cumsum(np.take(sizes, numbers))
+    ends = stops[numbers == 0]  # places of the ends in the stream
+    begins = np.concatenate([[0], ends[:-1]])
+    return np.take(np.cumsum(sizes) - sizes, numbers), stops, begins, ends - begins + 1
+
+
 def sequences(places: bytes, id_sizes: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, begins, sizes) of a segment's documents as sequences of subword ids.
 
     Each starts with the end id of the document before it and closes with its own.
     """
-    numbers, sizes = _numbers(places), _numbers(id_sizes).astype("i8")
-    starts, width = np.cumsum(sizes) - sizes, np.take(sizes, numbers)
-    stops = np.cumsum(width)
-    at = np.arange(stops[-1]) + np.repeat(np.take(starts, numbers) - stops + width, width)
+    starts, stops, begins, sizes = _layout(places, id_sizes)
     flat = _numbers(ids)
-    stream = np.concatenate([flat[:1], np.take(flat, at)])  # all begins with an end
-    ends = stops[numbers == 0]  # places of the ends in the stream
-    begins = np.concatenate([[0], ends[:-1]])
-    return stream, begins, ends - begins + 1
+    stream = np.take(flat, _spans(starts, np.diff(stops, prepend=0)))
+    return np.concatenate([flat[:1], stream]), begins, sizes  # all begins with an end
 
 
 def _trained_sequences(batch):
@@ -183,20 +326,32 @@ def warm_windows(cut: DataFrame, share: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for stream, begins, sizes in _trained_sequences(batch):
+            for train, places, id_sizes, ids in zip(*(batch.column(k) for k in range(4))):
+                mask = np.array(train.as_py(), bool)
+                starts, stops, begins, sizes = _layout(places.as_py(), id_sizes.as_py())
+                begins, sizes, flat = begins[mask], sizes[mask], _numbers(ids.as_py())
                 owner, number, first = attention.windows(begins, sizes, attention.WINDOW)
-                draw = np.random.default_rng(zlib.crc32(stream.tobytes())).integers(0, 1 << 40, len(first))
+                draw = np.random.default_rng(zlib.crc32(flat, zlib.crc32(stops))).integers(0, 1 << 40, len(first))
                 some = np.flatnonzero(draw < share * (1 << 40))
-                ids = np.take(attention.padded(stream), first[some, None] + np.arange(attention.WINDOW + 1)).astype("<u4")
+                # places in the stream after the first end; those before and behind it are not real or an end
+                at = first[some, None] + np.arange(attention.WINDOW + 1) - 1
+                word = np.searchsorted(stops, np.clip(at, 0, stops[-1] - 1), side="right")
+                back = np.take(stops, word) - at  # from the word's stop
+                got = np.take(flat, np.take(starts, word) + np.take(np.diff(stops, prepend=0), word) - back, mode="clip")
+                got = np.where(at < 0, flat[0], got).astype("<u4")
                 real = np.minimum(attention.WINDOW + 1, sizes[owner[some]] - attention.WINDOW * number[some])
-                yield pa.RecordBatch.from_arrays([pa.array(draw[some]), pa.array(real, "int32"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["draw", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(draw[some]), pa.array(real, "int32"), pa.array([x.tobytes() for x in got], pa.binary())], names=["draw", "n", "ids"])
 
     return cut.select(_TRAINING).mapInArrow(pick, "draw long, n int, ids binary")
 
 
 def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> DataFrame:
-    """at, weighted and n: of each task, its weights times the n ids that it was trained to tell."""
+    """at, weighted and n: of each task, its weights times the n ids that it was trained to tell.
+
+    There are no more tasks than those that cut the texts, so that none learns from less.
+    """
     sent = cut.sparkSession.sparkContext.broadcast((flat, vocab))
+    tasks = cut.agg(F.countDistinct("task")).first()[0]
 
     def trainer(batches):
         import pyarrow as pa
@@ -210,7 +365,7 @@ def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> Da
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE), "int32"), pa.array(own.astype("f8") * n), pa.array(np.full(attention.SIZE, n), "int64")], names=["at", "weighted", "n"])
 
-    return cut.select(_TRAINING).mapInArrow(trainer, "at int, weighted double, n long")
+    return cut.select(_TRAINING).coalesce(max(1, tasks)).mapInArrow(trainer, "at int, weighted double, n long")
 
 
 def fit(cut: DataFrame, documents: int, end_id: int) -> tuple[np.ndarray, attention.Vocabulary]:
@@ -233,54 +388,41 @@ def fit(cut: DataFrame, documents: int, end_id: int) -> tuple[np.ndarray, attent
     return flat, vocab
 
 
-def corpus_counts(cut: DataFrame) -> DataFrame:
-    """segment, place in its list, count of the word in all training texts, and whether this
-
-    row stands for the word (one row of each word does)."""
-    same = Window.partitionBy("word")
-    rows = cut.select("segment", F.posexplode("listed").alias("place", "entry")).select("segment", "place", "entry.word", "entry.n")
-    return written(rows.select("segment", "place", F.sum("n").over(same).alias("count"), (F.row_number().over(same.orderBy("segment", "place")) == 1).alias("stands")), "counts")
-
-
 def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score and n_subwords of each row."""
     kind = dict(docs.dtypes)[id_col]
     end_id = encoder(tokenizer_path).tokenizer.get_vocab_size()
     cut = segments(docs, learn_from, tokenizer_path, end_id, id_col, text_col)
-    counts = corpus_counts(cut)
-    learned = F.size(F.filter("train", lambda x: x))
-    inside = F.aggregate("listed", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    seen = cut.agg(F.sum(learned).alias("documents"), F.sum(inside).alias("n")).first()
+    seen = cut.agg(*(F.sum(name).alias(name) for name in ("documents", "inside", "distinct"))).first()
     documents = seen["documents"] or 0
-    total = (seen["n"] or 0) + documents
-    distinct = counts.where(F.col("stands") & (F.col("count") > 0)).count() + (documents > 0)
+    total = (seen["inside"] or 0) + documents
+    distinct = (seen["distinct"] or 0) + (documents > 0)
     below = math.log10(total + 1 * (distinct + 1))
     sent = docs.sparkSession.sparkContext.broadcast(fit(cut, documents, end_id))
 
-    def run(segment, numbers):
+    def run(batches):
         import pyarrow as pa
 
         flat, vocab = sent.value
-        keys, places, id_sizes, ids = (segment.column(c)[0] for c in ("keys", "places", "id_sizes", "ids"))
-        found = np.zeros(len(_numbers(id_sizes.as_py())), "i8")
-        found[0] = documents
-        found[np.asarray(numbers.column("place")) + 1] = np.asarray(numbers.column("count"))
-        word = _numbers(places.as_py())
-        ends = np.flatnonzero(word == 0)
-        firsts = np.concatenate([[0], ends[:-1] + 1])
-        stream, begins, sizes = sequences(places.as_py(), id_sizes.as_py(), ids.as_py())
-        return pa.table(
-            {
-                id_col: keys.values,
-                "n_tokens": pa.array(ends - firsts + 1, "int64"),
-                "n_known": pa.array(np.add.reduceat(np.take((found > 0).astype("i8"), word), firsts)),
-                "base_score": pa.array(np.add.reduceat(np.take(np.log10(found + 1.0) - below, word), firsts)),
-                "score": pa.array(attention.log_probabilities(flat, vocab, stream, begins, sizes) / math.log(10)),
-                "n_subwords": pa.array(sizes - 1, "int64"),
-            }
-        )
+        for batch in batches:
+            for keys, places, found, id_sizes, ids in zip(*(batch.column(k) for k in range(5))):
+                found = np.concatenate([[documents], _numbers(found.as_py(), "<i8")])
+                word = _numbers(places.as_py())
+                ends = np.flatnonzero(word == 0)
+                firsts = np.concatenate([[0], ends[:-1] + 1])
+                stream, begins, sizes = sequences(places.as_py(), id_sizes.as_py(), ids.as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys.values,
+                        pa.array(ends - firsts + 1, "int64"),
+                        pa.array(np.add.reduceat(np.take((found > 0).astype("i8"), word), firsts)),
+                        pa.array(np.add.reduceat(np.take(np.log10(found + 1.0) - below, word), firsts)),
+                        pa.array(attention.log_probabilities(flat, vocab, stream, begins, sizes) / math.log(10)),
+                        pa.array(sizes - 1, "int64"),
+                    ],
+                    names=[id_col, "n_tokens", "n_known", "base_score", "score", "n_subwords"],
+                )
 
     out = f"{id_col} {kind}, n_tokens long, n_known long, base_score double, score double, n_subwords long"
-    slim = cut.select("segment", "keys", "places", "id_sizes", "ids")
-    scored = slim.groupBy("segment").cogroup(counts.select("segment", "place", "count").groupBy("segment")).applyInArrow(run, out)
+    scored = cut.select("keys", "places", "found", "id_sizes", "ids").mapInArrow(run, out)
     return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_subwords")

@@ -196,6 +196,77 @@ def test_segments_hold_every_id_of_every_text(spark, monkeypatch):
     assert len(got) == attention.SIZE and any(abs(r["w"] / r["n"] - start[r["at"]]) > 1e-3 for r in got)
 
 
+def test_lm_encodes_each_word_of_the_corpus_once(spark, monkeypatch, tmp_path):
+    """However many segments list a word, one look-up tells all of them its count and ids."""
+    rng, log, real = np.random.default_rng(8), str(tmp_path / "encoded"), lm_scoring.word_encoder
+
+    def noting(path):
+        get = real(path)
+
+        def one(word):
+            with open(log, "ab") as f:
+                f.write(word + b"\n")
+            return get(word)
+
+        return one
+
+    monkeypatch.setattr(lm_scoring, "word_encoder", noting)
+    monkeypatch.setattr(lm_scoring, "TOKENS", 40)  # so that there are many segments
+    monkeypatch.setattr(lm_scoring, "LISTED", 60, raising=False)  # and many groups of words
+    rows = [(k, " ".join(rng.choice(["The", "cat,", "é", "\x1cx", "zebra's", *(f"w{k % 7}{j}" for j in range(9))], rng.integers(0, 20)))) for k in range(80)]
+    end = encoder(WORDS).tokenizer.get_vocab_size()
+    table = lm_scoring.segments(docs(spark, rows).repartition(4), F.col("doc_id") % 3 != 0, WORDS, end)
+    cut = table.collect()
+    all_words = {w for _, t in rows for w in lm_scoring.words(t)}
+    with open(log, "rb") as f:
+        assert sorted(f.read().split(b"\n")[:-1]) == sorted(all_words)
+    counts, texts, get = Counter(w for k, t in rows if k % 3 for w in lm_scoring.words(t)), dict(rows), real(WORDS)
+    assert len(cut) > 8 and sum(r["distinct"] for r in cut) == len(counts)
+    assert (sum(r["inside"] for r in cut), sum(r["documents"] for r in cut)) == (counts.total(), sum(k % 3 > 0 for k, _ in rows))
+    for r in cut:
+        own = Counter(w for k in r["keys"] if k % 3 for w in lm_scoring.words(texts[k]))
+        whole = [w for k in r["keys"] for w in [*lm_scoring.words(texts[k]), None]]
+        places, found, n = lm_scoring._numbers(r["places"]), lm_scoring._numbers(r["found"], "<i8"), lm_scoring._numbers(r["n"], "<i8")
+        sizes, ids = lm_scoring._numbers(r["id_sizes"]), lm_scoring._numbers(r["ids"])
+        assert len(places) == len(whole) and len(set(places)) == len(sizes) == len(found) + 1
+        for w, at in zip(whole, places):
+            stop = int(sizes[: at + 1].sum())
+            mine = ids[stop - int(sizes[at]) : stop].tobytes()
+            assert (at == 0 and list(np.frombuffer(mine, "u4")) == [end]) if w is None else (found[at - 1], n[at - 1], mine) == (counts[w], own[w], get(w))
+
+
+    every = lm_scoring.warm_windows(table, 1.0).collect()
+    windows = Counter()
+    for k, t in rows:
+        ids = np.concatenate([[end], *(np.frombuffer(get(w), "u4") for w in lm_scoring.words(t)), [end]]).astype("u4")
+        windows.update(ids[at : at + attention.WINDOW + 1].tobytes() for at in range(0, len(ids) - 1, attention.WINDOW) if k % 3)
+    assert Counter(bytes(r["ids"])[: 4 * r["n"]] for r in every) == windows
+    vocab = attention.vocabulary(np.ones(end + 1, "i8"))
+    assert lm_scoring.trained(table, attention.start(vocab), vocab).count() <= 4 * attention.SIZE  # a model of each task that cut texts
+
+
+def test_lm_of_texts_without_words_and_of_giant_ones(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART", 50)  # so that few bytes close a segment
+    end = encoder(WORDS).tokenizer.get_vocab_size()
+    none = lm_scoring.segments(docs(spark, [(1, None), (2, " \n")]).coalesce(1), None, WORDS, end).collect()
+    assert [(list(lm_scoring._numbers(r["places"])), r["documents"], r["inside"], r["distinct"]) for r in none] == [([0, 0], 2, 0, 0)]
+    rows = [(k, "x" * 500 + f"{k % 3} y") for k in range(9)]
+    cut = lm_scoring.segments(docs(spark, rows).coalesce(1), None, WORDS, end)
+    got = [(len(r["keys"]), r["inside"], r["distinct"]) for r in cut.collect()]
+    assert len(got) > 3 and sum(x[0] for x in got) == 9 and sum(x[1] for x in got) == 18 and sum(x[2] for x in got) == 4
+
+
+def test_texts_are_split_as_words_are():
+    import pyarrow as pa
+
+    texts = [*(t for _, t in ODD), " a\x0bB\x1cc\x85d\xa0e \r\n", "\x0c", "ÀÉ İ\tK"]
+    for some in (pa.array(texts), pa.array(texts)[3:], pa.array([], "string"), pa.array([None, ""], "string")):
+        flat, sizes = lm_scoring.split_texts(some)
+        each = [lm_scoring.words(t) for t in some.to_pylist()]
+        assert list(sizes) == [len(x) for x in each]
+        assert [w.encode() for w in flat.to_pylist()] == [w for x in each for w in x]
+
+
 def test_lm_beats_its_unigrams_on_held_out_texts(spark, sf):
     """The attention model uses what it sees: it beats the smoothed counts of subword ids."""
     from hyperstrata.llm.common import doc_crc
