@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
-from hyperstrata.llm.common import LOWER_ASCII, written
+from hyperstrata.llm.common import LOWER_ASCII, releasing, written
 from hyperstrata.llm.encoding import Memo, encoder
 
 WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
@@ -173,7 +173,7 @@ def _lists(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFr
             yield row()
 
     out = f"keys array<{kind}>, train array<boolean>, places binary, word_sizes binary, words binary, n binary, listed long, documents long, inside long"
-    cut_ = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), learn.alias("learn")).mapInArrow(cut, out)
+    cut_ = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), learn.alias("learn")).mapInArrow(releasing(cut), out)
     return written(cut_.withColumn("segment", F.monotonically_increasing_id()).withColumn("task", F.spark_partition_id()), "lists")
 
 
@@ -231,7 +231,7 @@ def _looked_up(lists: DataFrame, tokenizer_path: str) -> DataFrame:
             }
         )
 
-    met = lists.select("segment", "word_sizes", "words", "n").mapInArrow(blocks, "group long, segment long, word_sizes binary, words binary, n binary")
+    met = lists.select("segment", "word_sizes", "words", "n").mapInArrow(releasing(blocks), "group long, segment long, word_sizes binary, words binary, n binary")
     return met.groupBy("group").applyInArrow(look_up, "group long, segment long, found binary, distinct long, id_sizes binary, ids binary")
 
 
@@ -278,7 +278,7 @@ def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np
             yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(size, "i8")
-    for r in cut.select("n", "id_sizes", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in cut.select("n", "id_sizes", "ids").mapInArrow(releasing(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     out[end_id] = documents
     return out
@@ -342,7 +342,7 @@ def warm_windows(cut: DataFrame, share: float) -> DataFrame:
                 real = np.minimum(attention.WINDOW + 1, sizes[owner[some]] - attention.WINDOW * number[some])
                 yield pa.RecordBatch.from_arrays([pa.array(draw[some]), pa.array(real, "int32"), pa.array([x.tobytes() for x in got], pa.binary())], names=["draw", "n", "ids"])
 
-    return cut.select(_TRAINING).mapInArrow(pick, "draw long, n int, ids binary")
+    return cut.select(_TRAINING).mapInArrow(releasing(pick), "draw long, n int, ids binary")
 
 
 def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> DataFrame:
@@ -365,7 +365,7 @@ def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> Da
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE), "int32"), pa.array(own.astype("f8") * n), pa.array(np.full(attention.SIZE, n), "int64")], names=["at", "weighted", "n"])
 
-    return cut.select(_TRAINING).coalesce(max(1, tasks)).mapInArrow(trainer, "at int, weighted double, n long")
+    return cut.select(_TRAINING).coalesce(max(1, tasks)).mapInArrow(releasing(trainer), "at int, weighted double, n long")
 
 
 def fit(cut: DataFrame, documents: int, end_id: int) -> tuple[np.ndarray, attention.Vocabulary]:
@@ -424,5 +424,5 @@ def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None
                 )
 
     out = f"{id_col} {kind}, n_tokens long, n_known long, base_score double, score double, n_subwords long"
-    scored = cut.select("keys", "places", "found", "id_sizes", "ids").mapInArrow(run, out)
+    scored = cut.select("keys", "places", "found", "id_sizes", "ids").mapInArrow(releasing(run), out)
     return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_subwords")
