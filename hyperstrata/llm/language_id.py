@@ -14,11 +14,12 @@ likelier wrong than right.
 Scale: the model is fitted on a bounded sample: of each of the ``LANGUAGES`` commonest
 languages the ``SAMPLE_PER_LANGUAGE`` labelled rows with the smallest hashes of id and
 text, so that copies of one text are drawn no more than other rows; their n-gram
-counts are made on the executors. Prediction is one pass without a shuffle: the model is
+counts are made on the executors, one task learns from them, and the driver gets the
+model alone. Prediction is one pass without a shuffle: the model is
 linear, so each word has one vector of summed logits, kept in a bounded table.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; with no
-labelled row all do; rows with a null language are not learned from but get a
+labelled row that has a letter all do; rows with a null language are not learned from but get a
 prediction; repeated rows are predicted alike; an empty table gives no rows; other
 columns are ignored. Rows with a null id count as in the training part (the crc32
 of an empty text) when a split is asked for.
@@ -143,6 +144,10 @@ def sample_of(rows: DataFrame, counts: dict[str, int], id_col: str, text_col: st
     return drawn.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).drop("rank")
 
 
+def _untrained() -> Model:
+    return Model([], np.zeros((BUCKETS, 0), "f4"), np.zeros(0, "f4"))
+
+
 def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of the rows that satisfy ``learn_from`` and have a text and a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text
     commonest = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     counts = {r["lang"]: r["n"] for r in commonest.collect()}
     if not counts:
-        return Model([], np.zeros((BUCKETS, 0), "f4"), np.zeros(0, "f4"))
+        return _untrained()
     languages = sorted(counts)
     sample = sample_of(rows, counts, id_col, text_col, lang_col)
 
@@ -172,13 +177,27 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text
             types = (pa.string(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "draw", "at", "counts"])
 
-    got = sorted(sample.mapInArrow(releasing(count), "lang string, draw string, at binary, counts binary").collect(), key=lambda r: (r["draw"], r["lang"]))
-    label = {lang: k for k, lang in enumerate(languages)}
-    bags = [(np.frombuffer(r["at"], "u2"), np.frombuffer(r["counts"], "u4")) for r in got]
-    labels = np.array([label[r["lang"]] for r in got], "i8")
-    apart = np.array([zlib.crc32(r["draw"].encode()) % 5 == 0 for r in got], bool)
-    take = lambda mask: ([b for b, m in zip(bags, mask) if m], labels[mask])
-    return calibrate(train(*take(~apart), languages), *take(apart)) if (~apart).any() else train(bags, labels, languages)
+    def learn(batches):
+        import pyarrow as pa
+
+        got = sorted((row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4)))), key=lambda r: (r[1], r[0]))
+        if not got:
+            return
+        label = {lang: k for k, lang in enumerate(languages)}
+        bags = [(np.frombuffer(r[2], "u2"), np.frombuffer(r[3], "u4")) for r in got]
+        labels = np.array([label[r[0]] for r in got], "i8")
+        apart = np.array([zlib.crc32(r[1].encode()) % 5 == 0 for r in got], bool)
+        take = lambda mask: ([b for b, m in zip(bags, mask) if m], labels[mask])
+        model = calibrate(train(*take(~apart), languages), *take(apart)) if (~apart).any() else train(bags, labels, languages)
+        columns = ([model.logits.tobytes()], pa.binary()), ([model.bias.tobytes()], pa.binary()), ([model.temperature], pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=["logits", "bias", "temperature"])
+
+    bags = sample.mapInArrow(releasing(count), "lang string, draw string, at binary, counts binary")
+    got = bags.repartition(1).mapInArrow(releasing(learn), "logits binary, bias binary, temperature double").collect()
+    if not got:  # no labelled text has a letter
+        return _untrained()
+    (fitted,) = got
+    return Model(languages, np.frombuffer(fitted["logits"], "f4").reshape(BUCKETS, -1), np.frombuffer(fitted["bias"], "f4"), fitted["temperature"])
 
 
 class _Words:

@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -54,6 +55,21 @@ def test_language_id_without_labels_or_rows(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs(spark, [(1, "text")]), one).collect()} == {"de"}
 
 
+def test_language_id_is_learned_in_a_task(spark, monkeypatch):
+    """The driver gets the model alone, neither the sample nor the learning; labelled texts may all lack letters."""
+    driver, train = os.getpid(), language_id.train
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return train(*args)
+
+    monkeypatch.setattr(language_id, "train", elsewhere)
+    model = language_id.fit(docs(spark, labelled()))
+    assert model.languages == ["de", "en", "fr"] and model.logits.shape == (language_id.BUCKETS, 3)
+    none = language_id.fit(docs(spark, [(1, "12 34", "en"), (2, "", "de")]))
+    assert [(r["lang_pred"], r["score"]) for r in language_id.predict(docs(spark, [(1, "text")]), none).collect()] == [("und", 0.0)]
+
+
 def in_a_row(texts):
     """(ids, begins, sizes) of some id sequences."""
     sizes = np.array([len(t) for t in texts], "i8")

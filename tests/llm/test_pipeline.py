@@ -10,6 +10,7 @@ from tests.llm.test_search import plain_tiles
 from tests.llm.test_tokens import library, one_by_one
 
 from hyperstrata.llm import decontamination, language_id, packing, queries
+from hyperstrata.llm.common import give_back
 
 
 def fixture(spark, folder):
@@ -75,6 +76,16 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
 
 
+def test_each_stage_begins_by_giving_freed_memory_back(spark, tmp_path, monkeypatch):
+    fixture(spark, str(tmp_path))
+    docs, given = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    assert give_back(spark)
+    monkeypatch.setattr(corpus_pipeline, "give_back", given.append)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs.limit(0), str(tmp_path))
+        assert given == [spark] * (k + 1)
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert [k for k in range(1, 11) if sum(n.startswith(f"op{k}_") for n in names) != 1] == []
