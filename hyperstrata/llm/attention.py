@@ -39,6 +39,8 @@ SIZE = max(_STOPS.values())
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), "f4"))
 #: Sums each of the two parts of the logits.
 _HALVES = np.repeat(np.eye(2, dtype="f4"), [GROUPS, MEMBERS], axis=0)
+_PARTS = np.ascontiguousarray(_HALVES.T)
+_CHOSEN = np.eye(GROUPS, dtype="f4")
 _SCALE = np.float32(WIDTH**-0.5)
 _ONES = np.ones((WINDOW, 1), "f4")
 
@@ -95,20 +97,25 @@ def start(vocab: Vocabulary, seed: int = 11) -> np.ndarray:
     return flat
 
 
+def _folded(p: dict) -> dict:
+    """The parameters with ``asks``, (scaled) queries multiplied by keys, and ``gives``, values multiplied by the mix."""
+    return p | {"asks": p["query"] @ p["key"].T * _SCALE, "gives": p["value"] @ p["mix"]}
+
+
 def _forward(p: dict, rows: np.ndarray, since: int = 0) -> dict:
     """The block on windows of embedding rows, for the places from ``since`` on; ``a`` over ``sums`` are the attention weights.
 
+    Keys and mix need no products of their own: they are in ``q`` and ``v`` (see ``_folded``).
     Here and in ``step`` what is wide stays contiguous, and sums along short axes are
     products with ones: numpy pays for each short inner loop.
     """
     n = len(rows)
+    p = p if "asks" in p else _folded(p)
     x = np.take(p["embed"], rows.ravel(), axis=0).reshape(n, WINDOW, WIDTH)
     x += p["place"]
     own = np.ascontiguousarray(x[:, since:]).reshape(-1, WIDTH)
-    x = x.reshape(-1, WIDTH)
-    k = x @ p["key"] if "key" in p else x
-    q, k, v = (y.reshape(n, -1, WIDTH) for y in (own @ (p["query"] * _SCALE), k, x @ p["value"]))
-    a = np.matmul(q, k.transpose(0, 2, 1))
+    q, v = (y.reshape(n, -1, WIDTH) for y in (own @ p["asks"], x.reshape(-1, WIDTH) @ p["gives"]))
+    a = np.matmul(q, np.ascontiguousarray(x.transpose(0, 2, 1)))
     if a.max(initial=0) > _CEILING:
         np.minimum(a, _CEILING, out=a)
     np.exp(a, out=a)
@@ -116,16 +123,12 @@ def _forward(p: dict, rows: np.ndarray, since: int = 0) -> dict:
     sums = a.reshape(-1, WINDOW) @ _ONES
     o = np.matmul(a, v).reshape(-1, WIDTH)
     o /= sums
-    h = o @ p["mix"] if "mix" in p else o
-    h += own
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "sums": sums, "o": o, "h": h}
+    return {"x": x, "q": q, "v": v, "a": a, "sums": sums, "o": o, "h": o + own}
 
 
-def _folded(flat: np.ndarray) -> dict:
-    """Parameters for ``_forward`` alone: keys are multiplied into queries, and the mix into values."""
-    p = parts(flat)
-    key, mix = p.pop("key"), p.pop("mix")
-    return p | {"query": p["query"] @ key.T, "value": p["value"] @ mix}
+def _biases(p: dict) -> np.ndarray:
+    """Of the logits of each group: those of the groups and of its members."""
+    return np.hstack([np.broadcast_to(p["group_bias"], (GROUPS, GROUPS)), p["member_bias"]])
 
 
 def _logits(p: dict, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +137,7 @@ def _logits(p: dict, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     up += p["up_bias"]
     np.maximum(up, 0, out=up)
     z = up @ p["head"]
-    bias = np.empty((GROUPS, GROUPS + MEMBERS), "f4")
-    bias[:, :GROUPS], bias[:, GROUPS:] = p["group_bias"], p["member_bias"]
-    z += np.take(bias, group, axis=0)
+    z += np.take(p["bias"] if "bias" in p else _biases(p), group, axis=0)
     if z.max(initial=0) > _CEILING:
         np.minimum(z, _CEILING, out=z)
     return up, z
@@ -164,12 +165,16 @@ def _across(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _descend(flat: np.ndarray, memory: np.ndarray, at, grad: np.ndarray, rate: float) -> None:
     """The step at some parameters; where the gradient is 0, nothing would change."""
     squares = grad * grad
-    squares += memory[at]
+    squares += memory[at] if isinstance(at, slice) else np.take(memory, at, axis=0)
     memory[at] = squares
     squares += np.float32(1e-8)
     grad *= np.float32(-rate)
     grad /= np.sqrt(squares, out=squares)
-    flat[at] += grad
+    if isinstance(at, slice):
+        flat[at] += grad
+    else:  # quicker than to add in place
+        grad += np.take(flat, at, axis=0)
+        flat[at] = grad
 
 
 def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray, rate: float) -> float:
@@ -179,6 +184,7 @@ def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.nda
     ``weight`` 0 where a window has ended.
     """
     p, g = parts(flat), {}
+    p = _folded(p)
     f = _forward(p, rows)
     group, member = _split(targets)
     first, second = _target_places(group, member)
@@ -192,41 +198,40 @@ def step(flat: np.ndarray, memory: np.ndarray, rows: np.ndarray, targets: np.nda
     whole = np.float32(max(1.0, float(w.sum())))
     loss = float((np.log(sums[:, 0] * sums[:, 1]) - right) @ w / whole)
     w /= whole
-    e *= (w[:, None] / sums) @ _HALVES.T
+    e *= (w[:, None] / sums) @ _PARTS
     z[first] -= w
     z[second] -= w
     g["head"] = _across(up, e)
-    chosen = np.zeros((len(group), GROUPS), "f4")
-    chosen.ravel()[np.arange(0, chosen.size, GROUPS) + group] = 1
-    biases = _across(chosen, e)
+    biases = _across(np.take(_CHOSEN, group, axis=0), e)
     g["group_bias"], g["member_bias"] = biases[:, :GROUPS].sum(0), biases[:, GROUPS:]
     d_up = e @ p["head"].T
     d_up *= up > 0
     g["up"], g["up_bias"] = h.T @ d_up, one @ d_up
     d_h = d_up @ p["up"].T
-    g["mix"] = f["o"].T @ d_h
-    d_o = d_h @ p["mix"].T
-    d_o /= f["sums"]
+    d_o = d_h / f["sums"]
     # over a row, the sum of weights times their gradients is that of output times its gradient
     inner = (d_o * f["o"]) @ _ONES[:WIDTH]
     d_o = d_o.reshape(-1, WINDOW, WIDTH)
-    d_s = np.matmul(d_o, f["v"].transpose(0, 2, 1))
+    d_s = np.matmul(d_o, np.ascontiguousarray(f["v"].transpose(0, 2, 1)))
     d_s -= inner.reshape(-1, WINDOW, 1)
     d_s *= a
-    d = np.empty((len(rows), WINDOW, 3 * WIDTH), "f4")
-    np.matmul(d_s, f["k"], out=d[:, :, :WIDTH])
-    np.matmul(d_s.transpose(0, 2, 1), f["q"], out=d[:, :, WIDTH : 2 * WIDTH])
-    np.matmul(a.transpose(0, 2, 1), d_o, out=d[:, :, 2 * WIDTH :])
-    d = d.reshape(-1, 3 * WIDTH)
-    g["query"], g["key"], g["value"] = np.split(_across(x, d), 3, axis=1)
-    g["query"] *= _SCALE
+    d = np.empty((len(rows), WINDOW, 2 * WIDTH), "f4")
+    np.matmul(d_s, x, out=d[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_o, out=d[:, :, WIDTH:])
+    d = d.reshape(-1, 2 * WIDTH)
+    d_pair = _across(x.reshape(-1, WIDTH), d)
+    d_q, d_v = d_pair[:, :WIDTH] * _SCALE, d_pair[:, WIDTH:]
+    g["query"], g["key"] = d_q @ p["key"], d_q.T @ p["query"]
+    g["value"], g["mix"] = d_v @ p["mix"].T, p["value"].T @ d_v
     d_x = d_h
-    d_x += d @ np.vstack([p["query"].T * _SCALE, p["key"].T, p["value"].T])
+    d_x += np.matmul(d_s.transpose(0, 2, 1), f["q"]).reshape(-1, WIDTH)
+    d_x += d @ np.vstack([p["asks"].T, p["gives"].T])
     g["place"] = np.ones((1, len(rows)), "f4") @ d_x.reshape(len(rows), -1)
     order = np.argsort(rows.ravel().astype("u2"), kind="stable")
     at = np.take(rows.ravel(), order)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    summed = np.add.reduceat(np.take(d_x, order, axis=0), starts, axis=0)
+    # complex numbers: two sums in each of numpy's inner loops
+    summed = np.add.reduceat(np.take(d_x, order, axis=0).view("c8"), starts, axis=0).view("f4")
     _descend(p["embed"], parts(memory)["embed"], at[starts], summed, rate)
     _descend(flat, memory, slice(_STOPS["embed"], None), np.concatenate([g[name].ravel() for name in _SHAPES if name != "embed"]), rate)
     return loss
@@ -253,9 +258,10 @@ def padded(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([ids, np.zeros(WINDOW + 1, ids.dtype)])
 
 
-def _places(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The table's entries for all ids, and some more so that the last windows are whole."""
-    return np.take(table, padded(ids))
+def _places(tables: tuple, ids: np.ndarray) -> list[np.ndarray]:
+    """Each table's entries for all ids, and some more so that the last windows are whole."""
+    at = padded(ids).astype(np.intp)
+    return [np.take(table, at) for table in tables]
 
 
 def _views(values: np.ndarray, width: int) -> np.ndarray:
@@ -272,7 +278,7 @@ def train(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begins: np.ndarr
     memory = fresh_memory() if memory is None else memory
     owner, number, first = windows(begins, sizes, WINDOW)
     real, span = sizes[owner] - 1 - WINDOW * number, np.arange(WINDOW)
-    rows, classes = (_views(_places(table, ids), WINDOW) for table in (vocab.row, vocab.cls))
+    rows, classes = (_views(x, WINDOW) for x in _places((vocab.row, vocab.cls), ids))
     for _ in range(epochs):
         order = rng.permutation(len(first))
         for k in range(0, len(order), CHUNK):
@@ -290,8 +296,9 @@ def log_probabilities(flat: np.ndarray, vocab: Vocabulary, ids: np.ndarray, begi
     least WINDOW - STRIDE ids before it.
     """
     owner, number, first = windows(begins, sizes, STRIDE)
-    p, scores = _folded(flat), np.zeros(len(owner))
-    rows, classes, shares = (_places(table, ids) for table in (vocab.row, vocab.cls, vocab.log_share))
+    p, scores = _folded(parts(flat)), np.zeros(len(owner))
+    p["bias"] = _biases(p)
+    rows, classes, shares = _places((vocab.row, vocab.cls, vocab.log_share), ids)
     rows = _views(rows, WINDOW)
     for since, which in ((0, np.flatnonzero(number == 0)), (WINDOW - STRIDE, np.flatnonzero(number))):
         width = WINDOW - since

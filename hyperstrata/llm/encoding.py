@@ -97,7 +97,15 @@ class Encoder:
         self._markers = re.compile("|".join(re.escape(x) for x in sorted(self._added, key=len, reverse=True)))
 
     def _unit(self, unit: str) -> bytes:
-        return array("I", [t.id for t in self._model(unit.translate(self._latin))]).tobytes()
+        if self.byte_level or not unit.isascii():
+            unit = unit.translate(self._latin)
+        return array("I", [t.id for t in self._model(unit)]).tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a word that is not seen again: not kept, and in one piece if it is all of small letters."""
+        if not self.byte_level and word.isascii() and word.isalpha() and word.islower():
+            return self._unit(word)
+        return self.encode_bytes(word)
 
     def _simple(self, text: str) -> bytes:
         return b"".join(map(self._get, self._split(text if self.byte_level else text.lower())))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
 from hyperstrata.llm.common import LOWER_ASCII, releasing, written
-from hyperstrata.llm.encoding import Memo, encoder
+from hyperstrata.llm.encoding import encoder
 
 WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
 LISTED = 500_000  # listed words that meet in a group, on average
@@ -55,7 +55,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_encoder(tokenizer_path: str):
-    """word -> bytes of its subword ids, kept in a table of bounded size.
+    """word -> bytes of its subword ids, not kept: each word of the corpus is asked for once.
 
     The tokenizer drops white space and lower-cases, so the ids of the words, one
     after another, are those of the text.
@@ -63,7 +63,7 @@ def word_encoder(tokenizer_path: str):
     enc = encoder(tokenizer_path)
     if enc.byte_level:
         raise ValueError("words need a tokenizer that drops white space")
-    return Memo(lambda w: enc.encode_bytes(w.decode("utf-8", "surrogatepass"))).__getitem__
+    return lambda w: enc.encode_word(w.decode("utf-8", "surrogatepass"))
 
 
 def split_texts(texts):

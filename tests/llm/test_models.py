@@ -176,6 +176,16 @@ def test_word_ids_are_text_ids():
         assert b"".join(map(get, lm_scoring.words(text))) == enc.encode_bytes(text)
 
 
+def test_words_met_once_are_not_kept():
+    get, enc, exact = lm_scoring.word_encoder(WORDS), encoder(WORDS), encoder(WORDS).tokenizer
+    kept, rng = enc._get.__self__, np.random.default_rng(12)
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 30))) for letters in ("abcxyz", "abcÀé", "ab'st.", "aB", "a1-中", "ſKİa") for _ in range(50)]
+    for word in words:
+        assert get(word.encode()) == np.array(exact.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+    get(b"onlyhereandnowhereelse")
+    assert "onlyhereandnowhereelse" not in kept
+
+
 def test_lm_with_nothing_to_learn_from_and_of_nothing(spark):
     got = lm_scoring.score(docs(spark, [(1, "a b"), (2, None)]), WORDS, learn_from=F.lit(False)).collect()
     assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
