@@ -15,8 +15,9 @@ Scale: the model is fitted on a bounded sample: of each of the ``LANGUAGES`` com
 languages the ``SAMPLE_PER_LANGUAGE`` labelled rows with the smallest hashes of id and
 text, so that copies of one text are drawn no more than other rows; their n-gram
 counts are made on the executors, one task learns from them, and the driver gets the
-model alone. Prediction is one pass without a shuffle: the model is
-linear, so each word has one vector of summed logits, kept in a bounded table.
+model alone. Prediction is one pass without a shuffle, ``PART`` characters of texts (or one
+text) at once: the model is linear, so each of their different words has one vector of summed
+logits. Texts of Latin-1 characters are cut into words as one array of bytes.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; with no
 labelled row that has a letter all do; rows with a null language are not learned from but get a
@@ -40,6 +41,7 @@ from hyperstrata.llm.common import keep_rows, releasing
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 LANGUAGES, SAMPLE_PER_LANGUAGE, EPOCHS, STEPS, RATE = 512, 1500, 4, 20_000, 0.5
 REJECT_BELOW = 0.5
+PART = 4_000_000
 _RUNS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -56,11 +58,123 @@ def text_words(text: str | None) -> list[str]:
     return [w for w in _RUNS((text or "").lower()) if w.isascii() or any(map(str.isalpha, w))]
 
 
-def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of the n-grams of some words."""
-    counts = np.bincount(np.fromiter((b for w in words for b in word_buckets(w)), "i8"), minlength=1)
-    at = np.flatnonzero(counts)
-    return at.astype("u2"), counts[at].astype("u4")
+def _latin_table() -> bytes:
+    """For bytes.translate: Latin-1 letters in lower case, other characters of words as NUL, the rest as spaces."""
+    kept = [(c, chr(c).lower()) for c in range(256) if _RUNS(chr(c))]
+    table = bytearray(b" " * 256)
+    for c, low in kept:
+        table[c] = ord(low) if low.isalpha() else 0
+    return bytes(table)
+
+
+_LATIN = _latin_table()
+
+
+@dataclass
+class Listed:
+    """The words of some texts: the different ones, and the number of each in a row."""
+
+    words: list[str]
+    number: np.ndarray
+    sizes: np.ndarray  # words of each text
+
+
+def _latin_words(texts: list[bytes]) -> Listed:
+    """Of texts that ``_LATIN`` has translated."""
+    import pyarrow as pa
+
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), "u1")
+    letter = data != 32
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    starts, stops = edges[::2], edges[1::2]
+    before = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])]).dictionary_encode()
+    return Listed([w.decode("latin-1") for w in words.dictionary.to_pylist()], np.asarray(words.indices), np.diff(before))
+
+
+def _other_words(texts: list[str]) -> Listed:
+    number: dict[str, int] = {}
+    each = [text_words(t) for t in texts]
+    flat = np.fromiter((number.setdefault(w, len(number)) for words in each for w in words), "i8")
+    return Listed(list(number), flat, np.fromiter(map(len, each), "i8", len(each)))
+
+
+def listed(texts: list[str | None]) -> list[tuple[np.ndarray, Listed]]:
+    """(places among the texts, words as ``text_words`` tells them) of those of Latin-1 letters and of the others."""
+    latin, other = ([], []), ([], [])
+    for k, text in enumerate(texts):
+        try:
+            data = (text or "").encode("latin-1").translate(_LATIN)
+        except UnicodeEncodeError:
+            data = b"\0"
+        at, some = other if b"\0" in data else latin
+        at.append(k)
+        some.append(text if some is other[1] else data)
+    return [(np.array(at, "i8"), f(some)) for (at, some), f in ((latin, _latin_words), (other, _other_words)) if at]
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype="u4")
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table.astype("u4")
+
+
+_CRC = _crc_table()
+_LEADS = ((0x80, 0, 0), (0x800, 6, 0xC0), (0x10000, 12, 0xE0), (0x110000, 18, 0xF0))  # of UTF-8: below, shift, mark
+
+
+def _crc_more(state: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The running crc32 after one more character in UTF-8 of each state."""
+    wide = np.flatnonzero(chars >= 0x80)
+    out = _CRC[(state ^ chars) & 255] ^ state >> 8
+    if len(wide):
+        code, own = chars[wide], state[wide]
+        size = 1 + np.searchsorted([x[0] for x in _LEADS], code, "right")
+        for n, (_, shift, mark) in enumerate(_LEADS[1:], 2):
+            some = size == n
+            if some.any():
+                c, s = code[some], own[some]
+                for k, byte in enumerate([c >> shift | mark, *(c >> low & 63 | 0x80 for low in range(shift - 6, -1, -6))]):
+                    s = _CRC[(s ^ byte.astype("u4")) & 255] ^ s >> 8
+                own[some] = s
+        out[wide] = own
+    return out
+
+
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): a column for each place of the marked words in a row, a row for each n of ``SIZES``
+    with the bucket of the n-gram from there, ``BUCKETS`` where the word ends before; the words' first places.
+    """
+    chars = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, words), "i8", len(words)) + 2
+    stops = np.cumsum(sizes)
+    left = np.repeat(stops, sizes) - np.arange(len(chars))
+    out, state = np.full((len(SIZES), len(chars)), BUCKETS, "i8"), np.full(len(chars), 0xFFFFFFFF, "u4")
+    for n in range(1, max(SIZES) + 1):
+        state = _crc_more(state[: max(0, len(chars) - n + 1)], chars[n - 1 :])
+        if n in SIZES:
+            row, inside = out[SIZES.index(n)], np.flatnonzero(left >= n)
+            row[inside] = (state[inside] ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+    return out, stops - sizes
+
+
+def bags_of(found: Listed, fragments: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of the n-grams of some runs of words, each given by its first word and the one behind it."""
+    table, starts = buckets_of(found.words)
+    table = table.T
+    stops = np.append(starts[1:], len(table))
+    out = []
+    for a, b in fragments:
+        word, times = np.unique(found.number[a:b], return_counts=True)
+        sizes = stops[word] - starts[word]
+        ends = np.cumsum(sizes)
+        places = np.arange(sizes.sum()) + np.repeat(starts[word] - ends + sizes, sizes)
+        counts = np.bincount(table[places].ravel(), np.repeat(times, sizes * len(SIZES)), BUCKETS + 1)[:BUCKETS]
+        at = np.flatnonzero(counts)
+        out.append((at.astype("u2"), counts[at].astype("u4")))
+    return out
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -164,15 +278,18 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text
         import pyarrow as pa
 
         for batch in batches:
-            kept = []
-            for text, lang, draw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = text_words(text)
-                if not words:
-                    continue
-                # the whole text, and one fragment of three to ten words of it
-                size = 3 + draw % 8
-                at = (draw >> 8) % max(1, len(words) - size + 1)
-                kept += [(lang, str(2 * draw + k), *(x.tobytes() for x in bag(w))) for k, w in enumerate((words, words[at : at + size]))]
+            kept, (langs, draws) = [], (batch.column(k).to_pylist() for k in (1, 2))
+            for low, high in parts_of(batch.column(0)):
+                for places, found in listed(batch.column(0)[low:high].to_pylist()):
+                    ends, names, cuts = np.cumsum(found.sizes).tolist(), [], []
+                    for k, end, n in zip((places + low).tolist(), ends, found.sizes.tolist()):
+                        if n:  # the whole text, and one fragment of three to ten words of it
+                            draw, first = draws[k], end - n
+                            size = 3 + draw % 8
+                            at = first + (draw >> 8) % max(1, n - size + 1)
+                            names += [(langs[k], str(2 * draw)), (langs[k], str(2 * draw + 1))]
+                            cuts += [(first, end), (at, min(end, at + size))]
+                    kept += [(*name, *(x.tobytes() for x in own)) for name, own in zip(names, bags_of(found, cuts))]
             columns = list(zip(*kept)) or [(), (), (), ()]
             types = (pa.string(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "draw", "at", "counts"])
@@ -200,30 +317,30 @@ def fit(docs: DataFrame, learn_from: Column | None = None, text_col: str = "text
     return Model(languages, np.frombuffer(fitted["logits"], "f4").reshape(BUCKETS, -1), np.frombuffer(fitted["bias"], "f4"), fitted["temperature"])
 
 
-class _Words:
-    """Summed logits and numbers of n-grams of words, in a table of bounded size."""
+def parts_of(texts) -> list[tuple[int, int]]:
+    """Runs of an Arrow array of texts, of about ``PART`` bytes or one text each."""
+    import pyarrow.compute as pc
 
-    def __init__(self, model: Model, entries: int = 200_000):
-        self.model, self.entries = model, entries
-        self._reset()
+    cuts = np.flatnonzero(np.diff(np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype="i8") // PART)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]))
 
-    def _reset(self):
-        self.rows: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.model.languages) + 1))
 
-    def mean(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) + len(words) > self.entries and len(self.rows) > 1024:
-            self._reset()
-        rows = self.rows
-        for w in set(words).difference(rows):
-            if len(rows) == len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            at = np.array(word_buckets(w), "i8")
-            self.sums[len(rows), :-1] = self.model.logits[at].sum(0, dtype="f8")
-            self.sums[len(rows), -1] = len(at)
-            rows[w] = len(rows)
-        total = self.sums[np.fromiter(map(rows.__getitem__, words), "i8", len(words))].sum(0)
-        return total[:-1] / total[-1]
+def best_languages(model: Model, texts) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow array of texts: the index of the best language, -1 for none, and its calibrated probability."""
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    columns = [np.append(column, 0).astype("f8") for column in model.logits.T]  # no n-gram counts as BUCKETS
+    for low, high in parts_of(texts) if model.languages else []:
+        for places, found in listed(texts[low:high].to_pylist()):
+            some = np.flatnonzero(found.sizes)
+            if not len(some):
+                continue
+            first = (np.cumsum(found.sizes) - found.sizes)[some]
+            table, starts = buckets_of(found.words)
+            total = lambda places, of=starts, number=found.number, first=first: np.add.reduceat(np.take(np.add.reduceat(places, of), number), first)
+            n = total((table < BUCKETS).sum(0))
+            means = np.stack([total(np.take(column, table).sum(0)) for column in columns], 1) / n[:, None]
+            best[low + places[some]], score[low + places[some]] = model.scores(means)
+    return best, score
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,22 +349,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        table = _Words(model)
+        names = pa.array([*model.languages, "und"])
         for batch in batches:
-            n = batch.num_rows
-            pred, score, means, at = ["und"] * n, np.zeros(n), [], []
-            for k, text in enumerate(batch.column(1)):
-                words = text_words(text.as_py())
-                if words and model.languages:
-                    at.append(k)
-                    means.append(table.mean(words))
-            if at:
-                best, p = model.scores(np.stack(means))
-                score[at] = p
-                for k, b in zip(at, best):
-                    pred[k] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred), pa.array(score), pa.array((score < REJECT_BELOW) | np.array([x == "und" for x in pred], bool))], names=[id_col, "lang_pred", "score", "rejected"])
+            best, score = best_languages(model, batch.column(1))
+            pred = names.take(pa.array(np.where(best < 0, len(names) - 1, best)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pred, pa.array(score), pc.or_(pa.array(score < REJECT_BELOW), pc.equal(pred, "und"))], names=[id_col, "lang_pred", "score", "rejected"])
 
     return docs.select(id_col, text_col).mapInArrow(releasing(run), f"{id_col} {kind}, lang_pred string, score double, rejected boolean")
 
@@ -255,13 +363,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows that are not rejected, with all their columns."""
 
-    def make_test():
-        table = _Words(model)
-
-        def test(text):
-            words = text_words(text)
-            return bool(words) and bool(model.languages) and model.scores(table.mean(words)[None])[1][0] >= REJECT_BELOW
-
-        return test
-
-    return keep_rows(docs, text_col, make_test)
+    return keep_rows(docs, text_col, lambda texts: best_languages(model, texts)[1] >= REJECT_BELOW)

@@ -70,6 +70,44 @@ def test_language_id_is_learned_in_a_task(spark, monkeypatch):
     assert [(r["lang_pred"], r["score"]) for r in language_id.predict(docs(spark, [(1, "text")]), none).collect()] == [("und", 0.0)]
 
 
+def test_language_id_takes_many_texts_at_once(monkeypatch):
+    """All words and n-grams of a part's texts are found as arrays, as one by one; those of Latin-1 texts without a loop over them."""
+    import random
+
+    import pyarrow as pa
+
+    words, buckets, rng = language_id.text_words, language_id.word_buckets, random.Random(4)
+    latin = list("abAB '\n\t  ,!019éÉß×÷ñªºµÿ_-\xa0\x85")
+    some = lambda letters: ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(300)]
+    plain = [None, "", "   ", "é", "ÀÖØÞ", "a\x00b", *some(latin)]
+    texts = [*plain, "²", "m²", "½", "Σας ΟΔΟΣ İ", "日本語 x", *(t for _, t in ODD), *some([*latin, *"²³¼ĄąİΣς日本🙂"])]
+    model = language_id.Model(["a", "b", "c"], np.random.default_rng(1).normal(0, 0.5, (language_id.BUCKETS, 3)).astype("f4"), np.zeros(3, "f4"))
+    for part in (4_000_000, 50):
+        monkeypatch.setattr(language_id, "PART", part)
+        best, score = language_id.best_languages(model, pa.array(texts))
+        seen = 0
+        for low, high in language_id.parts_of(pa.array(texts)):
+            for places, found in language_id.listed(texts[low:high]):
+                stops = np.cumsum(found.sizes).tolist()
+                cuts = list(zip([0, *stops], stops))
+                for k, (a, b), (at, counts) in zip(places + low, cuts, language_id.bags_of(found, cuts)):
+                    assert [found.words[n] for n in found.number[a:b]] == words(texts[k])
+                    assert dict(zip(at.tolist(), counts.tolist())) == Counter(x for w in words(texts[k]) for x in buckets(w))
+                    seen += 1
+        assert seen == len(texts)
+        for text, b, s in zip(texts, best, score):
+            each = [x for w in words(text) for x in buckets(w)]
+            if each:
+                want, p = model.scores(model.logits[each].mean(0, dtype="f8")[None])
+                assert b == want[0] and abs(s - p[0]) < 1e-12
+            else:
+                assert (b, s) == (-1, 0)
+    never = lambda *_: 1 / 0
+    monkeypatch.setattr(language_id, "text_words", never)
+    monkeypatch.setattr(language_id, "word_buckets", never)
+    assert (language_id.best_languages(model, pa.array(plain))[0] == best[: len(plain)]).all()
+
+
 def in_a_row(texts):
     """(ids, begins, sizes) of some id sequences."""
     sizes = np.array([len(t) for t in texts], "i8")
