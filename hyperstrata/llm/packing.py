@@ -56,8 +56,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
         enc = encoder(tokenizer_path, special=True)
         for batch in batches:
             keys, rows = [], []
-            for k, text in enumerate(batch.column(1)):
-                ids = enc.encode_bytes(text.as_py()) + end
+            for k, ids in enumerate(enc.encode_all(text.as_py() for text in batch.column(1))):
+                ids += end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, max_len)):
                     part = ids[4 * start : 4 * (start + length)]
                     keys.append(k)

@@ -8,7 +8,7 @@ import pytest
 from tests.llm.helpers import ODD, docs
 from tokenizers import Tokenizer
 
-from hyperstrata.llm import packing, token_files
+from hyperstrata.llm import encoding, packing, token_files
 from hyperstrata.llm.encoding import Encoder
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
@@ -34,6 +34,25 @@ def default_library(name):
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_many_texts_encode_side_by_side(name, monkeypatch):
+    """Like the library, whatever the parts; units of Latin-1 texts without a call of the library's model for each."""
+    exact, mine = default_library(name), Encoder(public_tokenizers.path(name), special=True)
+    simple = list("abABstmdrevl'' \n  .,!?012éÉßñ$") + ["'s", "'ll", "'re", "'ve", "'m", "  ", " the", "ing ", "interest", "aaaa"]
+    other = simple + list("\t\x1c\x85<|>×日ſİ🙂") + ["<|endoftext|>"]
+    rng = random.Random(5)
+    some = lambda letters, n: ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(n)]
+    plain = [None, "", " ", "\n", "'", "'s", "''", "a", *some(simple, 2000)]
+    texts = [*plain, *(t for _, t in ODD[:-2]), "x" * 70, "é" * 40 + " y" + "z" * 100 + "'s", *some(other, 2000)]
+    for part in (2_000_000, 300):
+        monkeypatch.setattr(encoding, "PART", part)
+        for text, ids in zip(texts, mine.encode_all(iter(texts)), strict=True):
+            assert ids == exact(text or ""), repr(text)
+    monkeypatch.setattr(Encoder, "_unit", lambda *_: 1 / 0)
+    fresh = Encoder(public_tokenizers.path(name), special=True)
+    assert list(fresh.encode_all(plain)) == list(mine.encode_all(plain))
+
+
 MARKED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x", "é <|startoftext|>日<|endoftext|>\n\n a", "<|ENDOFTEXT|> <|endoftext|", "a  <|endoftext|>  b"]
 
 
