@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         enc = encoder(tokenizer_path, special=True)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([enc.encode(t.as_py()).astype(dtype).tobytes()[:SAMPLE_BYTES] for t in batch.column(0)], "binary")], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(ids, "<u4").astype(dtype).tobytes()[:SAMPLE_BYTES] for ids in enc.encode_all(t.as_py() for t in batch.column(0))], "binary")], names=["ids"])
 
     dictionary = train_dictionary([bytes(r["ids"]) for r in picked.select("text").mapInArrow(serialized, "ids binary").collect()])
     digest = hashlib.sha256(dictionary).digest()
@@ -122,8 +122,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             out.write(magic)
             at = len(magic)
             for batch in rows():
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = enc.encode_bytes(text.as_py()) + end
+                for key, ids in zip(batch.column(0).to_pylist(), enc.encode_all(text.as_py() for text in batch.column(1))):
+                    ids += end
                     frame = zip_.compress(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                     out.write(frame)
                     for column, value in zip(index, (key or 0, key is None, at, len(frame), len(ids) // 4)):

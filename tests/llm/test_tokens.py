@@ -166,6 +166,23 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read_document(folder, 999_999) == []
 
 
+def test_token_files_encode_texts_together(spark, tmp_path, monkeypatch):
+    """Texts go to the encoder as they come, many at once, and none by itself."""
+    from types import SimpleNamespace
+
+    real, rows = token_files.encoder, [(k, f"document number {k} " * (k % 5)) for k in range(40)]
+
+    def together(path, **more):
+        enc = real(path, **more)
+        return SimpleNamespace(tokenizer=enc.tokenizer, encode_all=enc.encode_all)
+
+    monkeypatch.setattr(token_files, "encoder", together)
+    path, exact, folder = public_tokenizers.path(FILES[0]), library(FILES[0]), str(tmp_path / "tokens")
+    token_files.write_token_files(docs(spark, rows), folder, path, end_id=2, shards=2)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(spark, folder).collect()}
+    assert got == {k: exact(t) + (2).to_bytes(4, "little") for k, t in rows}
+
+
 def test_token_files_of_nothing_and_of_another_dictionary(spark, tmp_path):
     path = public_tokenizers.path(FILES[0])
     empty = str(tmp_path / "empty")
