@@ -43,6 +43,7 @@ _PARTS = np.ascontiguousarray(_HALVES.T)
 _CHOSEN = np.eye(GROUPS, dtype="f4")
 _SCALE = np.float32(WIDTH**-0.5)
 _ONES = np.ones((WINDOW, 1), "f4")
+_ZEROS = np.zeros((max(CHUNK, SCORE_CHUNK) * WINDOW, HIDDEN), "f4")
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -135,7 +136,7 @@ def _logits(p: dict, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     """The rectified layer, and the logits of the groups and of the members of ``group``."""
     up = h @ p["up"]
     up += p["up_bias"]
-    np.maximum(up, 0, out=up)
+    np.maximum(up, _ZEROS[: len(up)] if len(up) <= len(_ZEROS) else 0, out=up)  # with an array four times as quick as with a number
     z = up @ p["head"]
     z += np.take(p["bias"] if "bias" in p else _biases(p), group, axis=0)
     if z.max(initial=0) > _CEILING:

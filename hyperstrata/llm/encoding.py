@@ -28,6 +28,7 @@ the vocabulary of the corpus is, and frequent units survive.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from array import array
@@ -63,6 +64,7 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+_PRINTED = bytes(range(0x20, 0x7F))
 _LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 
 
@@ -225,7 +227,7 @@ class Encoder:
         self._latin = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in [*range(33), *range(127, 256)]}
         self._model = self.tokenizer.model.tokenize
         self._get = Memo(self._unit, cache_entries).__getitem__
-        self._spec, self._merges = spec["model"], None
+        self._spec, self._merges, self._known = spec["model"], None, {}
         plain = not any(self._spec[x] for x in ("dropout", "continuing_subword_prefix", "ignore_merges"))
         suffix = self._spec["end_of_word_suffix"] or ""
         self._side_by_side = plain and all(x in self._spec["vocab"] for a in alphabet for x in (a, a + suffix)) and max(self._spec["vocab"].values()) < 0xFFFF
@@ -240,8 +242,27 @@ class Encoder:
             unit = unit.translate(self._latin)
         return array("I", [t.id for t in self._model(unit)]).tobytes()
 
-    def encode_word(self, word: str) -> bytes:
+    @contextlib.contextmanager
+    def ahead(self, words: list[bytes]):
+        """Meanwhile ``encode_word`` knows these different words of UTF-8; it is asked once for each."""
+        plain = [w for w in words if w and w.isascii()] if self._side_by_side and not self._added else []
+        if b"".join(plain).translate(None, _PRINTED):
+            plain = [w for w in plain if not w.translate(None, _PRINTED)]
+        for k in range(0, len(plain), 100_000):
+            some = plain[k : k + 100_000]
+            self._known.update(zip(some, self._simple_texts(some)))
+        rest = [w for w in words if w not in self._known]
+        self._known.update(zip(rest, self.encode_all(w.decode("utf-8", "surrogatepass") for w in rest)))
+        try:
+            yield
+        finally:
+            self._known = {}
+
+    def encode_word(self, word: bytes) -> bytes:
         """The ids of a word that is not seen again: not kept, and in one piece if it is all of small letters."""
+        if (ids := self._known.pop(word, None)) is not None:
+            return ids
+        word = word.decode("utf-8", "surrogatepass")
         if not self.byte_level and word.isascii() and word.isalpha() and word.islower():
             return self._unit(word)
         return self.encode_bytes(word)

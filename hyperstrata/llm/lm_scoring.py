@@ -63,7 +63,7 @@ def word_encoder(tokenizer_path: str):
     enc = encoder(tokenizer_path)
     if enc.byte_level:
         raise ValueError("words need a tokenizer that drops white space")
-    return lambda w: enc.encode_word(w.decode("utf-8", "surrogatepass"))
+    return enc.encode_word
 
 
 def split_texts(texts):
@@ -211,7 +211,9 @@ def _looked_up(lists: DataFrame, tokenizer_path: str) -> DataFrame:
         coded = _binary(np.concatenate(each), b"".join(map(_unzip, column("words")))).dictionary_encode()
         number = np.asarray(coded.indices)
         count = np.bincount(number, np.concatenate([_numbers(x, "<i8") for x in column("n")])).astype("<i8")
-        ids = list(map(word_encoder(tokenizer_path), coded.dictionary.to_pylist()))
+        words = coded.dictionary.to_pylist()
+        with encoder(tokenizer_path).ahead(words):
+            ids = list(map(word_encoder(tokenizer_path), words))
         sizes = np.fromiter((len(x) // 4 for x in ids), "<u4", len(ids))
         flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype="i8") - sizes
         known = np.concatenate([[0], np.cumsum(count > 0)])

@@ -224,6 +224,26 @@ def test_words_met_once_are_not_kept():
     assert "onlyhereandnowhereelse" not in kept
 
 
+def test_words_are_encoded_ahead_together(monkeypatch):
+    """A group's words are encoded side by side, those of small and other ASCII characters without a call of the library's model for each."""
+    from hyperstrata.llm.encoding import Encoder
+
+    exact, rng = encoder(WORDS).tokenizer, np.random.default_rng(13)
+    plain = {"".join(rng.choice(list("abcst'.,0-"), rng.integers(1, 30))).encode() for _ in range(300)}
+    other = {"".join(rng.choice(list("abÀé\x00\x1c\x7f中ſİ"), rng.integers(1, 30))).encode() for _ in range(100)}
+    every = [*plain, *other, b"x" * 100]
+    fresh = Encoder(WORDS)
+    with fresh.ahead(every):
+        for word in every:
+            assert fresh.encode_word(word) == np.array(exact.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes(), word
+    assert not fresh._known
+    want = list(map(Encoder(WORDS).encode_word, plain))
+    monkeypatch.setattr(Encoder, "_unit", lambda *_: 1 / 0)
+    fresh = Encoder(WORDS)
+    with fresh.ahead(list(plain)):
+        assert list(map(fresh.encode_word, plain)) == want
+
+
 def test_lm_with_nothing_to_learn_from_and_of_nothing(spark):
     got = lm_scoring.score(docs(spark, [(1, "a b"), (2, None)]), WORDS, learn_from=F.lit(False)).collect()
     assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
