@@ -15,9 +15,10 @@ documents as segments, rows of one table: the segment's own word list (at most
 ``WORDS`` words, or those of one document) with counts, and the documents as numbers
 into that list. The lists meet in groups by the words' crc32; there each word of the
 corpus is counted and encoded once, and what returns is, for each listed word, its
-count and its subword ids. All later work is on numbers.
+count and its subword ids, to which the segment's documents are read from its file.
+All later work is on numbers.
 
-Scale: texts are not shuffled. Lists go to groups in blocks, one for each segment and
+Scale: texts and documents are not shuffled. Lists go to groups in blocks, one for each segment and
 group that share words; a word stands at most once in a segment, so no group is hot,
 and the number of groups grows with the lists. The driver gets one number per subword
 id, one per weight, and the warm-up windows.
@@ -40,12 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
-from hyperstrata.llm.common import LOWER_ASCII, releasing, written
+from hyperstrata.llm.common import LOWER_ASCII, filesystem, kept, new_folder, part_of, reading, row_places
 from hyperstrata.llm.encoding import encoder
 
 WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
 LISTED = 500_000  # listed words that meet in a group, on average
 PART = 8_000_000  # bytes of text split at once
+ROWS = 1 << 33  # row groups of a file at most
 WARM, WARM_EPOCHS, WARM_RATE, RATE = 4096, 3, 0.05, 0.02
 
 
@@ -112,22 +114,23 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - stops + sizes, sizes)
 
 
-def _lists(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
-    """The segments before their words are encoded: keys, train flags, ``places`` (see ``segments``),
-
-    ``words`` (in the order of their crc32) with ``word_sizes`` and training counts ``n``, and totals.
+def _lists(docs: DataFrame, learn: Column, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """The segments before their words are encoded: ``segment`` (the task's number and, in ``ROWS``, that of the row group
+    of its file), ``task``, keys, train flags, ``places`` (see ``segments``), ``words`` (in the order of their crc32) with ``word_sizes`` and training counts ``n``, and totals.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
+        from pyspark import TaskContext
 
         keys, train, sizes, held = [], np.zeros(0, bool), np.zeros(0, "i8"), []
+        task, made = TaskContext.get().partitionId(), 0
 
         def row():
             """The first documents held, as a segment."""
-            nonlocal keys, train, sizes, held
+            nonlocal keys, train, sizes, held, made
             whole = pa.concat_arrays(held)
             ends = np.cumsum(sizes)
             most = min(len(sizes), 1 + int(np.searchsorted(ends + np.arange(1, len(ends) + 1), TOKENS)))
@@ -151,10 +154,10 @@ def _lists(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFr
             binary = lambda x: pa.array([_zip(x)], pa.binary())
             long = lambda x: pa.array([x], "int64")
             out = pa.RecordBatch.from_arrays(
-                [one(pa.array(keys[:n], key_type)), one(pa.array(train[:n])), binary(places.tobytes()), binary(np.diff(starts).astype("<u4").tobytes()), binary(data), binary(counts.tobytes()), long(len(list_)), long(int(train[:n].sum())), long(int(counts.sum()))],
-                names=["keys", "train", "places", "word_sizes", "words", "n", "listed", "documents", "inside"],
+                [long(task * ROWS + made), pa.array([task], "int32"), one(pa.array(keys[:n], key_type)), one(pa.array(train[:n])), binary(places.tobytes()), binary(np.diff(starts).astype("<u4").tobytes()), binary(data), binary(counts.tobytes()), long(len(list_)), long(int(train[:n].sum())), long(int(counts.sum()))],
+                names=["segment", "task", "keys", "train", "places", "word_sizes", "words", "n", "listed", "documents", "inside"],
             )
-            keys, train, sizes, held = keys[n:], train[n:], sizes[n:], [whole[stop:]]
+            keys, train, sizes, held, made = keys[n:], train[n:], sizes[n:], [whole[stop:]], made + 1
             return out
 
         for batch in batches:
@@ -172,9 +175,8 @@ def _lists(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFr
         while keys:
             yield row()
 
-    out = f"keys array<{kind}>, train array<boolean>, places binary, word_sizes binary, words binary, n binary, listed long, documents long, inside long"
-    cut_ = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), learn.alias("learn")).mapInArrow(releasing(cut), out)
-    return written(cut_.withColumn("segment", F.monotonically_increasing_id()).withColumn("task", F.spark_partition_id()), "lists")
+    out = f"segment long, task int, keys array<{kind}>, train array<boolean>, places binary, word_sizes binary, words binary, n binary, listed long, documents long, inside long"
+    return kept(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), learn.alias("learn")), cut, out, folder)
 
 
 def _looked_up(lists: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -233,7 +235,7 @@ def _looked_up(lists: DataFrame, tokenizer_path: str) -> DataFrame:
             }
         )
 
-    met = lists.select("segment", "word_sizes", "words", "n").mapInArrow(releasing(blocks), "group long, segment long, word_sizes binary, words binary, n binary")
+    met = row_places(lists).mapInArrow(reading(blocks, ["segment", "word_sizes", "words", "n"]), "group long, segment long, word_sizes binary, words binary, n binary")
     return met.groupBy("group").applyInArrow(look_up, "group long, segment long, found binary, distinct long, id_sizes binary, ids binary")
 
 
@@ -247,21 +249,40 @@ def segments(docs: DataFrame, learn_from: Column | None, tokenizer_path: str, en
     """
     learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
     kind = dict(docs.dtypes)[id_col]
-    lists = _lists(docs, learn, id_col, text_col)
+    folder = new_folder(docs.sparkSession, "lists")
+    lists = _lists(docs, learn, id_col, text_col, folder)
 
-    def joined(segment, blocks):
+    def joined(batches):
         import pyarrow as pa
+        import pyarrow.parquet as pq
 
-        blocks = blocks.sort_by("group")
-        whole = lambda name, first: pa.array([_zip(b"".join([first, *map(_unzip, blocks.column(name).to_pylist())]))], pa.binary())
+        fs, root = filesystem(folder)
         one, end = np.uint32(1).astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
-        more = {"found": whole("found", b""), "id_sizes": whole("id_sizes", one), "ids": whole("ids", end), "distinct": pa.array([sum(blocks.column("distinct").to_pylist())], "int64")}
-        kept = ["task", "keys", "train", "places", "n", "documents", "inside"]
-        return pa.table({name: segment.column(name) for name in kept} | more)
+
+        def row(segment, blocks):
+            with fs.open_input_file(part_of(root, segment // ROWS)) as f:
+                own = pq.ParquetFile(f).read_row_group(segment % ROWS, ["task", "keys", "train", "places", "n", "documents", "inside"])
+            found, id_sizes, ids, distinct = zip(*blocks)
+            whole = lambda each, first: pa.array([_zip(b"".join([first, *map(_unzip, each)]))], pa.binary())
+            more = {"found": whole(found, b""), "id_sizes": whole(id_sizes, one), "ids": whole(ids, end), "distinct": pa.array([sum(distinct)], "int64")}
+            return pa.RecordBatch.from_pydict({name: own.column(name).combine_chunks() for name in own.column_names} | more)
+
+        last, blocks = None, []
+        for batch in batches:
+            for segment, *block in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+                if segment != last and blocks:
+                    yield row(last, blocks)
+                    blocks = []
+                last = segment
+                blocks.append(block)
+        if blocks:
+            yield row(last, blocks)
 
     out = f"task int, keys array<{kind}>, train array<boolean>, places binary, n binary, documents long, inside long, found binary, id_sizes binary, ids binary, distinct long"
-    slim = lists.select("segment", "task", "keys", "train", "places", "n", "documents", "inside")
-    return written(slim.groupBy("segment").cogroup(_looked_up(lists, tokenizer_path).groupBy("segment")).applyInArrow(joined, out), "segments")
+    none = F.lit(_zip(b""))  # so that a segment without words is there too
+    every = lists.select("segment", F.lit(-1).cast("long").alias("group"), none.alias("found"), none.alias("id_sizes"), none.alias("ids"), F.lit(0).cast("long").alias("distinct"))
+    looked = _looked_up(lists, tokenizer_path).select(every.columns)
+    return kept(every.union(looked).repartition("segment").sortWithinPartitions("segment", "group"), joined, out, new_folder(docs.sparkSession, "segments"))
 
 
 def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np.ndarray:
@@ -280,7 +301,7 @@ def subword_counts(cut: DataFrame, documents: int, size: int, end_id: int) -> np
             yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(size, "i8")
-    for r in cut.select("n", "id_sizes", "ids").mapInArrow(releasing(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in row_places(cut).mapInArrow(reading(count, ["n", "id_sizes", "ids"]), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     out[end_id] = documents
     return out
@@ -344,7 +365,7 @@ def warm_windows(cut: DataFrame, share: float) -> DataFrame:
                 real = np.minimum(attention.WINDOW + 1, sizes[owner[some]] - attention.WINDOW * number[some])
                 yield pa.RecordBatch.from_arrays([pa.array(draw[some]), pa.array(real, "int32"), pa.array([x.tobytes() for x in got], pa.binary())], names=["draw", "n", "ids"])
 
-    return cut.select(_TRAINING).mapInArrow(releasing(pick), "draw long, n int, ids binary")
+    return row_places(cut).mapInArrow(reading(pick, _TRAINING), "draw long, n int, ids binary")
 
 
 def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> DataFrame:
@@ -367,7 +388,7 @@ def trained(cut: DataFrame, flat: np.ndarray, vocab: attention.Vocabulary) -> Da
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE), "int32"), pa.array(own.astype("f8") * n), pa.array(np.full(attention.SIZE, n), "int64")], names=["at", "weighted", "n"])
 
-    return cut.select(_TRAINING).coalesce(max(1, tasks)).mapInArrow(releasing(trainer), "at int, weighted double, n long")
+    return row_places(cut).coalesce(max(1, tasks)).mapInArrow(reading(trainer, _TRAINING), "at int, weighted double, n long")
 
 
 def fit(cut: DataFrame, documents: int, end_id: int) -> tuple[np.ndarray, attention.Vocabulary]:
@@ -426,5 +447,6 @@ def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None
                 )
 
     out = f"{id_col} {kind}, n_tokens long, n_known long, base_score double, score double, n_subwords long"
-    scored = cut.select("keys", "places", "found", "id_sizes", "ids").mapInArrow(releasing(run), out)
+    # kept, so that few tasks are left to write the result: Spark starts processes for each file (see ``kept``)
+    scored = kept(row_places(cut), reading(run, ["keys", "places", "found", "id_sizes", "ids"]), out, new_folder(docs.sparkSession, "scores"))
     return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_subwords")

@@ -340,6 +340,42 @@ def test_lm_of_texts_without_words_and_of_giant_ones(spark, monkeypatch):
     assert len(got) > 3 and sum(x[0] for x in got) == 9 and sum(x[1] for x in got) == 18 and sum(x[2] for x in got) == 4
 
 
+def test_lm_tables_are_written_by_workers(spark, monkeypatch):
+    """Spark's writer, which starts processes beside an executor's JVM for each file, writes no table of the scoring; the result is in few parts."""
+    from pyspark.sql import DataFrameWriter
+
+    never = lambda *_, **__: 1 / 0
+    monkeypatch.setattr(DataFrameWriter, "parquet", never)
+    monkeypatch.setattr(DataFrameWriter, "save", never)
+    monkeypatch.setattr(lm_scoring, "TOKENS", 300)  # so that there are many segments
+    rows = [*ODD, *((k, f"some words of text {k} " * 40) for k in range(10, 50))]
+    table = docs(spark, rows).repartition(16)
+    got = lm_scoring.score(table, WORDS)
+    assert got.rdd.getNumPartitions() < 16
+    mine = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got.collect())
+    assert mine == Counter(plain_base(rows, lambda d: True))
+
+
+def test_kept_tables_replace_what_other_attempts_left(spark, tmp_path):
+    from hyperstrata.llm.common import kept, reading, row_places
+
+    folder = f"file:{tmp_path}/a folder"
+    os.mkdir(f"{tmp_path}/a folder")
+    for name in ("part-00000.parquet", "part-00001.parquet.0123.part"):
+        with open(f"{tmp_path}/a folder/{name}", "wb") as f:
+            f.write(b"half a file")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                yield batch.slice(k, 1)
+
+    table = kept(spark.range(9).repartition(3), run, "id long", folder)
+    assert sorted(r["id"] for r in table.collect()) == list(range(9))
+    assert sorted(r["id"] for r in row_places(table).mapInArrow(reading(run, ["id"]), "id long").collect()) == list(range(9))
+    assert kept(spark.range(0), run, "id long", f"{folder}/none").count() == 0
+
+
 def test_texts_are_split_as_words_are():
     import pyarrow as pa
 
