@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hyperstrata.llm import attention
-from hyperstrata.llm.common import LOWER_ASCII, filesystem, kept, new_folder, part_of, reading, row_places
+from hyperstrata.llm.common import LOWER_ASCII, filesystem, give_back_heap, kept, new_folder, part_of, reading, row_places
 from hyperstrata.llm.encoding import encoder
 
 WORDS, TOKENS = 150_000, 800_000  # of a segment's list and of its documents
@@ -449,4 +449,5 @@ def score(docs: DataFrame, tokenizer_path: str, learn_from: Column | None = None
     out = f"{id_col} {kind}, n_tokens long, n_known long, base_score double, score double, n_subwords long"
     # kept, so that few tasks are left to write the result: Spark starts processes for each file (see ``kept``)
     scored = kept(row_places(cut), reading(run, ["keys", "places", "found", "id_sizes", "ids"]), out, new_folder(docs.sparkSession, "scores"))
+    give_back_heap(docs.sparkSession)  # before those processes start
     return scored.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_subwords")

@@ -356,6 +356,16 @@ def test_lm_tables_are_written_by_workers(spark, monkeypatch):
     assert mine == Counter(plain_base(rows, lambda d: True))
 
 
+def test_lm_returns_heap_before_its_result_is_written(spark):
+    """The JVMs' whole heaps are collected behind the last stage of the scoring, so that they return what is not in use."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = collections()
+    got = lm_scoring.score(docs(spark, [(1, "a b"), (2, None)]), WORDS)
+    assert collections() > before
+    assert {(r["doc_id"], r["n_tokens"]) for r in got.collect()} == {(1, 3), (2, 1)}
+
+
 def test_kept_tables_replace_what_other_attempts_left(spark, tmp_path):
     from hyperstrata.llm.common import kept, reading, row_places
 
